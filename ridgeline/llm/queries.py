@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, mixing
+from ridgeline.llm import chat, line_dedup, mixing, quality
 from ridgeline.llm.common import documents, ship
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    scored = quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
