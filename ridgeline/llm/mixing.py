@@ -91,8 +91,12 @@ def mix(
     passes = queued.where("size > 0 AND target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     passes = passes.withColumn("finish", F.col("finish") + F.col("pass") * step)
     budget = slim.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    slices = 64 * buckets
-    passes = passes.withColumn("slice", F.floor(F.col("finish") * slices).cast("long"))
+    slices = 4 * buckets
+
+    def slice_of(finish: Column) -> Column:
+        return F.least(F.floor(finish * slices), F.lit(2 * slices)).cast("long")
+
+    passes = passes.withColumn("slice", slice_of(F.col("finish")))
     totals = passes.groupBy("slice").agg(F.sum("size").alias("words"))
     upto = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
@@ -112,7 +116,7 @@ def mix(
         F.when(
             (F.col("size") > 0)
             & (
-                (F.floor((F.col("finish") + F.lit(i) * step) * slices) < F.col("last_slice"))
+                (slice_of(F.col("finish") + F.lit(i) * step) < F.col("last_slice"))
                 | (
                     F.col("cut").isNotNull()
                     & (F.struct((F.col("finish") + F.lit(i) * step).alias("finish"), F.col("draw")) <= F.col("cut"))
