@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, line_dedup, mixing, quality
+from ridgeline.llm import chat, embedding_dedup, fingerprints, line_dedup, mixing, quality
 from ridgeline.llm.common import documents, ship
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     scored = quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,6 +41,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
