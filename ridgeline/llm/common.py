@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 
@@ -53,6 +59,61 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which stay until the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def streamed(frame: DataFrame, keys: list[str], compute, schema: str) -> DataFrame:
+    """compute(group: dict of arrays) -> dict of arrays or None, over the rows of each value of the integer columns keys.
+
+    Rows are partitioned and sorted by keys and groups cut from the stream of batches, so a task holds one
+    group at a time and small groups cost no frame of their own.
+    """
+    names = frame.columns
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key_of = None
+        outs: list[dict] = []
+
+        def close():
+            if held:
+                whole = pa.Table.from_batches(held)
+                out = compute({n: whole.column(n) for n in names})
+                held.clear()
+                if out is not None:
+                    outs.append(out)
+
+        def flush():
+            if outs:
+                columns = [np.concatenate([np.asarray(o[f.name]) for o in outs]) for f in types]
+                outs.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+        for part in parts:
+            if part.num_rows == 0:
+                continue
+            values = [part.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(part.num_rows, bool)
+            for v in values:
+                change[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(change), part.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(v[a] for v in values)
+                if now != key_of:
+                    close()
+                    key_of = now
+                held.append(part.slice(a, b - a))
+            yield from flush()
+        close()
+        yield from flush()
+
+    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, embedding_dedup, fingerprints, line_dedup, mixing, quality
-from ridgeline.llm.common import documents, ship
+from ridgeline.llm import chat, embedding_dedup, fingerprints, line_dedup, mixing, near_join, packing, quality, suffix_dedup, token_files
+from ridgeline.llm.common import documents, scratch, ship
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +14,33 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_join.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = scratch(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path)
+    return token_files.digests(spark, path)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return embedding_dedup.link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     scored = quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,7 +64,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_token_files": op3_token_files,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
