@@ -6,10 +6,12 @@ range of bytes is one difference of running sums, so every range of a batch cost
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLANKS = np.zeros(256, bool)
@@ -46,6 +48,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def slices(part: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """part in pieces of about limit bytes of text (a longer text is a piece of its own), which bounds the arrays made of it."""
+    size = pa.compute.fill_null(pa.compute.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False)
+    number = (np.cumsum(size) - size) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), part.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield part.slice(a, b - a)
+
+
 class Ranges:
     """Hashes of ranges of raw."""
 

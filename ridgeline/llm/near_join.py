@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import components, keep, release, streamed
 from ridgeline.llm.embedding_dedup import smallest_reachable
-from ridgeline.llm.hashing import mixed, shingles, text_bytes
+from ridgeline.llm.hashing import mixed, shingles, slices, text_bytes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -125,7 +125,7 @@ def profiles(documents: DataFrame, words: int, n_hashes: int) -> DataFrame:
     """Rows (doc_id, node, signature) of documents that have a shingle; node is the hash of the set."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices(whole)):
             hashes, begin = shingles(*text_bytes(part.column("text")), words)
             some = np.flatnonzero(np.diff(begin))
             table = signatures(hashes, begin, n_hashes)[some]
@@ -190,7 +190,7 @@ def verified(documents: DataFrame, members: DataFrame, words: int, threshold: fl
     texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(parts, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
+        for part in (piece for whole in batches for piece in slices(whole)):
             hashes, begin = shingles(*text_bytes(part.column("text")), words)
             same = set_hashes(hashes, begin).view(np.int64) == part.column("node").to_numpy()  # else another text of this doc_id
             table = signatures(hashes, begin, n_hashes)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep, partitions, release
-from ridgeline.llm.hashing import BASES, Ranges, text_bytes
+from ridgeline.llm.hashing import BASES, Ranges, slices, text_bytes
 from ridgeline.llm.run_index import RunIndex
 
 WIDTH = 50
@@ -142,7 +142,7 @@ def _classes(buckets: int, targets: int, width: int, seed: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for part in parts:
+        for part in (piece for whole in parts for piece in slices(whole)):
             raw, at = text_bytes(part.column("text"))
             place, hashes = seeds_of(raw, at, width, seed)
             if len(place) == 0:
@@ -259,7 +259,8 @@ def _by_target(parts: Iterator[pa.RecordBatch], types: tuple):
                 continue
             if arrays is None and held:
                 arrays, held = together(), []
-            yield arrays, piece
+            for some in slices(piece):
+                yield arrays, some
 
 
 def _pieces(shards: int, targets: int, width: int, seed: int):
