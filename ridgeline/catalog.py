@@ -3,10 +3,525 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline import oracles as O
+from ridgeline.functions.columns import average_rank
+from ridgeline.operators import bars as B
+from ridgeline.operators import labels, quality
+from ridgeline.plans import bootstrap, evaluate, factors, features, studies
+from ridgeline.sources import files
+from ridgeline.streaming import rules, ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+SIGNAL = "stocks_per_day, signal_mean, baseline_mean, signal_up_rate, baseline_up_rate, edge, edge_daily_sd, edge_positive_day_fraction, rank_ic, rank_ic_daily_sd, signal_return_after_cost"
+TOP = "stocks_per_day, signal_mean, signal_median_across_days, signal_worst_case_mean, baseline_mean, edge, edge_sd, edge_median_across_days, signal_up_rate, baseline_up_rate, rank_ic, after_cost, edge_low, edge_high"
+
+
+def query(sql: str | None = None):
+    """Registers a query by its function's name, and its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def rounded(frame: DataFrame, names: str, plain: str = "") -> DataFrame:
+    return frame.select(*[p.strip() for p in plain.split(",") if p.strip()], *[F.round(F.col(n.strip()).cast("double"), 6).alias(n.strip()) for n in names.split(",")])
+
+
+# Bars, calendars, membership
+
+
+@query(O.query([O.BARS], "SELECT vt_symbol, day, open, high, low, close, volume, turnover, vwap, tradestatus, is_st FROM bars"))
+def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.weekly_bars(spark, sf_dir).select("vt_symbol", "day", "open", "high", "low", "close", "volume", "turnover", "vwap", "tradestatus", "is_st")
+
+
+@query(O.query([O.BARS, O.DAYS, O.schedule()], "SELECT day, entry_day, exit_day, ordinal FROM schedule"))
+def sampling_calendar(spark, sf_dir):
+    return B.schedule(B.market_days(B.weekly_bars(spark, sf_dir)), studies.START, studies.END)
+
+
+@query(O.query([O.BARS, O.MEMBERSHIP], "SELECT b.vt_symbol, b.day FROM bars b JOIN membership m ON b.vt_symbol = m.vt_symbol AND b.day BETWEEN member_start AND member_end"))
+def interval_membership(spark, sf_dir):
+    return B.members_only(B.weekly_bars(spark, sf_dir), B.membership(spark, sf_dir)).select("vt_symbol", "day")
+
+
+@query(O.query([O.BARS, O.DAYS, O.MEMBERSHIP], """SELECT members, count(*) AS days, min(day) AS first_day FROM (
+  SELECT day, count(*) AS members FROM days JOIN membership ON day BETWEEN member_start AND member_end GROUP BY day) GROUP BY members"""))
+def member_count_distribution(spark, sf_dir):
+    return quality.member_counts(B.membership(spark, sf_dir), B.market_days(B.weekly_bars(spark, sf_dir)))
+
+
+@query(O.query([O.BARS, O.DAYS, O.MEMBERSHIP], """SELECT day, count(*) AS missing, min(vt_symbol) AS first_missing FROM days JOIN membership ON day BETWEEN member_start AND member_end
+WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.day = days.day AND b.vt_symbol = membership.vt_symbol) GROUP BY day"""))
+def members_without_bars(spark, sf_dir):
+    bars = B.weekly_bars(spark, sf_dir)
+    return quality.members_without_bars(B.snapshot_members(B.membership(spark, sf_dir), B.market_days(bars)), bars)
+
+
+@query("""SELECT CAST(isoyear(day) AS INT) AS iso_year, CAST(weekofyear(day) AS INT) AS iso_week, min(day) AS day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) GROUP BY ALL""")
+def first_day_of_iso_weeks(spark, sf_dir):
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day")).distinct()
+    out = B.first_day_of_weeks(days)
+    return out.select(F.col("iso_year").cast("int"), F.col("iso_week").cast("int"), "day")
+
+
+# Features and scores
+
+FEATURES = "day_return, short_gap, long_gap, slow_gap, sd20, volume_ratio, slope5_3, slope40_10, atr14, over_share20, weighted_sum10, crossed_short_5, above_medium_10, delta5_lag5, recent_jump, future_jump"
+
+
+@query(O.query([O.BARS, O.panel()], O.rounded(FEATURES, "panel", "vt_symbol, day")))
+def feature_panel(spark, sf_dir):
+    return rounded(features.panel(B.weekly_bars(spark, sf_dir)), FEATURES, "vt_symbol, day")
+
+
+@query(O.query(O.censored(), O.wide("stock")))
+def stock_scores(spark, sf_dir):
+    return studies.scores(studies.censored_frame(spark, sf_dir), "stock")
+
+
+@query(O.query(O.censored(True), O.wide("followup")))
+def followup_scores(spark, sf_dir):
+    return studies.scores(studies.censored_frame(spark, sf_dir, use_status=True), "followup")
+
+
+@query(O.query(O.keep_all(), O.wide("clean")))
+def keep_all_scores(spark, sf_dir):
+    return studies.scores(studies.keep_all_frame(spark, sf_dir), "clean")
+
+
+@query(O.query(O.unified(), O.wide("unified")))
+def unified_scores(spark, sf_dir):
+    return studies.scores(studies.unified_frame(spark, sf_dir), "unified")
+
+
+@query(O.query(O.unified(), O.wide("price")))
+def price_scores(spark, sf_dir):
+    return studies.scores(studies.unified_frame(spark, sf_dir), "price")
+
+
+# Labels
+
+LABEL_COLUMNS = "intent_return, worst_case_return"
+
+
+@query(O.query(O.keep_all(), O.rounded(LABEL_COLUMNS, "frame", "day, vt_symbol, entry_day, exit_day, entry_open, exit_open, mark_close, entry_fill, exit_fill, unclosed_at_horizon")))
+def keep_all_labels(spark, sf_dir):
+    return rounded(studies.keep_all_frame(spark, sf_dir), LABEL_COLUMNS, "day, vt_symbol, entry_day, exit_day, entry_open, exit_open, mark_close, entry_fill, exit_fill, unclosed_at_horizon")
+
+
+@query(O.query(O.censored(), O.rounded("forward_return", "frame", "day, vt_symbol, exit_day, recent_jump, future_jump")))
+def censored_labels(spark, sf_dir):
+    return rounded(studies.censored_frame(spark, sf_dir), "forward_return", "day, vt_symbol, exit_day, recent_jump, future_jump")
+
+
+@query(O.query(O.censored(True), "SELECT day, count(*) AS stocks, count_if(recent_jump = 0 AND future_jump = 0) AS quiet, round(avg(forward_return), 6) AS mean_return FROM frame GROUP BY day"))
+def followup_labels(spark, sf_dir):
+    frame = studies.censored_frame(spark, sf_dir, use_status=True)
+    quiet = F.count_if((F.col("recent_jump") == 0) & (F.col("future_jump") == 0))
+    return frame.groupBy("day").agg(F.count("*").alias("stocks"), quiet.alias("quiet"), F.round(F.avg("forward_return"), 6).alias("mean_return"))
+
+
+@query("""SELECT e.event_id, e.user_id, o.o_orderkey AS last_order FROM events e ASOF LEFT JOIN (
+  SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 24 YEAR AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1) o
+ON o.o_custkey = e.user_id AND o.at <= e.ts""")
+def as_of_join(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderkey").alias("last_order"))
+    facts = orders.select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL '24' YEAR").alias("at"), "last_order")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    return labels.as_of(events, "ts", facts, "at", "user_id", ["last_order"]).select("event_id", "user_id", "last_order")
+
+
+# Evaluation
+
+
+def _weekly_study(spark, sf_dir, min_stocks, min_signals):
+    frame = studies.censored_frame(spark, sf_dir)
+    long = evaluate.long_scores(frame, {"ma5_ma20": factors.STOCK["ma5_ma20"]}, [*studies.KEYS, "forward_return"])
+    daily = evaluate.positive_signal_days(evaluate.by_era(long, studies.ERAS), min_stocks=min_stocks, min_signals=min_signals)
+    return rounded(evaluate.positive_signal_summary(daily), SIGNAL, "factor, era, days, signals")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The weekly study with minima that the smallest tables can meet."""
+    return _weekly_study(spark, sf_dir, 3, 1)
+
+
+@query(O.query([*O.censored(), O.long_rows({"ma5_ma20": factors.STOCK["ma5_ma20"]}, O.SIGNAL_COLUMNS), O.eras(), O.signal_days(3, 1)], O.rounded(SIGNAL, "summary", "factor, era, days, signals")))
+def weekly_factor_study(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(O.query([*O.censored(), O.long_rows("stock", O.SIGNAL_COLUMNS), O.eras(), O.signal_days(20, 5)], O.rounded(SIGNAL, "summary", "factor, era, days, signals")))
+def stock_summary(spark, sf_dir):
+    daily = studies.signal_daily(studies.censored_frame(spark, sf_dir), "stock", min_stocks=20, min_signals=5)
+    return rounded(evaluate.positive_signal_summary(daily), SIGNAL, "factor, era, days, signals")
+
+
+@query(O.query([*O.censored(True), O.long_rows("followup", O.SIGNAL_COLUMNS), O.eras(), O.signal_days(20, 5)], O.rounded(SIGNAL, "summary", "factor, era, days, signals")))
+def followup_summary(spark, sf_dir):
+    daily = studies.signal_daily(studies.censored_frame(spark, sf_dir, use_status=True), "followup", min_stocks=20, min_signals=5)
+    return rounded(evaluate.positive_signal_summary(daily), SIGNAL, "factor, era, days, signals")
+
+
+@query(O.query([*O.keep_all(), O.long_rows("clean", O.TOP_COLUMNS), O.eras(), O.top_days(20)], O.rounded(TOP, "summary", "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")))
+def keep_all_summary(spark, sf_dir):
+    daily = studies.top_daily(studies.keep_all_frame(spark, sf_dir), "clean", min_stocks=20)
+    return rounded(evaluate.top_summary(daily), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
+
+
+@query(O.query([*O.unified(), O.long_rows("unified", O.TOP_COLUMNS), O.eras(), O.top_days(20)], O.rounded(TOP, "summary", "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")))
+def unified_summary(spark, sf_dir):
+    daily = studies.top_daily(studies.unified_frame(spark, sf_dir), "unified", min_stocks=20)
+    return rounded(evaluate.top_summary(daily), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
+
+
+@query(O.query([*O.unified(), O.long_rows("price", O.TOP_COLUMNS), O.eras(), O.top_days(20)], O.rounded(TOP, "summary", "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")))
+def price_summary(spark, sf_dir):
+    daily = studies.top_daily(studies.unified_frame(spark, sf_dir), "price", min_stocks=20)
+    return rounded(evaluate.top_summary(daily), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
+
+
+RULES = {"train": {"days": (10, True), "signals": (50, True), "signal_mean": (0.003, False)}, "valid": {"days": (5, True), "signals": (30, True), "signal_mean": (0.003, False)}}
+SCREEN = f"""
+judged AS (SELECT *, coalesce(CASE era WHEN 'train' THEN days >= 10 AND signals >= 50 AND signal_mean > 0.003 WHEN 'valid' THEN days >= 5 AND signals >= 30 AND signal_mean > 0.003 END, false) AS met
+  FROM summary WHERE era IN ('train', 'valid')),
+screen AS (SELECT factor, count_if(met) AS eras_met, min(edge) AS weakest_edge, min(signal_mean) AS weakest_signal_mean, min(signals) AS fewest_signals, count_if(met) = 2 AS qualifies FROM judged GROUP BY factor)"""
+
+
+@query(O.query([*O.unified(), O.long_rows("price", O.TOP_COLUMNS), O.eras(), O.top_days(20), SCREEN], O.rounded("weakest_edge, weakest_signal_mean", "screen", "factor, eras_met, fewest_signals, qualifies")))
+def price_screen(spark, sf_dir):
+    summary = evaluate.top_summary(studies.top_daily(studies.unified_frame(spark, sf_dir), "price", min_stocks=20))
+    return rounded(evaluate.screened(summary, RULES), "weakest_edge, weakest_signal_mean", "factor, eras_met, fewest_signals, qualifies")
+
+
+@query(O.query([*O.keep_all(), O.long_rows("clean", O.TOP_COLUMNS), O.eras(), O.top_days(20), SCREEN],
+               O.rounded("weakest_edge", "(SELECT * FROM screen ORDER BY qualifies DESC, round(weakest_edge, 9) DESC NULLS LAST, factor DESC LIMIT 1)", "factor, qualifies, eras_met")))
+def keep_all_selection(spark, sf_dir):
+    summary = evaluate.top_summary(studies.top_daily(studies.keep_all_frame(spark, sf_dir), "clean", min_stocks=20))
+    screen = evaluate.screened(summary, RULES).withColumn("weakest_edge", F.round("weakest_edge", 9))
+    return rounded(evaluate.selected(screen), "weakest_edge", "factor, qualifies, eras_met")
+
+
+def _boundary_sql() -> str:
+    def summary(name: str, where: str) -> str:
+        body = O.top_days(50, source=f"(SELECT * FROM in_era WHERE {where})")
+        for word in ("ranked", "daily", "summary"):
+            body = body.replace(f"{word} AS (", f"{word}_{name} AS (").replace(f"FROM {word} ", f"FROM {word}_{name} ")
+        return body
+
+    parts = [*O.keep_all(), O.long_rows("clean", O.TOP_COLUMNS), O.eras(clip=False), summary("a", "true"), summary("b", "exit_day <= era_end")]
+    return O.query(parts, """SELECT c.factor, c.era, crossing_rows, a.days AS days_free, b.days AS days_clipped, round(a.edge, 6) AS edge_free, round(b.edge, 6) AS edge_clipped,
+       NOT coalesce((a.edge IS NULL AND b.edge IS NULL) OR abs(a.edge - b.edge) <= 1e-9, false) AS changed
+FROM (SELECT factor, era, count_if(exit_day > era_end) AS crossing_rows FROM in_era GROUP BY ALL) c
+LEFT JOIN summary_a a USING (factor, era) LEFT JOIN summary_b b USING (factor, era)""")
+
+
+@query(_boundary_sql())
+def boundary_audit(spark, sf_dir):
+    return rounded(studies.boundary(studies.keep_all_frame(spark, sf_dir), "clean"), "edge_free, edge_clipped", "factor, era, crossing_rows, days_free, days_clipped, changed")
+
+
+def _offsets_sql() -> str:
+    calendars = [O.schedule(f"schedule{k}", 6, k) for k in range(6)]
+    union = "schedules AS (" + " UNION ALL ".join(f"SELECT *, 'offset {k}' AS era FROM schedule{k}" for k in range(6)) + ")"
+    eligible = f"eligible AS (SELECT c.*, s.entry_day, s.exit_day, s.era FROM contexted c JOIN schedules s USING (day) WHERE {O.ELIGIBLE})"
+    one = {"uptrend_pullback": factors.UNIFIED["uptrend_pullback"]}
+    parts = [O.BARS, O.DAYS, O.MEMBERSHIP, O.panel(), O.MEMBERS, O.context("members", "contexted"), *calendars, union, eligible, O.labelled("eligible"),
+             O.long_rows(one, O.TOP_COLUMNS + ", era"), "in_era AS (SELECT * FROM long WHERE isfinite(score))", O.top_days(50)]
+    return O.query(parts, O.rounded(TOP, "summary", "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon"))
+
+
+@query(_offsets_sql())
+def offset_sensitivity(spark, sf_dir):
+    return rounded(studies.offsets(spark, sf_dir), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
+
+
+YEARS = [(str(y), f"{y}-01-01", f"{y}-12-31") for y in range(1995, 2002)]
+DENSE = [*O.keep_all(step=1), O.long_rows({"market_down_day": factors.CLEAN["market_down_day"]}, O.TOP_COLUMNS), O.eras(YEARS), O.top_days(1)]
+GRID = "grid AS (SELECT DISTINCT era, day FROM in_era),\ndense AS (SELECT g.era, g.day, signals, signal_mean, edge, signal_up_rate, entry_no_fills, unclosed FROM grid g LEFT JOIN daily d USING (era, day))"
+DENSE_NUMBERS = "signal_mean, edge, median_signal_day_mean, signal_up_rate_mean, after_cost"
+
+
+@query(O.query([*DENSE, GRID], f"""SELECT era, market_dates, signal_days, selected_stocks, selected_no_entry, selected_unclosed, {', '.join(f'round({n}, 6) AS {n}' for n in DENSE_NUMBERS.split(', '))} FROM (
+  SELECT era, count(*) AS market_dates, count(signals) AS signal_days, CAST(coalesce(sum(signals), 0) AS BIGINT) AS selected_stocks, avg(signal_mean) AS signal_mean, avg(edge) AS edge,
+         median(signal_mean) AS median_signal_day_mean, avg(signal_up_rate) AS signal_up_rate_mean, CAST(coalesce(sum(entry_no_fills), 0) AS BIGINT) AS selected_no_entry,
+         CAST(coalesce(sum(unclosed), 0) AS BIGINT) AS selected_unclosed, avg(signal_mean) - 0.003 AS after_cost FROM dense GROUP BY era)"""))
+def dense_day_audit(spark, sf_dir):
+    return rounded(studies.dense_summary(studies.dense_days(spark, sf_dir)), DENSE_NUMBERS, "era, market_dates, signal_days, selected_stocks, selected_no_entry, selected_unclosed")
+
+
+BOOT = """
+series AS (SELECT era, day, signal_mean AS value, row_number() OVER (PARTITION BY era ORDER BY day) - 1 AS at, count(*) OVER (PARTITION BY era) AS n FROM dense),
+sizes AS (SELECT era, max(n) AS n FROM series GROUP BY era HAVING max(n) >= 20),
+drawn AS (SELECT era, n, r, b, i, ('0x' || substr(md5('7:' || r || ':' || b), 1, 8))::BIGINT % n AS start
+  FROM sizes, range(400) t(r), range(CAST(ceil(n / 10.0) AS BIGINT)) u(b), range(10) v(i) WHERE b * 10 + i < n),
+means AS (SELECT d.era, r, avg(value) AS mean FROM drawn d JOIN series s ON s.era = d.era AND s.at = (d.start + d.i) % d.n GROUP BY d.era, r)"""
+
+
+@query(O.query([*DENSE, GRID, BOOT], "SELECT era, count(mean) AS replicates, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM means GROUP BY era"))
+def block_bootstrap(spark, sf_dir):
+    series = studies.dense_days(spark, sf_dir).withColumnRenamed("signal_mean", "value")
+    return rounded(bootstrap.intervals(series, block=10, seed=7, replicates=400), "low, high", "era, replicates")
+
+
+@query()
+def seeded_bootstrap(spark, sf_dir):
+    series = studies.dense_days(spark, sf_dir).withColumnRenamed("signal_mean", "value")
+    return rounded(bootstrap.seeded_intervals(series, block=10, seed=7, strict=False), "low, high", "era")
+
+
+def _transfer_sql() -> str:
+    one = {"ribbon_joint_widening": factors.PRICE["ribbon_joint_widening"]}
+    rows = f"""
+eligible AS (SELECT p.*, d.entry_day, d.exit_day FROM panel p JOIN daily_calendar d USING (day)
+  WHERE l_suppkey % 3 = 0 AND {O.ELIGIBLE} AND isfinite(ma120) AND day IN (SELECT day FROM schedule))"""
+    table = [*studies.ERAS, ("combined", studies.START, studies.END)]
+    parts = [O.BARS, O.DAYS, O.panel(), O.schedule("daily_calendar", 1), O.schedule(), rows, O.labelled("eligible"), O.long_rows(one, O.TOP_COLUMNS), O.eras(table), O.top_days(5)]
+    return O.query(parts, O.rounded(TOP, "summary", "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon"))
+
+
+@query(_transfer_sql())
+def transfer_test(spark, sf_dir):
+    return rounded(studies.transfer(spark, sf_dir), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
+
+
+def _single_sql() -> str:
+    over = "PARTITION BY vt_symbol ORDER BY day"
+    above = f"above AS (SELECT *, CASE WHEN short_gap > 0 THEN 1.0 ELSE 0.0 END AS above, lead(open, 6) OVER ({over}) / nullif(lead(open, 1) OVER ({over}), 0) - 1 AS next FROM panel)"
+    frame = "ROWS BETWEEN 9 PRECEDING AND CURRENT ROW"
+    shared = f"shared AS (SELECT *, CASE WHEN count(above) OVER ({over} {frame}) = 10 THEN avg(above) OVER ({over} {frame}) END AS above_share10 FROM above)"
+    columns = ", ".join(f"round(CAST({x} AS DOUBLE), 9) AS f_{n}" for n, x in factors.SINGLE.items())
+    full = f"whole AS (SELECT vt_symbol, day, round(next, 9) AS target, {columns} FROM shared),\nfull_rows AS (SELECT * FROM whole WHERE target IS NOT NULL AND " + " AND ".join(f"f_{n} IS NOT NULL" for n in factors.SINGLE) + ")"
+    numbered = f"numbered AS (SELECT *, row_number() OVER ({over}) - 1 AS k FROM full_rows),\nsampled AS (SELECT *, k // 6 AS number, count(*) OVER (PARTITION BY vt_symbol) AS size FROM numbered WHERE k % 6 = 0)"
+    each = "unnest([" + ", ".join(f"{{'factor': '{n}', 'score': f_{n}}}" for n in factors.SINGLE) + "])"
+    long = f"long AS (SELECT vt_symbol, day, target, CASE WHEN number < floor(size * 0.6::DOUBLE) THEN 'train' WHEN number < floor(size * 0.8::DOUBLE) THEN 'valid' ELSE 'test' END AS part, s.factor AS factor, s.score AS score FROM (SELECT *, {each} AS s FROM sampled))"
+    rank = lambda x: f"rank() OVER (PARTITION BY vt_symbol, part, factor ORDER BY {x}) + (count(*) OVER (PARTITION BY vt_symbol, part, factor, {x}) - 1) / 2.0"
+    ranked = f"ranked AS (SELECT *, {rank('score')} AS score_rank, {rank('target')} AS target_rank FROM long),\nics AS (SELECT vt_symbol, factor, part, count(*) AS n, round({O.CORR}, 9) AS ic FROM ranked GROUP BY ALL)"
+    table = "result AS (SELECT vt_symbol, factor, " + ", ".join(f"coalesce(max(n) FILTER (part = '{p}'), 0) AS {p}_rows, max(ic) FILTER (part = '{p}') AS {p}_ic" for p in ("train", "valid", "test")) + " FROM ics GROUP BY ALL)"
+    held = "coalesce(train_ic > 0 AND valid_ic > 0, false)"
+    return O.query([O.BARS, O.panel(), above, shared, full, numbered, long, ranked, table],
+                   f"SELECT vt_symbol, factor, train_rows, valid_rows, test_rows, round(train_ic, 6) AS train_ic, round(valid_ic, 6) AS valid_ic, round(test_ic, 6) AS test_ic, "
+                   f"{held} AND row_number() OVER (PARTITION BY vt_symbol ORDER BY {held} DESC, valid_ic DESC NULLS LAST, factor) = 1 AS is_selected FROM result")
+
+
+@query(_single_sql())
+def single_series_study(spark, sf_dir):
+    return rounded(studies.single_series(spark, sf_dir), "train_ic, valid_ic, test_ic", "vt_symbol, factor, train_rows, valid_rows, test_rows, is_selected")
+
+
+@query(O.query([*O.unified(), O.long_rows("unified", O.TOP_COLUMNS), O.eras(), O.top_days(20)],
+               "SELECT factor || '/' || era AS name, '| ' || factor || '/' || era || ' | ' || printf('%+.3f', round(edge, 6)) || ' | ' || coalesce(printf('%+.3f', round(rank_ic, 6)), 'n/a') || ' |' AS line FROM summary"))
+def report_table(spark, sf_dir):
+    summary = evaluate.top_summary(studies.top_daily(studies.unified_frame(spark, sf_dir), "unified", min_stocks=20))
+    named = rounded(summary, "edge, rank_ic", "factor, era").withColumn("name", F.concat_ws("/", "factor", "era"))
+    return files.report_lines(named, "name", ["edge", "rank_ic"])
+
+
+# Data quality
+
+
+def _figures_sql() -> str:
+    measures = {"rows": "count(*)", "symbols": "count(DISTINCT vt_symbol)", "days": "count(DISTINCT day)", "invalid_ohlc": "count_if(high < greatest(open, low, close) OR low > least(open, high, close))",
+                "zero_volume": "count_if(volume = 0)", "negative_volume": "count_if(volume < 0)", "weekend": "count_if(isodow(day) >= 6)", "vwap_outside": "count_if(vwap > high * 1.011 OR vwap < low * 0.989)"}
+    for n in quality.NUMBERS:
+        measures |= {f"null_{n}": f"count_if({n} IS NULL)", f"nonfinite_{n}": f"count_if(NOT isfinite({n}))", f"nonpositive_{n}": f"count_if({n} <= 0)"}
+    return O.query([O.BARS], "UNPIVOT (SELECT " + ", ".join(f"CAST({x} AS BIGINT) AS {n}" for n, x in measures.items()) + " FROM bars) ON COLUMNS(*) INTO NAME measure VALUE value")
+
+
+@query(_figures_sql())
+def data_quality(spark, sf_dir):
+    return quality.figures(B.weekly_bars(spark, sf_dir))
+
+
+@query(O.query([O.BARS, O.panel()], "SELECT vt_symbol, day, round(day_return, 6) AS day_return FROM panel WHERE day_return IS NOT NULL ORDER BY abs(round(day_return, 6)) DESC, day, vt_symbol LIMIT 12"))
+def largest_moves(spark, sf_dir):
+    return quality.largest_moves(features.panel(B.weekly_bars(spark, sf_dir), features.STAGES[:2]))
+
+
+@query(O.query([O.BARS], "SELECT vt_symbol, min(day) AS first_day, max(day) AS last_day, count(*) AS rows, round(arg_min(close, day), 6) AS first_close, count(DISTINCT year(day)) AS years FROM bars GROUP BY vt_symbol"))
+def symbol_coverage(spark, sf_dir):
+    return quality.coverage(B.weekly_bars(spark, sf_dir)).withColumn("first_close", F.round("first_close", 6))
+
+
+@query(O.query([O.BARS], "SELECT CAST(year(day) AS INT) AS year, count(*) AS rows, count(DISTINCT vt_symbol) AS symbols, count_if(volume = 0) AS zero_volume FROM bars GROUP BY 1"))
+def yearly_rollup(spark, sf_dir):
+    return quality.by_year(B.weekly_bars(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return quality.duplicates(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
+
+
+@query("""SELECT l_partkey, day, round(average_rank, 1) AS average_rank FROM (SELECT l_partkey, CAST(l_shipdate AS DATE) AS day,
+  rank() OVER (PARTITION BY CAST(l_shipdate AS DATE) ORDER BY l_quantity) + (count(*) OVER (PARTITION BY CAST(l_shipdate AS DATE), l_quantity) - 1) / 2.0 AS average_rank FROM lineitem)""")
+def average_ranks(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", F.to_date("l_shipdate").alias("day"), "l_quantity")
+    return rows.select("l_partkey", "day", F.round(average_rank("l_quantity", "day"), 1).alias("average_rank"))
+
+
+# Documents and files
+
+
+@query("""SELECT page_id, count(*) AS links, count(DISTINCT regexp_extract(href, '^[a-z]+://([^/?#]+)', 1)) AS hosts, min(href) AS first_link
+FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def page_links(spark, sf_dir):
+    found = files.html_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("host").alias("hosts"), F.min("href").alias("first_link"))
+
+
+@query("""SELECT l.href, count(DISTINCT l.page_id) AS pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) l
+WHERE l.href <> '' AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.href) GROUP BY l.href""")
+def unindexed_links(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = files.html_links(pages).select("page_id", F.col("href").alias("file"))
+    return files.broken_links(found, pages.select(F.col("url").alias("file"))).groupBy(F.col("file").alias("href")).agg(F.count_distinct("page_id").alias("pages"))
+
+
+@query("SELECT page_id, CAST(octet_length(encode(html)) AS INT) AS bytes, sha256(html) AS sha256 FROM pages")
+def page_manifest(spark, sf_dir):
+    return files.manifest(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", F.col("html")).select("page_id", "bytes", "sha256")
+
+
+@query("SELECT c_custkey, substr(sha256(c_name), 1, 16) AS account_key, coalesce(printf('%+.3f', c_acctbal), 'n/a') AS balance, replace(c_name, 'Customer', '***') AS shown FROM customer")
+def redacted_accounts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.substring(F.sha2("c_name", 256), 1, 16)
+    return rows.select("c_custkey", key.alias("account_key"), files.signed(F.col("c_acctbal")).alias("balance"), files.redacted(F.col("c_name"), ["Customer"]).alias("shown"))
+
+
+# Ticks, rules and orders
+
+TICKS = """
+raw_ticks AS (SELECT user_id AS symbol, user_id % 4 AS product, ts, event_id AS seq, CASE WHEN isfinite(value) AND value > 0 AND value < 1e100 THEN value END AS price,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS volume, CAST(json_extract_string(props, '$.k') AS INT) AS detail, event_type FROM events)"""
+STATS = """
+signed_ticks AS (SELECT *, lag({'p': price, 'd': detail}) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM raw_ticks),
+stats AS (SELECT symbol, product, count(*) AS ticks, count_if(before IS NOT NULL AND before IS DISTINCT FROM {'p': price, 'd': detail}) AS changes, arg_max(volume, seq) AS volume,
+  arg_max(price, seq) AS last_price, arg_min(ts, seq) AS first_received, arg_max(ts, seq) AS last_received FROM signed_ticks GROUP BY ALL)"""
+ORDERED = """
+ordered AS (SELECT * FROM (SELECT *, max(ts) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM raw_ticks WHERE price IS NOT NULL) WHERE latest IS NULL OR ts > latest)"""
+
+
+@query(O.query([TICKS, STATS], "SELECT * FROM stats"))
+def tick_statistics(spark, sf_dir):
+    return ticks.running_stats(ticks.ticks(spark, sf_dir))
+
+
+@query(O.query([TICKS, STATS], "SELECT product, symbol, volume, ticks FROM stats WHERE ticks >= 2 AND changes >= 1 AND last_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product ORDER BY volume DESC, ticks DESC, symbol DESC) = 1"))
+def most_active_symbols(spark, sf_dir):
+    return ticks.most_active(ticks.running_stats(ticks.ticks(spark, sf_dir)))
+
+
+@query(O.query([TICKS], "SELECT symbol, seq, ts, price, volume FROM raw_ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1"))
+def latest_quotes(spark, sf_dir):
+    return ticks.latest_quote(ticks.ticks(spark, sf_dir))
+
+
+@query(O.query([TICKS, ORDERED, "crossed AS (SELECT *, lag(price) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM ordered)"],
+               "SELECT symbol, seq, ts, before, price, CAST(50.0 AS DOUBLE) AS threshold FROM crossed WHERE before <= 50 AND price > 50"))
+def threshold_crossings(spark, sf_dir):
+    return ticks.crossings(ticks.ticks(spark, sf_dir), F.lit(50.0))
+
+
+@query(O.query([TICKS], "SELECT symbol, arg_min(price, seq) AS first_price, round((round_even(arg_min(price, seq) / 0.01::DOUBLE, 0) + 2) * 0.01::DOUBLE, 6) AS threshold FROM raw_ticks WHERE price IS NOT NULL GROUP BY symbol"))
+def anchored_thresholds(spark, sf_dir):
+    return ticks.anchored_threshold(ticks.ticks(spark, sf_dir))
+
+
+@query(O.query([TICKS, ORDERED, "islands AS (SELECT *, sum(CASE WHEN price > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM ordered)"],
+               "SELECT symbol, seq, ts, price FROM islands WHERE price > 30 QUALIFY row_number() OVER (PARTITION BY symbol, island ORDER BY seq) = 2"))
+def two_tick_triggers(spark, sf_dir):
+    return ticks.run_triggers(ticks.ticks(spark, sf_dir), F.lit(30.0))
+
+
+@query("""SELECT product, place, instrument, expires FROM (
+  SELECT p_brand AS product, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS place, p_partkey AS instrument, CAST(DATE '1995-01-01' + to_months(p_size) AS DATE) AS expires
+  FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AND DATE '1995-01-01' + to_months(p_size) >= DATE '1996-06-01') WHERE place <= 6""")
+def front_contracts(spark, sf_dir):
+    return ticks.front_contracts(ticks.contracts(spark, sf_dir), "1996-06-01")
+
+
+@query("""SELECT l_suppkey AS exchange, sum(q) AS position, count(*) AS trades, round(sum(amount), 2) AS amount FROM (
+  SELECT l_suppkey, CAST(l_shipdate AS DATE), l_orderkey || '-' || l_linenumber AS trade_id, arg_min(l_quantity, (l_quantity, l_extendedprice)) AS q, arg_min(l_extendedprice, (l_quantity, l_extendedprice)) AS amount
+  FROM lineitem WHERE l_partkey % 13 <> 0 GROUP BY 1, 2, 3) GROUP BY 1""")
+def fill_positions(spark, sf_dir):
+    return ticks.positions(ticks.fills(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey AS request_id, count(*) AS rows, CAST(sum(l_partkey) AS BIGINT) AS checksum FROM lineitem WHERE l_orderkey % 9 < 8 AND l_orderkey % 4 <> 0 GROUP BY 1""")
+def assembled_responses(spark, sf_dir):
+    return ticks.assembled(ticks.responses(spark, sf_dir))
+
+
+@query(O.query([TICKS], "SELECT product, time_bucket(INTERVAL 1 HOUR, ts) AS start, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, count(*) AS ticks FROM raw_ticks WHERE price IS NOT NULL GROUP BY 1, 2"))
+def hourly_bars(spark, sf_dir):
+    return ticks.minute_bars(ticks.ticks(spark, sf_dir))
+
+
+@query(O.query([TICKS], "SELECT event_type, count(*) AS events, count_if(price IS NULL) AS invalid FROM raw_ticks GROUP BY 1"))
+def event_counts(spark, sf_dir):
+    return ticks.event_counts(ticks.ticks(spark, sf_dir))
+
+
+QUOTES = """
+quotes AS (SELECT *, round(p - 0.1, 1) AS bid, round(CASE WHEN k % 7 = 0 THEN p - 0.2 WHEN k % 11 = 0 THEN p + 0.9 ELSE p + 0.1 END, 1) AS ask,
+  round(p - CASE WHEN k % 31 = 0 THEN 0.1 ELSE 5 END, 1) AS lower, round(p + CASE WHEN k % 37 = 0 THEN -9 ELSE 5 END, 1) AS upper,
+  CASE WHEN k % 29 <> 0 THEN p END AS last, CASE WHEN k % 41 <> 0 THEN k % 5 END AS bid_volume
+  FROM (SELECT symbol, seq, detail AS k, round(price, 1) AS p FROM raw_ticks)),
+grid AS (SELECT *, abs(last / 0.1 - round(last / 0.1)) < 1e-6 AND abs(bid / 0.1 - round(bid / 0.1)) < 1e-6 AND abs(ask / 0.1 - round(ask / 0.1)) < 1e-6 AS on_grid FROM quotes)"""
+
+
+@query(O.query([TICKS, QUOTES], """SELECT symbol, seq, CASE
+  WHEN k % 23 = 0 THEN 'invalid_tick_size' WHEN k % 19 = 0 THEN 'receive_stale' WHEN k % 17 = 0 THEN 'wrong_trading_day' WHEN k % 13 = 0 THEN 'exchange_stale_or_future'
+  WHEN last IS NULL OR bid IS NULL OR ask IS NULL OR least(last, bid, ask, lower, upper) <= 0 THEN 'invalid_price' WHEN lower >= upper THEN 'invalid_limits'
+  WHEN bid_volume IS NULL THEN 'incomplete_quote' WHEN bid_volume < 1 THEN 'empty_book'
+  WHEN NOT on_grid OR last < lower OR last > upper OR bid < lower OR bid > upper OR ask < lower OR ask > upper THEN 'price_outside_limits_or_tick'
+  WHEN bid > ask THEN 'crossed_book' WHEN ask - bid > 5 * 0.1::DOUBLE + 1e-8 THEN 'spread_too_wide' WHEN least(last - lower, upper - last, bid - lower, upper - ask) < 2 * 0.1::DOUBLE - 1e-8 THEN 'near_price_limit' ELSE '' END AS reason
+FROM grid"""))
+def quote_checks(spark, sf_dir):
+    return rules.quotes(ticks.ticks(spark, sf_dir)).select("symbol", "seq", rules.quote_reason().alias("reason"))
+
+
+def _sessions_sql() -> str:
+    spans = [("isodow(ts) < 6", *s) for s in rules.SESSIONS] + [("isodow(ts) < 6", *rules.NIGHT), ("isodow(ts - INTERVAL 1 DAY) < 6", 0, rules.NIGHT[1] - 86400)]
+    cases = " ".join(f"WHEN {day} AND s >= {a} AND s < {b} THEN {b} - s" for day, a, b in spans)
+    return f"SELECT event_id, round(CASE {cases} ELSE 0 END, 6) AS seconds FROM (SELECT event_id, ts, epoch(ts - date_trunc('day', ts)) AS s FROM events)"
+
+
+@query(_sessions_sql().replace("epoch(ts - date_trunc('day', ts))", "hour(ts) * 3600 + minute(ts) * 60 + microsecond(ts) / 1000000.0"))
+def session_seconds(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", F.round(rules.seconds_to_break(F.col("ts")), 6).alias("seconds"))
+
+
+ENTRY = """
+risk AS (SELECT c_custkey, 'SHFE' AS exchange, CASE WHEN c_custkey % 9 = 0 THEN 'cu' ELSE 'au' END AS product, 1.0 AS step, 10.0 AS multiplier, c_custkey % 7 = 0 AS has_position, c_custkey % 11 = 0 AS has_order,
+  CASE WHEN c_custkey % 13 = 0 THEN 'USD' ELSE 'CNY' END AS currency, c_acctbal * 100 AS balance, c_acctbal * 90 AS available, CAST(c_custkey % 50 * 10 AS DOUBLE) AS max_loss,
+  (1000.0 + c_custkey % 100) * 10 * 0.14 AS margin, 4.0 AS fee FROM customer)"""
+
+
+@query(O.query([ENTRY], """SELECT c_custkey, round(margin, 6) AS estimated_margin, CASE WHEN product = 'cu' THEN 'unsupported_contract' WHEN has_position THEN 'existing_position_or_frozen' WHEN has_order THEN 'existing_working_order'
+  WHEN currency <> 'CNY' THEN 'wrong_currency' WHEN balance <= 0 OR available <= 0 OR max_loss <= 0 THEN 'invalid_funds' WHEN margin > 0.1 * balance THEN 'margin_exceeds_10_percent_equity'
+  WHEN available < 1.2 * margin + 2 * fee + max_loss THEN 'insufficient_available' WHEN max_loss < fee + 2 * step * multiplier THEN 'loss_budget_below_cost_buffer' ELSE '' END AS reason FROM risk"""))
+def entry_checks(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey", F.lit("SHFE").alias("exchange"), F.when(k % 9 == 0, "cu").otherwise("au").alias("product"), F.lit("1").alias("product_class"), F.lit(True).alias("tradable"),
+        F.lit(1.0).alias("step"), F.lit(10.0).alias("multiplier"), (k % 7 == 0).cast("int").alias("open_positions"), (k % 11 == 0).cast("int").alias("working_orders"),
+        F.when(k % 13 == 0, "USD").otherwise("CNY").alias("currency"), (F.col("c_acctbal") * 100).alias("balance"), (F.col("c_acctbal") * 90).alias("available"),
+        (k % 50 * 10).cast("double").alias("max_loss"), (F.lit(1000.0) + k % 100).alias("upper"), F.lit(0.14).alias("margin_by_money"), F.lit(0.0).alias("margin_by_volume"),
+        *[F.lit(x).alias(n) for n, x in (("open_by_money", 0.0), ("close_by_money", 0.0), ("open_by_volume", 2.0), ("close_by_volume", 2.0))],
+    )
+    rows = rows.withColumns(rules.costs())
+    return rows.select("c_custkey", F.round("estimated_margin", 6).alias("estimated_margin"), rules.entry_reason().alias("reason"))
