@@ -11,7 +11,7 @@ from ridgeline.operators import bars as B
 from ridgeline.operators import labels, quality
 from ridgeline.plans import bootstrap, evaluate, factors, features, studies
 from ridgeline.sources import files
-from ridgeline.streaming import rules, ticks
+from ridgeline.streaming import lifecycle, rules, ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -525,3 +525,18 @@ def entry_checks(spark, sf_dir):
     )
     rows = rows.withColumns(rules.costs())
     return rows.select("c_custkey", F.round("estimated_margin", 6).alias("estimated_margin"), rules.entry_reason().alias("reason"))
+
+
+@query()
+def order_lifecycles(spark, sf_dir):
+    """Every user's events as the log of one experiment, replayed through the state machine."""
+    k = F.col("detail")
+    rows = ticks.ticks(spark, sf_dir).where("price IS NOT NULL")
+    kind = F.when(k % 9 == 0, "order").when(k % 9 == 1, "trade").when(k == 50, "disconnect").when(k % 31 == 0, "flat").otherwise("quote")
+    role = F.when(k % 2 == 0, "open").otherwise("close")
+    log = rows.select(
+        F.col("symbol").cast("string").alias("run"), "seq", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("mono"), kind.alias("kind"), role.alias("role"),
+        F.when(k % 4 == 0, "5").otherwise("3").alias("status"), F.col("seq").cast("string").alias("trade_id"), "price", F.when(kind == "trade", 1).otherwise(0).alias("volume"),
+        F.col("price").alias("last"), (F.col("price") - 0.1).alias("bid"), (F.col("price") + 0.1).alias("ask"), (k % 7 != 0).alias("ready"), F.lit(900.0).alias("seconds_left"),
+    )
+    return lifecycle.summary(lifecycle.replay(log))

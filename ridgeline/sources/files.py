@@ -70,8 +70,8 @@ def broken_links(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """Pages (path, text) of all Markdown files under path."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
-    return read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+    return read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def html_links(pages: DataFrame) -> DataFrame:
