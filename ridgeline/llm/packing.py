@@ -2,7 +2,7 @@
 
 A document of n tokens gives floor(n / capacity) full pieces, which are sequences of their own, and one
 shorter piece. The histogram of the shorter pieces' lengths (fewer than capacity numbers, whatever the
-corpus) goes to a linear program: cover every length's count with as few sequences as possible, each
+corpus), rounded up to classes of 8, goes to a linear program: cover every length's count with as few sequences as possible, each
 filled by a pattern of lengths. Patterns are generated as needed: a knapsack dynamic program prices the
 pattern that the duals value most, until none can improve the program by more than a given share. The
 rounded-down pattern counts are completed by best fit over the few pieces that rounding leaves. Documents
@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep, partitions, quantiles, range_of, running
 from ridgeline.llm.tokens import encoder
 
 CAPACITY = 1024
+#: Lengths are rounded up to multiples of this in the program, so that it has few rows.
+CLASS = 8
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 
@@ -53,17 +55,39 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.002, most: int = 6000):
+def first_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.ndarray:
+    """One pattern per size, longest first: as many of it as fit, filled up with the longest shorter pieces that are left.
+
+    Pieces are taken only while they last for all uses of the pattern, so using each pattern until its own size
+    is used up is a solution to start from.
+    """
+    patterns, left = np.zeros((len(sizes), len(sizes)), np.int64), demand.astype(float)
+    for i in np.argsort(-sizes, kind="stable"):
+        patterns[i, i] = capacity // sizes[i]
+        uses, room = left[i] / patterns[i, i], capacity % sizes[i]
+        left[i] = 0
+        while room > 0 and len(fits := np.flatnonzero((sizes <= room) & (sizes < sizes[i]) & (left >= uses))) and uses > 0:
+            j = fits[sizes[fits].argmax()]
+            count = max(1, min(int(left[j] // uses), int(room // sizes[j])))
+            patterns[i, j] += count
+            left[j] -= uses * count
+            room -= sizes[j] * count
+    return patterns
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.002, most: int = 2000):
     """Patterns (rows of counts by size) and how often the linear program uses each.
 
-    It stops once no pattern is worth more than 1 + gap, which bounds the program's optimum from below by
-    the present number of sequences / (1 + gap).
+    It stops once the sequences are within the gap of all lengths over the capacity, once no pattern is worth
+    more than 1 + gap (the program's optimum is then within the gap), or after `most` patterns.
     """
-    n = len(sizes)
-    patterns = np.diag(capacity // sizes).astype(float)  # row i: the pattern in basis place i
-    inverse = np.diag(1 / np.diag(patterns))  # of the basis matrix, whose columns are the patterns
-    used = inverse @ demand
+    patterns = first_patterns(sizes, demand, capacity).astype(float)  # row i: the pattern in basis place i
+    inverse = np.linalg.inv(patterns.T)  # of the basis matrix, whose columns are the patterns
+    used = np.maximum(inverse @ demand, 0)
+    least = float((sizes * demand).sum()) / capacity
     for _ in range(most):
+        if used.sum() <= (1 + gap) * least:
+            break
         duals = inverse.sum(axis=0)
         value, counts = price(duals, sizes, capacity)
         if value <= 1 + gap:
@@ -95,33 +119,37 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> lis
         if whole > 0:
             left -= whole * counts
             rows.append((whole, [(int(s), int(c)) for s, c in zip(sizes, counts) if c]))
-    rest: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for size, count in sorted(zip(sizes.tolist(), left.tolist()), reverse=True):
-        for _ in range(count):
-            room = next((r for r in range(size, capacity) if by_room[r]), capacity)
-            if room == capacity:
-                rest.append([])
-                number = len(rest) - 1
+    return rows + best_fit(sizes, left, capacity)
+
+
+def best_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit of falling lengths, a length's pieces at a time: sequences filled alike are one row, whatever their number."""
+    rooms: list[list[tuple[int, dict]]] = [[] for _ in range(capacity + 1)]  # by room left: (times, pieces by size)
+    for size, count in sorted(zip(sizes.tolist(), demand.tolist()), reverse=True):
+        while count > 0:
+            room = next((r for r in range(size, capacity) if rooms[r]), capacity)
+            if room < capacity:
+                times, items = rooms[room].pop()
+                fits = max(1, min(room // size, count // times))  # of this size in each of them
+                some = min(times, count)
+                if some < times:
+                    rooms[room].append((times - some, items))
             else:
-                number = by_room[room].pop()
-            rest[number].append(size)
-            by_room[room - size].append(number)
-    for items in rest:
-        rows.append((1, [(s, items.count(s)) for s in sorted(set(items), reverse=True)]))
-    return rows
+                items, fits = {}, min(capacity // size, count)
+                some = max(1, count // fits)
+            rooms[room - fits * size].append((some, items | {size: items.get(size, 0) + fits}))
+            count -= some * fits
+    return [(times, sorted(items.items(), reverse=True)) for row in rooms for times, items in row]
 
 
 def slots(rows: list[tuple[int, list[tuple[int, int]]]]) -> tuple[list[tuple], int]:
-    """The slot table (size, first_rank, end_rank, per_sequence, offset, first_sequence), and the number of sequences."""
+    """The slot table (size, first_rank, end_rank, per_sequence, first_sequence), and the number of sequences."""
     out, ranks, sequence = [], {}, 0
     for times, items in rows:
-        offset = 0
         for size, count in items:
             first = ranks.get(size, 0)
             ranks[size] = first + times * count
-            out.append((size, first, ranks[size], count, offset, sequence))
-            offset += size * count
+            out.append((size, first, ranks[size], count, sequence))
         sequence += times
     return out, sequence
 
@@ -153,27 +181,31 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
         {
             "full": F.floor(F.col("doc_tokens") / capacity),
             "size": F.col("doc_tokens") % capacity,
+            "class": F.least(F.ceil(F.col("doc_tokens") % capacity / CLASS) * CLASS, F.lit(capacity)),
             "bucket": F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)),
         }
     )
-    histogram = docs.where("size > 0").groupBy("size").count().toPandas()  # fewer than capacity rows
-    histogram = histogram.sort_values("size")
-    table, sequences = slots(plan(histogram["size"].to_numpy(), histogram["count"].to_numpy(), capacity))
-    names = "of_size long, first_rank long, end_rank long, per_sequence long, first_offset long, first_sequence long"
+    histogram = docs.where("size > 0").groupBy("class").count().toPandas()  # at most capacity / CLASS rows
+    histogram = histogram.sort_values("class")
+    table, sequences = slots(plan(histogram["class"].to_numpy(), histogram["count"].to_numpy(), capacity))
+    names = "of_class long, first_rank long, end_rank long, per_sequence long, first_sequence long"
     # A row per length of a pattern; patterns are at most capacity and those that complete the rounding.
     table = F.broadcast(spark.createDataFrame(table, names))
     order = [F.col("doc_id").asc_nulls_first(), "doc_tokens", "crcs"]
-    ranked = running(docs.where("size > 0"), ["size"], "bucket", order, {"rank": F.lit(1)})
-    inside = (F.col("size") == F.col("of_size")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
+    ranked = running(docs.where("size > 0"), ["class"], "bucket", order, {"rank": F.lit(1)})
+    inside = (F.col("class") == F.col("of_class")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     index = F.col("rank") - F.col("first_rank")
-    short = ranked.join(table, inside).select(
+    short = ranked.join(table, inside).withColumn("sequence_id", F.col("first_sequence") + F.floor(index / F.col("per_sequence")))
+    # A sequence has at most capacity pieces; they are put side by side, longest first.
+    earlier = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.select(
         "doc_id",
         (F.col("full") * capacity).alias("start"),
         F.col("size").alias("length"),
         F.element_at("crcs", -1).alias("ids_crc32"),
         "doc_tokens",
-        (F.col("first_sequence") + F.floor(index / F.col("per_sequence"))).alias("sequence_id"),
-        (F.col("first_offset") + index % F.col("per_sequence") * F.col("size")).alias("offset"),
+        "sequence_id",
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"),
     )
     counted = running(docs.where("full > 0"), [], "bucket", order, {"before": F.col("full")})
     piece = F.posexplode(F.slice("crcs", F.lit(1), F.col("full").cast("int"))).alias("i", "ids_crc32")

@@ -21,11 +21,17 @@ CACHED = 400_000
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Name -> (chunks of a text, pieces of a chunk).
+
+#: Name -> (chunks of a text, pieces of a chunk, pieces of an ASCII chunk, what the normaliser does to an ASCII chunk).
 KINDS = {
-    "byte_bpe_50k.json": (re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"), regex.compile(BYTE_PIECES)),
-    "word_bpe_49k.json": (re.compile(f"[^{BLANK}]+"), regex.compile(WORD_PIECES)),
-}
+    "byte_bpe_50k.json": (
+        re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"), regex.compile(BYTE_PIECES),
+        re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII), str,
+    ),
+    "word_bpe_49k.json": (
+        re.compile(f"[^{BLANK}]+"), regex.compile(WORD_PIECES), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII), str.lower,
+    ),
+}
 
 
 def _byte_letters() -> list[str]:
@@ -63,20 +69,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.normalizer, self.model = self.tokenizer.normalizer, self.tokenizer.model
-        chunks, self.pieces = KINDS[kind]
+        chunks, self.pieces, self.ascii_pieces, self.ascii_form = KINDS[kind]
         self.chunks = chunks.findall
         self.letters = _byte_letters()
         self.of_chunk = Generations(self._chunk)
         self.of_piece = Generations(self._piece)
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            chunk = self.ascii_form(chunk)
+            if chunk.removeprefix(" ").isalpha():
+                return self._piece(chunk)
+            return b"".join(map(self.of_piece.__getitem__, self.ascii_pieces.findall(chunk)))
         if self.normalizer is not None:
             chunk = self.normalizer.normalize_str(chunk)
         return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(chunk)))
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        mapped = "".join([letters[b] for b in piece.encode()])
+        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves, but for the blank
+            mapped = piece.replace(" ", self.letters[32])
+        else:
+            letters = self.letters
+            mapped = "".join([letters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str | None, end: int) -> bytes:
