@@ -131,14 +131,14 @@ def followup_labels(spark, sf_dir):
     return frame.groupBy("day").agg(F.count("*").alias("stocks"), quiet.alias("quiet"), F.round(F.avg("forward_return"), 6).alias("mean_return"))
 
 
-@query("""SELECT e.event_id, e.user_id, o.o_orderkey AS last_order FROM events e ASOF LEFT JOIN (
+@query("""SELECT e.event_id, e.user_id, coalesce(o.o_orderkey, -1) AS last_order FROM events e ASOF LEFT JOIN (
   SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 24 YEAR AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1) o
 ON o.o_custkey = e.user_id AND o.at <= e.ts""")
 def as_of_join(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderkey").alias("last_order"))
     facts = orders.select(F.col("o_custkey").alias("user_id"), F.expr("o_orderdate + INTERVAL '24' YEAR").alias("at"), "last_order")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
-    return labels.as_of(events, "ts", facts, "at", "user_id", ["last_order"]).select("event_id", "user_id", "last_order")
+    return labels.as_of(events, "ts", facts, "at", "user_id", ["last_order"]).select("event_id", "user_id", F.coalesce("last_order", F.lit(-1)).alias("last_order"))
 
 
 # Evaluation
