@@ -49,9 +49,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint of frame: later steps start from it, and a lost executor loses none of it."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    """A reliable checkpoint of frame: later steps start from it, and a lost executor loses none of it.
+
+    The shuffle files of the steps before it are no longer needed and go as soon as nothing else refers to them.
+    """
+    spark = frame.sparkSession
+    shared_folder(spark)
+    kept = frame.checkpoint()
+    del frame
+    release(spark)
+    return kept
 
 
 def scratch(spark: SparkSession, name: str) -> str:

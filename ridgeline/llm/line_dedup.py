@@ -62,25 +62,22 @@ def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> D
             i.alias("place"),
         ),
     )
-    who = F.struct("first", "h1", "h2").alias("who")
+    # A class goes by its earliest place; the hash tells texts apart that share a doc_id.
+    who = F.struct("first.doc_id", "first.pos", "h1").alias("who")
     entries = texts.select(who, F.inline(variants)).unionByName(
         texts.select(who, F.xxhash64("line").alias("v"), F.lit(0).alias("place"))
     )
     by_place = entries.groupBy("v", "place").agg(F.min("who").alias("best"), F.count("*").alias("n"))
-    cut, whole = F.col("place") > 0, F.col("place") == 0
-    by_variant = by_place.groupBy("v").agg(
-        F.sum("n").alias("n"), F.min(F.when(cut, F.col("best"))).alias("best_cut"), F.min(F.when(whole, F.col("best"))).alias("best_whole")
-    ).where("n > 1")
-    same_place = entries.join(by_place.where("n > 1 AND place > 0"), ["v", "place"]).select("who", "best")
-    crossed = entries.join(by_variant, "v").select("who", F.when(cut, F.col("best_whole")).otherwise(F.col("best_cut")).alias("best"))
-    found = same_place.unionByName(crossed).where("best.first < who.first").distinct()
-    own = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("line_a"))
-    other = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("line_b"))
-    checked = found.join(own, (F.col("who.h1") == F.col("a1")) & (F.col("who.h2") == F.col("a2"))).join(
-        other, (F.col("best.h1") == F.col("b1")) & (F.col("best.h2") == F.col("b2"))
-    )
+    # A variant has at most one row for each place of its line.
+    by_variant = by_place.groupBy("v").agg(F.sum("n").alias("n"), F.collect_list(F.struct("place", "best")).alias("bests"))
+    met = entries.join(by_variant.where("n > 1"), "v")
+    fit = F.filter("bests", lambda b: (b["best"] < F.col("who")) & ((b["place"] == F.col("place")) | (b["place"] == 0) | (F.col("place") == 0)))
+    found = keep(met.select("who", F.explode(F.transform(fit, lambda b: b["best"])).alias("best")).distinct())
+    own = texts.select(who.alias("who_a"), "h1", "h2", F.col("line").alias("line_a"))
+    other = texts.select(who.alias("who_b"), F.col("line").alias("line_b"))
+    checked = found.join(own, F.col("who") == F.col("who_a")).join(other, F.col("best") == F.col("who_b"))
     checked = checked.where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
-    return checked.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct()
+    return keep(checked.select("h1", "h2").distinct())
 
 
 def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -102,7 +99,7 @@ def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame
 
 def dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """documents with text without its removed lines, and n_lines, n_removed."""
-    gone = removed_lines(documents, min_chars).withColumnRenamed("doc_id", "__doc_id")
+    gone = keep(removed_lines(documents, min_chars)).withColumnRenamed("doc_id", "__doc_id")
     joined = documents.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("__doc_id"), "left")
     lines = F.split("text", "\n")
     places = F.sequence(F.lit(0), F.size(lines) - 1)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import components, keep, release, streamed
+from ridgeline.llm.common import components, keep, streamed
 from ridgeline.llm.embedding_dedup import smallest_reachable
 from ridgeline.llm.hashing import mixed, shingles, slices, text_bytes
 
@@ -179,7 +179,6 @@ def neighbourhoods(classes: DataFrame, threshold: float, tolerance: float, block
 
     edges = streamed(dealt.select("band", "left", "right", "own", "node", "signature"), ["band", "left", "right"], compare, "node long, lowest long")
     edges = keep(edges.distinct())
-    release(classes.sparkSession)
     return components(edges, "node", "lowest")
 
 
@@ -241,14 +240,12 @@ def near_duplicates(
     threshold or above, component_id the smallest doc_id reachable by links.
     """
     n_hashes = BANDS * BAND
-    spark = documents.sparkSession
     rows = keep(profiles(documents, words, n_hashes))
     classes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("signature").alias("signature")))
     near = neighbourhoods(classes, threshold, tolerance, block)
     slim = classes.select("node", "class_id", "copies")
     members = slim.join(near, "node").select(F.col("class_id").alias("doc_id"), "node", "component", "copies")
     found = keep(verified(documents, keep(members), words, threshold, tolerance, block, n_hashes))
-    release(spark)
     joined = components(found.select("node", "lowest"), "node", "lowest")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = slim.join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
