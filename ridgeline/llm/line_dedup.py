@@ -18,10 +18,15 @@ kept and added columns replace columns of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep
+from ridgeline.llm.hashing import BASES, mixed, powers, slices
 
 MIN_CHARS = 20
 BROADCAST_ROWS = 200_000
@@ -43,6 +48,33 @@ def _half_keys() -> list:
     return keys
 
 
+def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (who, v, place) for each line: the hash of the line without its character at each place from 1, and of the line at 0.
+
+    A hash is a polynomial over the characters, so that of each deletion is made of two running sums.
+    """
+    back = np.uint64(pow(BASES[0], -1, 2**64))
+    for part in (piece for whole in parts for piece in slices(whole, "line", 1 << 18)):
+        lines = part.column("line").to_pylist()
+        size = np.array([len(x) for x in lines], np.int64)
+        end = np.cumsum(size)
+        of = np.repeat(np.arange(len(lines)), size)
+        place = np.arange(int(size.sum())) - np.repeat(end - size, size)
+        chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(chars * powers(BASES[0], int(size.max(initial=0)) + 1)[place], out=sums[1:])
+        first, last = sums[end - size], sums[end]
+        cut = mixed(sums[:-1] - first[of] + (last[of] - sums[1:]) * back)
+        who = part.column("who").to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([who[of], who])), pa.array(np.concatenate([cut, mixed(last - first)]).view(np.int64)),
+                pa.array(np.concatenate([place + 1, np.zeros(len(lines), np.int64)]).astype(np.int32)),
+            ],
+            ["who", "v", "place"],
+        )
+
+
 def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
     """The classes (h1, h2) that have an earlier class within one edit."""
     keyed = classes.select("h1", "h2", F.explode("keys").alias("key"))
@@ -53,28 +85,19 @@ def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> D
     lines = _lines(documents, min_chars)
     side = F.broadcast(likely) if few else likely
     texts = lines.join(side, ["doc_id", "pos"]).where("xxhash64(line) = h1 AND xxhash64(1, line) = h2")
-    texts = keep(texts.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]))
-
-    variants = F.transform(
-        F.sequence(F.lit(1), F.length("line")),
-        lambda i: F.struct(
-            F.xxhash64(F.concat(F.substr("line", F.lit(1), i - 1), F.substr("line", i + 1, F.length("line")))).alias("v"),
-            i.alias("place"),
-        ),
-    )
-    # A class goes by its earliest place; the hash tells texts apart that share a doc_id.
-    who = F.struct("first.doc_id", "first.pos", "h1").alias("who")
-    entries = texts.select(who, F.inline(variants)).unionByName(
-        texts.select(who, F.xxhash64("line").alias("v"), F.lit(0).alias("place"))
-    )
-    by_place = entries.groupBy("v", "place").agg(F.min("who").alias("best"), F.count("*").alias("n"))
+    texts = texts.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"])
+    # Numbers that rise with the earliest place of a class.
+    texts = keep(texts.orderBy("first", "h1").withColumn("who", F.monotonically_increasing_id()))
+    entries = texts.select("who", "line").mapInArrow(_variants, "who long, v long, place int")
+    shared = entries.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
+    entries = keep(entries.join(shared, "v"))  # variants that one class alone has are done with
+    by_place = entries.groupBy("v", "place").agg(F.min("who").alias("best"))
     # A variant has at most one row for each place of its line.
-    by_variant = by_place.groupBy("v").agg(F.sum("n").alias("n"), F.collect_list(F.struct("place", "best")).alias("bests"))
-    met = entries.join(by_variant.where("n > 1"), "v")
+    by_variant = by_place.groupBy("v").agg(F.collect_list(F.struct("place", "best")).alias("bests"))
     fit = F.filter("bests", lambda b: (b["best"] < F.col("who")) & ((b["place"] == F.col("place")) | (b["place"] == 0) | (F.col("place") == 0)))
-    found = keep(met.select("who", F.explode(F.transform(fit, lambda b: b["best"])).alias("best")).distinct())
-    own = texts.select(who.alias("who_a"), "h1", "h2", F.col("line").alias("line_a"))
-    other = texts.select(who.alias("who_b"), F.col("line").alias("line_b"))
+    found = entries.join(by_variant, "v").select("who", F.explode(F.transform(fit, lambda b: b["best"])).alias("best")).distinct()
+    own = texts.select(F.col("who").alias("who_a"), "h1", "h2", F.col("line").alias("line_a"))
+    other = texts.select(F.col("who").alias("who_b"), F.col("line").alias("line_b"))
     checked = found.join(own, F.col("who") == F.col("who_a")).join(other, F.col("best") == F.col("who_b"))
     checked = checked.where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
     return keep(checked.select("h1", "h2").distinct())
