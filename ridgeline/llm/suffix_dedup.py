@@ -8,7 +8,9 @@ each end, has to be compared. Around a seed:
 - Documents with equal surroundings form one class. All but its lowest document lose the whole of it. Classes
   are formed inside a task before anything is shuffled, so a passage that thousands of documents hold crosses
   the network once for each task.
-- The different surroundings of one seed go to a run-length index (run_index): a run-compressed
+- Two documents that share 50 bytes around a seed agree in the 16 bytes before it or the 16 bytes after it.
+  Surroundings that agree with another one's in neither are done with.
+- The other different surroundings of one seed go to a run-length index (run_index): a run-compressed
   Burrows-Wheeler transform with sampled run heads. They are streamed through it, and matches of 50 bytes
   with a lower document are marked.
 - A seed with more than `hot` different surroundings (at the border of a very common passage) is not sent to
@@ -34,14 +36,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import keep, partitions, release
+from ridgeline.llm.common import keep
 from ridgeline.llm.hashing import BASES, Ranges, slices, text_bytes
 from ridgeline.llm.run_index import RunIndex
 
 WIDTH = 50
 SEED = 18
 HOT = 4096
-INDEX_BYTES = 4_000_000
+#: Text for each bucket of seeds: what a task sorts at once grows with it, the number of packed rows falls.
+BUCKET_BYTES = 4_000_000
+#: Strings that a task holds before it packs them.
+HELD = 100_000
 PACKED = "target int, kind int, a binary, b binary, c binary, d binary, e binary"
 SCHEMA = pa.schema([("target", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcde"]])
 CLASSES, SPANS, REQUESTS, PIECES = range(4)
@@ -60,12 +65,19 @@ def _pack(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
+def _pack48(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8)[:, 2:].T).tobytes()
+
+
 def _unpack(blob: bytes, dtype) -> np.ndarray:
+    if dtype == "u6":  # the upper 48 bits of 64
+        rows = np.frombuffer(blob, np.uint8).reshape(6, len(blob) // 6).T
+        return np.hstack([np.zeros((len(rows), 2), np.uint8), rows]).view(np.uint64).ravel()
     size = np.dtype(dtype).itemsize
     return np.frombuffer(blob, np.uint8).reshape(size, len(blob) // size).T.copy().view(dtype).ravel()
 
 
-def _rows(kind: int, target: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+def _rows(kind: int, target: np.ndarray, columns: list[np.ndarray], packs: list | None = None) -> pa.RecordBatch | None:
     """One packed row for each target."""
     if len(target) == 0:
         return None
@@ -73,7 +85,8 @@ def _rows(kind: int, target: np.ndarray, columns: list[np.ndarray]) -> pa.Record
     target, columns = target[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(target)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(target)]])
-    blobs = [[_pack(c[s:e]) for s, e in zip(starts, ends)] for c in columns]
+    packs = packs or [_pack] * len(columns)
+    blobs = [[pack(c[s:e]) for s, e in zip(starts, ends)] for c, pack in zip(columns, packs)]
     blobs += [[None] * len(starts)] * (5 - len(columns))
     return pa.RecordBatch.from_arrays(
         [pa.array(target[starts], pa.int32()), pa.array(np.full(len(starts), kind, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=SCHEMA
@@ -109,6 +122,20 @@ def seeds_of(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SE
     return place, hashes[place]
 
 
+def surroundings(raw: np.ndarray, start: np.ndarray, place: np.ndarray, end: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """64 bits for the text around each seed: 12 for the bytes before it, 12 for those after it, 40 for all of it.
+
+    The first two have the half of (width - seed) bytes that any common string has on one side at least; a
+    side that is shorter has bits of its own.
+    """
+    half = (width - seed + 1) // 2
+    ranges = Ranges(raw, BASES[1])
+    whole = ranges.of(start, end) ^ ((place - start) * 64 + end - place).astype(np.uint64)
+    before = np.where(place - start >= half, ranges.of(np.maximum(place - half, 0), place), whole)
+    after = np.where(end - place - seed >= half, ranges.of(place + seed, np.minimum(place + seed + half, len(raw))), whole)
+    return (before >> np.uint64(52) << np.uint64(52)) | (after >> np.uint64(52) << np.uint64(40)) | (whole & np.uint64(2**40 - 1))
+
+
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Spans of a document that overlap or touch become one; sorted."""
     order = np.lexsort((start, doc))
@@ -150,7 +177,7 @@ def _classes(buckets: int, targets: int, width: int, seed: int):
             text = np.searchsorted(at, place, side="right") - 1
             left = np.minimum(place - at[text], width - seed)
             right = np.minimum(at[text + 1] - place, width)
-            around = Ranges(raw, BASES[1]).of(place - left, place + right) ^ (left * 64 + right).astype(np.uint64)
+            around = surroundings(raw, place - left, place, place + right, width, seed)
             doc = part.column("doc_id").to_numpy()[text]
             found.append((hashes, around, doc, place - at[text], right.astype(np.int8)))
         if not found:
@@ -167,7 +194,7 @@ def _classes(buckets: int, targets: int, width: int, seed: int):
         stay = ~later
         hashes, around, doc, place, right = (c[stay] for c in (hashes, around, doc, place, right))
         order = np.argsort(doc, kind="stable")
-        rows = _rows(CLASSES, (hashes[order] % np.uint64(buckets)).astype(np.int32), [c[order] for c in (hashes, around, doc, place, right)])
+        rows = _rows(CLASSES, (hashes[order] % np.uint64(buckets)).astype(np.int32), [c[order] for c in (hashes, around, doc, place, right)], [_pack48, *[_pack] * 4])
         if rows is not None:
             yield rows
 
@@ -191,14 +218,20 @@ def _shared(targets: int, width: int, seed: int, hot: int):
         stay = ~later
         first_class = np.zeros(len(doc), bool)
         first_class[fresh] = True
-        hashes, doc, place, right, first_class = (c[stay] for c in (hashes, doc, place, right, first_class))
-        group = np.flatnonzero(_first_of(hashes))
-        sizes = np.diff(np.append(group, len(doc)))
-        classes = np.add.reduceat(first_class.astype(np.int64), group)
-        bottom, top = np.minimum.reduceat(doc, group), np.maximum.reduceat(doc, group)
-        wanted = np.repeat((classes > 1) & (bottom < top), sizes)
-        flags = np.repeat(2 * (classes > hot), sizes) + (doc == np.repeat(bottom, sizes))
-        hashes, doc, place, right, flags = (c[wanted] for c in (hashes, doc, place, right, flags))
+        hashes, around, doc, place, right, first_class = (c[stay] for c in (hashes, around, doc, place, right, first_class))
+        wanted, lower, many = (np.zeros(len(doc), bool) for _ in range(3))
+        for side in (around >> np.uint64(52), (around >> np.uint64(40)) & np.uint64(4095)):
+            order = np.lexsort((side, hashes))
+            group = np.flatnonzero(_first_of(hashes[order], side[order]))
+            sizes = np.diff(np.append(group, len(doc)))
+            classes = np.add.reduceat(first_class[order].astype(np.int64), group)
+            bottom, top = np.minimum.reduceat(doc[order], group), np.maximum.reduceat(doc[order], group)
+            shared = np.repeat((classes > 1) & (bottom < top), sizes)
+            wanted[order] |= shared
+            lower[order] |= shared & (doc[order] > np.repeat(bottom, sizes))
+            many[order] |= shared & np.repeat(classes > hot, sizes)
+        flags = (2 * many + ~lower)[wanted]
+        hashes, doc, place, right = (c[wanted] for c in (hashes, doc, place, right))
         rows = _rows(REQUESTS, np.mod(doc, targets), [doc, place, right, hashes, flags.astype(np.int8)])
         if rows is not None:
             yield rows
@@ -216,7 +249,7 @@ def _shared(targets: int, width: int, seed: int, hot: int):
                     yield from settle(held)
                     held = []
                 bucket = target
-                held.append(tuple(_unpack(b, t) for b, t in zip(row, (np.uint64, np.uint64, np.int64, np.int64, np.int8))))
+                held.append(tuple(_unpack(b, t) for b, t in zip(row, ("u6", np.uint64, np.int64, np.int64, np.int8))))
         if held:
             yield from settle(held)
 
@@ -266,13 +299,42 @@ def _by_target(parts: Iterator[pa.RecordBatch], types: tuple):
 def _pieces(shards: int, targets: int, width: int, seed: int):
     """From requests and texts: the surroundings, to the index shard of their seed; of hot seeds, strings by content."""
 
+    def flush(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of equal strings held, the lowest document's goes on; the others are marked here."""
+        out.sort(key=lambda r: (r[0], r[4], r[1]))
+        kept, spans, last = [], [], None
+        for row in out:
+            if last is not None and row[4] == last[4] and row[0] == last[0]:
+                if row[1] > last[1]:
+                    spans.append((row[1], row[2], row[2] + len(row[4])))
+                    continue
+            else:
+                last = row
+            kept.append(row)
+        out.clear()
+        if spans and (rows := _spans(*(np.array(c, np.int64) for c in zip(*spans)), targets)) is not None:
+            yield rows
+        if not kept:
+            return
+        cuts = [i for i in range(len(kept)) if i == 0 or kept[i][0] != kept[i - 1][0]]
+        columns = [[], [], [], [], [], []]
+        for a, b in zip(cuts, [*cuts[1:], len(kept)]):
+            rows = kept[a:b]
+            columns[0].append(rows[0][0])
+            for c, values in enumerate(([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(r[4]) for r in rows])):
+                columns[c + 1].append(_pack(np.array(values, np.int64)))
+            columns[5].append(b"".join(r[4] for r in rows))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), pa.array([PIECES] * len(cuts), pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=SCHEMA
+        )
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for asked, part in _by_target(parts, (np.int64, np.int64, np.int8, np.uint64, np.int8)):
             if asked is None:
                 continue
             docs, places, rights, hashes, flags = asked
             raw, at = text_bytes(part.column("text"))
-            out, spans = [], []
             for k, doc in enumerate(part.column("doc_id").to_numpy()):
                 a, b = np.searchsorted(docs, [doc, doc + 1])
                 for place, right, seed_hash, flag in zip(places[a:b].tolist(), rights[a:b].tolist(), hashes[a:b].tolist(), flags[a:b].tolist()):
@@ -287,31 +349,9 @@ def _pieces(shards: int, targets: int, width: int, seed: int):
                             string = text[i : i + width]
                             by = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little")
                             out.append((by % shards, doc, start + i, 0, string))
-            # Equal hot strings of this batch: the lowest document's goes on, the others are marked here.
-            out.sort(key=lambda r: (r[0], r[4], r[1]))
-            kept, last = [], None
-            for row in out:
-                if last is not None and row[4] == last[4] and row[0] == last[0]:
-                    if row[1] > last[1]:
-                        spans.append((row[1], row[2], row[2] + len(row[4])))
-                        continue
-                else:
-                    last = row
-                kept.append(row)
-            if spans and (rows := _spans(*(np.array(c, np.int64) for c in zip(*spans)), targets)) is not None:
-                yield rows
-            if kept:
-                cuts = [i for i in range(len(kept)) if i == 0 or kept[i][0] != kept[i - 1][0]]
-                columns = [[], [], [], [], [], []]
-                for a, b in zip(cuts, [*cuts[1:], len(kept)]):
-                    rows = kept[a:b]
-                    columns[0].append(rows[0][0])
-                    for c, values in enumerate(([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(r[4]) for r in rows])):
-                        columns[c + 1].append(_pack(np.array(values, np.int64)))
-                    columns[5].append(b"".join(r[4] for r in rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array([PIECES] * len(cuts), pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=SCHEMA
-                )
+            if len(out) > HELD:
+                yield from flush(out)
+        yield from flush(out)
 
     return run
 
@@ -381,19 +421,17 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, h
 
     kept has the bytes that stay, spans the removed runs.
     """
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id IS NOT NULL")
-    buckets, targets = 4 * partitions(spark), prime_above(4 * partitions(spark))
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(16, -(-size // BUCKET_BYTES))
+    targets = prime_above(buckets)
     classes = known.where("text IS NOT NULL").mapInArrow(_classes(buckets, targets, width, seed), PACKED)
     dealt = classes.repartition("target").sortWithinPartitions("target")
     first = keep(dealt.mapInArrow(_shared(targets, width, seed, hot), PACKED))
     del dealt, classes
-    release(spark)
-    pieces = keep(_met(known, first, targets, (REQUESTS,), _pieces(buckets, targets, width, seed), PACKED))
-    release(spark)
+    pieces = keep(_met(known, first, targets, (REQUESTS,), _pieces(4 * buckets, targets, width, seed), PACKED))
     second = pieces.where(F.col("kind") == PIECES).repartition("target").sortWithinPartitions("target")
     second = keep(second.mapInArrow(_indexed(targets, width), PACKED))
     spans = first.unionByName(pieces).unionByName(second)
-    release(spark)
     return _met(docs, spans, targets, (SPANS,), _cut, RESULT)
