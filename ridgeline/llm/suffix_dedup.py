@@ -13,9 +13,9 @@ each end, has to be compared. Around a seed:
 - The other different surroundings of one seed go to a run-length index (run_index): a run-compressed
   Burrows-Wheeler transform with sampled run heads. They are streamed through it, and matches of 50 bytes
   with a lower document are marked.
-- A seed with more than `hot` different surroundings (at the border of a very common passage) is not sent to
-  one index: its surroundings are taken apart into their 50-byte strings, which go to the indexes by content,
-  equal ones of a task as one.
+- A seed with more than `hot` different surroundings that agree on one side (at the border of a very common
+  passage) is not sent to one index: all its surroundings, whichever side they agree on, are taken apart into
+  their 50-byte strings, which go to the indexes by content, equal ones of a task as one.
 
 Shuffled rows hold arrays of many seeds or spans. Documents are met with their spans by one shuffle.
 
@@ -230,6 +230,9 @@ def _shared(targets: int, width: int, seed: int, hot: int):
             wanted[order] |= shared
             lower[order] |= shared & (doc[order] > np.repeat(bottom, sizes))
             many[order] |= shared & np.repeat(classes > hot, sizes)
+        # All surroundings of a seed have to meet, so one of its groups decides for the whole of it.
+        of_seed = np.flatnonzero(_first_of(hashes))
+        many = np.repeat(np.logical_or.reduceat(many, of_seed), np.diff(np.append(of_seed, len(hashes))))
         flags = (2 * many + ~lower)[wanted]
         hashes, doc, place, right = (c[wanted] for c in (hashes, doc, place, right))
         rows = _rows(REQUESTS, np.mod(doc, targets), [doc, place, right, hashes, flags.astype(np.int8)])

@@ -119,6 +119,22 @@ def test_suffix_dedup_is_exact(spark, hot):
     assert all(sum(s.length for s in r.spans) == r.n_removed for r in got)
 
 
+def test_suffix_dedup_of_cold_copies_of_hot_rows(spark):
+    ship(spark)
+    rng = random.Random(23)
+    rows = []
+    for g in range(60):
+        passage = " ".join(words(rng, 24))
+        tails = [" ".join(words(rng, 20)) for _ in range(6)]
+        rows += [(100 * g + k, passage + tail) for k, tail in enumerate(tails)]
+        at = len(passage) - rng.randrange(20, 60)
+        rows.append((100 * g + 50, passage[:at] + "#" + passage[at + 1 :] + tails[3]))  # a near copy of the fourth
+        rows.append((100 * g + 51, passage[at:] + tails[4]))  # starts inside the passage
+    frame = spark.createDataFrame([(i, t, "s", None) for i, t in rows], DOCS).repartition(5)
+    got = suffix_dedup.remove_repeats(frame, hot=2).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 50)
+
+
 def test_suffix_dedup_edges(spark):
     ship(spark)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
