@@ -69,6 +69,11 @@ def _pack48(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8)[:, 2:].T).tobytes()
 
 
+def shard_of(seed_hash: int, shards: int) -> int:
+    """The index shard of a seed, from the 48 bits that are sent; the lower 16 are zero."""
+    return (seed_hash >> 16) % shards
+
+
 def _unpack(blob: bytes, dtype) -> np.ndarray:
     if dtype == "u6":  # the upper 48 bits of 64
         rows = np.frombuffer(blob, np.uint8).reshape(6, len(blob) // 6).T
@@ -346,7 +351,7 @@ def _pieces(shards: int, targets: int, width: int, seed: int):
                         continue  # another text of this doc_id
                     text = raw[at[k] + start : at[k] + end].tobytes()
                     if flag < 2:
-                        out.append((seed_hash % shards, doc, start, flag, text))
+                        out.append((shard_of(seed_hash, shards), doc, start, flag, text))
                     else:
                         for i in range(len(text) - width + 1):
                             string = text[i : i + width]

@@ -135,6 +135,19 @@ def test_suffix_dedup_of_cold_copies_of_hot_rows(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("shards", [64, 100, 104, 512, 2048])
+def test_seeds_reach_all_index_shards(shards):
+    import numpy as np
+
+    rng = random.Random(29)
+    raw = np.frombuffer(" ".join(words(rng, 60_000, 10**6)).encode(), np.uint8)
+    _, hashes = suffix_dedup.seeds_of(raw, np.array([0, len(raw)]))
+    sent = suffix_dedup._unpack(suffix_dedup._pack48(hashes), "u6")
+    used = [suffix_dedup.shard_of(h, shards) for h in sent.tolist()]
+    counts = np.bincount(used, minlength=shards)
+    assert counts.min() > 0 and counts.max() < 3 * counts.mean()
+
+
 def test_suffix_dedup_edges(spark):
     ship(spark)
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
