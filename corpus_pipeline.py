@@ -50,7 +50,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 tokens."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, added=True)
 
 
 STAGES = [

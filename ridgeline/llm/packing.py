@@ -154,11 +154,11 @@ def slots(rows: list[tuple[int, list[tuple[int, int]]]]) -> tuple[list[tuple], i
     return out, sequence
 
 
-def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
+def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Rows (doc_id, doc_tokens, crcs): the number of ids with the end id, and the crc32 of each piece of capacity ids."""
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(tokenizer)
+        one = encoder(tokenizer, added)
         for part in parts:
             counts, sums = [], []
             for text in part.column("text").to_pylist():
@@ -172,10 +172,10 @@ def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END,
     return slim.mapInArrow(encode, "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
+def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece; added: see tokens."""
     spark = documents.sparkSession
-    docs = keep(tokenised(documents, tokenizer, end, capacity))
+    docs = keep(tokenised(documents, tokenizer, end, capacity, added))
     bounds = quantiles(docs, "doc_id", 2 * partitions(spark))
     docs = docs.withColumns(
         {

@@ -22,7 +22,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = scratch(spark, "token-files")
-    token_files.write(documents(spark, sf_dir), path)
+    token_files.write(documents(spark, sf_dir), path, added=True)
     return token_files.digests(spark, path)
 
 
@@ -38,7 +38,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir), added=True)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

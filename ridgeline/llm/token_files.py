@@ -37,11 +37,11 @@ def _arrow(schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def _blocks(tokenizer: str, end: int):
+def _blocks(tokenizer: str, end: int, added: bool):
     schema = _arrow(BLOCK_FIELDS)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(tokenizer)
+        one = encoder(tokenizer, added)
         entries: list[tuple] = []  # of the open block: (ordinal, doc_id, piece, length, closed)
         chunks: list[np.ndarray] = []
         room, number, ordinal, of_part = range_coder.BLOCK, 0, 0, None
@@ -87,13 +87,13 @@ def _blocks(tokenizer: str, end: int):
     return run
 
 
-def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
-    """Writes the ids of all texts, each followed by end, to the file set at path."""
+def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, added: bool = False) -> None:
+    """Writes the ids of all texts, each followed by end, to the file set at path; added: see tokens."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bounds = quantiles(docs, "doc_id", partitions(documents.sparkSession))
     docs = docs.withColumn("part", F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)))
     ordered = docs.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_blocks(tokenizer, end), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(_blocks(tokenizer, end, added), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(path)
 
 
 PIECES = "part int, ordinal long, doc_id long, piece long, length long, closed boolean, ids binary"

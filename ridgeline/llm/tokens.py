@@ -4,6 +4,10 @@ Both supported pre-tokenizers never join characters across white space (except f
 a chunk, for the byte-level one), so a text's ids are those of its chunks in a row. A chunk that is not
 in the cache is normalised by the tokenizer, cut into pieces as its pre-tokenizer does, and each piece goes
 through the tokenizer's model.
+
+Added tokens (<|endoftext|>, for word_bpe_49k also <|startoftext|>) inside a text: with `added`, each is its own
+id and the parts around it are encoded on their own, as the library does by default; without, they are ordinary
+text, as with its encode_special_tokens.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ class Generations(dict):
 class Encoder:
     """Gives ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, file: str, kind: str):
+    def __init__(self, file: str, kind: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,6 +78,10 @@ class Encoder:
         self.letters = _byte_letters()
         self.of_chunk = Generations(self._chunk)
         self.of_piece = Generations(self._piece)
+        # Tried in order of length, as the library takes the longest at a place.
+        tokens = sorted(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda t: -len(t[0])) if added else []
+        self.added = {content: int(i).to_bytes(4, "little") for content, i in tokens}
+        self.split = re.compile("(" + "|".join(re.escape(content) for content in self.added) + ")").split if added else None
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
@@ -95,10 +103,17 @@ class Encoder:
 
     def encode(self, text: str | None, end: int) -> bytes:
         """The ids of text and then the id end."""
-        return b"".join(map(self.of_chunk.__getitem__, self.chunks(text or ""))) + int(end).to_bytes(4, "little")
+        text, last = text or "", int(end).to_bytes(4, "little")
+        if any(content in text for content in self.added):
+            parts = self.split(text)  # every second one is an added token
+            return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(parts)) + last
+        return self._plain(text) + last
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.of_chunk.__getitem__, self.chunks(text)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def path(name: str) -> str:
@@ -107,8 +122,9 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, added: bool = False) -> Encoder:
     """One encoder per Python worker; name: a file of the public tokenizers, or the path of one."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name if "/" in name else path(name), name.rsplit("/", 1)[-1])
-    return _ENCODERS[name]
+    key = (name, added)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(name if "/" in name else path(name), name.rsplit("/", 1)[-1], added)
+    return _ENCODERS[key]

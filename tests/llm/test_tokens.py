@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ridgeline.llm import packing, range_coder, token_files
+import corpus_pipeline
+from ridgeline.llm import packing, queries, range_coder, token_files
 from ridgeline.llm.common import scratch, ship
 from ridgeline.llm.tokens import encoder
 
@@ -41,6 +42,26 @@ def test_encoder_agrees_with_the_library(name):
         assert np.frombuffer(encoder(name).encode(text, 7), "<u4").tolist() == [*one.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_as_by_the_library_default(name):
+    rng = random.Random(14)
+    alphabet = list("abE '’,<|>\n\t 09é ́😀") + ["don't", " the", *["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"] * 3]
+    texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    one = Tokenizer.from_file(public_tokenizers.path(name))
+    for text in texts:
+        assert np.frombuffer(encoder(name, added=True).encode(text, 7), "<u4").tolist() == [*one.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
+
+
+def test_queries_give_the_library_default_ids(spark, tmp_path):
+    texts = {1: "a <|endoftext|> b", 2: "x<|startoftext|>y", 3: "plain"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in ((queries.op3_token_files, "word_bpe_49k.json", 2), (queries.op6_packing, "byte_bpe_50k.json", 0), (None, "byte_bpe_50k.json", 0)):
+        one = Tokenizer.from_file(public_tokenizers.path(name))
+        found = query(spark, str(tmp_path)) if query else corpus_pipeline.packed(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "")
+        got = {r.doc_id: r.ids_crc32 for r in found.collect()}
+        assert got == {i: crc([*one.encode(t, add_special_tokens=False).ids, end]) for i, t in texts.items()}, name
+
+
 def test_range_coder_round_trip_and_checks():
     rng = np.random.default_rng(1)
     blocks = [np.minimum(rng.zipf(1.3, n), top) for n, top in ((0, 9), (1, 9), (5, 70_000), (4096, 49_000), (4096, 255), (77, 2**31))]
