@@ -2,8 +2,9 @@
 
 A document of n tokens gives floor(n / capacity) full pieces, which are sequences of their own, and one
 shorter piece. The histogram of the shorter pieces' lengths (fewer than capacity numbers, whatever the
-corpus), rounded up to classes of 8, goes to a linear program: cover every length's count with as few sequences as possible, each
-filled by a pattern of lengths. Patterns are generated as needed: a knapsack dynamic program prices the
+corpus) goes to a linear program: cover every length's count with as few sequences as possible, each
+filled by a pattern of lengths. More than CLASSES lengths are first put into that many classes of
+neighbouring lengths, chosen so that rounding up to the longest of a class adds the fewest tokens in all. Patterns are generated as needed: a knapsack dynamic program prices the
 pattern that the duals value most, until none can improve the program by more than a given share. The
 rounded-down pattern counts are completed by best fit over the few pieces that rounding leaves. Documents
 are ranked within their length, and a rank finds its pattern, sequence and offset in the slot table.
@@ -26,12 +27,35 @@ from ridgeline.llm.common import keep, partitions, quantiles, range_of, running
 from ridgeline.llm.tokens import encoder
 
 CAPACITY = 1024
-#: Lengths are rounded up to multiples of this in the program, so that it has few rows.
-CLASS = 8
+#: Rows of the linear program at most.
+CLASSES = 160
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 
 
+def classes(sizes: np.ndarray, demand: np.ndarray, most: int = CLASSES) -> np.ndarray:
+    """For each of the ascending sizes the longest one of its class: at most so many classes, with the least total rounding."""
+    n = len(sizes)
+    if n <= most:
+        return sizes
+    count, tokens = (np.concatenate([[0], np.cumsum(x)]).astype(float) for x in (demand, demand * sizes))
+    # Row i, column j: the tokens that a class of sizes i to j adds.
+    cost = sizes * (count[1:] - count[:-1, None]) - (tokens[1:] - tokens[:-1, None])
+    cost[np.tril_indices(n, -1)] = np.inf
+    best, firsts = cost[0], []
+    for _ in range(most - 1):
+        total = cost + np.concatenate([[0], best[:-1]])[:, None]
+        firsts.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    out, end = np.empty_like(sizes), n
+    for first in [*reversed(firsts), np.zeros(n, np.int64)]:
+        if end > 0:
+            begin = int(first[end - 1])
+            out[begin:end] = sizes[end - 1]
+            end = begin
+    return out
+
+
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of the largest total value that fits (unbounded knapsack): its value and its counts."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -181,18 +205,22 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
         {
             "full": F.floor(F.col("doc_tokens") / capacity),
             "size": F.col("doc_tokens") % capacity,
-            "class": F.least(F.ceil(F.col("doc_tokens") % capacity / CLASS) * CLASS, F.lit(capacity)),
             "bucket": F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)),
         }
     )
-    histogram = docs.where("size > 0").groupBy("class").count().toPandas()  # at most capacity / CLASS rows
-    histogram = histogram.sort_values("class")
-    table, sequences = slots(plan(histogram["class"].to_numpy(), histogram["count"].to_numpy(), capacity))
+    histogram = docs.where("size > 0").groupBy("size").count().toPandas().sort_values("size")  # under capacity rows
+    sizes, counts = histogram["size"].to_numpy(), histogram["count"].to_numpy()
+    rounded = classes(sizes, counts)
+    longest = np.unique(rounded)
+    demand = np.bincount(np.searchsorted(longest, rounded), counts, len(longest)).astype(np.int64)
+    table, sequences = slots(plan(longest, demand, capacity))
+    class_of = F.broadcast(spark.createDataFrame(list(zip(sizes.tolist(), rounded.tolist())), "of_size long, class long"))
     names = "of_class long, first_rank long, end_rank long, per_sequence long, first_sequence long"
     # A row per length of a pattern; patterns are at most capacity and those that complete the rounding.
     table = F.broadcast(spark.createDataFrame(table, names))
     order = [F.col("doc_id").asc_nulls_first(), "doc_tokens", "crcs"]
-    ranked = running(docs.where("size > 0"), ["class"], "bucket", order, {"rank": F.lit(1)})
+    short = docs.where("size > 0").join(class_of, F.col("size") == F.col("of_size")).drop("of_size")
+    ranked = running(short, ["class"], "bucket", order, {"rank": F.lit(1)})
     inside = (F.col("class") == F.col("of_class")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     index = F.col("rank") - F.col("first_rank")
     short = ranked.join(table, inside).withColumn("sequence_id", F.col("first_sequence") + F.floor(index / F.col("per_sequence")))

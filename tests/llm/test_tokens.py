@@ -130,3 +130,35 @@ def test_packing(spark):
     total = sum(p.length for p in pieces)
     assert len(by_sequence) <= 1.03 * total / 1024 + 2
     assert packing.pack(frame.where(F.lit(False))).count() == 0
+
+
+def test_packing_of_short_texts(spark):
+    ship(spark)
+    rng = random.Random(6)
+    docs = [(i, " the" * rng.choice([0, 0, 0, *range(20)])) for i in range(6000)]
+    pieces = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    total = sum(p.length for p in pieces)
+    assert len(pieces) == 6000 and total == sum(1 + len(t) // 4 for _, t in docs)
+    filled = {}
+    for p in pieces:
+        filled[p.sequence_id] = filled.get(p.sequence_id, 0) + p.length
+    assert max(filled.values()) <= 1024 and len(filled) <= 1.01 * total / 1024 + 2
+
+
+@pytest.mark.parametrize("low, high", [(1, 2), (9, 10), (146, 147), (1, 21), (120, 300), (1, 1024)])
+def test_plans_pad_little_on_true_lengths(low, high):
+    rng = np.random.default_rng(4)
+    sizes, demand = np.unique(rng.integers(low, high, 200_000), return_counts=True)
+    rounded = packing.classes(sizes, demand)
+    assert len(np.unique(rounded)) <= packing.CLASSES and (rounded >= sizes).all() and np.isin(rounded, sizes).all()
+    longest, at = np.unique(rounded, return_inverse=True)
+    count = np.bincount(at, demand).astype(np.int64)
+    rows = packing.plan(longest, count)
+    placed = {}
+    for times, items in rows:
+        assert sum(s * c for s, c in items) <= 1024
+        for s, c in items:
+            placed[s] = placed.get(s, 0) + times * c
+    assert placed == dict(zip(longest.tolist(), count.tolist()))
+    exact = 200_000 / (1024 // low) if high == low + 1 else (sizes * demand).sum() / 1024
+    assert sum(times for times, _ in rows) <= 1.012 * exact + 2
