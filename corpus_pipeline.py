@@ -26,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or place has, n_chars counted anew."""
     ship(spark)
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(docs, shortest=1)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 

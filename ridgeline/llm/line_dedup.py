@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared without surrounding blanks, across all documents. A line of at least min_chars
-characters goes if an earlier line, by (doc_id, position), is equal to it or within one edit (an inserted,
-deleted or replaced character). Lines are judged on the input, not on what is left.
+Lines are compared without surrounding blanks, across all documents. A line that is not blank and has at least
+`shortest` characters goes if an earlier line, by (doc_id, position), is equal to it; one of at least min_chars
+characters also if an earlier line of at least min_chars is within one edit (an inserted, deleted or replaced
+character). Lines are judged on the input, not on what is left.
 
 Equal lines are one class with its earliest place. Two classes are within one edit exactly if they share a
 variant that deletes the same place of both, or one is a variant of the other; so the earliest member of
@@ -11,8 +12,8 @@ is expanded into pairs. Variants are emitted only for classes that share a half
 another class of about their length, which any two lines within one edit do. What the hashed keys join is
 verified by edit distance.
 
-Cases: null texts and rows with a null doc_id are passed through and take no part; shorter lines always
-stay; rows that repeat a doc_id count as one document; empty tables give empty results; other columns are
+Cases: null texts and rows with a null doc_id are passed through and take no part; blank and shorter lines
+always stay; rows that repeat a doc_id count as one document; empty tables give empty results; other columns are
 kept and added columns replace columns of the same name.
 """
 
@@ -103,12 +104,13 @@ def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> D
     return keep(checked.select("h1", "h2").distinct())
 
 
-def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row (doc_id, gone) per document that loses lines: gone lists their positions from 0."""
-    slim = _lines(documents, min_chars).withColumn("size", F.length("line"))
-    slim = keep(
-        slim.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.array(*_half_keys()).alias("keys"))
-    )
+def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
+    """One row (doc_id, gone) per document that loses lines: gone lists their positions from 0. shortest is min_chars if not given."""
+    least = min_chars if shortest is None else shortest
+    # White space other than blanks, as a carriage return, makes no line.
+    slim = _lines(documents, least).where((F.length("line") >= min_chars) | F.col("line").rlike(r"\S")).withColumn("size", F.length("line"))
+    keys = F.when(F.col("size") >= min_chars, F.array(*_half_keys())).alias("keys")
+    slim = keep(slim.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys))
     classes = slim.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")
     )
@@ -120,9 +122,9 @@ def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
     """documents with text without its removed lines, and n_lines, n_removed."""
-    gone = keep(removed_lines(documents, min_chars)).withColumnRenamed("doc_id", "__doc_id")
+    gone = keep(removed_lines(documents, min_chars, shortest)).withColumnRenamed("doc_id", "__doc_id")
     joined = documents.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("__doc_id"), "left")
     lines = F.split("text", "\n")
     places = F.sequence(F.lit(0), F.size(lines) - 1)

@@ -54,7 +54,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup(documents(spark, sf_dir), shortest=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from ridgeline.llm import chat, fingerprints, line_dedup, mixing, quality
+from ridgeline.llm import chat, fingerprints, line_dedup, mixing, quality, queries
 from ridgeline.llm.common import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -119,6 +119,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(documents(spark, [])).count() == 0
 
 
+def test_line_queries_remove_short_repeats(spark, tmp_path):
+    rng = random.Random(12)
+    base = ["}", "a b", "ok", "  }", "\t", "\r", "", " ", "y" * 19, "é" * 20]
+    rows = [(i, "\n".join(rng.choice(base) for _ in range(rng.randrange(1, 9))), "s") for i in range(60)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, seen, expected = spark.read.parquet(f"{tmp_path}/documents.parquet"), set(), {}
+    for i, text, _ in rows:
+        left = []
+        for line in text.split("\n"):
+            plain = line.strip(" ")
+            if not plain.strip() or plain not in seen:
+                left.append(line)
+            seen.add(plain)
+        expected[i] = "\n".join(left)
+    assert {r.doc_id: r.text for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == expected
+    assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()} == expected
+
+
 def test_mixing(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(0, 60), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)] + [(9000, None, "b"), (9001, "word " * 9, "tiny"), (None, "x y", "c")]
