@@ -150,6 +150,22 @@ def range_of(column: Column, bounds: list) -> Column:
     return tree(0, len(bounds))
 
 
+def by_ranges(docs: DataFrame, name: str, tie: Column, most: int, least: int, text: str = "text") -> tuple[list, DataFrame]:
+    """docs with the column `name`: the number of a row's range, ascending with (doc_id nulls first, tie), tie being a hash.
+
+    Ranges hold about `most` bytes of text, or down to `least` if the session has more partitions. Rows without an id are
+    dealt to as many ranges as the others, by their hash, so that they may be any share of the rows. The second
+    result has at most twice as many ranges as the first result has bounds, and two.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // most), min(partitions(docs.sparkSession), -(-size // least)))
+    bounds = quantiles(docs, "doc_id", parts)
+    count = len(bounds) + 1
+    of_null = F.floor((F.shiftright(tie, 32) + F.lit(2**31)) * count / F.lit(2**32))
+    number = F.when(F.col("doc_id").isNull(), of_null).otherwise(count + range_of(F.col("doc_id"), bounds))
+    return bounds, docs.withColumn(name, number.cast("int"))
+
+
 def running(frame: DataFrame, groups: list[str], bucket: str, order: list, sums: dict[str, Column]) -> DataFrame:
     """Adds, for each name in sums, the sum of its column over the rows before this one in its group.
 

@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep, partitions, quantiles, range_of, running
-from ridgeline.llm.tokens import encoder
+from ridgeline.llm.hashing import slices
+from ridgeline.llm.tokens import encoder, with_end
 
 CAPACITY = 1024
+#: Text that is tokenised at once.
+SLICE_BYTES = 8_000_000
 #: Rows of the linear program at most.
 CLASSES = 160
 TOKENIZER = "byte_bpe_50k.json"
@@ -178,28 +181,26 @@ def slots(rows: list[tuple[int, list[tuple[int, int]]]]) -> tuple[list[tuple], i
     return out, sequence
 
 
-def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+def tokenised(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, doc_tokens, crcs): the number of ids with the end id, and the crc32 of each piece of capacity ids."""
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(tokenizer, added)
-        for part in parts:
-            counts, sums = [], []
-            for text in part.column("text").to_pylist():
-                ids = one.encode(text, end)
-                counts.append(len(ids) // 4)
-                sums.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
-            columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.int64()))]
+        one = encoder(tokenizer)
+        for part in (piece for whole in parts for piece in slices(whole, limit=SLICE_BYTES)):
+            ids, at = with_end(*one.encode(part.column("text")), end)
+            ids, places = memoryview(ids.astype("<u4")), at.tolist()
+            sums = [[zlib.crc32(ids[i : min(i + capacity, b)]) for i in range(a, b, capacity)] for a, b in zip(places, places[1:])]
+            columns = [part.column("doc_id"), pa.array(np.diff(at)), pa.array(sums, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "crcs"])
 
     slim = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInArrow(encode, "doc_id long, doc_tokens long, crcs array<long>")
 
 
-def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece; added: see tokens."""
+def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity: int = CAPACITY) -> DataFrame:
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece."""
     spark = documents.sparkSession
-    docs = keep(tokenised(documents, tokenizer, end, capacity, added))
+    docs = keep(tokenised(documents, tokenizer, end, capacity))
     bounds = quantiles(docs, "doc_id", 2 * partitions(spark))
     docs = docs.withColumns(
         {

@@ -1,12 +1,13 @@
 """Token-id files: documents are tokenised, and their ids written as range-coded blocks in doc_id order.
 
 A file set is a Parquet data set of blocks (any store that Spark writes can hold it). Blocks are numbered by
-range of doc_id and place in the range; each has the ids of a run of documents, a document that does not fit
-going on in the next block. The ids are coded by range_coder, whose blocks are reset and checksummed on their
+range of doc_id and place in the range; ranges have about equal numbers of documents, and their number follows the
+amount of text. Each block has the ids of a run of documents, a document that does not fit going on in the next block. The ids are coded by range_coder, whose blocks are reset and checksummed on their
 own, so a lost or damaged block harms no other and any block can be read alone.
 
 Cases: null and empty texts hold the end id only; rows that share a doc_id are separate documents in order of
-text; null ids come first; very long texts span many blocks; an empty table gives an empty file set; columns
+a hash of the text, then the text; null ids come first, dealt to ranges of their own by that hash; very long texts
+span many blocks; repeated rows are separate documents; an empty table gives an empty file set; columns
 other than doc_id and text are not read.
 """
 
@@ -22,104 +23,132 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import range_coder
-from ridgeline.llm.common import keep, partitions, quantiles, range_of, running
-from ridgeline.llm.tokens import encoder
+from ridgeline.llm.common import by_ranges, keep, running
+from ridgeline.llm.hashing import slices
+from ridgeline.llm.tokens import encoder, with_end
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-BLOCK_FIELDS = "part int, number long, ordinals array<long>, doc_ids array<long>, pieces array<long>, lengths array<long>, closed array<boolean>, coded binary"
-
-
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def _blocks(tokenizer: str, end: int, added: bool):
-    schema = _arrow(BLOCK_FIELDS)
-
+BLOCK_FIELDS = "part int, number long, ordinals array<long>, doc_ids array<long>, places array<long>, lengths array<long>, closed array<boolean>, coded binary"
+#: Text of one range of documents, which one task encodes: at most, and at least where the cluster has more cores.
+PART_BYTES, LEAST_PART_BYTES = 32_000_000, 4_000_000
+#: Text that is tokenised at once.
+SLICE_BYTES = 8_000_000
+
+
+_ID = pa.int64()
+_BLOCKS = pa.schema([("part", pa.int32()), ("number", _ID), *[(c, pa.list_(_ID)) for c in ("ordinals", "doc_ids", "places", "lengths")],
+                     ("closed", pa.list_(pa.bool_())), ("coded", pa.binary())])
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind, from_pandas=True), type=pa.list_(kind))
+
+
+class _Part:
+    """The ids of one range of documents that are not written yet, and which documents they are of."""
+
+    def __init__(self, part: int):
+        self.part, self.written, self.held, self.documents = part, 0, 0, 0
+        self.ids: list[np.ndarray] = []
+        # Of each document that has ids here: its id, whether it has one, its number in the part, where it starts and ends there.
+        self.docs = [np.zeros(0, np.int64)] * 5
+
+    def add(self, doc_ids: np.ndarray, known: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        start = self.written + self.held + at
+        fresh = (doc_ids, known.astype(np.int64), self.documents + np.arange(len(doc_ids)), start[:-1], start[1:])
+        self.docs = [np.concatenate([d, f]) for d, f in zip(self.docs, fresh)]
+        self.ids.append(ids)
+        self.held += len(ids)
+        self.documents += len(doc_ids)
+
+    def blocks(self, last: bool) -> pa.RecordBatch | None:
+        """Whole blocks of the ids held, and what is left if the part ends here."""
+        size = range_coder.BLOCK
+        count = -(-self.held // size) if last else self.held // size
+        if count == 0:
+            return None
+        ids = np.concatenate(self.ids)
+        taken = min(count * size, len(ids))
+        begin, end = self.written, self.written + taken
+        self.ids, self.held, self.written = [ids[taken:].copy()], len(ids) - taken, end
+        doc_ids, known, ordinals, starts, ends = self.docs
+        cuts = np.unique(np.concatenate([np.arange(begin, end, size), np.maximum(starts[starts < end], begin)]))
+        of = np.searchsorted(starts, cuts, side="right") - 1
+        length = np.diff(np.append(cuts, end))
+        offsets = np.searchsorted(cuts, np.append(np.arange(begin, end, size), end))
+        self.docs = [d[ends > end] for d in self.docs]
+        coded = range_coder.encode([ids[i : i + size].astype(np.int64) for i in range(0, taken, size)])
+        id_values = pa.array(doc_ids[of], pa.int64(), mask=known[of] == 0)
+        columns = [
+            pa.array(np.full(count, self.part, np.int32)), pa.array(np.arange(count) + begin // size),
+            _lists(ordinals[of], offsets, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), id_values),
+            _lists(cuts - starts[of], offsets, pa.int64()), _lists(length, offsets, pa.int64()), _lists(cuts + length == ends[of], offsets, pa.bool_()),
+            pa.array(coded, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _BLOCKS)], schema=_BLOCKS)
+
+
+def _blocks(tokenizer: str, end: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(tokenizer, added)
-        entries: list[tuple] = []  # of the open block: (ordinal, doc_id, piece, length, closed)
-        chunks: list[np.ndarray] = []
-        room, number, ordinal, of_part = range_coder.BLOCK, 0, 0, None
-        ready: list[tuple] = []
-
-        def close():
-            nonlocal entries, chunks, room, number
-            if entries:
-                ready.append((of_part, number, entries, np.concatenate(chunks)))
-                number += 1
-            entries, chunks, room = [], [], range_coder.BLOCK
-
-        def flush() -> pa.RecordBatch:
-            coded = range_coder.encode([r[3] for r in ready])
-            columns = [[r[0] for r in ready], [r[1] for r in ready]]
-            columns += [[[e[k] for e in r[2]] for r in ready] for k in (0, 1, 2, 3, 4)]
-            ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, coded], schema)], schema=schema)
-
-        for part in parts:
-            for now, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
-                if now != of_part:
-                    close()
-                    of_part, number, ordinal = now, 0, 0
-                ids = np.frombuffer(one.encode(text, end), "<u4")
-                at = piece = 0
-                while at < len(ids):
-                    taken = ids[at : at + room]
-                    at += len(taken)
-                    entries.append((ordinal, doc_id, piece, len(taken), at == len(ids)))
-                    chunks.append(taken)
-                    room -= len(taken)
-                    piece += 1
-                    if room == 0:
-                        close()
-                        if len(ready) == range_coder.LANES:
-                            yield flush()
-                ordinal += 1
-        close()
-        if ready:
-            yield flush()
+        one, open_part = encoder(tokenizer), None
+        enough = range_coder.LANES * range_coder.BLOCK
+        for batch in (piece for whole in parts for piece in slices(whole, limit=SLICE_BYTES)):
+            numbers = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                some = batch.slice(a, b - a)
+                if open_part is None or open_part.part != numbers[a]:
+                    if open_part is not None and (out := open_part.blocks(last=True)) is not None:
+                        yield out
+                    open_part = _Part(int(numbers[a]))
+                doc_id = some.column("doc_id")
+                open_part.add(doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False), *with_end(*one.encode(some.column("text")), end))
+                if open_part.held >= enough and (out := open_part.blocks(last=False)) is not None:
+                    yield out
+        if open_part is not None and (out := open_part.blocks(last=True)) is not None:
+            yield out
 
     return run
 
 
-def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, added: bool = False) -> None:
-    """Writes the ids of all texts, each followed by end, to the file set at path; added: see tokens."""
+def write(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
+    """Writes the ids of all texts, each followed by end, to the file set at path."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = quantiles(docs, "doc_id", partitions(documents.sparkSession))
-    docs = docs.withColumn("part", F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)))
-    ordered = docs.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(_blocks(tokenizer, end, added), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(path)
+    bounds, docs = by_ranges(docs, "part", F.xxhash64("text"), PART_BYTES, LEAST_PART_BYTES)
+    ordered = docs.repartition(2 * len(bounds) + 2, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    ordered.mapInArrow(_blocks(tokenizer, end), BLOCK_FIELDS).write.option("compression", "uncompressed").parquet(path)
 
 
-PIECES = "part int, ordinal long, doc_id long, piece long, length long, closed boolean, ids binary"
+PIECES = "part int, ordinal long, doc_id long, place long, length long, closed boolean, ids binary"
 
 
-def _decoded():
-    schema = _arrow(PIECES)
+_PIECES = pa.schema([("part", pa.int32()), *[(c, _ID) for c in ("ordinal", "doc_id", "place", "length")], ("closed", pa.bool_()), ("ids", pa.binary())])
+
 
+def _decoded():
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for at in range(0, whole.num_rows, range_coder.LANES):
                 part = whole.slice(at, range_coder.LANES)
-                entries = [part.column(c).to_pylist() for c in ("part", "ordinals", "doc_ids", "pieces", "lengths", "closed")]
-                rows = []
-                for ids, number, *lists in zip(range_coder.decode(part.column("coded").to_pylist()), *entries):
-                    raw, place = ids.astype("<u4").tobytes(), 0
-                    for ordinal, doc_id, piece, length, closed in zip(*lists):
-                        rows.append((number, ordinal, doc_id, piece, length, closed, raw[4 * place : 4 * (place + length)]))
-                        place += length
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                found = range_coder.decode(part.column("coded").to_pylist())
+                count = part.column("lengths").value_lengths().to_numpy()
+                flat = {c: part.column(c).flatten() for c in ("ordinals", "doc_ids", "places", "lengths", "closed")}
+                upto = 4 * np.concatenate([[0], np.cumsum(flat["lengths"].to_numpy())])
+                ids = np.concatenate([*found, np.zeros(0, np.int64)]).astype("<u4")
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(ids)])
+                numbers = pa.array(np.repeat(part.column("part").to_numpy(), count))
+                columns = [numbers, *flat.values(), blobs.cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
 
     return run
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (part, ordinal, doc_id, piece, length, closed, ids) of a file set: pieces of documents with their ids as bytes."""
+    """Rows (part, ordinal, doc_id, place, length, closed, ids) of a file set: pieces of documents with their ids as bytes.
+
+    place is the number of the document's ids before the piece.
+    """
     return spark.read.parquet(path).mapInArrow(_decoded(), PIECES)
 
 
@@ -159,19 +188,17 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def joined(pieces: pd.Series) -> pd.Series:
         def fold(rows) -> int:
             total = 0
-            for row in sorted(rows, key=lambda r: r["piece"]):
+            for row in sorted(rows, key=lambda r: r["place"]):
                 total = crc_joined(total, row["crc"], 4 * row["length"])
             return total
 
         return pieces.map(fold)
 
-    pieces = read(spark, path).select("part", "ordinal", "doc_id", "piece", "length", "closed", crc("ids").alias("crc"))
-    alone = F.col("closed") & (F.col("piece") == 0)
-    found = pieces.withColumn("alone", alone)
-    found = keep(found)
+    pieces = read(spark, path).select("part", "ordinal", "doc_id", "place", "length", "closed", crc("ids").alias("crc"))
+    found = keep(pieces.withColumn("alone", F.col("closed") & (F.col("place") == 0)))
     whole = found.where("alone").select("part", "ordinal", "doc_id", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     split = found.where("NOT alone").groupBy("part", "ordinal", "doc_id").agg(
-        F.sum("length").alias("n_tokens"), F.collect_list(F.struct("piece", "length", "crc")).alias("pieces")
+        F.sum("length").alias("n_tokens"), F.collect_list(F.struct("place", "length", "crc")).alias("pieces")
     )
     split = split.select("part", "ordinal", "doc_id", "n_tokens", joined("pieces").alias("ids_crc32"))
     counted = running(whole.unionByName(split), [], "part", ["ordinal"], {"start": F.col("n_tokens")})

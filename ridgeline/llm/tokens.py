@@ -1,119 +1,141 @@
-"""Token ids of texts by a public tokenizer file, encoded chunk by chunk through a bounded cache.
-
-Both supported pre-tokenizers never join characters across white space (except for one blank in front of
-a chunk, for the byte-level one), so a text's ids are those of its chunks in a row. A chunk that is not
-in the cache is normalised by the tokenizer, cut into pieces as its pre-tokenizer does, and each piece goes
-through the tokenizer's model.
-
-Added tokens (<|endoftext|>, for word_bpe_49k also <|startoftext|>) inside a text: with `added`, each is its own
-id and the parts around it are encoded on their own, as the library does by default; without, they are ordinary
-text, as with its encode_special_tokens.
+"""Token ids of text columns by a public tokenizer file, as its library gives them.
+
+Texts are cut where white space follows other characters. The pre-tokenizers of SPLITTABLE join nothing across
+such a place, so a text's ids are those of its parts in a row. Parts repeat: those of a batch are numbered by
+Arrow, the library encodes each different one once (many in a call, with an added token between them, around which
+it encodes each part on its own), and the ids of the texts are gathered from theirs. A bounded cache keeps parts
+from batch to batch. Texts that hold an added token's beginning or white space beyond ASCII, and all texts of other
+tokenizers, are encoded whole, one library call a text.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
-
-import regex
-
-BLANK = "\t-\r \x85\xa0  -     　"
-CACHED = 400_000
-
-#: Fixed patterns of the two public pre-tokenizers.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
 
-#: Name -> (chunks of a text, pieces of a chunk, pieces of an ASCII chunk, what the normaliser does to an ASCII chunk).
-KINDS = {
-    "byte_bpe_50k.json": (
-        re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"), regex.compile(BYTE_PIECES),
-        re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII), str,
-    ),
-    "word_bpe_49k.json": (
-        re.compile(f"[^{BLANK}]+"), regex.compile(WORD_PIECES), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+", re.ASCII), str.lower,
-    ),
-}
+import numpy as np
+import pyarrow as pa
 
+from ridgeline.llm.hashing import BLANKS, text_bytes
 
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 ones stand for themselves."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+_LETTERS, _WORDLIKE = np.zeros(256, bool), np.zeros(256, bool)
+_LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_WORDLIKE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+SPLITTABLE = ("byte_bpe_50k.json", "word_bpe_49k.json")
+CACHED = 200_000
+#: Parts above this many characters are not kept.
+LONGEST_KEPT = 64
+BAR = "|"
+#: Parts that one library call encodes.
+TOGETHER = 256
 
-class Generations(dict):
-    """A cache of at most twice so many entries; those used since the last turnover outlive the next one."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHED // 2:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        self[key] = found
-        return found
+#: First bytes of white space beyond ASCII in UTF-8, and the bytes that follow them.
+_WIDE_BLANKS = {0xC2: [(0x85,), (0xA0,)], 0xE1: [(0x9A, 0x80)], 0xE3: [(0x80, 0x80)],
+                0xE2: [(0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)] + [(0x81, 0x9F)]}
 
 
 class Encoder:
-    """Gives ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, file: str, kind: str, added: bool = False):
+    def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.normalizer, self.model = self.tokenizer.normalizer, self.tokenizer.model
-        chunks, self.pieces, self.ascii_pieces, self.ascii_form = KINDS[kind]
-        self.chunks = chunks.findall
-        self.letters = _byte_letters()
-        self.of_chunk = Generations(self._chunk)
-        self.of_piece = Generations(self._piece)
-        # Tried in order of length, as the library takes the longest at a place.
-        tokens = sorted(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()), key=lambda t: -len(t[0])) if added else []
-        self.added = {content: int(i).to_bytes(4, "little") for content, i in tokens}
-        self.split = re.compile("(" + "|".join(re.escape(content) for content in self.added) + ")").split if added else None
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            chunk = self.ascii_form(chunk)
-            if chunk.removeprefix(" ").isalpha():
-                return self._piece(chunk)
-            return b"".join(map(self.of_piece.__getitem__, self.ascii_pieces.findall(chunk)))
-        if self.normalizer is not None:
-            chunk = self.normalizer.normalize_str(chunk)
-        return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(chunk)))
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves, but for the blank
-            mapped = piece.replace(" ", self.letters[32])
-        else:
-            letters = self.letters
-            mapped = "".join([letters[b] for b in piece.encode()])
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def encode(self, text: str | None, end: int) -> bytes:
-        """The ids of text and then the id end."""
-        text, last = text or "", int(end).to_bytes(4, "little")
-        if any(content in text for content in self.added):
-            parts = self.split(text)  # every second one is an added token
-            return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(parts)) + last
-        return self._plain(text) + last
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.of_chunk.__getitem__, self.chunks(text)))
-
-
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+        added = self.tokenizer.get_added_tokens_decoder().items()
+        plain = [(number, token.content) for number, token in added if not (token.lstrip or token.rstrip or token.single_word)]
+        self.splits = os.path.basename(file) in SPLITTABLE and bool(plain)
+        self.between, self.mark = plain[0] if plain else (0, "")
+        # Beside letters and blanks this character is a piece of its own, whose id no word has.
+        bars = self._whole(BAR)
+        self.bar = int(bars[0])
+        self.splits = self.splits and len(bars) == 1
+        self.openings = sorted({token.content[:2] for _, token in added})
+        self.kept: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each part, as bytes."""
+        found, words, others = {}, [], []
+        for part in parts:
+            # A last letter that is not ASCII may become two characters.
+            if part[-1].isascii() and (part.isalpha() or (part[0] == " " and part[1:].isalpha())):
+                words.append(part)
+            elif any(o in part for o in self.openings):
+                found[part] = self._whole(part).tobytes()
+            else:
+                others.append(part)
+        self._joined(words, BAR, self.bar, found)
+        self._joined(others, self.mark, self.between, found)
+        return found
+
+    def _joined(self, parts: list[str], mark: str, between: int, found: dict[str, bytes]) -> None:
+        """Puts the ids of parts into found: the library encodes many of them in a row, and their ids lie between those of mark."""
+        for at in range(0, len(parts), TOGETHER * 64):
+            groups = [parts[i : i + TOGETHER] for i in range(at, min(len(parts), at + TOGETHER * 64), TOGETHER)]
+            for group, call in zip(groups, self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)):
+                ids = np.array(call.ids, np.uint32)
+                raw, start = ids.tobytes(), 0
+                for part, end in zip(group, [*(4 * np.flatnonzero(ids == between)).tolist(), len(raw)], strict=True):
+                    found[part] = raw[start:end]
+                    start = end + 4
+
+    def _odd(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the texts have to be encoded whole."""
+        odd = np.zeros(len(at) - 1, bool)
+
+        def mark(places: np.ndarray) -> None:
+            odd[np.searchsorted(at, places, side="right") - 1] = True
+
+        endings = [(o[0], [tuple(o[1:])]) for o in (opening.encode() for opening in self.openings)]
+        for first, rests in [*endings, *_WIDE_BLANKS.items()]:
+            leads = np.flatnonzero(raw == first)
+            for rest in rests:
+                fits = leads[leads + len(rest) < len(raw)]
+                for k, byte in enumerate(rest):
+                    fits = fits[raw[fits + k + 1] == byte]
+                mark(fits)
+        return odd
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (unsigned 32-bit) of all texts of a column in a row, and where each text's start and the last one's end."""
+        raw, at = text_bytes(column)
+        texts = len(at) - 1
+        if not self.splits or len(raw) == 0:
+            each = [self._whole(t or "") for t in column.to_pylist()]
+            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(e) for e in each], dtype=np.int64)]).astype(np.int64)
+        odd = self._odd(raw, at)
+        blank, letter = BLANKS[raw], _LETTERS[raw]
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = (letter[:-1] & ~_WORDLIKE[raw[1:]]) | (blank[1:] & ~blank[:-1])
+        if odd.any():
+            cut &= np.repeat(~odd, np.diff(at))
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        cuts = np.flatnonzero(cut)
+        offsets = np.append(cuts, len(raw)).astype(np.int64)
+        # Arrow numbers the parts: equal ones have one number.
+        arrays = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        distinct, number = arrays.dictionary.to_numpy(zero_copy_only=False).tolist(), arrays.indices.to_numpy()
+        kept = self.kept
+        fresh = self._encoded([part for part in distinct if part not in kept])
+        ids = [fresh[part] if part in fresh else kept[part] for part in distinct]
+        kept.update(fresh)
+        if len(kept) > CACHED:
+            self.kept = {part: found for part, found in zip(distinct, ids) if len(part) <= LONGEST_KEPT}
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
+        length = size[number]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        gathered = flat[np.repeat(first[number] - upto[:-1], length) + np.arange(upto[-1])]
+        return gathered, upto[np.searchsorted(cuts, at)]
+
+
+def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and places of texts with the id end after each text."""
+    return np.insert(ids, at[1:], np.uint32(end)), at + np.arange(len(at))
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def path(name: str) -> str:
@@ -122,9 +144,8 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str, added: bool = False) -> Encoder:
+def encoder(name: str) -> Encoder:
     """One encoder per Python worker; name: a file of the public tokenizers, or the path of one."""
-    key = (name, added)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(name if "/" in name else path(name), name.rsplit("/", 1)[-1], added)
-    return _ENCODERS[key]
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name if "/" in name else path(name))
+    return _ENCODERS[name]

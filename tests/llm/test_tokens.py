@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ridgeline.llm import packing, queries, range_coder, token_files
 from ridgeline.llm.common import scratch, ship
-from ridgeline.llm.tokens import encoder
+from ridgeline.llm.tokens import Encoder, with_end
 
 DOCS = "doc_id long, text string, start string, length string"
 TEXTS = [
@@ -22,9 +23,7 @@ TEXTS = [
 
 
 def library(name, text, end):
-    one = Tokenizer.from_file(public_tokenizers.path(name))
-    one.encode_special_tokens = True
-    return [*one.encode(text or "", add_special_tokens=False).ids, end]
+    return [*Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -32,24 +31,17 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_agrees_with_the_library(name):
+@pytest.mark.parametrize("splits", [True, False])
+def test_encoder_agrees_with_the_plain_library_call(name, splits):
     rng = random.Random(4)
-    alphabet = list("abcDE '’.,!<|>\n\t 09éßﬁ日  ́​😀") + ["don't", " the", "İ"]
+    alphabet = list("abcDE '’.,!<|>\n\t 09éßﬁ日\xa0\u2003\x85\u3000́​😀") + ["don't", " the", "İ", "Zİ", "ΑΣ", *["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"] * 2]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
-    one = Tokenizer.from_file(public_tokenizers.path(name))
-    one.encode_special_tokens = True
-    for text in texts:
-        assert np.frombuffer(encoder(name).encode(text, 7), "<u4").tolist() == [*one.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
-
-
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_added_tokens_as_by_the_library_default(name):
-    rng = random.Random(14)
-    alphabet = list("abE '’,<|>\n\t 09é ́😀") + ["don't", " the", *["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"] * 3]
-    texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
-    one = Tokenizer.from_file(public_tokenizers.path(name))
-    for text in texts:
-        assert np.frombuffer(encoder(name, added=True).encode(text, 7), "<u4").tolist() == [*one.encode(text or "", add_special_tokens=False).ids, 7], repr(text)
+    plain, one = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name))
+    one.splits = one.splits and splits
+    for some in (texts, texts[::-1], [None, ""], []):
+        ids, at = with_end(*one.encode(pa.array(some, pa.string())), 7)
+        found = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+        assert found == [[*plain.encode(t or "", add_special_tokens=False).ids, 7] for t in some]
 
 
 def test_queries_give_the_library_default_ids(spark, tmp_path):
@@ -84,19 +76,24 @@ def rows(long_words):
     return found + [(300, "same id b"), (300, "same id a"), (300, "same id a")]
 
 
-def test_token_files(spark):
+NO_ID = [(None, "no id"), (None, "none either"), (None, None), (None, "no id")]
+
+
+def test_token_files(spark, monkeypatch):
     ship(spark)
-    docs = rows(30_000)
+    monkeypatch.setattr(token_files, "LEAST_PART_BYTES", 40_000)
+    docs = rows(30_000) + NO_ID
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], DOCS).repartition(6)
     path = scratch(spark, "tokens")
     token_files.write(frame, path)
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.digests(spark, path).collect())
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.digests(spark, path).collect()), key=lambda r: r[0])
     expected, start = [], 0
-    for i, t in sorted(docs, key=lambda d: (d[0], d[1] or "")):
+    order = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, order[d[1]])):
         ids = library("word_bpe_49k.json", t, 2)
         expected.append((start, i, len(ids), crc(ids)))
         start += len(ids)
-    assert got == expected
+    assert [(a, -1 if i is None else i, *rest) for a, i, *rest in got] == [(a, -1 if i is None else i, *rest) for a, i, *rest in expected]
     token_files.write(frame.limit(0), empty := scratch(spark, "tokens"))
     assert token_files.digests(spark, empty).count() == 0
 
