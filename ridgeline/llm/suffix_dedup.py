@@ -1,33 +1,35 @@
 """Removal of repeated passages: every byte that a 50-byte string covers which also starts in a lower document.
 
-Any 50 bytes hold 33 windows of 18 bytes; the windows whose hash is the least of some 33 in a row are the
-seeds of a text, about one in 17. Equal strings of 50 bytes have equal seeds at equal places, so only seeds
-that lie in several documents can be part of a repeated passage, and only the text around them, 50 bytes to
-each end, has to be compared. Around a seed:
-
-- Documents with equal surroundings form one class. All but its lowest document lose the whole of it. Classes
-  are formed inside a task before anything is shuffled, so a passage that thousands of documents hold crosses
-  the network once for each task.
-- Two documents that share 50 bytes around a seed agree in the 16 bytes before it or the 16 bytes after it.
-  Surroundings that agree with another one's in neither are done with.
-- The other different surroundings of one seed go to a run-length index (run_index): a run-compressed
-  Burrows-Wheeler transform with sampled run heads. They are streamed through it, and matches of 50 bytes
-  with a lower document are marked.
-- A seed with more than `hot` different surroundings that agree on one side (at the border of a very common
-  passage) is not sent to one index: all its surroundings, whichever side they agree on, are taken apart into
-  their 50-byte strings, which go to the indexes by content, equal ones of a task as one.
+Any 50 bytes hold 33 windows of 18 bytes; the first of those with the least hash is the seed of the 50 bytes. A text
+is so cut into snippets: the strings of 50 bytes in a row that have one seed, 66 bytes on average. Equal strings of
+50 bytes have equal seeds at equal places, so only snippets whose seed lies in several documents can be part of a
+repeated passage. A run-length index (run_index) answers which strings of a snippet lower documents have, and holds
+each different snippet of a seed once, as a row of its lowest document:
+
+- Equal snippets are the tail of one run of such an index, behind the sample at its head: whatever the index holds, all
+  their strings are the head's too. They are told by 128 bits (two hashes in different bases, one of the seed and one of
+  the snippet) and settled when runs are formed, inside a task before anything is shuffled and once more by seed. So a
+  passage that thousands of documents hold crosses the network once for each task, and its text once.
+- Two different snippets that share 50 bytes agree in the 16 bytes before their seed or in the 16 bytes after it. A
+  snippet that agrees with no other of its seed in either has no match and stays out of the index.
+- All others go to the index of their seed's shard: a run-compressed Burrows-Wheeler transform with sampled run heads.
+  They are streamed through it, and matches of 50 bytes with a lower document are marked.
+- A seed with more than `hot` different snippets that agree on one side (at the border of a very common passage) is not
+  sent to one index: all its snippets, whichever side they agree on, are taken apart into their 50-byte strings, which
+  go to the indexes by content, equal ones of a task as one.
 
 Shuffled rows hold arrays of many seeds or spans. Documents are met with their spans by one shuffle.
 
 Cases: null texts count as empty; texts under 50 bytes lose nothing; strings are judged on the input, and
-matches within one document do not count; rows that share a doc_id are one document as to who is lower; rows
-with a null doc_id are kept whole; an empty table gives an empty result; added columns replace columns of the
-same name.
+matches within one document do not count; rows that share a doc_id are one document as to who is lower, each
+cut by its own text; rows with a null doc_id are kept whole; an empty table gives an empty result; added columns
+replace columns of the same name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,18 +40,21 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep
 from ridgeline.llm.hashing import BASES, Ranges, slices, text_bytes
-from ridgeline.llm.run_index import RunIndex
+from ridgeline.llm.run_index import CLOSE, RunIndex
 
 WIDTH = 50
 SEED = 18
-HOT = 4096
+HOT = 16_384
 #: Text for each bucket of seeds: what a task sorts at once grows with it, the number of packed rows falls.
 BUCKET_BYTES = 4_000_000
-#: Strings that a task holds before it packs them.
-HELD = 100_000
-PACKED = "target int, kind int, a binary, b binary, c binary, d binary, e binary"
-SCHEMA = pa.schema([("target", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in "abcde"]])
+#: Snippets that a task holds before it forms runs and packs them, and bytes of snippets or strings.
+HELD, HELD_BYTES = 400_000, 8_000_000
+PACKED = "target int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
+COLUMNS = "abcdef"
+SCHEMA = pa.schema([("target", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in COLUMNS]])
 CLASSES, SPANS, REQUESTS, PIECES = range(4)
+#: A place in a text is packed with bits of the text's checksum above it, so that texts of one doc_id stay apart.
+PLACE_BITS = 40
 
 
 def prime_above(n: int) -> int:
@@ -65,80 +70,80 @@ def _pack(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def _pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8)[:, 2:].T).tobytes()
-
-
-def shard_of(seed_hash: int, shards: int) -> int:
-    """The index shard of a seed, from the 48 bits that are sent; the lower 16 are zero."""
-    return (seed_hash >> 16) % shards
-
-
 def _unpack(blob: bytes, dtype) -> np.ndarray:
-    if dtype == "u6":  # the upper 48 bits of 64
-        rows = np.frombuffer(blob, np.uint8).reshape(6, len(blob) // 6).T
-        return np.hstack([np.zeros((len(rows), 2), np.uint8), rows]).view(np.uint64).ravel()
     size = np.dtype(dtype).itemsize
     return np.frombuffer(blob, np.uint8).reshape(size, len(blob) // size).T.copy().view(dtype).ravel()
 
 
-def _rows(kind: int, target: np.ndarray, columns: list[np.ndarray], packs: list | None = None) -> pa.RecordBatch | None:
-    """One packed row for each target."""
+def _rows(kind: int, target: np.ndarray, columns: list[np.ndarray], texts: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch | None:
+    """One packed row for each target; texts: bytes in a row and how many each item has, the last column."""
     if len(target) == 0:
         return None
     order = np.argsort(target, kind="stable")
     target, columns = target[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(target)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(target)]])
-    packs = packs or [_pack] * len(columns)
-    blobs = [[pack(c[s:e]) for s, e in zip(starts, ends)] for c, pack in zip(columns, packs)]
-    blobs += [[None] * len(starts)] * (5 - len(columns))
+    blobs = [[_pack(c[s:e]) for s, e in zip(starts, ends)] for c in columns]
+    if texts is not None:
+        raw, size = texts
+        raw, at = _gathered(raw, (np.cumsum(size) - size)[order], size[order])
+        blobs.append([raw[at[s] : at[e]].tobytes() for s, e in zip(starts, ends)])
+    blobs += [[None] * len(starts)] * (len(COLUMNS) - len(blobs))
     return pa.RecordBatch.from_arrays(
         [pa.array(target[starts], pa.int32()), pa.array(np.full(len(starts), kind, np.int32)), *[pa.array(b, pa.binary()) for b in blobs]], schema=SCHEMA
     )
 
 
-def seeds_of(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The seeds of each text: (place in raw, hash)."""
-    reach = width - seed  # a string of `width` bytes at p has the seed windows p ... p + reach
-    n = len(raw) - seed + 1
+def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ranges of raw in a row, and where each begins and the last one ends."""
+    at = np.concatenate([[0], np.cumsum(size)])
+    return raw[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
+
+
+def _tags(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text, bits of its checksum at the place above PLACE_BITS."""
+    view = memoryview(raw)
+    return np.array([(zlib.crc32(view[a:b]) & 0x7FFFFF) << PLACE_BITS for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
+
+
+def snippets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SEED):
+    """The snippets of all texts: (seed's place in raw, snippet's start, its end, hash of the seed)."""
+    none = np.zeros(0, np.int64)
     if len(raw) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return none, none, none, none.astype(np.uint64)
     hashes = Ranges(raw).windows(seed)
-    key = (hashes >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    low, span = key, 1
-    while span * 2 <= reach + 1:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    low = np.minimum(low[: n - reach], low[reach + 1 - span :][: n - reach])  # of windows p ... p + reach
-    start = np.arange(len(low))
-    text = np.repeat(at[1:], np.diff(at))[: len(low)]
-    low[start + width > text] = 0
-    # A window is a seed if it is the least of one of the strings that hold it.
-    high = np.zeros(n + reach, np.uint32)
-    high[reach : reach + len(low)] = low
-    span = 1
-    top = high
+    # The least hash of the seed windows of each string, and of equal ones the first.
+    low = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
+    reach, span = width - seed, 1
+    strings = len(raw) - width + 1
     while span * 2 <= reach + 1:
-        top = np.maximum(top[: len(top) - span], top[span:])
+        low = np.minimum(low[:-span], low[span:])
         span *= 2
-    top = np.maximum(top[:n], top[reach + 1 - span :][:n])
-    place = np.flatnonzero(top == key)
-    return place, hashes[place]
-
-
-def surroundings(raw: np.ndarray, start: np.ndarray, place: np.ndarray, end: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """64 bits for the text around each seed: 12 for the bytes before it, 12 for those after it, 40 for all of it.
-
-    The first two have the half of (width - seed) bytes that any common string has on one side at least; a
-    side that is shorter has bits of its own.
+    low = np.minimum(low[:strings], low[reach + 1 - span :][:strings])
+    place = (low & np.uint64(2**32 - 1)).astype(np.int64)
+    inside = np.zeros(len(raw) + 1, np.int8)  # of strings that end in their text
+    whole = np.diff(at) >= width
+    inside[at[:-1][whole]] += 1
+    inside[at[1:][whole] - width + 1] -= 1
+    start = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8)[:strings])
+    place = place[start]
+    fresh = np.flatnonzero(_first_of(place)) if len(place) else none
+    last = np.append(fresh[1:], len(place)) - 1
+    return place[fresh], start[fresh], start[last] + width if len(last) else none, hashes[place[fresh]]
+
+
+def identities(raw: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each snippet 64 bits for all of it, and 32 for its sides: 16 for the bytes before the seed, 16 for those after.
+
+    The sides have the half of (width - seed) bytes that any common string has on one of them at least; a side that is
+    shorter has bits of its own.
     """
     half = (width - seed + 1) // 2
     ranges = Ranges(raw, BASES[1])
     whole = ranges.of(start, end) ^ ((place - start) * 64 + end - place).astype(np.uint64)
     before = np.where(place - start >= half, ranges.of(np.maximum(place - half, 0), place), whole)
     after = np.where(end - place - seed >= half, ranges.of(place + seed, np.minimum(place + seed + half, len(raw))), whole)
-    return (before >> np.uint64(52) << np.uint64(52)) | (after >> np.uint64(52) << np.uint64(40)) | (whole & np.uint64(2**40 - 1))
+    return whole, ((before >> np.uint64(48) << np.uint64(16)) | (after >> np.uint64(48))).astype(np.uint32)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -147,8 +152,9 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     doc, start, end = doc[order], start[order], end[order]
     if len(doc) == 0:
         return doc, start, end
-    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-    shift = number * (int(end.max()) + 1)
+    tag = start >> PLACE_BITS
+    shift = np.cumsum(_first_of(doc, tag)) - 1
+    shift = shift * (int((end - (tag << PLACE_BITS)).max()) + 1) - (tag << PLACE_BITS)  # texts behind one another
     upto = np.maximum.accumulate(end + shift)
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (start[1:] + shift[1:]) > upto[:-1]
@@ -169,80 +175,81 @@ def _first_of(*columns: np.ndarray) -> np.ndarray:
     return fresh
 
 
+def _run_heads(columns: list[np.ndarray], targets: int):
+    """Of snippets (hash, whole, sides, doc, start, length), sorted: those of the lowest document of each run, and spans of the others."""
+    order = np.lexsort((columns[3], columns[1], columns[0]))
+    hashes, whole, sides, doc, start, length = (c[order] for c in columns)
+    fresh = np.flatnonzero(_first_of(hashes, whole))
+    lowest = np.repeat(doc[fresh], np.diff(np.append(fresh, len(doc))))
+    later = doc > lowest
+    spans = _spans(doc[later], start[later], (start + length.astype(np.int64))[later], targets)
+    first = np.zeros(len(doc), bool)
+    first[fresh] = True
+    return [c[~later] for c in (hashes, whole, sides, doc, start, length)], first[~later], spans
+
+
+_CLASS_TYPES = (np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.uint16)
+
+
 def _classes(buckets: int, targets: int, width: int, seed: int):
-    """From texts: the lowest document of each class of surroundings, and spans of the other ones of this task."""
+    """From texts: the lowest document of each run of equal snippets, and spans of the other ones of this task."""
+
+    def settle(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        columns, _, spans = _run_heads([np.concatenate(c) for c in zip(*found)], targets)
+        found.clear()
+        if spans is not None:
+            yield spans
+        order = np.argsort(columns[3], kind="stable")
+        columns = [c[order] for c in columns]
+        if (rows := _rows(CLASSES, (columns[0] % np.uint64(buckets)).astype(np.int32), columns)) is not None:
+            yield rows
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, held = [], 0
         for part in (piece for whole in parts for piece in slices(whole)):
             raw, at = text_bytes(part.column("text"))
-            place, hashes = seeds_of(raw, at, width, seed)
+            place, start, end, hashes = snippets(raw, at, width, seed)
             if len(place) == 0:
                 continue
             text = np.searchsorted(at, place, side="right") - 1
-            left = np.minimum(place - at[text], width - seed)
-            right = np.minimum(at[text + 1] - place, width)
-            around = surroundings(raw, place - left, place, place + right, width, seed)
-            doc = part.column("doc_id").to_numpy()[text]
-            found.append((hashes, around, doc, place - at[text], right.astype(np.int8)))
-        if not found:
-            return
-        hashes, around, doc, place, right = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((doc, around, hashes))
-        hashes, around, doc, place, right = (c[order] for c in (hashes, around, doc, place, right))
-        fresh = np.flatnonzero(_first_of(hashes, around))
-        lowest = np.repeat(doc[fresh], np.diff(np.append(fresh, len(doc))))
-        later = doc > lowest
-        spans = _spans(doc[later], (place - np.minimum(place, width - seed))[later], (place + right)[later], targets)
-        if spans is not None:
-            yield spans
-        stay = ~later
-        hashes, around, doc, place, right = (c[stay] for c in (hashes, around, doc, place, right))
-        order = np.argsort(doc, kind="stable")
-        rows = _rows(CLASSES, (hashes[order] % np.uint64(buckets)).astype(np.int32), [c[order] for c in (hashes, around, doc, place, right)], [_pack48, *[_pack] * 4])
-        if rows is not None:
-            yield rows
+            own = start - at[text] + _tags(raw, at)[text]
+            found.append((hashes, *identities(raw, place, start, end, width, seed), part.column("doc_id").to_numpy()[text], own, (end - start).astype(np.uint16)))
+            held += len(place)
+            if held >= HELD:
+                yield from settle(found)
+                held = 0
+        if found:
+            yield from settle(found)
 
     return run
 
 
-def _shared(targets: int, width: int, seed: int, hot: int):
-    """From the classes of a bucket: spans of documents that are not the lowest of their class, requests for text."""
+def _shared(targets: int, hot: int):
+    """From the runs of a bucket: spans of documents that are not the lowest of their run, requests for text."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, around, doc, place, right = (np.concatenate(c) for c in zip(*rows))
-        order = np.lexsort((doc, around, hashes))
-        hashes, around, doc, place, right = (c[order] for c in (hashes, around, doc, place, right))
-        fresh = np.flatnonzero(_first_of(hashes, around))
-        lowest = np.repeat(doc[fresh], np.diff(np.append(fresh, len(doc))))
-        later = doc > lowest
-        left = np.minimum(place, width - seed)
-        spans = _spans(doc[later], (place - left)[later], (place + right)[later], targets)
+        columns, first, spans = _run_heads([np.concatenate(c) for c in zip(*rows)], targets)
         if spans is not None:
             yield spans
-        stay = ~later
-        first_class = np.zeros(len(doc), bool)
-        first_class[fresh] = True
-        hashes, around, doc, place, right, first_class = (c[stay] for c in (hashes, around, doc, place, right, first_class))
+        hashes, _, sides, doc, start, length = columns
         wanted, lower, many = (np.zeros(len(doc), bool) for _ in range(3))
-        for side in (around >> np.uint64(52), (around >> np.uint64(40)) & np.uint64(4095)):
+        for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
             order = np.lexsort((side, hashes))
             group = np.flatnonzero(_first_of(hashes[order], side[order]))
             sizes = np.diff(np.append(group, len(doc)))
-            classes = np.add.reduceat(first_class[order].astype(np.int64), group)
+            runs = np.add.reduceat(first[order].astype(np.int64), group)
             bottom, top = np.minimum.reduceat(doc[order], group), np.maximum.reduceat(doc[order], group)
-            shared = np.repeat((classes > 1) & (bottom < top), sizes)
+            shared = np.repeat((runs > 1) & (bottom < top), sizes)
             wanted[order] |= shared
             lower[order] |= shared & (doc[order] > np.repeat(bottom, sizes))
-            many[order] |= shared & np.repeat(classes > hot, sizes)
-        # All surroundings of a seed have to meet, so one of its groups decides for the whole of it.
+            many[order] |= shared & np.repeat(runs > hot, sizes)
+        # All snippets of a seed have to meet, so one of its groups decides for the whole of it.
         of_seed = np.flatnonzero(_first_of(hashes))
         many = np.repeat(np.logical_or.reduceat(many, of_seed), np.diff(np.append(of_seed, len(hashes))))
-        flags = (2 * many + ~lower)[wanted]
-        hashes, doc, place, right = (c[wanted] for c in (hashes, doc, place, right))
-        rows = _rows(REQUESTS, np.mod(doc, targets), [doc, place, right, hashes, flags.astype(np.int8)])
-        if rows is not None:
-            yield rows
+        flags = (2 * many + ~lower)[wanted].astype(np.uint8)
+        hashes, doc, start, length = (c[wanted] for c in (hashes, doc, start, length))
+        if (packed := _rows(REQUESTS, np.mod(doc, targets), [doc, start, length, hashes, flags])) is not None:
+            yield packed
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bucket = [], None
@@ -251,25 +258,25 @@ def _shared(targets: int, width: int, seed: int, hot: int):
             if passed.num_rows:
                 yield passed
             part = part.filter(pa.compute.equal(part.column("kind"), CLASSES))
-            blobs = [part.column(c).to_pylist() for c in "abcde"]
+            blobs = [part.column(c).to_pylist() for c in COLUMNS]
             for target, *row in zip(part.column("target").to_pylist(), *blobs):
                 if target != bucket and held:
                     yield from settle(held)
                     held = []
                 bucket = target
-                held.append(tuple(_unpack(b, t) for b, t in zip(row, ("u6", np.uint64, np.int64, np.int64, np.int8))))
+                held.append(tuple(_unpack(b, t) for b, t in zip(row, _CLASS_TYPES)))
         if held:
             yield from settle(held)
 
     return run
 
 
-def _met(documents: DataFrame, packed: DataFrame, targets: int, kinds: tuple[int, ...], run, schema: str) -> DataFrame:
-    """run over batches (target, kind, doc_id, text, a .. e): in each target first packed rows, then documents."""
-    docs = documents.withColumn("target", F.coalesce(F.pmod("doc_id", F.lit(targets)), F.lit(0)).cast("int")).withColumn("kind", F.lit(9))
-    blobs = packed.where(F.col("kind").isin(*kinds))
-    both = blobs.unionByName(docs, allowMissingColumns=True)
-    columns = ["target", "kind", "doc_id", "text", *"abcde"]
+def _met(documents: DataFrame, packed: DataFrame, targets: int, kind: int, run, schema: str) -> DataFrame:
+    """run over batches (target, kind, doc_id, text, a .. f): in each target first packed rows, then documents."""
+    nowhere = F.pmod(F.xxhash64("text"), F.lit(targets))  # documents without an id meet nothing
+    docs = documents.withColumn("target", F.coalesce(F.pmod("doc_id", F.lit(targets)), nowhere).cast("int")).withColumn("kind", F.lit(9))
+    both = packed.where(F.col("kind") == kind).unionByName(docs, allowMissingColumns=True)
+    columns = ["target", "kind", "doc_id", "text", *COLUMNS]
     return both.select(columns).repartition("target").sortWithinPartitions("target", "kind").mapInArrow(run, schema)
 
 
@@ -294,7 +301,7 @@ def _by_target(parts: Iterator[pa.RecordBatch], types: tuple):
                 target, held, arrays = targets[a], [], None
             piece = part.slice(a, b - a)
             if kinds[a] != 9:
-                blobs = [piece.column(c).to_pylist() for c in "abcde"[: len(types)]]
+                blobs = [piece.column(c).to_pylist() for c in COLUMNS[: len(types)]]
                 held += [tuple(_unpack(x, t) for x, t in zip(row, types)) for row in zip(*blobs)]
                 arrays = None
                 continue
@@ -304,62 +311,70 @@ def _by_target(parts: Iterator[pa.RecordBatch], types: tuple):
                 yield arrays, some
 
 
-def _pieces(shards: int, targets: int, width: int, seed: int):
-    """From requests and texts: the surroundings, to the index shard of their seed; of hot seeds, strings by content."""
-
-    def flush(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Of equal strings held, the lowest document's goes on; the others are marked here."""
-        out.sort(key=lambda r: (r[0], r[4], r[1]))
-        kept, spans, last = [], [], None
-        for row in out:
-            if last is not None and row[4] == last[4] and row[0] == last[0]:
-                if row[1] > last[1]:
-                    spans.append((row[1], row[2], row[2] + len(row[4])))
-                    continue
-            else:
-                last = row
-            kept.append(row)
-        out.clear()
-        if spans and (rows := _spans(*(np.array(c, np.int64) for c in zip(*spans)), targets)) is not None:
+def _strings(raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of width bytes of the snippets in raw: (snippet, place in it, hash)."""
+    count = size - width + 1
+    of = np.repeat(np.arange(len(size)), count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return of, place, Ranges(raw).windows(width)[(np.cumsum(size) - size)[of] + place]
+
+
+def _pieces(shards: int, targets: int, width: int):
+    """From requests and texts: the snippets, to the index shard of their seed; of hot seeds, strings by content."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, start, size, hashes, flags = (np.concatenate([h[k] for h in held]) for k in range(5))
+        raw = np.concatenate([h[5] for h in held])
+        held.clear()
+        at = np.cumsum(size) - size
+        cold = flags < 2
+        texts = _gathered(raw, at[cold], size[cold])[0]
+        shard = (hashes[cold] % np.uint64(shards)).astype(np.int32)
+        rows = _rows(PIECES, shard, [docs[cold], start[cold], flags[cold], size[cold].astype(np.uint16)], (texts, size[cold]))
+        if rows is not None:
             yield rows
-        if not kept:
+        if cold.all():
             return
-        cuts = [i for i in range(len(kept)) if i == 0 or kept[i][0] != kept[i - 1][0]]
-        columns = [[], [], [], [], [], []]
-        for a, b in zip(cuts, [*cuts[1:], len(kept)]):
-            rows = kept[a:b]
-            columns[0].append(rows[0][0])
-            for c, values in enumerate(([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [len(r[4]) for r in rows])):
-                columns[c + 1].append(_pack(np.array(values, np.int64)))
-            columns[5].append(b"".join(r[4] for r in rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array([PIECES] * len(cuts), pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], schema=SCHEMA
-        )
+        docs, start, size = docs[~cold], start[~cold], size[~cold]
+        texts, at = _gathered(raw, at[~cold], size)
+        of, place, hashes = _strings(texts, size, width)
+        # Of equal strings held, the lowest document's go on; the others are marked here.
+        other = Ranges(texts, BASES[1]).windows(width)[at[of] + place]
+        order = np.lexsort((docs[of], other, hashes))
+        of, place, hashes, other = (c[order] for c in (of, place, hashes, other))
+        fresh = np.flatnonzero(_first_of(hashes, other))
+        later = docs[of] > np.repeat(docs[of[fresh]], np.diff(np.append(fresh, len(of))))
+        begin = start[of] + place
+        spans = _spans(docs[of[later]], begin[later], begin[later] + width, targets)
+        if spans is not None:
+            yield spans
+        of, place, hashes, begin = (c[~later] for c in (of, place, hashes, begin))
+        long = np.full(len(of), width)
+        strings = _gathered(texts, at[of] + place, long)[0]
+        yield _rows(PIECES, (hashes % np.uint64(shards)).astype(np.int32), [docs[of], begin, np.zeros(len(of), np.uint8), long.astype(np.uint16)], (strings, long))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for asked, part in _by_target(parts, (np.int64, np.int64, np.int8, np.uint64, np.int8)):
+        held, size = [], 0
+        for asked, part in _by_target(parts, (np.int64, np.int64, np.uint16, np.uint64, np.uint8)):
             if asked is None:
                 continue
-            docs, places, rights, hashes, flags = asked
             raw, at = text_bytes(part.column("text"))
-            for k, doc in enumerate(part.column("doc_id").to_numpy()):
-                a, b = np.searchsorted(docs, [doc, doc + 1])
-                for place, right, seed_hash, flag in zip(places[a:b].tolist(), rights[a:b].tolist(), hashes[a:b].tolist(), flags[a:b].tolist()):
-                    start, end = place - min(place, width - seed), place + right
-                    if at[k] + end > at[k + 1]:
-                        continue  # another text of this doc_id
-                    text = raw[at[k] + start : at[k] + end].tobytes()
-                    if flag < 2:
-                        out.append((shard_of(seed_hash, shards), doc, start, flag, text))
-                    else:
-                        for i in range(len(text) - width + 1):
-                            string = text[i : i + width]
-                            by = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little")
-                            out.append((by % shards, doc, start + i, 0, string))
-            if len(out) > HELD:
-                yield from flush(out)
-        yield from flush(out)
+            ids = part.column("doc_id").to_numpy()
+            a, b = np.searchsorted(asked[0], ids), np.searchsorted(asked[0], ids, side="right")
+            request = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a) + np.arange((b - a).sum())
+            text = np.repeat(np.arange(len(ids)), b - a)
+            fits = (asked[1][request] >> PLACE_BITS << PLACE_BITS) == _tags(raw, at)[text]  # else another text of this doc_id
+            request, text = request[fits], text[fits]
+            docs, start, length, hashes, flags = (c[request] for c in asked)
+            length = length.astype(np.int64)
+            held.append((docs, start, length, hashes, flags, _gathered(raw, at[text] + (start & (2**PLACE_BITS - 1)), length)[0]))
+            # A string of a hot snippet is sent on its own.
+            size += int(np.where(flags < 2, length, (length - width + 1) * width).sum())
+            if size > HELD_BYTES:
+                yield from flush(held)
+                size = 0
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -368,25 +383,23 @@ def _indexed(targets: int, width: int):
     """From the pieces of index shards: spans of matches with lower documents."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, start, flag = (np.concatenate([_unpack(r[c], np.int64) for r in rows]) for c in (0, 1, 2))
-        texts = []
-        for row in rows:
-            at = 0
-            for size in _unpack(row[3], np.int64).tolist():
-                texts.append(row[4][at : at + size])
-                at += size
+        doc, start, flag, size = (np.concatenate([_unpack(r[k], t) for r in rows]) for k, t in enumerate((np.int64, np.int64, np.uint8, np.uint16)))
+        raw, size = np.frombuffer(b"".join(r[4] for r in rows), np.uint8), size.astype(np.int64)
         order = np.argsort(doc, kind="stable")
-        doc, start, flag = doc[order], start[order], flag[order]
-        index = RunIndex([texts[k] for k in order], doc, width)
-        spans = [(doc[k], start[k] + p) for k, places in index.lower_matches(np.flatnonzero(flag == 0)) for p in places]
-        if spans:
-            docs, starts = (np.array(c, np.int64) for c in zip(*spans))
-            yield _spans(docs, starts, starts + width, targets)
+        at = (np.cumsum(size) - size)[order]
+        doc, start, flag, size = (c[order] for c in (doc, start, flag, size))
+        text = np.full(int(size.sum()) + len(size), CLOSE, np.uint8)
+        places = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+        text[places] = _gathered(raw, at, size)[0]
+        string, place = RunIndex(text, size, doc, width).lower_matches(np.flatnonzero(flag == 0))
+        spans = _spans(doc[string], start[string] + place, start[string] + place + width, targets)
+        if spans is not None:
+            yield spans
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shard = [], None
         for part in parts:
-            for target, *row in zip(part.column("target").to_pylist(), *(part.column(c).to_pylist() for c in "abcde")):
+            for target, *row in zip(part.column("target").to_pylist(), *(part.column(c).to_pylist() for c in COLUMNS)):
                 if target != shard and held:
                     yield from settle(held)
                     held = []
@@ -404,19 +417,20 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for spans, part in _by_target(parts, (np.int64, np.int64, np.int64)):
         raw, at = text_bytes(part.column("text"))
-        rows = []
+        tags, rows = _tags(raw, at), []
         for k, doc in enumerate(part.column("doc_id").to_pylist()):
             text = raw[at[k] : at[k + 1]]
             starts = lengths = np.zeros(0, np.int64)
             if spans is not None and doc is not None:
                 a, b = np.searchsorted(spans[0], [doc, doc + 1])
-                fits = spans[1][a:b] + spans[2][a:b] <= len(text)
-                _, starts, ends = _merged(spans[0][a:b][fits], spans[1][a:b][fits], spans[1][a:b][fits] + spans[2][a:b][fits])
+                begin, size = spans[1][a:b] - tags[k], spans[2][a:b]
+                own = begin >> PLACE_BITS == 0
+                _, starts, ends = _merged(spans[0][a:b][own], begin[own], (begin + size)[own])
                 lengths = ends - starts
             gone = np.zeros(len(text) + 1, np.int8)
             gone[starts] += 1
             gone[starts + lengths] -= 1
-            left = text[np.cumsum(gone[:-1]) == 0].tobytes()
+            left = text[np.cumsum(gone[:-1]) == 0].tobytes() if len(starts) else text.tobytes()
             pieces = [{"start": s, "length": n} for s, n in zip(starts.tolist(), lengths.tolist())]
             rows.append((doc, len(text), len(text) - len(left), len(starts), hashlib.sha256(left).hexdigest(), left, pieces))
         struct = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -436,10 +450,10 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, seed: int = SEED, h
     targets = prime_above(buckets)
     classes = known.where("text IS NOT NULL").mapInArrow(_classes(buckets, targets, width, seed), PACKED)
     dealt = classes.repartition("target").sortWithinPartitions("target")
-    first = keep(dealt.mapInArrow(_shared(targets, width, seed, hot), PACKED))
+    first = keep(dealt.mapInArrow(_shared(targets, hot), PACKED))
     del dealt, classes
-    pieces = keep(_met(known, first, targets, (REQUESTS,), _pieces(4 * buckets, targets, width, seed), PACKED))
+    pieces = keep(_met(known, first, targets, REQUESTS, _pieces(4 * buckets, targets, width), PACKED))
     second = pieces.where(F.col("kind") == PIECES).repartition("target").sortWithinPartitions("target")
     second = keep(second.mapInArrow(_indexed(targets, width), PACKED))
     spans = first.unionByName(pieces).unionByName(second)
-    return _met(docs, spans, targets, (SPANS,), _cut, RESULT)
+    return _met(docs, spans, targets, SPANS, _cut, RESULT)

@@ -7,6 +7,7 @@ import pytest
 
 from ridgeline.llm import embedding_dedup, near_join, suffix_dedup
 from ridgeline.llm.common import ship
+from ridgeline.llm.run_index import RunIndex
 
 DOCS = "doc_id long, text string, source string, class_id string"
 
@@ -112,6 +113,7 @@ def test_suffix_dedup_is_exact(spark, hot):
             at = rng.randrange(len(text))
             text = text[:at] + p[rng.randrange(10) : len(p) - rng.randrange(10)] + text[at:]
         rows.append((1000 + rng.randrange(5000) * 2, text))
+    rows += [(400, "first text of an id. " + passages[0]), (400, passages[0] + " second text of it")]
     rows += [(9001, "a" * 700), (9003, "b" + "a" * 300), (9005, "ab" * 200), (9007, "x" * 49), (9009, "é" * 60), (9011, "é" * 24 + "xé" + "é" * 30)]
     frame = spark.createDataFrame([(i, t, "s", None) for i, t in rows], DOCS).repartition(5)
     got = suffix_dedup.remove_repeats(frame, hot=hot).collect()
@@ -135,17 +137,46 @@ def test_suffix_dedup_of_cold_copies_of_hot_rows(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 50)
 
 
-@pytest.mark.parametrize("shards", [64, 100, 104, 512, 2048])
-def test_seeds_reach_all_index_shards(shards):
+def test_snippets_hold_every_string_once():
     import numpy as np
 
     rng = random.Random(29)
-    raw = np.frombuffer(" ".join(words(rng, 60_000, 10**6)).encode(), np.uint8)
-    _, hashes = suffix_dedup.seeds_of(raw, np.array([0, len(raw)]))
-    sent = suffix_dedup._unpack(suffix_dedup._pack48(hashes), "u6")
-    used = [suffix_dedup.shard_of(h, shards) for h in sent.tolist()]
-    counts = np.bincount(used, minlength=shards)
-    assert counts.min() > 0 and counts.max() < 3 * counts.mean()
+    texts = [" ".join(words(rng, rng.randrange(60), 10**6)) for _ in range(60)] + ["", "x" * 49, "x" * 50, "a" * 300, "ab" * 90]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    place, start, end, _ = suffix_dedup.snippets(raw, at)
+    strings = [s for a, b in zip(start.tolist(), end.tolist()) for s in range(a, b - 49)]
+    assert sorted(strings) == [s for a, b in zip(at.tolist(), at[1:].tolist()) for s in range(a, b - 49)]
+    assert all(s >= p - 32 and s <= p for p, a, b in zip(place.tolist(), start.tolist(), end.tolist()) for s in range(a, b - 49))
+    seed_of = {}
+    for p, a, b in zip(place.tolist(), start.tolist(), end.tolist()):
+        for s in range(a, b - 49):
+            assert seed_of.setdefault(raw[s : s + 50].tobytes(), p - s) == p - s
+
+
+def test_run_index_is_exact():
+    import numpy as np
+
+    rng = random.Random(31)
+    for _ in range(150):
+        width, letters = rng.choice([2, 3, 8, 50]), rng.choice([b"ab", b"abcdefgh", bytes(range(60, 200))])
+        base = bytes(rng.choice(letters) for _ in range(120))
+        strings = []
+        for _ in range(rng.randrange(1, 30)):
+            at = rng.randrange(110)
+            string = bytearray(base[at : at + rng.randrange(100)])
+            if string and rng.random() < 0.6:
+                string[rng.randrange(len(string))] = rng.choice(letters)
+            strings.append(bytes(string))
+        owners = sorted(rng.randrange(20) for _ in strings)
+        first, lower = {}, []
+        for s, o in zip(strings, owners):
+            for i in range(len(s) - width + 1):
+                first[s[i : i + width]] = min(o, first.get(s[i : i + width], o))
+        lower = [(k, i) for k, (s, o) in enumerate(zip(strings, owners)) for i in range(len(s) - width + 1) if first[s[i : i + width]] < o]
+        text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
+        index = RunIndex(text, np.array([len(s) for s in strings]), np.array(owners), width)
+        assert sorted(zip(*(x.tolist() for x in index.lower_matches(np.arange(len(strings)))))) == lower
 
 
 def test_suffix_dedup_edges(spark):
@@ -174,3 +205,13 @@ def test_embedding_links_are_exact(spark):
     pairs = [(a, b) for a, la, va in ok for b, lb, vb in ok if a < b and la == lb and va @ vb / np.sqrt(va @ va) / np.sqrt(vb @ vb) >= 0.93]
     component = reachable([r[0] for r in rows], pairs)
     assert got == {i: (sum(i in p for p in pairs), component[i], component[i] == i) for i, _, _ in rows}
+
+
+def test_suffix_query_on_a_whole_table(spark):
+    """op4's query on sf0.01 against a table of all its 50-byte strings and their lowest documents."""
+    from ridgeline.llm import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op4_suffix_dedup(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 50)
