@@ -11,9 +11,13 @@ Equal vectors of a label are one class, compared once. A tile returns one row pe
 it, with its number of links and the smallest class reachable inside the tile; no pair leaves the tile.
 Components are then joined across tiles.
 
-Cases: null labels, null, zero or wrong-length vectors (other than the commonest length) and vectors with
-null or non-finite components link with nothing and form components of their own; repeated rows with one
-vec_id are one vector each, of one component; empty tables give empty results.
+Cases: null labels, null, empty and zero vectors and vectors with null or non-finite components link with nothing and
+form components of their own; vectors of different lengths have no cosine and are not linked, those of one length are
+compared whatever it is (principal axes are those of the commonest length; others are compared as they stand); each
+row is a vector of its own, also where rows repeat a vec_id or have none: it has the links of its own label and
+components, and the component its vector is in, named by the smallest vec_id there is in it (null if there is none);
+a vector is kept if that is its own vec_id; empty tables give empty results; columns other than vec_id, label and
+embedding are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import components, keep
@@ -34,11 +38,11 @@ STEPS = (0.25, 0.5)
 SLACK = 1e-9
 
 
-def _usable(embeddings: DataFrame) -> DataFrame:
-    ok = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    nonzero = F.exists("embedding", lambda x: x != 0)
-    return embeddings.where(ok & F.coalesce(finite, F.lit(False)) & F.coalesce(nonzero, F.lit(False)))
+def _links(label: Column, embedding: Column) -> Column:
+    """Whether a vector can link with others."""
+    finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    nonzero = F.exists(embedding, lambda x: x != 0)
+    return label.isNotNull() & embedding.isNotNull() & (F.size(embedding) > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(nonzero, F.lit(False))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -46,20 +50,24 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings it near 1: no product over- or underflows, no bit of a cosine changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
-    """The eigenvectors of the second-moment matrix of the unit vectors, largest first, from one sum per partition."""
+    """The eigenvectors of the second-moment matrix of the unit vectors of that width, largest first, from one sum per partition."""
 
     def moments(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
         for part in parts:
-            rows = unit(np.array(part["embedding"].tolist(), float))
-            total += rows.T @ rows
+            if len(part):
+                rows = unit(np.array(part["embedding"].tolist(), float))
+                total += rows.T @ rows
         yield pd.DataFrame({"m": [total.ravel().tolist()]})
 
-    summed = classes.select("embedding").mapInPandas(moments, "m array<double>")
+    summed = classes.where(F.col("width") == width).select("embedding").mapInPandas(moments, "m array<double>")
     summed = summed.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    if summed.empty:
-        return np.eye(width)
     matrix = np.zeros(width * width)
     matrix[summed["i"].to_numpy()] = summed["x"].to_numpy()
     values, axes = np.linalg.eigh(matrix.reshape(width, width))
@@ -106,31 +114,37 @@ def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def link(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per row of embeddings."""
-    usable = _usable(embeddings.select("vec_id", "label", "embedding"))
-    lengths = usable.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = lengths["n"] if lengths else 1
-    usable = usable.where(F.size("embedding") == width)
-    # Members of a class have equal label and components; the hash spares shuffling the vectors twice.
-    usable = usable.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
-    usable = usable.withColumns({"h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(7), "label", "embedding")})
-    classes = usable.groupBy("label", "h1", "h2").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")
-    )
-    classes = keep(classes)
-    axes = principal_axes(classes, width)
+    rows = embeddings.select("vec_id", "label", "embedding")
+    usable = rows.where(_links(F.col("label"), F.col("embedding"))).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)))
+    # Members of a class have equal label and components; the hashes spare shuffling the vectors twice.
+    hashes = {"width": F.size("embedding"), "h1": F.xxhash64("label", "embedding"), "h2": F.xxhash64(F.lit(7), "label", "embedding")}
+    usable = usable.withColumns(hashes)
+    key = ["label", "width", "h1", "h2"]
+    classes = usable.groupBy(*key).agg(F.min("vec_id").alias("lowest_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    common = classes.groupBy("width").count().orderBy(F.desc("count"), "width").first()
+    main = common["width"] if common else 0
+    axes = principal_axes(classes, main) if main else np.eye(1)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
+    def rotated(vectors: np.ndarray) -> np.ndarray:
+        return unit(vectors) @ axes if vectors.shape[1] == main else unit(vectors)
+
     @F.pandas_udf("double")
     def leading(embedding: pd.Series) -> pd.Series:
-        return pd.Series(unit(np.array(embedding.tolist(), float).reshape(len(embedding), width)) @ axes[:, 0])
-
-    placed = classes.withColumn("cell", F.floor(leading("embedding") / reach).cast("int"))
-    placed = keep(placed)
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    following = sizes.select("label", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next_blocks"))
-    preceding = sizes.select("label", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("last_blocks"))
-    sizes = sizes.join(following, ["label", "cell"], "left").join(preceding, ["label", "cell"], "left")
-    rows = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        out, width = np.zeros(len(embedding)), embedding.map(len).to_numpy()
+        for n in np.unique(width):
+            some = np.flatnonzero(width == n)
+            out[some] = rotated(np.array(embedding.iloc[some].tolist(), float))[:, 0]
+        return pd.Series(out)
+
+    placed = keep(classes.withColumn("cell", F.floor(leading("embedding") / reach).cast("int")))
+    where = ["label", "width", "cell"]
+    sizes = placed.groupBy(*where).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    following = sizes.select("label", "width", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next_blocks"))
+    preceding = sizes.select("label", "width", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("last_blocks"))
+    sizes = sizes.join(following, where, "left").join(preceding, where, "left")
+    in_blocks = placed.join(sizes, where).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A tile is (cell of the left block, left block, 0 or 1 for the cell of the right block, right block).
     number = lambda n: F.sequence(F.lit(0), F.coalesce(n, F.lit(0)))
     own = F.transform(
@@ -147,16 +161,16 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     ))
     none = F.array().cast("array<struct<at:int,left:int,step:int,right:int>>")
     tiles = F.concat(own, F.coalesce(ahead, none), F.coalesce(behind, none))
-    dealt = rows.select("label", "cell", "block", "node", "copies", "embedding", F.inline(tiles))
+    dealt = in_blocks.select(*where, "block", "node", "copies", "embedding", F.inline(tiles))
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         at, left, step, right = tile[["at", "left", "step", "right"]].iloc[0]
-        vectors = np.array(tile["embedding"].tolist(), float).reshape(len(tile), width)
-        rotated = unit(vectors) @ axes
+        vectors = scaled(np.array(tile["embedding"].tolist(), float).reshape(len(tile), -1))
+        turned = rotated(vectors)
         same = step == 0 and left == right
         first = np.flatnonzero(((tile["cell"] == at) & (tile["block"] == left)).to_numpy())
         second = first if same else np.flatnonzero(((tile["cell"] == at + step) & (tile["block"] == right)).to_numpy())
-        i, j = linked_pairs(vectors[first], vectors[second], rotated[first], rotated[second], threshold)
+        i, j = linked_pairs(vectors[first], vectors[second], turned[first], turned[second], threshold)
         i, j = first[i], second[j]
         if same:
             i, j = i[i < j], j[i < j]
@@ -169,23 +183,20 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
         some = links > 0
         return pd.DataFrame({"node": nodes[some], "links": links[some].astype("int64"), "lowest": lowest[some]})
 
-    found = dealt.groupBy("label", "at", "left", "step", "right").applyInPandas(compare, "node long, links long, lowest long")
+    found = dealt.groupBy("label", "width", "at", "left", "step", "right").applyInPandas(compare, "node long, links long, lowest long")
     found = keep(found)
     joined = components(found.select("node", "lowest"), "node", "lowest")
-    links = found.groupBy(F.col("node").alias("of")).agg(F.sum("links").alias("links"))
-    of_class = classes.select("label", "h1", "h2", "node", "copies").join(links, F.col("node") == F.col("of"), "left").drop("of")
-    of_class = of_class.join(joined.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    of_class = of_class.select(
-        F.col("label").alias("l"), F.col("h1").alias("a"), F.col("h2").alias("b"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
-    )
-    of_row = usable.select("vec_id", "label", "h1", "h2").join(
-        of_class, (F.col("label") == F.col("l")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))
-    )
-    linked = of_row.select("vec_id", "n_links", "component_id").where("n_links > 0").distinct()
-    out = embeddings.select("vec_id").join(linked.withColumnRenamed("vec_id", "of"), F.col("vec_id") == F.col("of"), "left")
-    component = F.coalesce("component_id", "vec_id")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    slim = classes.select(*key, "node", "lowest_id", "copies")
+    of_class = slim.join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = of_class.groupBy("component").agg(F.min("lowest_id").alias("component_id"))
+    of_class = of_class.join(names, "component").select(*key, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = keep(of_class.where("n_links > 0"))
+    # Each row finds the class of its own vector; rows that cannot link have no key, and find none.
+    named = rows.withColumn("embedding", F.when(_links(F.col("label"), F.col("embedding")), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))))
+    keyed = named.select("vec_id", *[F.when(F.col("embedding").isNotNull(), c).alias(n) for n, c in {"label": F.col("label"), **hashes}.items()])
+    out = keyed.join(linked, key, "left")
+    component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")
     )

@@ -188,6 +188,28 @@ def test_suffix_dedup_edges(spark):
     assert got == [(-1, 60, 0), (4, 60, 0), (4, 60, 0), (5, 60, 60), (6, 0, 0)]
 
 
+VECTORS = "vec_id long, label int, embedding array<float>, width string"
+
+
+def brute_links(rows):
+    """Per row (vec_id, n_links, component_id, kept)."""
+    import numpy as np
+
+    ok = [k for k, (_, l, v) in enumerate(rows) if l is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    unit = {k: np.array(rows[k][2], float) / np.sqrt((np.array(rows[k][2], float) ** 2).sum()) for k in ok}
+    pairs = [(a, b) for a in ok for b in ok if a < b and rows[a][1] == rows[b][1] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.93]
+    root = reachable(range(len(rows)), pairs)
+    lowest = {}
+    for k, (i, _, _) in enumerate(rows):
+        lowest[root[k]] = min((x for x in (i, lowest.get(root[k])) if x is not None), default=None)
+    return [(i, sum(k in p for p in pairs), lowest[root[k]], i == lowest[root[k]]) for k, (i, _, _) in enumerate(rows)]
+
+
+def linked_rows(spark, rows, **how):
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], VECTORS).repartition(3)
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(frame, **how).collect()), key=str)
+
+
 def test_embedding_links_are_exact(spark):
     import numpy as np
 
@@ -199,12 +221,21 @@ def test_embedding_links_are_exact(spark):
         v = base[i % 20] + rng.normal(size=16) * rng.choice([0, 0.1, 0.3])
         rows.append((i, int(i % 3) if i % 7 else None, [float(np.float32(x)) for x in v]))
     rows += [(900, 1, None), (901, 1, [0.0] * 16), (902, 1, [float("nan")] * 16), (903, 1, [None] + [1.0] * 15), (904, 1, rows[1][2]), (905, 1, rows[1][2])]
-    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(frame, block=16).collect()}
-    ok = [(i, l, np.array(v, float)) for i, l, v in rows if l is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
-    pairs = [(a, b) for a, la, va in ok for b, lb, vb in ok if a < b and la == lb and va @ vb / np.sqrt(va @ va) / np.sqrt(vb @ vb) >= 0.93]
-    component = reachable([r[0] for r in rows], pairs)
-    assert got == {i: (sum(i in p for p in pairs), component[i], component[i] == i) for i, _, _ in rows}
+    assert linked_rows(spark, rows, block=16) == sorted(brute_links(rows), key=str)
+
+
+def test_embedding_edges(spark):
+    """Repeated and missing ids, lengths of all kinds, tiny and huge vectors, empty tables: as many rows out as in."""
+    ship(spark)
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
+    rows = [
+        (1, 0, a), (1, 0, a), (1, 0, b), (1, 1, a), (2, 0, [-x for x in a]), (None, 0, b), (None, 2, a), (None, 2, a), (None, 3, None), (7, 5, a), (3, 5, b),
+        (10, 0, [1.0, 2.0]), (11, 0, [1.0, 2.0]), (12, 0, [2.0, 4.0]), (13, 0, []), (14, 0, [5.0]), (15, 0, [9.0]), (16, None, a), (17, None, a),
+        (20, 4, [1e38, 2e38, 3e38]), (21, 4, [1e-38, 2e-38, 3e-38]), (22, 4, [0.0, -0.0, 1.0]), (23, 4, [-0.0, 0.0, 1.0]), (24, 4, [float("inf"), 1.0, 1.0]),
+    ]
+    assert linked_rows(spark, rows) == sorted(brute_links(rows), key=str)
+    assert linked_rows(spark, []) == []
+    assert linked_rows(spark, [(5, None, a), (6, 1, None)]) == [(5, 0, 5, True), (6, 0, 6, True)]
 
 
 def test_suffix_query_on_a_whole_table(spark):
