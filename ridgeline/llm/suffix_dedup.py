@@ -7,8 +7,8 @@ repeated passage. A run-length index (run_index) answers which strings of a snip
 each different snippet of a seed once, as a row of its lowest document:
 
 - Equal snippets are the tail of one run of such an index, behind the sample at its head: whatever the index holds, all
-  their strings are the head's too. They are told by 128 bits (two hashes in different bases, one of the seed and one of
-  the snippet) and settled when runs are formed, inside a task before anything is shuffled and once more by seed. So a
+  their strings are the head's too. They are told by 112 bits (two hashes in different bases, 48 of the seed's and 64 of
+  the snippet's) and settled when runs are formed, inside a task before anything is shuffled and once more by seed. So a
   passage that thousands of documents hold crosses the network once for each task, and its text once.
 - Two different snippets that share 50 bytes agree in the 16 bytes before their seed or in the 16 bytes after it. A
   snippet that agrees with no other of its seed in either has no match and stays out of the index.
@@ -103,7 +103,7 @@ def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.
 def _tags(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each text, bits of its checksum at the place above PLACE_BITS."""
     view = memoryview(raw)
-    return np.array([(zlib.crc32(view[a:b]) & 0x7FFFFF) << PLACE_BITS for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
+    return np.array([(zlib.crc32(view[a:b]) & 0x7FFF) << PLACE_BITS for a, b in zip(at.tolist(), at[1:].tolist())], np.int64)
 
 
 def snippets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SEED):
@@ -133,7 +133,7 @@ def snippets(raw: np.ndarray, at: np.ndarray, width: int = WIDTH, seed: int = SE
 
 
 def identities(raw: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each snippet 64 bits for all of it, and 32 for its sides: 16 for the bytes before the seed, 16 for those after.
+    """For each snippet 64 bits for all of it, and 24 for its sides: 12 for the bytes before the seed, 12 for those after.
 
     The sides have the half of (width - seed) bytes that any common string has on one of them at least; a side that is
     shorter has bits of its own.
@@ -143,7 +143,7 @@ def identities(raw: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.nd
     whole = ranges.of(start, end) ^ ((place - start) * 64 + end - place).astype(np.uint64)
     before = np.where(place - start >= half, ranges.of(np.maximum(place - half, 0), place), whole)
     after = np.where(end - place - seed >= half, ranges.of(place + seed, np.minimum(place + seed + half, len(raw))), whole)
-    return whole, ((before >> np.uint64(48) << np.uint64(16)) | (after >> np.uint64(48))).astype(np.uint32)
+    return whole, ((before >> np.uint64(52) << np.uint64(12)) | (after >> np.uint64(52))).astype(np.uint32)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -213,7 +213,8 @@ def _classes(buckets: int, targets: int, width: int, seed: int):
                 continue
             text = np.searchsorted(at, place, side="right") - 1
             own = start - at[text] + _tags(raw, at)[text]
-            found.append((hashes, *identities(raw, place, start, end, width, seed), part.column("doc_id").to_numpy()[text], own, (end - start).astype(np.uint16)))
+            # Of the seed's hash 48 bits travel: planes of zeros cost nothing.
+            found.append((hashes >> np.uint64(16), *identities(raw, place, start, end, width, seed), part.column("doc_id").to_numpy()[text], own, (end - start).astype(np.uint16)))
             held += len(place)
             if held >= HELD:
                 yield from settle(found)
@@ -233,7 +234,7 @@ def _shared(targets: int, hot: int):
             yield spans
         hashes, _, sides, doc, start, length = columns
         wanted, lower, many = (np.zeros(len(doc), bool) for _ in range(3))
-        for side in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+        for side in (sides >> np.uint32(12), sides & np.uint32(0xFFF)):
             order = np.lexsort((side, hashes))
             group = np.flatnonzero(_first_of(hashes[order], side[order]))
             sizes = np.diff(np.append(group, len(doc)))
