@@ -152,29 +152,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).mapInArrow(_decoded(), PIECES)
 
 
-def crc_shifted(crc: int, n_bytes: int) -> int:
-    """The crc32 register after so many zero bytes, by squaring the one-bit step as a matrix over GF(2)."""
-    step = [0xEDB88320] + [1 << k for k in range(31)]
-    times = lambda m, v: _xor(m[k] for k in range(32) if v >> k & 1)
-    bits = 8 * n_bytes
-    while bits:
-        if bits & 1:
-            crc = times(step, crc)
-        step = [times(step, row) for row in step]
-        bits >>= 1
-    return crc
-
-
-def _xor(values) -> int:
-    out = 0
-    for v in values:
-        out ^= v
+def _step_tables() -> np.ndarray:
+    """Row b: what the crc32 register's 32 bits become after 2 ** b zero bits, by squaring the one-bit step over GF(2)."""
+    tables = np.zeros((64, 32), np.uint32)
+    tables[0] = [0xEDB88320] + [1 << k for k in range(31)]
+    for b in range(1, 64):
+        tables[b] = _times(tables[b - 1], tables[b - 1])
+    return tables
+
+
+def _times(table: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(registers)
+    for k in range(32):
+        out ^= table[k] * ((registers >> np.uint32(k)) & np.uint32(1))
     return out
 
 
-def crc_joined(first: int, second: int, n_bytes: int) -> int:
-    """The crc32 of two strings in a row, the second of n_bytes bytes, from their own."""
-    return crc_shifted(first, n_bytes) ^ second
+def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The crc32 of strings as it counts in that of a longer string, which goes on for n_bytes bytes after them.
+
+    The crc32 of a string is the exclusive or of these over its parts.
+    """
+    tables, out, bits = _step_tables(), crc.astype(np.uint32), n_bytes.astype(np.uint64) << np.uint64(3)
+    for b in range(int(bits.max(initial=0)).bit_length()):
+        some = np.flatnonzero((bits >> np.uint64(b)) & np.uint64(1))
+        out[some] = _times(tables[b], out[some])
+    return out
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -185,21 +188,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         return ids.map(zlib.crc32)
 
     @F.pandas_udf("long")
-    def joined(pieces: pd.Series) -> pd.Series:
-        def fold(rows) -> int:
-            total = 0
-            for row in sorted(rows, key=lambda r: r["place"]):
-                total = crc_joined(total, row["crc"], 4 * row["length"])
-            return total
-
-        return pieces.map(fold)
+    def shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
+        return pd.Series(crc_shifted(crc.to_numpy(), n_bytes.to_numpy()).astype(np.int64))
 
     pieces = read(spark, path).select("part", "ordinal", "doc_id", "place", "length", "closed", crc("ids").alias("crc"))
     found = keep(pieces.withColumn("alone", F.col("closed") & (F.col("place") == 0)))
     whole = found.where("alone").select("part", "ordinal", "doc_id", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    split = found.where("NOT alone").groupBy("part", "ordinal", "doc_id").agg(
-        F.sum("length").alias("n_tokens"), F.collect_list(F.struct("place", "length", "crc")).alias("pieces")
-    )
-    split = split.select("part", "ordinal", "doc_id", "n_tokens", joined("pieces").alias("ids_crc32"))
+    split = found.where("NOT alone")
+    sizes = split.where("closed").select("part", "ordinal", (F.col("place") + F.col("length")).alias("n_tokens"))
+    split = split.join(sizes, ["part", "ordinal"])
+    after = 4 * (F.col("n_tokens") - F.col("place") - F.col("length"))
+    split = split.withColumn("crc", shifted("crc", after)).groupBy("part", "ordinal", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
     counted = running(whole.unionByName(split), [], "part", ["ordinal"], {"start": F.col("n_tokens")})
     return counted.select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")
