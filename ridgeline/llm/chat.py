@@ -6,7 +6,8 @@ rolls along the turns in one window pass. A conversation whose full hash equals
 another one is dropped by an anti-join; of equal conversations the smallest conv_id stays.
 
 Cases: a null role or text counts as empty; rows with a null conv_id form one conversation; turns are
-ordered by turn (null first), role, text; equal rows are separate turns; empty tables give empty results.
+ordered by turn (null first), role, text, repeated turn numbers included; equal rows are separate turns;
+conversations and texts may be of any length; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,22 @@ from ridgeline.llm.common import keep, running
 
 CHUNK = 256
 ROLES = ("system", "user", "assistant", "tool")
+#: Turns come in this order; a missing number is below all others.
+ORDER = ["turn", "role", "text"]
+#: Characters of a text by which turns without a number or a conversation are dealt to chunks.
+HEAD = 8
+
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """Adds chunk, and pos: the number of turns of the conversation before this one.
+
+    A chunk holds CHUNK turn numbers of a conversation. Turns without a number, and those of no conversation, may be
+    any share of the rows: they are cut further, by what they are ordered by.
+    """
+    many = F.col("conv_id").isNull() | F.col("turn").isNull()
+    head = [F.when(many, c).alias(n) for n, c in (("turn", F.col("turn")), ("role", F.col("role")), ("head", F.substring("text", 1, HEAD)))]
+    chunk = F.struct(F.floor(F.col("turn") / CHUNK).alias("chunk"), *head)
+    return running(turns.withColumn("chunk", chunk), ["conv_id"], "chunk", ORDER, {"pos": F.lit(1)})
 
 
 def prefix_hashes(conversations: DataFrame) -> DataFrame:
@@ -29,17 +46,14 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**40))).cast("long")
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    turns = running(turns.withColumn("chunk", chunk), ["conv_id"], "chunk", order, {"pos": F.lit(1)})
-    turns = turns.withColumn("pos", F.col("pos") + 1)
+    turns = _placed(turns).withColumn("pos", F.col("pos") + 1)
     # The xor of hashes is rolled as 4 running sums of 32-bit parts: sums of a chunk add up like counts.
     parts = {}
     for name, seed in (("a", 11), ("b", 23)):
         whole = F.xxhash64(F.lit(seed), "pos", "role", "text")
         parts[f"{name}0"] = whole.bitwiseAND(F.lit(0xFFFFFFFF))
         parts[f"{name}1"] = F.shiftrightunsigned(whole, 32)
-    turns = running(turns, ["conv_id"], "chunk", order, parts)
+    turns = running(turns, ["conv_id"], "chunk", ORDER, parts)
     own = {k: F.col(k) + v for k, v in parts.items()}
     turns = turns.withColumns(own)
     h1 = F.xxhash64(F.lit(1), "pos", *parts)
@@ -78,9 +92,7 @@ def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).join(kept, F.col("conv_id").eqNullSafe(F.col("of")))
-    chunk = F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(2**40))).cast("long")
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    turns = running(turns.withColumn("chunk", chunk), ["conv_id"], "chunk", order, {"pos": F.lit(1)})
+    turns = _placed(turns)
     role = F.lower(F.trim("role"))
     role = F.when(role.isin(*ROLES), role).otherwise(F.lit("user"))
     line = F.concat(F.lit(start), role, F.lit("\n"), "text", F.lit(end + "\n"))

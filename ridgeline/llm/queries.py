@@ -88,7 +88,7 @@ apart AS (
 kept AS (
   SELECT * FROM apart a WHERE NOT EXISTS (
     SELECT 1 FROM whole b WHERE b.n_turns > a.n_turns AND list_slice(b.turns, 1, a.n_turns) = a.turns))
-SELECT k.conv_id, CAST(floor(t.pos / 256) AS BIGINT) AS part, CAST(k.n_turns AS BIGINT) AS n_turns,
+SELECT k.conv_id, CAST(floor((t.pos - 1) / 256) AS BIGINT) AS part, CAST(k.n_turns AS BIGINT) AS n_turns,
        CAST(k.n_copies AS BIGINT) AS n_copies,
        string_agg('<|im_start|>' || CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant', 'tool') THEN lower(trim(role)) ELSE 'user' END
                   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered
