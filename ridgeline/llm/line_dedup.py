@@ -13,7 +13,7 @@ another class of about their length, which any two lines within one edit do. Wha
 verified by edit distance.
 
 Cases: null texts and rows with a null doc_id are passed through and take no part; blank and shorter lines
-always stay; rows that repeat a doc_id count as one document; empty tables give empty results; other columns are
+always stay; very long texts and lines are whole; rows that repeat a doc_id count as one document; empty tables give empty results; other columns are
 kept and added columns replace columns of the same name.
 """
 
@@ -30,7 +30,9 @@ from ridgeline.llm.common import keep
 from ridgeline.llm.hashing import BASES, mixed, powers, slices
 
 MIN_CHARS = 20
-BROADCAST_ROWS = 200_000
+#: Bytes of rows (places and hashes of lines, 64 each) up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
+HOT_LINES = 4096
 
 
 def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
@@ -82,7 +84,7 @@ def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> D
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     likely = keyed.join(shared, "key").select("h1", "h2").distinct()
     likely = keep(likely.join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "first.*"))
-    few = likely.count() <= BROADCAST_ROWS
+    few = 64 * likely.count() <= BROADCAST_BYTES
     lines = _lines(documents, min_chars)
     side = F.broadcast(likely) if few else likely
     texts = lines.join(side, ["doc_id", "pos"]).where("xxhash64(line) = h1 AND xxhash64(1, line) = h2")
@@ -117,7 +119,12 @@ def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: in
     classes = keep(classes)
     near = _near_classes(documents, classes, min_chars).withColumn("near", F.lit(True))
     judged = classes.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-    gone = slim.select("doc_id", "pos", "h1", "h2").join(judged, ["h1", "h2"])
+    # A line with so many places that one task would have them all meets its class by a broadcast; there are at most HOT_LINES of those.
+    judged = keep(judged)
+    most = slim.count() // HOT_LINES
+    hot = F.broadcast(judged.where(F.col("n") > most))
+    rows = slim.select("doc_id", "pos", "h1", "h2")
+    gone = rows.join(hot, ["h1", "h2"]).unionByName(rows.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(judged.where(F.col("n") <= most), ["h1", "h2"]))
     gone = gone.where("near OR doc_id <> first.doc_id OR pos <> first.pos")
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
