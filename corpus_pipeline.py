@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that its successor works on, the last one the
-packed pieces. A stage's result is written as a table and read again before the next one starts, so a lost
+packed pieces. Columns beyond those of documents are dropped; an empty table gives an empty one. A stage's result is written as a table and read again before the next one starts, so a lost
 executor costs one stage at most.
 """
 
@@ -17,28 +17,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like others; rows without an id and repeated rows each by their own text; labels without
+    an id or a value are not learned from.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs, labels).where("predicted = 1").select(COLUMNS)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document or place has, n_chars counted anew."""
+    """Documents without lines that an earlier document or place has, n_chars counted anew.
+
+    Every row stays, if need be with an empty text; null texts and rows without an id are as they were (see line_dedup).
+    """
     ship(spark)
     out = line_dedup.dedup(docs, shortest=1)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that similarities of 0.8 or more connect."""
+    """The document with the smallest doc_id of each group that similarities of 0.8 or more connect.
+
+    Null and blank texts and rows without an id are in no group and stay; rows that repeat a doc_id are one document.
+    """
     ship(spark)
     gone = near_join.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; rows alike in doc_id, source and size are taken equally often."""
+    """Documents as often as the mix takes them; rows alike in doc_id, source and size are taken equally often.
+
+    Rows without a word stay once; a null source is one of its own, a null doc_id an id of its own.
+    """
     ship(spark)
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"))
     taken = taken.agg(F.max("copies").alias("copies")).where("copies > 0")
@@ -48,7 +61,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens; null and empty texts give a piece of one id."""
     ship(spark)
     return packing.pack(docs)
 

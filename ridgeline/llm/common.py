@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 import weakref
@@ -36,7 +37,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors see: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder for checkpoints that all executors see: spark.checkpoint.dir.
+
+    Where it is unset, a local session (as in tests) gets a temporary folder; a cluster has to name one.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,6 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 
@@ -160,10 +166,14 @@ def by_ranges(docs: DataFrame, name: str, tie: Column, most: int, least: int, te
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // most), min(partitions(docs.sparkSession), -(-size // least)))
     bounds = quantiles(docs, "doc_id", parts)
+    return bounds, docs.withColumn(name, range_number(bounds, tie))
+
+
+def range_number(bounds: list, tie: Column) -> Column:
+    """The number of a row's range as in by_ranges."""
     count = len(bounds) + 1
     of_null = F.floor((F.shiftright(tie, 32) + F.lit(2**31)) * count / F.lit(2**32))
-    number = F.when(F.col("doc_id").isNull(), of_null).otherwise(count + range_of(F.col("doc_id"), bounds))
-    return bounds, docs.withColumn(name, number.cast("int"))
+    return F.when(F.col("doc_id").isNull(), of_null).otherwise(count + range_of(F.col("doc_id"), bounds)).cast("int")
 
 
 def running(frame: DataFrame, groups: list[str], bucket: str, order: list, sums: dict[str, Column]) -> DataFrame:

@@ -6,7 +6,9 @@ the canonical bytes themselves are compared, and different texts of one bucket g
 (the second in byte order ends in -1, and so on). So fingerprints are equal exactly if canonical texts are.
 
 Cases: null texts count as empty; equal rows have equal fingerprints; empty tables give empty results;
-the order of documents is descending doc_id, nulls last, rows that share an id by text.
+the order of documents is descending doc_id, rows that share an id by text; rows without an id come last, in order
+of a hash of the text, then the text, and are dealt to ranges of their own by it; very long texts are whole; other
+columns are not read (by `fingerprint`: are kept, a column named fingerprint is replaced).
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import keep, partitions, quantiles, range_of
+from ridgeline.llm.common import by_ranges, keep
 
 BROADCAST_IDS = 1_000_000
+#: Text of one range of documents, which one task reads: at most, and at least where the cluster has more cores.
+PART_BYTES, LEAST_PART_BYTES = 64_000_000, 4_000_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -123,22 +127,25 @@ def compare_edited(documents: DataFrame, hash_bits: int = 128) -> DataFrame:
     opens a range is also sent to the end of the range before it, so one shuffle brings all neighbours together.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = quantiles(docs, "doc_id", partitions(spark))
-    # Range 0 holds the largest ids; null ids come last.
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(len(bounds) - range_of(F.col("doc_id"), bounds)))
-    opens = docs.groupBy("bucket").agg(F.max("doc_id").alias("opens"), F.max(F.col("doc_id").isNull()).alias("none"))
-    used = sorted((r["bucket"], r["opens"]) for r in opens.collect())  # one row per range
+    docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    bounds, docs = by_ranges(docs, "number", F.xxhash64("text"), PART_BYTES, LEAST_PART_BYTES)
+    count = len(bounds) + 1
+    # Range 0 holds the largest ids; those of rows without an id come last.
+    bucket = F.when(F.col("doc_id").isNull(), count + F.col("number")).otherwise(2 * count - 1 - F.col("number"))
+    docs = docs.select("doc_id", "text", bucket.alias("bucket"), tie.alias("tie"))
+    opens = docs.groupBy("bucket").agg(F.max("doc_id").alias("opens"), F.min("tie").alias("opens_tie"))
+    used = sorted((r["bucket"], r["opens"], r["opens_tie"]) for r in opens.collect())  # one row per range
     if not used:
-        return documents.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {b: used[i - 1][0] for i, (b, _) in enumerate(used)}  # the first range follows the last
-    pairs = F.array(*[F.struct(F.lit(b).alias("of"), F.lit(o).cast("long").alias("opens"), F.lit(before[b]).alias("to")) for b, o in used])
-    heads = docs.join(F.broadcast(docs.sparkSession.range(1).select(F.inline(pairs))), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("opens")))
+        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    following = [(b, o, t, used[i - 1][0]) for i, (b, o, t) in enumerate(used)]  # the first range follows the last
+    table = spark.createDataFrame(following, "of int, opens long, opens_tie long, to int")
+    same = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("opens")) & F.col("tie").eqNullSafe(F.col("opens_tie"))
     # Of rows that share the opening id, the first in order opens the range.
-    heads = heads.groupBy("of", "to", "doc_id").agg(F.min("text").alias("text"))
-    heads = heads.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
+    heads = docs.join(F.broadcast(table), same).groupBy("of", "to", "doc_id", "tie").agg(F.min("text").alias("text"))
+    heads = heads.select("doc_id", "text", F.col("to").alias("bucket"), "tie", F.lit(True).alias("extra"))
     everything = docs.withColumn("extra", F.lit(False)).unionByName(heads)
-    ordered = everything.repartition(len(used), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = everything.repartition(len(used), "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "tie", "text")
     marks = keep(ordered.select("bucket", "doc_id", "text", "extra").mapInArrow(_marks, MARKS))
     digits = hash_bits // 4
     marks = marks.withColumns({"hash": F.substring("hash", 1, digits), "edited_hash": F.substring("edited_hash", 1, digits)})

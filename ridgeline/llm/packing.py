@@ -9,8 +9,8 @@ pattern that the duals value most, until none can improve the program by more th
 rounded-down pattern counts are completed by best fit over the few pieces that rounding leaves. Documents
 are ranked within their length, and a rank finds its pattern, sequence and offset in the slot table.
 
-Cases: null and empty texts hold the end id only; repeated rows are separate documents; very long texts
-give many pieces; an empty table gives an empty result; columns other than doc_id and text are not read.
+Cases: null and empty texts hold the end id only; repeated rows and rows without an id are separate documents;
+very long texts give many pieces; an empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import keep, partitions, quantiles, range_of, running
+from ridgeline.llm.common import keep, partitions, quantiles, range_number, running
 from ridgeline.llm.hashing import slices
 from ridgeline.llm.tokens import encoder, with_end
 
@@ -206,7 +206,9 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
         {
             "full": F.floor(F.col("doc_tokens") / capacity),
             "size": F.col("doc_tokens") % capacity,
-            "bucket": F.coalesce(range_of(F.col("doc_id"), bounds), F.lit(0)),
+            # Rows without an id come first, dealt to buckets by a hash, so that they may be any share of the rows.
+            "bucket": range_number(bounds, F.xxhash64("doc_tokens", "crcs")),
+            "tie": F.when(F.col("doc_id").isNull(), F.xxhash64("doc_tokens", "crcs")),
         }
     )
     histogram = docs.where("size > 0").groupBy("size").count().toPandas().sort_values("size")  # under capacity rows
@@ -219,7 +221,7 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capac
     names = "of_class long, first_rank long, end_rank long, per_sequence long, first_sequence long"
     # A row per length of a pattern; patterns are at most capacity and those that complete the rounding.
     table = F.broadcast(spark.createDataFrame(table, names))
-    order = [F.col("doc_id").asc_nulls_first(), "doc_tokens", "crcs"]
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "doc_tokens", "crcs"]
     short = docs.where("size > 0").join(class_of, F.col("size") == F.col("of_size")).drop("of_size")
     ranked = running(short, ["class"], "bucket", order, {"rank": F.lit(1)})
     inside = (F.col("class") == F.col("of_class")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))

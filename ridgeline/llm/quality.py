@@ -194,7 +194,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lab
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string")) % 5 == 0
+    """Whether labels of a row are never learned from; a row without an id has none, and is not held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
 def score(documents: DataFrame, model: AdditiveModel, threshold: float = THRESHOLD) -> DataFrame:

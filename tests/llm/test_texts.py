@@ -165,6 +165,165 @@ def test_chat(spark):
     assert chat.render(frame.limit(0)).count() == 0
 
 
+def test_chat_query_equals_its_sql_on_long_conversations(spark, tmp_path):
+    import duckdb
+
+    turn = lambda c, k, text=None, role=None: (c, k, role or ["user", "assistant"][k % 2], text or f"text {k}")
+    rows = [turn(1, k) for k in range(600)] + [turn(2, k) for k in range(512)] + [turn(3, k) for k in range(256)] + [turn(4, k, f"own {k}") for k in range(257)]
+    rows += [turn(5, 7, f"same number {k % 9}") for k in range(300)] + [turn(6, k, role="SYSTEM ") for k in range(3)] + [turn(7, 0, "x"), turn(7, 0, "x"), turn(8, 0, "x")]
+    rows += [turn(9, k, "long " * 9000) for k in range(2)] + [(10, 0, None, None), (11, 0, "", "")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op8_chat_formatting(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op8_chat_formatting']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert {(r.conv_id, r.part) for r in got.collect()} >= {(1, 0), (1, 1), (1, 2), (4, 0), (4, 1), (5, 0), (5, 1)} and not {2, 3, 8} & {r.conv_id for r in got.collect()}
+
+
+def test_chat_turns_without_numbers_or_conversation(spark):
+    rows = [(None, k % 3, "user", f"word {k}") for k in range(400)] + [(1, None, "user", f"turn {k}") for k in range(300)] + [(2, None, None, None), (2, 0, "user", "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    got = {(r.conv_id, r.part): r for r in chat.render(frame).collect()}
+    assert {key[0]: r.n_turns for key, r in got.items()} == {None: 400, 1: 300, 2: 2}
+    text = "".join(got[None, p].rendered for p in range(2))
+    assert text == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for _, _, _, t in sorted(rows[:400], key=lambda r: (r[1], r[3])))
+    assert got[2, 0].rendered == "<|im_start|>user\n<|im_end|>\n<|im_start|>user\nb<|im_end|>\n"
+
+
+def test_fingerprints_of_rows_without_or_with_one_id(spark):
+    texts = [f"text {k}" for k in range(30)]
+    rows = [(None, t, "s") for t in texts] + [(5, t, "s") for t in texts[:10]] + [(1, "one", "s"), (9, None, "s")]
+    got = fingerprints.compare_edited(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t or "")) for i, t, _ in rows)
+    marks = {}
+    for r in got:
+        marks.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert marks[5] <= marks[None] and len(marks[None]) == 30
+    # Every text but the last few is followed by another one: edited texts differ from their own.
+    assert sum(r.near_next for r in got) <= 2
+
+
+def brute_lines(rows):
+    """Lines that stay, by (doc_id, text): exact repeats go, from 20 characters on those within one edit too."""
+    out, seen, long = {}, set(), []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        left = []
+        for line in (text or "").split("\n"):
+            plain = line.strip(" ")
+            gone = bool(plain.strip()) and (plain in seen or (len(plain) >= 20 and any(one_edit(plain, other) for other in long)))
+            seen.add(plain)
+            if len(plain) >= 20:
+                long.append(plain)
+            if not gone:
+                left.append(line)
+        out[i] = "\n".join(left)
+    return out
+
+
+def brute_groups(texts):
+    """Of each group that similarities of 0.8 connect, the smallest doc_id."""
+    sets = {}
+    for i, text in texts.items():
+        parts = text.split()
+        sets[i] = {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def test_pipeline_run_against_a_brute_force_chain(spark, tmp_path):
+    import duckdb
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(41)
+    words = [f"word{k}" for k in range(300)]
+    rows, labels = [], []
+    shared = " ".join(rng.sample(words, 9))
+    for i in range(240):
+        good = i % 4 > 0
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(6, 14))) for _ in range(rng.randrange(1, 6))] if good else ["BUY!!! $$$ click|here 0000"] * 4
+        if good and i % 5 == 0:
+            lines.insert(rng.randrange(len(lines)), shared if i % 10 else shared[:-1] + "#")
+        rows.append((i, "\n".join(lines), "web" if i % 3 else rng.choice(["book", None])))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    for k in range(12):  # copies and near copies of whole texts, in one line each so that line dedup leaves changed ones
+        base = " ".join(rng.choice(words) for _ in range(60))
+        rows += [(1000 + 3 * k, base, "web"), (1001 + 3 * k, base + " tail end", "book"), (1002 + 3 * k, base, "web")]
+    documents(spark, rows).drop("score").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    passed = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 1").collect()}
+    assert {i for i, _, _ in rows if i < 240 and i % 4 == 0} & passed == set() and len(passed) > 200
+    left = brute_lines([(i, t) for i, t, _ in rows if i in passed])
+    kept = brute_groups(left)
+    assert len(kept) < len(left)
+    table = [(i, left[i], s) for i, _, s in rows if i in kept]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", table)
+    mix = con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLES['op10_source_mixing']})").fetchall()
+    copies = {i: taken // size if size else 1 for i, size, taken in mix}
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = Counter()
+    for i, text, _ in table:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        for at in range(0, len(ids), 1024):
+            part = ids[at : at + 1024]
+            expected[i, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += copies[i]
+    assert Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces) == +expected
+    filled = Counter()
+    for p in pieces:
+        filled[p.sequence_id] += p.length
+    assert max(filled.values()) <= 1024 and len(filled) <= 1.05 * sum(filled.values()) / 1024 + 2
+
+
+HARD = [
+    (1, None, "en", "web", 0), (2, "", None, None, 0), (3, "word " * 40_000, "en", "web", 9), (4, "same text of several words here", "en", "web", 1), (4, "same text of several words here", "en", "web", 1),
+    (None, "a text without an id, of several words", "en", "web", 2), (None, None, None, None, None), (5, "same text of several words here", "de", "book", 3), (6, "\n\n \n", "en", "web", 4),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_hard_rows(spark, tmp_path, name):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, kept boolean, gone string, size long, copies int, copy int, bucket int"
+    spark.createDataFrame([(i, int(i != 6), 0) for i in (1, 2, 3, 4, 6)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame([(*r, 9.0, 9, None, "x", 9, 9, 9, 9) for r in HARD], schema).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    found = stage(spark, frame, str(tmp_path))
+    rows = found.collect()
+    empty = stage(spark, frame.limit(0), str(tmp_path))
+    assert empty.collect() == [] and empty.columns == found.columns
+    if name == "packing":
+        assert Counter(p.doc_id for p in rows if p.start == 0) == Counter(r[0] for r in HARD)
+        return
+    assert found.columns == corpus_pipeline.COLUMNS
+    ids = Counter(r.doc_id for r in rows)
+    assert set(ids) <= {r[0] for r in HARD}
+    if name == "lines":
+        assert ids == Counter(r[0] for r in HARD) and next(r.text for r in rows if r.doc_id == 5) == "" and next(r.text for r in rows if r.doc_id == 1) is None
+    if name == "near_duplicates":
+        assert ids == Counter(r[0] for r in HARD if r[0] != 5)
+    if name == "mixing":
+        assert ids[None] >= 1 and ids[4] % 2 == 0 and all(r.text is None or isinstance(r.text, str) for r in rows)
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
