@@ -24,7 +24,7 @@ import numpy as np
 
 BLOCK = 4096
 #: Blocks side by side; a task holds some 80 kB of models, ids and words for each.
-LANES = 1536
+LANES = 1024
 CONTEXTS = 1024
 BINS = 256
 STATES = 32  # confidence of order 2, confidence of order 1, whether they agree
@@ -134,7 +134,7 @@ def _encode(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     longest, lanes = int(lengths.max(initial=0)), len(blocks)
-    ids = np.zeros((longest + 2, lanes), np.int64)  # two zeros in front
+    ids = np.zeros((longest + 2, lanes), np.int32)  # two zeros in front; a symbol has 16 bits
     for lane, k in enumerate(order):
         if symbols == 1:
             ids[2 : 2 + lengths[lane], lane] = blocks[k]
@@ -155,10 +155,10 @@ def _encode(blocks: list[np.ndarray], symbols: int) -> list[bytes]:
     live = _live(lengths, longest)
     for begin, end in _epochs(longest):
         n = int(live[begin])
-        now = ids[begin + 2 : end + 2, :n]
-        at = models.at(ids[begin : end, :n], ids[begin + 1 : end + 1, :n])
+        slim = ids[begin + 2 : end + 2, :n]
+        now, known = slim.astype(np.int64), ids[begin : end + 1, :n].astype(np.int64)
+        at = models.at(known[:-1], known[1:])
         guesses = np.empty(at.shape, np.int32)
-        slim = now.astype(np.int32)
         for j in range(end - begin):
             guess = models.tables.take(at[j], out=guesses[j])
             models.tables[at[j]] = models.corrected(guess, slim[j])
@@ -236,7 +236,7 @@ def _decode(coded: list[bytes], heads: list[tuple], symbols: int) -> list[np.nda
     models, words = _Models(lanes, lookup=True), words.ravel()
     code = sum(words[line + k].astype(np.uint64) << np.uint64(32 - 16 * k) for k in range(3))
     place, span = line + 3, np.full(lanes, FULL)
-    ids = np.zeros((longest + 2, lanes), np.int64)
+    ids = np.zeros((longest + 2, lanes), np.int32)
     live = _live(lengths, longest)
     sixteen = np.uint64(16)
     for begin, end in _epochs(longest):
@@ -247,7 +247,7 @@ def _decode(coded: list[bytes], heads: list[tuple], symbols: int) -> list[np.nda
         for j in range(end - begin):
             step = begin + j
             n = int(live[step])
-            at = models.at(ids[step, :n], ids[step + 1, :n])
+            at = models.at(ids[step, :n].astype(np.int64), ids[step + 1, :n].astype(np.int64))
             guess = models.tables.take(at)
             two, one = guess[0], guess[1]
             state = models.state(two, one)
@@ -286,6 +286,6 @@ def _decode(coded: list[bytes], heads: list[tuple], symbols: int) -> list[np.nda
         models.learn(states, events, _BIN_OF[np.minimum(ids[begin + 2 : end + 2, :n], 65535)])
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
     for lane, k in enumerate(order):
-        row = ids[2 : 2 + lengths[lane], lane]
-        found[k] = row.copy() if symbols == 1 else (row[::2] << 16) | row[1::2]
+        row = ids[2 : 2 + lengths[lane], lane].astype(np.int64)
+        found[k] = row if symbols == 1 else (row[::2] << 16) | row[1::2]
     return found

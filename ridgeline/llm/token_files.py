@@ -33,7 +33,7 @@ BLOCK_FIELDS = "part int, number long, ordinals array<long>, doc_ids array<long>
 #: Text of one range of documents, which one task encodes: at most, and at least where the cluster has more cores.
 PART_BYTES, LEAST_PART_BYTES = 32_000_000, 4_000_000
 #: Text that is tokenised at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 _ID = pa.int64()
@@ -78,7 +78,7 @@ class _Part:
         length = np.diff(np.append(cuts, end))
         offsets = np.searchsorted(cuts, np.append(np.arange(begin, end, size), end))
         self.docs = [d[ends > end] for d in self.docs]
-        coded = range_coder.encode([ids[i : i + size].astype(np.int64) for i in range(0, taken, size)])
+        coded = range_coder.encode([ids[i : min(i + size, taken)] for i in range(0, taken, size)])
         id_values = pa.array(doc_ids[of], pa.int64(), mask=known[of] == 0)
         columns = [
             pa.array(np.full(count, self.part, np.int32)), pa.array(np.arange(count) + begin // size),

@@ -22,7 +22,7 @@ _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _WORDLIKE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 SPLITTABLE = ("byte_bpe_50k.json", "word_bpe_49k.json")
-CACHED = 200_000
+CACHED = 100_000
 #: Parts above this many characters are not kept.
 LONGEST_KEPT = 64
 BAR = "|"
