@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SYMBOL, DAY = "vt_symbol", "day"
@@ -69,10 +69,16 @@ def ahead_max(x: Column | str, n: int, window=None) -> Column:
 def average_rank(x: Column | str, *groups: str) -> Column:
     """Rank from 1 within groups, equal values sharing the mean of their places."""
     ordered = Window.partitionBy(*groups).orderBy(col(x))
-    ties = Window.partitionBy(*groups, col(x))
+    ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)  # in the same order: one sort serves both
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
+def melted(rows: DataFrame, keep: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:
+    """keep, name and value: a row for each of the named columns. Rows stay where they are, so a partitioning holds."""
+    each = F.array(*[F.struct(F.lit(n).alias(name), c.alias(value)) for n, c in columns.items()])
+    return rows.select(*keep, F.inline(each))
+
+
 def place(*groups: str, order: list) -> Column:
     """Place from 1 within groups; order has to end with a unique key."""
     return F.row_number().over(Window.partitionBy(*groups).orderBy(*order))

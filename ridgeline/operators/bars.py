@@ -5,11 +5,10 @@ A bar is one row (vt_symbol, day, open, high, low, close, volume, turnover, vwap
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import place
-
 REQUIRED = {"vt_symbol", "day", "open", "high", "low", "close", "volume"}
 MEMBER_FROM, MEMBER_UNTIL = "1995-01-02", "2001-12-31"
 
@@ -36,6 +35,17 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.select(symbol, "l_suppkey", "day", "open", "high", "low", "close", "volume", "turnover", vwap, status, "is_st")
 
 
+def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly bars as a table that a study reads many times: made once, dealt by symbol, kept on the executors.
+
+    The panel, the market calendar and the entry, exit and mark sides of the labels all read it, each other columns; without
+    it every one of them would scan and aggregate the sales anew. It is far smaller than the sales, spills to disk, and a
+    lost executor's part is made again from them.
+    """
+    bars = weekly_bars(spark, sf_dir).repartition("vt_symbol")
+    return bars if bars.storageLevel.useMemory else bars.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def normalised(raw: DataFrame) -> DataFrame:
     """raw as a bar panel: day from datetime or date, vt_symbol from code, status columns added where they miss.
 
@@ -120,9 +130,3 @@ def first_day_of_weeks(days: DataFrame) -> DataFrame:
     """The first market day of each ISO week."""
     year, week = F.extract(F.lit("YEAROFWEEK"), "day"), F.weekofyear("day")
     return days.groupBy(year.alias("iso_year"), week.alias("iso_week")).agg(F.min("day").alias("day"))
-
-
-def first_of_product(contracts: DataFrame, today: str, count: int = 6) -> DataFrame:
-    """Live futures contracts by product: the count that expire first, by (expiry, id)."""
-    live = contracts.where(F.col("tradable") & (F.col("product_class") == "1") & (F.col("expires") >= F.lit(today).cast("date")))
-    return live.withColumn("place", place("product", order=["expires", "instrument"])).where(F.col("place") <= count)

@@ -37,6 +37,17 @@ def as_of(rows: DataFrame, on: str, facts: DataFrame, facts_on: str, by: str, ta
     return carried.select(*rows.columns, *[F.col("__last")[c].alias(c) for c in take])
 
 
+def attached(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of facts, one fact for each row: ValueError if facts repeat a key, or a row finds none."""
+    repeated = facts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"facts repeat {on}: {repeated.first().asDict()}")
+    missing = rows.join(facts.select(*on), on, "left_anti")
+    if not missing.isEmpty():
+        raise ValueError(f"rows without a fact: {missing.select(*on).first().asDict()}")
+    return rows.join(facts, on)
+
+
 def filled(side: str):
     flag = (F.col(f"{side}_open") > 0) & (F.col(f"{side}_volume") > 0) & (F.col(f"{side}_status") == 1)
     return F.coalesce(flag, F.lit(False))

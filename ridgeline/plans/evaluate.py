@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import average_rank, correlation, finite, mean_where, place, rate
+from ridgeline.functions.columns import average_rank, correlation, finite, mean_where, melted, place, rate
 
 COST = 0.003
 #: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits.
@@ -13,22 +13,25 @@ DIGITS = 9
 
 
 def long_scores(frame: DataFrame, factors: dict[str, str], keep: list[str], digits: int = DIGITS) -> DataFrame:
-    """frame with one row per factor: keep, factor, score."""
+    """frame with one row per factor: keep, factor, score.
+
+    Rows with an era are dealt by era and day, as all kernels group them, while a row has all scores: one row a factor then
+    comes about in place, and the long rows are not shuffled.
+    """
     scored = frame.select(*keep, *[F.round(F.expr(x).cast("double"), digits).alias(f"f_{name}") for name, x in factors.items()])
-    columns = [f"f_{name}" for name in factors]
-    long = scored.unpivot(keep, columns, "factor", "score")
-    return long.withColumn("factor", F.expr("substring(factor, 3)"))
+    dealt = scored.repartition("era", "day") if "era" in keep else scored
+    return melted(dealt, keep, {name: F.col(f"f_{name}") for name in factors}, "factor", "score")
 
 
 def by_era(rows: DataFrame, eras: list[tuple[str, str, str]], clip_exit: bool = True) -> DataFrame:
     """rows with their era; a row whose exit is after its era's end belongs to none, unless clip_exit is off."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(eras, "era string, era_start string, era_end string")
-    table = table.select("era", F.col("era_start").cast("date"), F.col("era_end").cast("date"))
-    inside = F.col("day").between(F.col("era_start"), F.col("era_end"))
-    if clip_exit:
-        inside &= F.col("exit_day") <= F.col("era_end")
-    return rows.join(F.broadcast(table), inside).drop("era_start", "era_end")  # a handful of eras
+
+    def named(name: str, start: str, end: str) -> Column:
+        inside = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+        return F.when(inside & (F.col("exit_day") <= F.lit(end).cast("date")) if clip_exit else inside, F.lit(name))
+
+    # A handful of eras, which may overlap.
+    return rows.withColumn("era", F.explode(F.array_compact(F.array(*[named(*e) for e in eras]))))
 
 
 def positive_signal_days(rows: DataFrame, target: str = "forward_return", min_stocks: int = 50, min_signals: int = 20) -> DataFrame:
@@ -90,27 +93,3 @@ def top_summary(daily: DataFrame, *groups: str) -> DataFrame:
     )
     half = F.when(F.col("days") > 1, 1.96 * F.col("edge_sd") / F.sqrt("days"))
     return out.withColumns({"after_cost": F.col("signal_mean") - COST, "edge_low": F.col("edge") - half, "edge_high": F.col("edge") + half})
-
-
-def screened(summary: DataFrame, rules: dict[str, dict], names: tuple[str, ...] = ("factor",)) -> DataFrame:
-    """One row per factor with the columns of its weakest era and `qualifies`: every era meets its least values.
-
-    rules: era -> {column: (least value, whether it may be equal)}.
-    """
-    met = F.lit(True)
-    for era, limits in rules.items():
-        ok = F.lit(True)
-        for column, (least, equal) in limits.items():
-            ok &= F.coalesce(F.col(column) >= least if equal else F.col(column) > least, F.lit(False))
-        met = F.when(F.col("era") == era, ok).otherwise(met)
-    judged = summary.where(F.col("era").isin(*rules)).withColumn("met", met)
-    out = judged.groupBy(*names).agg(
-        F.count_if("met").alias("eras_met"), F.min("edge").alias("weakest_edge"), F.min("signal_mean").alias("weakest_signal_mean"), F.min("signals").alias("fewest_signals"),
-    )
-    return out.withColumn("qualifies", F.col("eras_met") == len(rules))
-
-
-def selected(screen: DataFrame, count: int = 1) -> DataFrame:
-    """The best factors: qualified ones first, then by weakest edge, equal ones by the larger name."""
-    order = [F.col("qualifies").desc(), F.coalesce("weakest_edge", F.lit(-999.0)).desc(), F.col("factor").desc()]
-    return screen.orderBy(*order).limit(count)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import average_rank, correlation, finite, rate
+from ridgeline.functions.columns import average_rank, correlation, finite, melted
 from ridgeline.operators import bars as B
 from ridgeline.operators import labels
 from ridgeline.plans import evaluate, factors, features
@@ -18,7 +18,8 @@ START, END = "1995-01-02", "2001-11-05"
 ERAS = [("train", "1995-01-02", "1998-06-30"), ("valid", "1998-07-01", "2000-03-31"), ("test", "2000-04-01", "2001-11-05")]
 LABELS = ["intent_return", "worst_case_return", "entry_fill", "unclosed_at_horizon"]
 KEYS = ["day", "exit_day", "vt_symbol"]
-#: Weekly prices of unrelated sales move by far more than 25 %, so the censored study runs without the jump filter here.
+#: Weekly prices of unrelated sales move by far more than 25 %, so the censored studies run without the jump filter here;
+#: jump_free_labels has it on.
 ELIGIBLE = "close > 0 AND volume > 0 AND tradestatus = 1 AND is_st = 0"
 
 
@@ -40,18 +41,19 @@ def _scheduled(panel: DataFrame, bars: DataFrame, step: int, offset: int) -> Dat
     return panel.join(F.broadcast(B.schedule(B.market_days(bars), START, END, step, offset)), "day")
 
 
-def keep_all_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0, scheduled: bool = True) -> DataFrame:
+def keep_all_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0) -> DataFrame:
     """The keep-all study: members with context, eligible by what is known on the day, every signal labelled."""
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
-    rows = _scheduled(with_context(members), bars, step, offset) if scheduled else with_context(members)
+    # A day's context needs that day alone, so days that are not scheduled fall out first.
+    rows = with_context(_scheduled(members, bars, step, offset))
     rows = rows.where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
     return labels.keep_all(rows, bars)
 
 
 def unified_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0) -> DataFrame:
     """The unified study: snapshot members of scheduled days, those without a bar falling out, context after eligibility."""
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     days = B.schedule(B.market_days(bars), START, END, step, offset)
     snapshot = B.snapshot_members(B.membership(spark, sf_dir), days).join(F.broadcast(days), "day")
     rows = snapshot.join(features.panel(bars), ["vt_symbol", "day"], "left")
@@ -59,11 +61,11 @@ def unified_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int =
     return labels.keep_all(with_context(rows), bars)
 
 
-def censored_frame(spark: SparkSession, sf_dir: str, use_status: bool = False) -> DataFrame:
+def censored_frame(spark: SparkSession, sf_dir: str, use_status: bool = False, use_jumps: bool = False) -> DataFrame:
     """The first study and its follow-up: members with context, labels filtered by what happened later."""
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
-    return labels.censored(_scheduled(with_context(members), bars, 6, 0), bars, use_jumps=False, use_status=use_status)
+    return labels.censored(with_context(_scheduled(members, bars, 6, 0)), bars, use_jumps=use_jumps, use_status=use_status)
 
 
 def scores(frame: DataFrame, study: str, digits: int = 6) -> DataFrame:
@@ -72,14 +74,17 @@ def scores(frame: DataFrame, study: str, digits: int = 6) -> DataFrame:
     return frame.select("day", "vt_symbol", *[F.round(F.expr(x).cast("double"), digits).alias(name) for name, x in wanted.items()])
 
 
+def in_eras(frame: DataFrame, wanted: dict[str, str], eras: list, labelled: list[str], clip_exit: bool = True) -> DataFrame:
+    """The long rows of all eras, which are named before there is a row for each factor."""
+    return evaluate.long_scores(evaluate.by_era(frame, eras, clip_exit), wanted, [*KEYS, "era", *labelled])
+
+
 def top_daily(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50, clip_exit: bool = True) -> DataFrame:
-    long = evaluate.long_scores(frame, factors.STUDIES[study], KEYS + LABELS)
-    return evaluate.top_days(evaluate.by_era(long, eras, clip_exit), min_stocks=min_stocks)
+    return evaluate.top_days(in_eras(frame, factors.STUDIES[study], eras, LABELS, clip_exit), min_stocks=min_stocks)
 
 
 def signal_daily(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50, min_signals: int = 20) -> DataFrame:
-    long = evaluate.long_scores(frame, factors.STUDIES[study], [*KEYS, "forward_return"])
-    return evaluate.positive_signal_days(evaluate.by_era(long, eras), min_stocks=min_stocks, min_signals=min_signals)
+    return evaluate.positive_signal_days(in_eras(frame, factors.STUDIES[study], eras, ["forward_return"]), min_stocks=min_stocks, min_signals=min_signals)
 
 
 def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows (vt_symbol, factor, train_rows, valid_rows, test_rows, train_ic, valid_ic, test_ic, is_selected).
     """
     rows = Window.partitionBy("vt_symbol").orderBy("day")
-    panel = features.panel(B.weekly_bars(spark, sf_dir))
+    panel = features.panel(B.bar_table(spark, sf_dir))
     # Here a comparison with a missing average counts as false, not as missing.
     above = F.when(F.col("short_gap") > 0, 1.0).otherwise(0.0)
     panel = panel.withColumn("above", above).withColumn("above_share10", features.rolling(F.avg, "above", 10))
@@ -100,7 +105,7 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = full.withColumn("number", F.row_number().over(rows) - 1).where("number % 6 = 0").withColumn("number", F.col("number") / 6)
     size = F.count("*").over(Window.partitionBy("vt_symbol"))
     part = F.when(F.col("number") < F.floor(size * F.lit(0.6)), "train").when(F.col("number") < F.floor(size * F.lit(0.8)), "valid").otherwise("test")
-    long = full.withColumn("part", part).unpivot(["vt_symbol", "day", "part", "target"], list(wanted), "factor", "score")
+    long = melted(full.withColumn("part", part), ["vt_symbol", "day", "part", "target"], {n: F.col(n) for n in wanted}, "factor", "score")
     long = long.withColumns({"a": average_rank("score", "vt_symbol", "part", "factor"), "b": average_rank("target", "vt_symbol", "part", "factor")})
     ic = long.groupBy("vt_symbol", "factor", "part").agg(F.count("*").alias("n"), F.round(correlation("a", "b"), evaluate.DIGITS).alias("ic"))
     parts = ("train", "valid", "test")
@@ -115,8 +120,7 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boundary(frame: DataFrame, study: str) -> DataFrame:
     """How clipping signals whose exit lies past their era changes each factor: rows crossing, edges with and without."""
-    long = evaluate.long_scores(frame, factors.STUDIES[study], KEYS + LABELS)
-    free = evaluate.by_era(long, ERAS, clip_exit=False)
+    free = in_eras(frame, factors.STUDIES[study], ERAS, LABELS, clip_exit=False)
     table = {name: end for name, _, end in ERAS}
     ends = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     crossing = F.col("exit_day") > F.element_at(ends, F.col("era")).cast("date")
@@ -130,7 +134,7 @@ def boundary(frame: DataFrame, study: str) -> DataFrame:
 
 def offsets(spark: SparkSession, sf_dir: str, factor: str = "uptrend_pullback", step: int = 6) -> DataFrame:
     """One factor evaluated on each of the step possible sampling calendars: one pass over the panel, calendars unioned."""
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     days = B.market_days(bars)
     calendars = [B.schedule(days, START, END, step, k).withColumn("era", F.lit(f"offset {k}")) for k in range(step)]
     calendar = calendars[0]
@@ -146,8 +150,7 @@ def dense_days(spark: SparkSession, sf_dir: str, factor: str = "market_down_day"
     """One factor on every market day, by year: each day of the year's grid counts, days without signals as missing."""
     frame = keep_all_frame(spark, sf_dir, step=1)
     years = [(str(y), f"{y}-01-01", f"{y}-12-31") for y in range(1995, 2002)]
-    long = evaluate.long_scores(frame, {factor: factors.STUDIES["clean"][factor]}, KEYS + LABELS)
-    rows = evaluate.by_era(long, years)
+    rows = in_eras(frame, {factor: factors.STUDIES["clean"][factor]}, years, LABELS)
     grid = rows.select("era", "day").distinct()
     daily = evaluate.top_days(rows, min_stocks=1).select("era", "day", "signals", "signal_mean", "edge", "signal_up_rate", "entry_no_fills", "unclosed")
     return grid.join(daily, ["era", "day"], "left")
@@ -164,16 +167,12 @@ def dense_summary(daily: DataFrame) -> DataFrame:
 
 def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widening", min_stocks: int = 5) -> DataFrame:
     """A locked rule on another universe: symbols that were never members, daily features, then scheduled days only."""
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
     rows = features.panel(bars).join(cohort, "vt_symbol", "left_semi")
     rows = _scheduled(rows, bars, 1, 0).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
     dates = B.schedule(B.market_days(bars), START, END).select("day")
     rows = labels.keep_all(rows, bars).join(F.broadcast(dates), "day", "left_semi")
-    long = evaluate.long_scores(rows, {factor: factors.STUDIES["price"][factor]}, KEYS + LABELS)
-    daily = evaluate.top_days(evaluate.by_era(long, [*ERAS, ("combined", START, END)]), min_stocks=min_stocks)
+    long = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
+    daily = evaluate.top_days(long, min_stocks=min_stocks)
     return evaluate.top_summary(daily)
-
-
-def up_rate(frame: DataFrame) -> DataFrame:
-    return frame.groupBy("day").agg(rate(F.col("intent_return") > 0).alias("up_rate"))

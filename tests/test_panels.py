@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions.columns import average_rank, correlation, ratio, rolling
 from ridgeline.operators import bars as B
 from ridgeline.operators import labels, quality
-from ridgeline.plans import bootstrap, evaluate, factors, features, studies
+from ridgeline.plans import bootstrap, factors, features, screens, studies
 from ridgeline.plans.ledger import StudyLedger
 
 BAR = "vt_symbol string, day date, open double, high double, low double, close double, volume double, tradestatus int, is_st int"
@@ -76,6 +76,27 @@ def test_normalised_and_overlaps(spark):
     assert [r.vt_symbol for r in B.overlapping(spans).collect()] == ["A"]
 
 
+def test_checks_of_snapshots_calendars_and_facts(spark):
+    bars = spark.createDataFrame(list(panel_rows("A", 6, lambda i: 5.0)), BAR)
+    days = bars.select("day").distinct()
+    assert quality.checked_calendar(bars, days).count() == 6
+    with pytest.raises(ValueError):
+        quality.checked_calendar(bars, days.where(F.col("day") > F.lit(FIRST)))
+    with pytest.raises(ValueError):
+        quality.checked_calendar(bars.where(F.col("day") != F.lit(FIRST + timedelta(days=3))), days)
+    members = spark.createDataFrame([(FIRST, "A"), (FIRST, "B"), (FIRST + timedelta(days=7), "A"), (FIRST + timedelta(days=7), "C")], "day date, vt_symbol string")
+    assert quality.checked_members(members, 2, 2).count() == 4
+    for broken, least in ((members, 3), (members.unionByName(members.limit(1)), 1), (members.limit(0), 0)):
+        with pytest.raises(ValueError):
+            quality.checked_members(broken, least, 9)
+    assert {(r.vt_symbol, r.snapshots) for r in quality.union_of_members(members).collect()} == {("A", 2), ("B", 1), ("C", 1)}
+    facts = spark.createDataFrame([("A", 1), ("B", 2)], "vt_symbol string, sector int")
+    assert labels.attached(members.where("vt_symbol <> 'C'"), facts, ["vt_symbol"]).count() == 3
+    for rows, side in ((members, facts), (members.where("vt_symbol = 'A'"), facts.unionByName(facts))):
+        with pytest.raises(ValueError):
+            labels.attached(rows, side, ["vt_symbol"])
+
+
 def test_frozen_prices(spark):
     bars = spark.createDataFrame(list(panel_rows("A", 9, lambda i: float(max(i, 5) if i < 7 else 9))), BAR)
     assert [(r.first_day, r.bars) for r in quality.frozen_prices(bars).collect()] == [(FIRST, 6)]
@@ -103,13 +124,38 @@ def test_bootstrap_is_repeatable_and_meets_brute_force(spark):
     assert twice[0] == twice[1]
 
 
-def test_screen_and_selection(spark):
-    rows = [("a", "train", 20, 600, 0.01, 0.02), ("a", "valid", 20, 600, 0.01, 0.01), ("b", "train", 20, 600, 0.01, 0.05), ("b", "valid", 20, 10, 0.01, 0.05), ("c", "train", 20, 600, 0.01, 0.01), ("c", "valid", 20, 600, 0.01, 0.01)]
-    summary = spark.createDataFrame(rows, "factor string, era string, days long, signals long, signal_mean double, edge double")
-    rules = {e: {"days": (20, True), "signals": (500, True), "signal_mean": (0.003, False)} for e in ("train", "valid")}
-    screen = evaluate.screened(summary, rules)
-    assert {r.factor: r.qualifies for r in screen.collect()} == {"a": True, "b": False, "c": True}
-    assert evaluate.selected(screen).first().factor == "c"
+SUMMARY = "factor string, era string, days long, signals long, signal_mean double, edge double, rank_ic double, rank_ic_days long, edge_low double, net_low double"
+
+
+def test_screens_and_selection_pools(spark):
+    eras = ("train", "valid", "old_dev", "new_dev")
+
+    def rows(factor, days=70, signals=600, mean=0.01, edge=0.02, ic=0.02, last=None):
+        made = [[factor, era, days, signals, mean, edge, float(ic), days, 0.001, 0.001] for era in eras]
+        for place, value in (last or {}).items():
+            made[3][place] = value
+        return [tuple(r) for r in made]
+
+    frame = lambda *parts: spark.createDataFrame([r for p in parts for r in p], SUMMARY)
+    rules = screens.SCREENS["clean"]
+    table = frame(rows("a", mean=0.011), rows("b", mean=0.012), rows("short", last={2: 29}), rows("edge", last={5: 0.0015}), rows("null", last={6: None}), rows("few", last={3: 499}), rows("three")[:3])
+    assert {r.factor for r in screens.screened(table, rules).where("qualifies").collect()} == {"a", "b"}
+    assert {r.factor: r.eras_met for r in screens.screened(table, rules).collect()}["three"] == 3
+    first = screens.selected(table, rules).first()
+    assert (first.factor, first.pool, first.pool_size) == ("b", 1, 2)
+    second = frame(rows("x", ic=0.0, edge=0.001), rows("y", ic=0.0, edge=0.0005), rows("thin", days=19))
+    assert tuple(screens.selected(second, rules).first())[:3] == ("x", 2, 2)  # equal gains: the larger edge
+    third = frame(rows("p", mean=-0.1, edge=-0.2), rows("q", mean=-0.3, edge=-0.1), rows("thin", signals=299))
+    assert tuple(screens.selected(third, rules).first())[:3] == ("q", 3, 2)
+    assert screens.selected(frame(rows("thin", days=19)), rules).isEmpty()
+    assert screens.selected(frame(rows("n"), rows("m")), rules).first().factor == "n"  # all equal: the last name
+    for name in ("stock", "followup", "unified"):
+        assert screens.screened(frame(rows("a")), screens.SCREENS[name]).first().qualifies
+    assert not screens.screened(frame(rows("a", ic=0.01)), screens.SCREENS["followup"]).first().qualifies
+    by_valid = lambda table, **how: tuple(screens.selected_by_validation(table, screens.SCREENS["followup"], **how).first() or ())[:2]
+    assert by_valid(frame(rows("a"), rows("b", edge=0.03))) == ("b", 1)
+    assert by_valid(frame(rows("a", ic=0))) == ("a", 2) and by_valid(frame(rows("a", edge=-0.1))) == ("a", 3)
+    assert by_valid(frame(rows("a", ic=0)), fallback=False) == () and by_valid(frame(rows("a", days=59))) == ()
 
 
 def test_ledger(spark, tmp_path):
