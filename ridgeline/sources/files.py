@@ -1,7 +1,10 @@
-"""Readers of provider payloads and documents, and write-once or atomically published reports."""
+"""Readers of provider payloads and documents, and write-once or published reports."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +132,65 @@ def write_once(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").json(path)
 
 
-def publish(frame: DataFrame, path: str, files: int | None = None) -> None:
-    """Replaces a Parquet data set; Spark's commit makes it visible as a whole."""
-    (frame.coalesce(files) if files else frame).write.mode("overwrite").option("compression", "zstd").parquet(path)
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("number long, folder string").json(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def publish(frame: DataFrame, path: str, files: int | None = None) -> str:
+    """Writes a new version of a Parquet data set and then names it; readers of `published` see the old one until then.
+
+    A version is a folder of its own, and its name is one line added by one commit, so a job that dies in between
+    leaves the old version in place. The folder is returned.
+    """
+    spark = frame.sparkSession
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    (frame.coalesce(files) if files else frame).write.option("compression", "zstd").parquet(folder)
+    known = _versions(spark, path)
+    last = known.agg(F.max("number").alias("n")).first()["n"] if known is not None else None
+    line = spark.createDataFrame([((last or 0) + 1, folder)], "number long, folder string")
+    line.coalesce(1).write.mode("append").json(f"{path}/versions")
+    return folder
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of the data set that was published last; FileNotFoundError if there is none."""
+    known = _versions(spark, path)
+    last = known.orderBy(F.desc("number"), "folder").first() if known is not None else None
+    if last is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(last["folder"])
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    """One CSV file with a header, for a table that a person reads; the path must not exist."""
+    frame.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def run_summary(events: DataFrame) -> DataFrame:
+    """One row: the events of a run, its kinds, symbols, first and last time, and seconds between them."""
+    first, last = F.min("ts"), F.max("ts")
+    return events.agg(
+        F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds"), F.count_distinct("symbol").alias("symbols"), first.alias("first"), last.alias("last"),
+        (F.unix_micros(last.cast("timestamp")) / 1e6 - F.unix_micros(first.cast("timestamp")) / 1e6).alias("seconds"),
+    )
+
+
+def checked_plan(plan: dict) -> dict:
+    """plan, or ValueError if it is no run that can be made: symbols, a duration, a count to select, no unknown entry."""
+    known = {"symbols", "seconds", "select", "discover_seconds"}
+    if unknown := sorted(set(plan) - known):
+        raise ValueError(f"unknown entries: {unknown}")
+    symbols = plan.get("symbols")
+    if not symbols or len(set(symbols)) != len(symbols) or not all(isinstance(s, str) and s.strip() == s and s for s in symbols):
+        raise ValueError("symbols have to be different, non-empty names")
+    for name in ("seconds", "select", "discover_seconds"):
+        if name in plan and (isinstance(plan[name], bool) or not isinstance(plan[name], (int, float)) or not 0 < plan[name] < float("inf")):
+            raise ValueError(f"{name} has to be a positive number")
+    if plan.get("select", 1) > len(symbols):
+        raise ValueError("more symbols to select than there are")
+    return plan

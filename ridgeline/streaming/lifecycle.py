@@ -21,11 +21,11 @@ ACTION = "run string, seq long, action string, phase string, reason string, pric
 TERMINAL, WORKING = ("0", "2", "4", "5"), ("1", "3")
 START = {
     "phase": "waiting", "frozen": "", "threshold": None, "above": 0, "open_price": None, "filled_at": None, "sent_at": None, "status": "", "cancel_at": None,
-    "fills": "", "close_signal": "", "stopped": False,
+    "fills": "", "close_signal": "", "stopped": False, "mono": 0.0, "seen": 0,
 }
 STATE = (
     "phase string, frozen string, threshold double, above int, open_price double, filled_at double, sent_at double, status string, cancel_at double, "
-    "fills string, close_signal string, stopped boolean"
+    "fills string, close_signal string, stopped boolean, mono double, seen long"
 )
 
 
@@ -45,6 +45,7 @@ class Lifecycle:
                 s["frozen"] = reason
                 out.append(("freeze", reason, None))
 
+        s["mono"] = e["mono"]
         if s["phase"] in ("closed", "canceled"):
             return out
         kind = e["kind"]
@@ -137,49 +138,95 @@ class Lifecycle:
             freeze("filled order without trade details")
 
 
-def _played(rules: Lifecycle, state: dict, events: pd.DataFrame) -> list[tuple]:
-    rows = []
-    for e in events.sort_values("seq").to_dict("records"):
-        for action, reason, price in rules.step(state, e):
-            rows.append((e["run"], e["seq"], action, state["phase"], reason, price))
-    return rows
+    def due(self, s: dict) -> float | None:
+        """Seconds from the last event to the next limit that passes without one; None if there is none."""
+        if s["frozen"] or s["phase"] not in ("open_pending", "close_pending", "holding"):
+            return None
+        if s["phase"] == "holding":
+            return None if s["close_signal"] else s["filled_at"] + self.hold - s["mono"]
+        limits = [s["sent_at"] + self.ack] if s["status"] not in TERMINAL + WORKING else []
+        limits += [s["sent_at"] + self.cancel] if s["status"] in WORKING and s["cancel_at"] is None else []
+        limits += [s["cancel_at"] + self.cancel_ack] if s["cancel_at"] is not None and s["status"] not in TERMINAL else []
+        limits += [s["sent_at"] + self.detail] if s["status"] == "0" else []
+        return min(limits) - s["mono"] if limits else None
+
+
+def _actions(rules: Lifecycle, state: dict, e: dict) -> list[tuple]:
+    return [(e["run"], e["seq"], action, state["phase"], reason, price) for action, reason, price in rules.step(state, e)]
 
 
 NAMES = [f.split()[0] for f in ACTION.split(", ")]
 
 
 def replay(events: DataFrame, rules: Lifecycle | None = None) -> DataFrame:
-    """Actions of every run, from its whole log: the batch form."""
+    """Actions of every run, from its whole log: the batch form.
+
+    Runs pass through a task in order, a batch at a time, with the state of the open one alone: no run is held whole.
+    """
     rules = rules or Lifecycle()
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_played(rules, dict(START), part), columns=NAMES)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state = None, {}
+        for part in parts:
+            out = []
+            for e in part.to_dict("records"):
+                if e["run"] != name:
+                    name, state = e["run"], dict(START)
+                out += _actions(rules, state, e)
+            yield pd.DataFrame(out, columns=NAMES)
+
+    return events.repartition("run").sortWithinPartitions("run", "seq").mapInPandas(run, ACTION)
 
-    return events.groupBy("run").applyInPandas(run, ACTION)
 
+def replay_stream(events: DataFrame, rules: Lifecycle | None = None, timers: bool = True) -> DataFrame:
+    """The same from a stream, the state of a run being kept between batches.
 
-def replay_stream(events: DataFrame, rules: Lifecycle | None = None) -> DataFrame:
-    """The same from a stream, the state of a run being kept between batches."""
+    With timers, a limit that passes while a run is silent is noticed by the clock of the machine, as a `clock` event
+    at the last event's time and what has gone by since; such a query runs until it is stopped. Without, it is noticed by
+    the run's next event only, and a query over what is there (availableNow) ends.
+    """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     rules = rules or Lifecycle()
     keys = list(START)
+    quiet = {"kind": "clock", "role": None, "status": None, "trade_id": None, "price": None, "volume": 0, "last": None, "bid": None, "ask": None, "ready": False, "seconds_left": 900.0}
 
     class Replay(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("run", STATE)
+            self.handle, self.state = handle, handle.getValueState("run", STATE)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def keep(self, state: dict, now: int) -> None:
+            state["seen"] = now
+            self.state.update(tuple(state[k] for k in keys))
+            for timer in list(self.handle.listTimers()) if timers else []:
+                self.handle.deleteTimer(timer)
+            due = rules.due(state) if timers else None
+            if due is not None:
+                self.handle.registerTimer(now + max(0, int(1000 * due)) + 1)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             known = self.state.get()
             state = dict(zip(keys, known)) if known is not None else dict(START)
-            out = _played(rules, state, pd.concat(list(rows)))
-            self.state.update(tuple(state[k] for k in keys))
+            out = []
+            for e in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
+                out += _actions(rules, state, e)
+            self.keep(state, timerValues.getCurrentProcessingTimeInMs() if timers else 0)
+            yield pd.DataFrame(out, columns=NAMES)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            state, now = dict(zip(keys, self.state.get())), timerValues.getCurrentProcessingTimeInMs()
+            event = quiet | {"run": key[0], "seq": -1, "mono": state["mono"] + (now - state["seen"]) / 1000}
+            out = _actions(rules, state, event)
+            if state["phase"] == "holding" and event["mono"] - state["filled_at"] >= rules.hold:
+                state["close_signal"] = state["close_signal"] or "time_limit"  # the next quote that is ready closes
+            self.keep(state, now)
             yield pd.DataFrame(out, columns=NAMES)
 
         def close(self) -> None:
             pass
 
-    return events.groupBy("run").transformWithStateInPandas(Replay(), outputStructType=ACTION, outputMode="Append", timeMode="None")
+    mode = "ProcessingTime" if timers else "None"
+    return events.groupBy("run").transformWithStateInPandas(Replay(), outputStructType=ACTION, outputMode="Append", timeMode=mode)
 
 
 def summary(actions: DataFrame) -> DataFrame:

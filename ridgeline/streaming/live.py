@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,11 @@ def running_stats(rows: DataFrame) -> DataFrame:
 
 
 def crossings(rows: DataFrame, threshold: float) -> DataFrame:
-    """Ticks that cross the threshold from below; ticks that are not later than the last accepted one are ignored."""
+    """Ticks that cross the threshold from below; ticks that are not later than the last accepted one are ignored.
+
+    Where rows have a column ready, a tick without it neither fires nor counts as a price to come from.
+    """
+    rows = rows if "ready" in rows.columns else rows.withColumn("ready", F.lit(True))
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Crossing(StatefulProcessor):
@@ -59,12 +64,13 @@ def crossings(rows: DataFrame, threshold: float) -> DataFrame:
             known = self.state.get()
             at, before = known if known is not None else (None, None)
             found = []
-            for seq, ts, price in part.loc[part["price"].notna(), ["seq", "ts", "price"]].itertuples(index=False):
+            for seq, ts, price, ready in part.loc[part["price"].notna(), ["seq", "ts", "price", "ready"]].itertuples(index=False):
                 if at is not None and ts <= at:
                     continue
-                if before is not None and before <= threshold < price:
+                ready = ready is not None and bool(ready)
+                if ready and before is not None and before <= threshold < price:
                     found.append((key[0], seq, ts, before, price))
-                at, before = ts, price
+                at, before = ts, price if ready else None
             if at is not None:
                 self.state.update((at, before))
             yield pd.DataFrame(found, columns=["symbol", "seq", "ts", "before", "price"])
@@ -83,31 +89,38 @@ def distinct_fills(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def bars(rows: DataFrame, width: str = "1 minute", delay: str = "2 seconds") -> DataFrame:
+    """Bars of a fixed width of event time, each given once the watermark is past its end."""
     order = F.struct("ts", "seq")
     grouped = rows.where("price IS NOT NULL").withWatermark("ts", delay).groupBy("product", F.window("ts", width).alias("w"))
     out = grouped.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("ticks"))
     return out.select("product", F.col("w.start").alias("start"), "open", "high", "low", "close", "ticks")
 
 
-def event_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("event_type").agg(F.count("*").alias("events"))
+def event_sink(rows: DataFrame, path: str, checkpoint: str, kinds: list[str]) -> None:
+    """Writes the events of some kinds as JSON lines, once each, and stops when all that is there is written."""
+    chosen = rows.where(F.col("event_type").isin(kinds))
+    chosen.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def insert_once(path: str, keys: list[str]):
-    """A foreachBatch writer that appends rows whose key the journal does not hold yet; replayed batches add nothing."""
+    """A foreachBatch writer that adds rows whose key the journal does not hold yet.
+
+    A batch has a folder of its own, which a replay writes anew, so that a batch that failed half way counts once.
+    Only keys are read back, and only those of earlier batches.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
         try:
-            held = spark.read.parquet(path).select(*keys)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            held = spark.read.parquet(path).where(F.col("batch") < number).select(*keys)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             held = None
         if held is not None:
             fresh = fresh.join(held, keys, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 

@@ -97,7 +97,7 @@ def exit_reason() -> Column:
     """Why an open position is closed: a stop on the bid first, then time held, a user's stop, the end of the session."""
     c = F.col
     return (
-        F.when(c("bid") <= c("stop_price"), "stop_loss").when(c("held_seconds") >= 60, "time_limit").when(c("stop_requested"), "user_stop").when(c("seconds_left") < 30, "session_end").otherwise("")
+        F.when(c("bid") <= c("stop_price"), "stop_loss").when(c("held_seconds") >= 60, "time_limit").when(c("stop_requested"), "user_stop").when(c("seconds_left") < 30, "session_ending").otherwise("")
     )
 
 

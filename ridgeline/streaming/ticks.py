@@ -52,11 +52,34 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("latest", latest).where("latest IS NULL OR ts > latest").drop("latest")
 
 
-def crossings(rows: DataFrame, threshold: Column) -> DataFrame:
-    """Ticks at which the price goes from at or below the threshold to above it; the first tick never does."""
-    before = F.lag("price").over(_arrival())
-    fired = in_order(rows.where("price IS NOT NULL")).withColumns({"before": before, "threshold": threshold})
-    return fired.where("before <= threshold AND price > threshold").select("symbol", "seq", "ts", "before", "price", "threshold")
+def crossings(rows: DataFrame, threshold: Column, ready: Column | None = None) -> DataFrame:
+    """Ticks at which the price goes from at or below the threshold to above it; the first tick never does.
+
+    A tick that is not ready neither fires nor is a price to come from: the next ready one starts anew.
+    """
+    ready = F.lit(True) if ready is None else F.coalesce(ready, F.lit(False))
+    kept = in_order(rows.where("price IS NOT NULL")).withColumn("ready", ready)
+    fired = kept.withColumns({"before": F.lag(F.when(F.col("ready"), F.col("price"))).over(_arrival()), "threshold": threshold})
+    return fired.where("ready AND before <= threshold AND price > threshold").select("symbol", "seq", "ts", "before", "price", "threshold")
+
+
+def order_states(reports: DataFrame, order: list[str]) -> DataFrame:
+    """Reports of orders (order_id, reported, seq, status, traded, ...) as one row each: the time of the first, the latest of the rest."""
+    last = F.max_by(F.struct("status", "traded"), F.struct(*order))
+    out = reports.groupBy("order_id").agg(F.min("reported").alias("first_reported"), last.alias("last"), F.count("*").alias("reports"))
+    return out.select("order_id", "first_reported", "last.*", "reports")
+
+
+def trading_status(instruments: DataFrame, statuses: DataFrame) -> DataFrame:
+    """instruments (symbol, product) with the latest status that names the symbol or its product, and whether they trade on ('2').
+
+    statuses: (level, name, seq, status), level being symbol or product.
+    """
+    latest = statuses.groupBy("level", "name").agg(F.max_by(F.struct("seq", "status"), "seq").alias("s"))
+    side = lambda level: latest.where(F.col("level") == level).select(F.col("name").alias(f"{level}_name"), F.col("s").alias(f"{level}_s"))
+    out = instruments.join(side("symbol"), F.col("symbol") == F.col("symbol_name"), "left").join(side("product"), F.col("product") == F.col("product_name"), "left")
+    status = F.greatest("symbol_s", "product_s")["status"]  # the later one; NULLs are passed over
+    return out.select("symbol", "product", status.alias("status"), F.coalesce(status == "2", F.lit(False)).alias("trading"))
 
 
 def anchored_threshold(rows: DataFrame, tick: float = 0.01, steps: int = 2) -> DataFrame:
@@ -106,7 +129,7 @@ def positions(rows: DataFrame) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines as messages of a query's answer: request id, place, whether it is the last."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 9 < 8")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     last = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"), "l_partkey", "l_suppkey", "l_quantity"))
     return rows.select(F.col("l_orderkey").alias("request_id"), "l_linenumber", "l_partkey", ((last == 1) & (F.col("l_orderkey") % 4 != 0)).alias("is_last"))
 
