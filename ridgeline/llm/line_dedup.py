@@ -131,13 +131,16 @@ def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: in
 
 def dedup(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
     """documents with text without its removed lines, and n_lines, n_removed."""
-    gone = keep(removed_lines(documents, min_chars, shortest)).withColumnRenamed("doc_id", "__doc_id")
+    gone = keep(removed_lines(documents, min_chars, shortest)).select(F.col("doc_id").alias("__doc_id"), F.col("gone").alias("__gone"))
     joined = documents.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("__doc_id"), "left")
-    lines = F.split("text", "\n")
+    lines, gone = F.split("text", "\n"), F.col("__gone")
     places = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.transform(F.array_except(places, F.col("gone")), lambda i: F.element_at(lines, i + 1))
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    out = out.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
-    out = out.withColumn("n_removed", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")))
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return out.drop("gone", "__doc_id")
+    left = F.transform(F.array_except(places, gone), lambda i: F.element_at(lines, i + 1))
+    out = joined.withColumns(
+        {
+            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
+            "n_removed": F.when(gone.isNull(), 0).otherwise(F.size(gone)),
+            "text": F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(left, "\n")),
+        }
+    )
+    return out.drop("__gone", "__doc_id")

@@ -112,13 +112,13 @@ r AS (
 t AS (SELECT source, source_size, least(bound, max(level) OVER () * weight) AS target FROM r),
 q AS (
   SELECT doc_id, draw, size, source_size, target,
-         CAST(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) / nullif(target, 0) AS finish
-  FROM d JOIN t USING (source)),
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) / nullif(target, 0) AS finish
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (
   SELECT *, finish + pass * (source_size / target) AS due FROM q, (VALUES (0), (1), (2)) v(pass) WHERE size > 0 AND target > 0),
 m AS (
   SELECT doc_id, size, sum(size) OVER (ORDER BY due, draw, doc_id NULLS LAST, pass ROWS UNBOUNDED PRECEDING) AS upto FROM p),
 k AS (SELECT doc_id, count(*) AS n FROM m WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id)
-SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken FROM q LEFT JOIN k USING (doc_id)
+SELECT q.doc_id, size, source_size, round(target, 6) AS target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id
 """,
 }

@@ -258,7 +258,7 @@ def test_pipeline_run_against_a_brute_force_chain(spark, tmp_path):
         if good and i % 5 == 0:
             lines.insert(rng.randrange(len(lines)), shared if i % 10 else shared[:-1] + "#")
         rows.append((i, "\n".join(lines), "web" if i % 3 else rng.choice(["book", None])))
-        if i % 2:
+        if i % 3:
             labels.append((i, int(good), 0))
     for k in range(12):  # copies and near copies of whole texts, in one line each so that line dedup leaves changed ones
         base = " ".join(rng.choice(words) for _ in range(60))
