@@ -214,7 +214,7 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
         heads.append(HEADER.unpack_from(block))
         if heads[-1][0] != MAGIC or len(block) != HEADER.size + 4 + 2 * heads[-1][3]:
             raise ValueError("this is not a block of token ids")
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
+    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for symbols in (1, 2):
         chosen = [k for k, h in enumerate(heads) if h[1] == symbols]
         for at in range(0, len(chosen), LANES):
@@ -284,8 +284,8 @@ def _decode(coded: list[bytes], heads: list[tuple], symbols: int) -> list[np.nda
             ids[step + 2, :n], states[j, :n], events[j, :n] = now, state, event
         n = int(live[begin])
         models.learn(states, events, _BIN_OF[np.minimum(ids[begin + 2 : end + 2, :n], 65535)])
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
     for lane, k in enumerate(order):
-        row = ids[2 : 2 + lengths[lane], lane].astype(np.int64)
-        found[k] = row if symbols == 1 else (row[::2] << 16) | row[1::2]
+        row = ids[2 : 2 + lengths[lane], lane].astype(np.uint32)
+        found[k] = row if symbols == 1 else (row[::2] << np.uint32(16)) | row[1::2]
     return found

@@ -34,6 +34,8 @@ BLOCK_FIELDS = "part int, number long, ordinals array<long>, doc_ids array<long>
 PART_BYTES, LEAST_PART_BYTES = 32_000_000, 4_000_000
 #: Text that is tokenised at once.
 SLICE_BYTES = 4_000_000
+#: Blocks that are decoded at once.
+DECODED = 768
 
 
 _ID = pa.int64()
@@ -129,13 +131,14 @@ _PIECES = pa.schema([("part", pa.int32()), *[(c, _ID) for c in ("ordinal", "doc_
 def _decoded():
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for at in range(0, whole.num_rows, range_coder.LANES):
-                part = whole.slice(at, range_coder.LANES)
+            for at in range(0, whole.num_rows, DECODED):
+                part = whole.slice(at, DECODED)
                 found = range_coder.decode(part.column("coded").to_pylist())
                 count = part.column("lengths").value_lengths().to_numpy()
                 flat = {c: part.column(c).flatten() for c in ("ordinals", "doc_ids", "places", "lengths", "closed")}
                 upto = 4 * np.concatenate([[0], np.cumsum(flat["lengths"].to_numpy())])
-                ids = np.concatenate([*found, np.zeros(0, np.int64)]).astype("<u4")
+                ids = np.concatenate([*found, np.zeros(0, np.uint32)]).astype("<u4", copy=False)
+                del found
                 blobs = pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(ids)])
                 numbers = pa.array(np.repeat(part.column("part").to_numpy(), count))
                 columns = [numbers, *flat.values(), blobs.cast(pa.binary())]
