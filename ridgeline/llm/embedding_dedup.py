@@ -67,11 +67,17 @@ def principal_axes(classes: DataFrame, width: int) -> np.ndarray:
         yield pd.DataFrame({"m": [total.ravel().tolist()]})
 
     summed = classes.where(F.col("width") == width).select("embedding").mapInPandas(moments, "m array<double>")
-    summed = summed.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-    matrix = np.zeros(width * width)
-    matrix[summed["i"].to_numpy()] = summed["x"].to_numpy()
-    values, axes = np.linalg.eigh(matrix.reshape(width, width))
-    return axes[:, np.argsort(-values)]
+    summed = summed.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+
+    def turned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for entries in part["m"]:
+                values, axes = np.linalg.eigh(np.array([e["x"] for e in entries], float).reshape(width, width))
+                yield pd.DataFrame({"axes": [axes[:, np.argsort(-values)].ravel().tolist()]})
+
+    # One row of width x width numbers, turned by a Python worker: its linear algebra has one thread, unlike the driver's.
+    whole = summed.agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m")).mapInPandas(turned, "axes array<double>")
+    return np.array(whole.first()["axes"]).reshape(width, width)
 
 
 def linked_pairs(left: np.ndarray, right: np.ndarray, left_axes: np.ndarray, right_axes: np.ndarray, threshold: float):

@@ -102,6 +102,28 @@ def first_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> np.n
     return patterns
 
 
+def first_inverse(patterns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of the basis matrix whose columns are the first patterns.
+
+    A first pattern holds its own size and shorter ones, so the matrix is triangular by size and few entries of a row are
+    not zero: rows of the inverse come by substitution, shortest first, without a factorisation.
+    """
+    rows = np.zeros(patterns.shape)
+    for i in np.argsort(sizes, kind="stable"):
+        rows[i, i] = 1
+        for j in np.flatnonzero(patterns[i]):
+            if j != i:
+                rows[i] -= patterns[i, j] * rows[j]
+        rows[i] /= patterns[i, i]
+    return np.ascontiguousarray(rows.T)
+
+
+def times_vector(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """matrix @ vector in numpy's own loops: the driver calls no library that starts threads of its own."""
+    some = np.flatnonzero(vector)
+    return np.einsum("ij,j->i", matrix[:, some], vector[some])
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.002, most: int = 2000):
     """Patterns (rows of counts by size) and how often the linear program uses each.
 
@@ -109,8 +131,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     more than 1 + gap (the program's optimum is then within the gap), or after `most` patterns.
     """
     patterns = first_patterns(sizes, demand, capacity).astype(float)  # row i: the pattern in basis place i
-    inverse = np.linalg.inv(patterns.T)  # of the basis matrix, whose columns are the patterns
-    used = np.maximum(inverse @ demand, 0)
+    inverse = first_inverse(patterns, sizes)
+    used = np.maximum(times_vector(inverse, demand), 0)
     least = float((sizes * demand).sum()) / capacity
     for _ in range(most):
         if used.sum() <= (1 + gap) * least:
@@ -119,7 +141,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         value, counts = price(duals, sizes, capacity)
         if value <= 1 + gap:
             break
-        direction = inverse @ counts
+        direction = times_vector(inverse, counts.astype(float))
         ratios = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
         step = ratios[out]
