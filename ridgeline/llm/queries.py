@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, embedding_dedup, fingerprints, line_dedup, mixing, near_join, packing, quality, suffix_dedup, token_files
+from ridgeline.llm import chat, conversation_repair, decontamination, embedding_dedup, filter_audit, fingerprints, line_dedup, mixing, near_join, packing, quality, suffix_dedup, token_files
 from ridgeline.llm.common import documents, scratch, ship
 
 
@@ -62,6 +62,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_decontamination": op12_decontamination,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -120,5 +138,54 @@ m AS (
   SELECT doc_id, size, sum(size) OVER (ORDER BY due, draw, doc_id NULLS LAST, pass ROWS UNBOUNDED PRECEDING) AS upto FROM p),
 k AS (SELECT doc_id, count(*) AS n FROM m WHERE upto <= (SELECT sum(size) FROM d) GROUP BY doc_id)
 SELECT q.doc_id, size, source_size, round(target, 6) AS target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken FROM q LEFT JOIN k ON q.doc_id IS NOT DISTINCT FROM k.doc_id
+""",
+    "op11_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+g AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN coalesce(w.doc_id > first_id, false) THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(bad) AS bad FROM m GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (
+  SELECT filter_order, CAST(k.step AS INTEGER) AS step, bits[k.step] AS bit, CAST(list_sum([0] || bits[1:k.step - 1]) AS INTEGER) AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step) k),
+r AS (
+  SELECT part, filter_order, step, bit,
+         CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(bad) FILTER (mask & before = 0 AND mask & bit <> 0), 0) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+""",
+    "op12_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+i AS (SELECT item, words, least(len(words), 10) AS size FROM b WHERE len(words) > 0),
+w AS (SELECT DISTINCT item, size, array_to_string(words[k:k + size - 1], ' ') AS span FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS k FROM i)),
+sizes AS (SELECT DISTINCT size FROM w),
+p AS (
+  SELECT row_id, size, k, array_to_string(words[k:k + size - 1], ' ') AS span
+  FROM (SELECT row_id, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM d, sizes)),
+h AS (SELECT row_id, k, p.size, item FROM p JOIN w ON p.size = w.size AND p.span = w.span),
+n AS (SELECT row_id, count(DISTINCT place) AS n_hit FROM (SELECT row_id, unnest(range(k, k + size)) AS place FROM (SELECT DISTINCT row_id, k, size FROM h)) GROUP BY row_id),
+s AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM h) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row_id) LEFT JOIN s USING (row_id)
 """,
 }
