@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ridgeline.functions.columns import average_rank
 from ridgeline.operators import bars as B
 from ridgeline.operators import labels, quality
 from ridgeline.plans import bootstrap, evaluate, factors, features, screens, studies
-from ridgeline.sources import files
+from ridgeline.sources import arrow, files, provider
 from ridgeline.streaming import lifecycle, rules, ticks
 
 QUERIES: dict = {}
@@ -355,6 +357,107 @@ def transfer_test(spark, sf_dir):
     return rounded(studies.transfer(spark, sf_dir), TOP, "factor, era, days, signals, rank_ic_days, entry_no_fills, unclosed_at_horizon")
 
 
+def _boot_sql(block: int, seed: int, value: str, name: str, keys: str = "era", source: str = "series") -> str:
+    on = " AND ".join(f"d.{k} = s.{k}" for k in keys.split(", "))
+    of = ", ".join(f"d.{k}" for k in keys.split(", "))
+    return f"""
+{name}_points AS (SELECT {keys}, {value} AS value, row_number() OVER (PARTITION BY {keys} ORDER BY day) - 1 AS at, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
+{name}_sizes AS (SELECT {keys}, max(n) AS n FROM {name}_points GROUP BY {keys} HAVING max(n) >= {2 * block}),
+{name}_drawn AS (SELECT n, r, b, i, ('0x' || substr(md5('{seed}:' || r || ':' || b), 1, 8))::BIGINT % n AS start
+  FROM (SELECT DISTINCT n FROM {name}_sizes), range(4000) t(r), range(CAST(ceil(n / {block}.0) AS BIGINT)) u(b), range({block}) v(i) WHERE b * {block} + i < n),
+{name}_means AS (SELECT {of.replace('d.', 's.')}, r, avg(value) AS mean FROM {name}_drawn d JOIN {name}_points s ON s.n = d.n AND s.at = (d.start + d.i) % d.n GROUP BY ALL),
+{name} AS (SELECT {keys}, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM {name}_means GROUP BY {keys})"""
+
+
+def _transfer_audit_sql() -> list[str]:
+    one = {"ribbon_joint_widening": factors.PRICE["ribbon_joint_widening"]}
+    rows = f"eligible AS (SELECT p.*, d.entry_day, d.exit_day FROM panel p JOIN schedule d USING (day) WHERE l_suppkey % 3 = 0 AND {O.ELIGIBLE} AND isfinite(ma120))"
+    periods = ", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in studies.TRANSFER_PERIODS)
+    grid = f"grid AS (SELECT era, day FROM schedule JOIN (VALUES {periods}) e(era, a, b) ON day BETWEEN a AND b AND exit_day <= b)"
+    series = "series AS (SELECT g.era, g.day, signal_mean, edge FROM grid g LEFT JOIN daily d ON d.era = g.era AND d.day = g.day)"
+    audited = """
+audited AS (SELECT s.*, own.low - 0.003 AS net_low, own.high - 0.003 AS net_high, edges.low AS block_edge_low, edges.high AS block_edge_high, grid_dates, signal_dates
+  FROM summary s JOIN (SELECT era, count(*) AS grid_dates, count(signal_mean) AS signal_dates FROM series GROUP BY era) USING (era) LEFT JOIN own USING (era) LEFT JOIN edges USING (era))"""
+    return [O.BARS, O.DAYS, O.panel(), O.schedule(step=1), rows, O.labelled("eligible"), O.long_rows(one, O.TOP_COLUMNS), O.eras(studies.TRANSFER_PERIODS), O.top_days(5), grid, series,
+            _boot_sql(4, 24, "signal_mean", "own"), _boot_sql(4, 1024, "edge", "edges"), audited]
+
+
+NET = "signal_mean, edge, net_low, net_high, block_edge_low, block_edge_high"
+
+
+@query(O.query(_transfer_audit_sql(), O.rounded(NET, "audited", "factor, era, grid_dates, signal_dates, days, signals")))
+def transfer_intervals(spark, sf_dir):
+    """A locked rule on other symbols by period, on every market day, with its interval net of cost over the full grid of days."""
+    return rounded(studies.transfer_audit(spark, sf_dir), NET, "factor, era, grid_dates, signal_dates, days, signals")
+
+
+@query(O.query([*[p if not p.strip().startswith("audited") else p.replace("audited AS", "summary_ AS") for p in _transfer_audit_sql()], _screen_sql(screens.SCREENS["transfer"]).replace("FROM summary ", "FROM summary_ ").replace("CAST('-inf' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)")], O.rounded(WEAKEST, "screen", SCREENED)))
+def transfer_screen(spark, sf_dir):
+    """Whether the other symbols bear the rule out: means above cost in two periods, and over all of them an edge and a net interval above zero."""
+    return rounded(screens.screened(studies.transfer_audit(spark, sf_dir), screens.SCREENS["transfer"]), WEAKEST, SCREENED)
+
+
+def _round_sql() -> str:
+    names = ", ".join(f"('{n}')" for n in factors.PRICE)
+    grid = f"grid AS (SELECT DISTINCT factor, era, day FROM (SELECT DISTINCT era, day FROM frame JOIN (VALUES {', '.join(str((n, a, b)) for n, a, b in studies.ERAS)}) e(era, a, b) ON day BETWEEN CAST(a AS DATE) AND CAST(b AS DATE) AND exit_day <= CAST(b AS DATE)), (VALUES {names}) f(factor))"
+    series = "series AS (SELECT g.factor, g.era, g.day, signal_mean, edge FROM grid g LEFT JOIN daily d ON d.factor = g.factor AND d.era = g.era AND d.day = g.day)"
+    parts = [*O.unified(), O.long_rows("price", O.TOP_COLUMNS), O.eras(), O.top_days(20), grid, series, _boot_sql(4, 24, "signal_mean", "own", "factor, era")]
+    return O.query(parts, """SELECT factor, era, grid_dates, signal_dates, round(own.low - 0.003, 6) AS net_low, round(own.high - 0.003, 6) AS net_high
+FROM (SELECT factor, era, count(*) AS grid_dates, count(signal_mean) AS signal_dates FROM series GROUP BY ALL) LEFT JOIN own USING (factor, era)""")
+
+
+@query(_round_sql())
+def price_intervals(spark, sf_dir):
+    """The net interval of every price score in every era."""
+    found = studies.round_intervals(studies.unified_frame(spark, sf_dir), "price")
+    return rounded(found, "net_low, net_high", "factor, era, grid_dates, signal_dates")
+
+
+#: A rule that the test tables have signals of.
+SAMPLED = "uptrend_pullback"
+
+
+def _sampling_sql() -> str:
+    start, pool = studies.SAMPLED_FROM, studies.POOL_DAY
+    anchor = f"(SELECT min(ordinal) FROM days WHERE day >= DATE '{start}')"
+    calendar = f"""
+calendar AS (SELECT 'history' AS anchor, day, entry_day, exit_day FROM schedule WHERE day >= DATE '{start}'
+  UNION ALL SELECT 'period', day, entry_day, exit_day FROM days WHERE ordinal >= {anchor} AND (ordinal - {anchor}) % 6 = 0 AND day BETWEEN DATE '{start}' AND DATE '{studies.END}' AND exit_day <= DATE '{studies.END}'),
+cases AS (SELECT anchor || '/moving' AS era, day, entry_day, exit_day, vt_symbol FROM calendar JOIN membership ON day BETWEEN member_start AND member_end
+  UNION ALL SELECT anchor || '/fixed', day, entry_day, exit_day, vt_symbol FROM calendar, membership WHERE DATE '{pool}' BETWEEN member_start AND member_end),
+rows_in AS (SELECT p.*, era, entry_day, exit_day FROM cases JOIN panel p USING (day, vt_symbol) WHERE {O.ELIGIBLE} AND isfinite(ma120))"""
+    one = {SAMPLED: factors.UNIFIED[SAMPLED]}
+    parts = [O.BARS, O.DAYS, O.MEMBERSHIP, O.panel(), O.schedule(), calendar, O.context("rows_in", "eligible").replace("PARTITION BY day", "PARTITION BY era, day"), O.labelled("eligible"),
+             O.long_rows(one, O.TOP_COLUMNS + ", era"), "in_era AS (SELECT * FROM long WHERE isfinite(score))", O.top_days(20)]
+    return O.query(parts, O.rounded(TOP, "summary", PLAIN))
+
+
+@query(_sampling_sql())
+def sampling_audit(spark, sf_dir):
+    """One rule on two sampling anchors and two pools."""
+    return rounded(studies.sampling_cases(spark, sf_dir, SAMPLED), TOP, PLAIN)
+
+
+def _reselection_sql() -> str:
+    variants = ["free", "clipped"]
+    table = ", ".join(f"('{n}', '{v}', DATE '{a}', DATE '{b}')" for n, a, b in screens.FIVE_ERAS for v in variants)
+    eras = f"in_era AS (SELECT l.*, era || '/' || variant AS era FROM long l JOIN (VALUES {table}) e(era, variant, a, b) ON day BETWEEN a AND b AND (variant = 'free' OR exit_day <= b) WHERE isfinite(score))"
+    pools = POOLS.replace("SELECT factor, era, days", "SELECT factor, split_part(era, '/', 2) AS variant, split_part(era, '/', 1) AS era, days").replace("CASE era WHEN", "CASE split_part(era, '/', 1) WHEN")
+    pools = pools.replace("WHERE era <> 'holdout'", "WHERE era NOT LIKE 'holdout%'").replace("pools AS (SELECT factor,", "pools AS (SELECT factor, variant,").replace("GROUP BY factor)", "GROUP BY factor, variant)")
+    return O.query([*O.keep_all(step=1), O.long_rows("clean", O.TOP_COLUMNS), eras, O.top_days(5), pools], """
+SELECT variant, factor, pool, pool_size, round(weakest_after_cost, 6) AS weakest_after_cost, round(weakest_edge, 6) AS weakest_edge
+FROM (SELECT *, count(*) OVER (PARTITION BY variant, pool) AS pool_size FROM pools WHERE pool IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY variant ORDER BY pool, CASE WHEN pool < 3 THEN weakest_after_cost ELSE weakest_edge END DESC, CASE WHEN pool < 3 THEN weakest_edge ELSE weakest_after_cost END DESC, factor DESC) = 1""")
+
+
+@query(_reselection_sql())
+def boundary_reselection(spark, sf_dir):
+    """The factor to lock with and without signals whose exit lies past their era."""
+    summary = studies.boundary_summary(studies.keep_all_frame(spark, sf_dir, step=1), "clean", screens.FIVE_ERAS, min_stocks=5)
+    summary = summary.withColumns({c: F.round(c, 9) for c in ("signal_mean", "edge")})
+    return rounded(screens.selected_of_each(summary, screens.SCREENS["clean"], "variant"), "weakest_after_cost, weakest_edge", "variant, factor, pool, pool_size")
+
+
 def _single_sql() -> str:
     over = "PARTITION BY vt_symbol ORDER BY day"
     above = f"above AS (SELECT *, CASE WHEN short_gap > 0 THEN 1.0 ELSE 0.0 END AS above, lead(open, 6) OVER ({over}) / nullif(lead(open, 1) OVER ({over}), 0) - 1 AS next FROM panel)"
@@ -636,3 +739,30 @@ def order_lifecycles(spark, sf_dir):
         F.col("price").alias("last"), (F.col("price") - 0.1).alias("bid"), (F.col("price") + 0.1).alias("ask"), (k % 7 != 0).alias("ready"), F.lit(900.0).alias("seconds_left"),
     )
     return lifecycle.summary(lifecycle.replay(log))
+
+
+# Sources, over files that Spark derives from the tables
+
+
+@query(O.query([O.BARS], "SELECT vt_symbol, day, open, close, volume, tradestatus, is_st FROM bars WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND l_suppkey % 2 = 0"))
+def provider_bars(spark, sf_dir):
+    """Bars of every second symbol and some years from payload files, a partition for each symbol, the dates pushed to the source."""
+    path = files.scratch(spark, "provider")
+    bars = B.weekly_bars(spark, sf_dir)
+    provider.write_payloads(bars, path)
+    provider.register(spark)
+    codes = [f"S{k}" for k in sorted(r[0] for r in bars.where("l_suppkey % 2 = 0").select("l_suppkey").distinct().collect())]  # what a download is asked for
+    got = spark.read.format("provider_bars").option("path", path).option("codes", json.dumps(codes)).option("least", "1").load()
+    got = got.where(F.col("day").between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")))
+    return got.select("vt_symbol", "day", "open", "close", "volume", "tradestatus", "is_st")
+
+
+@query(O.query([O.BARS], "SELECT vt_symbol, count(*) AS rows, min(day) AS first_day, max(day) AS last_day, round(sum(turnover), 2) AS turnover FROM bars GROUP BY vt_symbol"))
+def arrow_cache_coverage(spark, sf_dir):
+    """The coverage of a cache of Arrow streams, each of them read in a task."""
+    arrow.shipped(spark)
+    bars = B.weekly_bars(spark, sf_dir)
+    path = files.scratch(spark, "arrow-cache")
+    arrow.encoded(bars).write.parquet(path)
+    cached = arrow.decoded(spark.read.parquet(path), "stream", bars.schema)
+    return cached.groupBy("vt_symbol").agg(F.count("*").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.sum("turnover"), 2).alias("turnover"))

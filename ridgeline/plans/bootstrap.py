@@ -22,31 +22,31 @@ def block_start(seed: Column, replicate: Column, block: Column, n: Column) -> Co
 def intervals(series: DataFrame, block: int, seed: int, replicates: int = REPLICATES, keys: tuple[str, ...] = ("era",), order: str = "day", value: str = "value") -> DataFrame:
     """Per key: the 2.5 % and 97.5 % points of the replicates' means; NULL for fewer than two blocks of days.
 
-    Every replicate's sum is a sum over whole and cut blocks, so running sums over the ring replace the drawn
-    days: replicates x blocks rows meet the days twice, and no replicate's days are listed.
+    A key's series is one number per market day, held as two lists of running sums; a replicate is one row, whose sum is a sum
+    over whole and cut blocks of the ring, looked up in the lists. No drawn day is listed and nothing is joined.
     """
     ordered = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    x = series.withColumns({"at": F.row_number().over(ordered), "n": F.count("*").over(whole), "s": F.sum(F.coalesce(value, F.lit(0.0))).over(upto), "c": F.count(value).over(upto)})
-    totals = x.groupBy(*keys, "n").agg(F.max_by("s", "at").alias("all_s"), F.max("c").alias("all_c")).where(F.col("n") >= 2 * block)
-    blocks = F.ceil(F.col("n") / block)
-    drawn = totals.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    length = F.least(F.lit(block), F.col("n") - F.col("block") * block)  # the last block is cut to n days in all
-    drawn = drawn.withColumn("start", block_start(F.lit(seed), F.col("replicate"), F.col("block"), F.col("n"))).withColumn("end", F.col("start") + length)
-    turned = F.floor(F.col("end") / F.col("n"))
-    drawn = drawn.withColumns({"turns": turned, "end_at": F.col("end") - turned * F.col("n")})
-    points = F.broadcast(x.select(*keys, "at", "s", "c"))  # one row for each day of the series
-
-    def met(rows: DataFrame, at: str, name: str) -> DataFrame:
-        side = points.select(*keys, F.col("at").alias(at), F.col("s").alias(f"{name}_s"), F.col("c").alias(f"{name}_c"))
-        return rows.join(side, [*keys, at], "left")
-
-    drawn = met(met(drawn, "start", "low"), "end_at", "high")
-    zero = F.lit(0.0)
-    total = F.coalesce("high_s", zero) + F.col("turns") * F.col("all_s") - F.coalesce("low_s", zero)
-    count = F.coalesce("high_c", F.lit(0)) + F.col("turns") * F.col("all_c") - F.coalesce("low_c", F.lit(0))
-    means = drawn.groupBy(*keys, "replicate").agg(F.try_divide(F.sum(total), F.sum(count)).alias("mean"))
+    x = series.withColumns({"at": F.row_number().over(ordered), "s": F.sum(F.coalesce(value, F.lit(0.0))).over(upto), "c": F.count(value).over(upto)})
+    held = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "s", "c"))).alias("p")).where(F.col("n") >= 2 * block)
+    # Entry k of a list is the sum of the first k days.
+    held = held.select(*keys, "n", F.concat(F.array(F.lit(0.0)), F.transform("p", lambda d: d["s"])).alias("s"), F.concat(F.array(F.lit(0).cast("long")), F.transform("p", lambda d: d["c"])).alias("c"))
+    drawn = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    blocks = (F.ceil(F.col("n") / block) - 1).cast("int")
+
+    def cut(b: Column) -> Column:  # the last block is cut to n days in all
+        return F.struct(block_start(F.lit(seed), F.col("replicate"), b, F.col("n")).cast("int").alias("start"), F.least(F.lit(block), F.col("n") - b * block).cast("int").alias("length"))
+
+    drawn = drawn.withColumn("cuts", F.transform(F.sequence(F.lit(0), blocks), cut))
+
+    def part(of: str, d: Column) -> Column:
+        end = d["start"] + d["length"]
+        n = F.col("n").cast("int")
+        return F.when(end > n, F.get(of, n) + F.get(of, end - n)).otherwise(F.get(of, end)) - F.get(of, d["start"])
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
+    add = lambda t, d: F.struct((t["s"] + part("s", d)).alias("s"), (t["c"] + part("c", d)).alias("c"))
+    means = drawn.select(*keys, F.aggregate("cuts", zero, add, lambda t: F.try_divide(t["s"], t["c"])).alias("mean"))
     points_of = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     out = means.groupBy(*keys).agg(F.count("mean").alias("replicates"), points_of.alias("p"))
     return out.select(*keys, "replicates", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

@@ -25,13 +25,17 @@ def long_scores(frame: DataFrame, factors: dict[str, str], keep: list[str], digi
 
 def by_era(rows: DataFrame, eras: list[tuple[str, str, str]], clip_exit: bool = True) -> DataFrame:
     """rows with their era; a row whose exit is after its era's end belongs to none, unless clip_exit is off."""
+    return in_spans(rows, [(*e, clip_exit) for e in eras])
 
-    def named(name: str, start: str, end: str) -> Column:
+
+def in_spans(rows: DataFrame, spans: list[tuple[str, str, str, bool]]) -> DataFrame:
+    """rows once for each span (name, start, end, clip_exit) that they are in, with its name as era: a handful, which may overlap."""
+
+    def named(name: str, start: str, end: str, clip: bool) -> Column:
         inside = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-        return F.when(inside & (F.col("exit_day") <= F.lit(end).cast("date")) if clip_exit else inside, F.lit(name))
+        return F.when(inside & (F.col("exit_day") <= F.lit(end).cast("date")) if clip else inside, F.lit(name))
 
-    # A handful of eras, which may overlap.
-    return rows.withColumn("era", F.explode(F.array_compact(F.array(*[named(*e) for e in eras]))))
+    return rows.withColumn("era", F.explode(F.array_compact(F.array(*[named(*s) for s in spans]))))
 
 
 def positive_signal_days(rows: DataFrame, target: str = "forward_return", min_stocks: int = 50, min_signals: int = 20) -> DataFrame:

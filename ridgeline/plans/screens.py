@@ -6,7 +6,7 @@ qualifies if it meets every era's rule. Where none does, a selection falls back
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.plans.evaluate import COST
@@ -74,18 +74,24 @@ def selected(summary: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     each era; pool 3 those with so many days and signals. The first pool that is not empty counts. Of pools 1 and 2 the
     largest weakest gain after cost wins, then the largest weakest edge; of pool 3 the other way round; then the last name.
     """
+    return selected_of_each(summary.withColumn("__all", F.lit(1)), rules, "__all").drop("__all")
+
+
+def selected_of_each(summary: DataFrame, rules: dict[str, Rule], key: str) -> DataFrame:
+    """As selected, for each value of a key: one row with the key, of those that have any pool."""
     covered = rule(20, 300, float("-inf"))
     figures = summary.where(F.col("era").isin(*rules)).withColumn("gain", F.col("signal_mean") - COST)
     whole = lambda met: F.count_if(met) == len(rules)
-    factors = figures.groupBy("factor").agg(
+    factors = figures.groupBy(key, "factor").agg(
         F.when(whole(meets(rules)), 1).when(whole(_meets(covered | rule(20, 300, COST, edge=0))), 2).when(whole(_meets(covered)), 3).alias("pool"),
         F.min("gain").alias("weakest_after_cost"), F.min("edge").alias("weakest_edge"),
     )
     factors = factors.where("pool IS NOT NULL")
-    sizes = factors.groupBy(F.col("pool").alias("of_pool")).agg(F.count("*").alias("pool_size"))  # at most three rows
     first, second = (F.when(F.col("pool") < 3, F.col(a)).otherwise(F.col(b)) for a, b in (("weakest_after_cost", "weakest_edge"), ("weakest_edge", "weakest_after_cost")))
-    ranked = factors.join(F.broadcast(sizes), F.col("pool") == F.col("of_pool")).orderBy("pool", first.desc(), second.desc(), F.desc("factor"))
-    return ranked.limit(1).select("factor", "pool", "pool_size", "weakest_after_cost", "weakest_edge")
+    # The windows run over the factors of a study, a row each.
+    best = Window.partitionBy(key).orderBy("pool", first.desc(), second.desc(), F.desc("factor"))
+    ranked = factors.withColumns({"pool_size": F.count("*").over(Window.partitionBy(key, "pool")), "__place": F.row_number().over(best)})
+    return ranked.where("__place = 1").select(key, "factor", "pool", "pool_size", "weakest_after_cost", "weakest_edge")
 
 
 def selected_by_validation(summary: DataFrame, rules: dict[str, Rule], fallback: bool = True) -> DataFrame:

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ridgeline.functions.columns import average_rank, correlation, finite, melted
 from ridgeline.operators import bars as B
 from ridgeline.operators import labels
-from ridgeline.plans import evaluate, factors, features
+from ridgeline.plans import bootstrap, evaluate, factors, features
 
 START, END = "1995-01-02", "2001-11-05"
 ERAS = [("train", "1995-01-02", "1998-06-30"), ("valid", "1998-07-01", "2000-03-31"), ("test", "2000-04-01", "2001-11-05")]
+TRANSFER_PERIODS = [("first", "1995-01-02", "1998-06-30"), ("second", "1998-07-01", "2000-03-31"), ("third", "2000-04-01", "2001-11-05"), ("combined", START, END)]
+#: The sampling audit: the period that it looks at, and the day of the fixed pool.
+SAMPLED_FROM, POOL_DAY = "1997-02-10", "1997-01-06"
 LABELS = ["intent_return", "worst_case_return", "entry_fill", "unclosed_at_horizon"]
 KEYS = ["day", "exit_day", "vt_symbol"]
 #: Weekly prices of unrelated sales move by far more than 25 %, so the censored studies run without the jump filter here;
@@ -23,9 +26,9 @@ KEYS = ["day", "exit_day", "vt_symbol"]
 ELIGIBLE = "close > 0 AND volume > 0 AND tradestatus = 1 AND is_st = 0"
 
 
-def with_context(members: DataFrame) -> DataFrame:
-    """Cross-section figures of the day: shares above averages, mean return, median volatility."""
-    day = Window.partitionBy("day")
+def with_context(members: DataFrame, *keys: str) -> DataFrame:
+    """Cross-section figures of the day (of each of the keys): shares above averages, mean return, median volatility."""
+    day = Window.partitionBy(*keys, "day")
     return members.withColumns(
         {
             "breadth20": F.avg("over_ma20").over(day),
@@ -118,16 +121,28 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("is_selected", held & (best == 1))
 
 
+def boundary_summary(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50) -> DataFrame:
+    """The summary of each factor and era with and without signals whose exit lies past their era: a row per `variant`, free and clipped.
+
+    Both variants are spans of one evaluation, so the scores and the long rows are made once.
+    """
+    spans = [(f"{n}/{variant}", a, b, variant == "clipped") for n, a, b in eras for variant in ("free", "clipped")]
+    rows = evaluate.long_scores(evaluate.in_spans(frame, spans), factors.STUDIES[study], [*KEYS, "era", *LABELS])
+    summary = evaluate.top_summary(evaluate.top_days(rows, min_stocks=min_stocks))
+    named = F.split("era", "/")
+    return summary.withColumns({"era": named[0], "variant": named[1]})
+
+
 def boundary(frame: DataFrame, study: str) -> DataFrame:
     """How clipping signals whose exit lies past their era changes each factor: rows crossing, edges with and without."""
-    free = in_eras(frame, factors.STUDIES[study], ERAS, LABELS, clip_exit=False)
-    table = {name: end for name, _, end in ERAS}
-    ends = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    crossing = F.col("exit_day") > F.element_at(ends, F.col("era")).cast("date")
-    counts = free.groupBy("factor", "era").agg(F.count_if(crossing).alias("crossing_rows"))
-    old = evaluate.top_summary(evaluate.top_days(free)).select("factor", "era", F.col("edge").alias("edge_free"), F.col("days").alias("days_free"))
-    new = evaluate.top_summary(evaluate.top_days(free.where(~crossing))).select("factor", "era", F.col("edge").alias("edge_clipped"), F.col("days").alias("days_clipped"))
-    out = counts.join(old, ["factor", "era"], "left").join(new, ["factor", "era"], "left")
+    eras = evaluate.by_era(frame, ERAS, clip_exit=False)
+    ends = F.create_map(*[F.lit(x) for name, _, end in ERAS for x in (name, end)])
+    counts = eras.groupBy("era").agg(F.count_if(F.col("exit_day") > F.element_at(ends, F.col("era")).cast("date")).alias("crossing_rows"))
+    counts = counts.withColumn("factor", F.explode(F.array(*[F.lit(n) for n in factors.STUDIES[study]])))
+    pick = lambda c, variant: F.max(F.when(F.col("variant") == variant, F.col(c))).alias(f"{c}_{variant}")
+    summary = boundary_summary(frame, study)
+    both = summary.groupBy("factor", "era").agg(*[pick(c, v) for v in ("free", "clipped") for c in ("edge", "days")])
+    out = counts.join(both, ["factor", "era"], "left")
     same = F.col("edge_free").eqNullSafe(F.col("edge_clipped")) | (F.abs(F.col("edge_free") - F.col("edge_clipped")) <= 1e-9)
     return out.withColumn("changed", ~F.coalesce(same, F.lit(False)))
 
@@ -176,3 +191,67 @@ def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widen
     long = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
     daily = evaluate.top_days(long, min_stocks=min_stocks)
     return evaluate.top_summary(daily)
+
+
+# Audits of a locked rule
+
+
+def transfer_rows(spark: SparkSession, sf_dir: str, factor: str, step: int, periods: list) -> tuple[DataFrame, DataFrame]:
+    """The long rows of a rule on symbols that were never members, and its grid: each scheduled day of each period whose exit is in it."""
+    bars = B.bar_table(spark, sf_dir)
+    cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
+    calendar = B.schedule(B.market_days(bars), START, END, step)
+    rows = features.panel(bars).join(cohort, "vt_symbol", "left_semi").join(F.broadcast(calendar), "day")  # one row per market day
+    rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
+    long = in_eras(labels.keep_all(rows, bars), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
+    return long, evaluate.by_era(calendar, periods).select("era", "day")
+
+
+def net_intervals(daily: DataFrame, grid: DataFrame, block: int, seed: int, keys: tuple[str, ...] = ("era",)) -> DataFrame:
+    """Per key: the interval of the signals' mean less cost, and that of the edge, over every day of the grid (keys, day).
+
+    Days without a signal are drawn like others and left out of a replicate's mean.
+    """
+    series = grid.join(daily.select(*keys, "day", "signal_mean", "edge"), [*keys, "day"], "left")
+    own = bootstrap.intervals(series, block, seed, keys=keys, value="signal_mean")
+    own = own.select(*keys, (F.col("low") - evaluate.COST).alias("net_low"), (F.col("high") - evaluate.COST).alias("net_high"))
+    edge = bootstrap.intervals(series, block, seed + 1000, keys=keys, value="edge").select(*keys, F.col("low").alias("block_edge_low"), F.col("high").alias("block_edge_high"))
+    dates = series.groupBy(*keys).agg(F.count("*").alias("grid_dates"), F.count("signal_mean").alias("signal_dates"))
+    return dates.join(own, list(keys), "left").join(edge, list(keys), "left")
+
+
+def transfer_audit(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widening", step: int = 1, min_stocks: int = 5, seed: int = 24) -> DataFrame:
+    """The locked rule's summary by period with net_low, the lower end of its net mean over blocks of four scheduled days."""
+    long, grid = transfer_rows(spark, sf_dir, factor, step, TRANSFER_PERIODS)
+    daily = evaluate.top_days(long, min_stocks=min_stocks)
+    return evaluate.top_summary(daily).join(net_intervals(daily, grid, 4, seed), "era")
+
+
+def round_intervals(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 20, seed: int = 24) -> DataFrame:
+    """The net interval of every factor of a study in every era, over the days on which the study has rows."""
+    rows = in_eras(frame, factors.STUDIES[study], eras, LABELS)
+    grid = evaluate.by_era(frame, eras).select("era", "day").distinct()
+    grid = grid.withColumn("factor", F.explode(F.array(*[F.lit(n) for n in factors.STUDIES[study]])))
+    return net_intervals(evaluate.top_days(rows, min_stocks=min_stocks), grid, 4, seed, ("factor", "era"))
+
+
+def sampling_cases(spark: SparkSession, sf_dir: str, factor: str = "old_market_down_pullback", min_stocks: int = 20) -> DataFrame:
+    """One rule on two sampling anchors and two pools: the whole history's calendar or one that starts anew with the period,
+    the members of the day or those of one fixed day.
+
+    Calendars and pools are rows (anchor, pool, day, vt_symbol), so the panel is read and labelled once for all four cases. Every
+    scheduled day meets the whole fixed pool: days are a calendar's, and the pool is one snapshot's.
+    """
+    bars = B.bar_table(spark, sf_dir)
+    days, members = B.market_days(bars), B.membership(spark, sf_dir)
+    since = B.schedule(days, START, END).where(F.col("day") >= F.lit(SAMPLED_FROM).cast("date")).withColumn("anchor", F.lit("history"))
+    calendar = since.unionByName(B.schedule(days, SAMPLED_FROM, END).withColumn("anchor", F.lit("period"))).select("anchor", "day", "entry_day", "exit_day")
+    dates = F.broadcast(calendar)  # two rows per market day at most
+    moving = members.join(dates, F.col("day").between(F.col("member_start"), F.col("member_end")))
+    fixed = members.where(F.lit(POOL_DAY).cast("date").between(F.col("member_start"), F.col("member_end"))).crossJoin(dates)
+    columns = ["anchor", "pool", "day", "entry_day", "exit_day", "vt_symbol"]
+    cases = moving.withColumn("pool", F.lit("moving")).select(*columns).unionByName(fixed.withColumn("pool", F.lit("fixed")).select(*columns))
+    rows = cases.join(features.panel(bars), ["vt_symbol", "day"]).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
+    rows = labels.keep_all(with_context(rows, "anchor", "pool"), bars).withColumn("era", F.concat_ws("/", "anchor", "pool"))
+    long = evaluate.long_scores(rows, {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
+    return evaluate.top_summary(evaluate.top_days(long, min_stocks=min_stocks))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -132,6 +133,16 @@ def write_once(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").json(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors see, spark.checkpoint.dir; where it is unset, a local session gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
+        named = tempfile.mkdtemp(prefix="scratch")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema("number long, folder string").json(f"{path}/versions")
