@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridgeline import oracles as O
 from ridgeline.functions.columns import average_rank
 from ridgeline.operators import bars as B
-from ridgeline.operators import labels, quality
+from ridgeline.operators import checks, labels, quality
 from ridgeline.plans import bootstrap, evaluate, factors, features, screens, studies
-from ridgeline.sources import arrow, files, provider
+from ridgeline.sources import arrow, code, files, provider
 from ridgeline.streaming import lifecycle, rules, ticks
 
 QUERIES: dict = {}
@@ -766,3 +766,39 @@ def arrow_cache_coverage(spark, sf_dir):
     arrow.encoded(bars).write.parquet(path)
     cached = arrow.decoded(spark.read.parquet(path), "stream", bars.schema)
     return cached.groupBy("vt_symbol").agg(F.count("*").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.sum("turnover"), 2).alias("turnover"))
+
+
+@query(O.query([O.BARS], """SELECT vt_symbol, day, close, volume FROM bars WHERE day <= DATE '1998-12-28'"""))
+def point_in_time_bars(spark, sf_dir):
+    """Bars as the first of two versions had them, up to a day: the second version's revisions do not show."""
+    path = files.scratch(spark, "versions")
+    bars = B.weekly_bars(spark, sf_dir).select("vt_symbol", "day", "close", "volume")
+    files.publish(bars, path)
+    files.publish(bars.withColumn("close", F.col("close") * 2), path)
+    return files.known_by(spark, path, 1, "1998-12-28")
+
+
+@query(O.query([O.BARS, O.MEMBERSHIP], """SELECT b.vt_symbol, b.day, close, member_start FROM bars b JOIN (SELECT vt_symbol, min(member_start) AS member_start FROM membership GROUP BY vt_symbol) m ON m.vt_symbol = b.vt_symbol"""))
+def checked_attachment(spark, sf_dir):
+    """Every bar with its symbol's first membership day, published only if each has exactly one: checked while it is written."""
+    path = files.scratch(spark, "attached")
+    facts = B.membership(spark, sf_dir).groupBy("vt_symbol").agg(F.min("member_start").alias("member_start"))
+    checks.attached(B.weekly_bars(spark, sf_dir).select("vt_symbol", "day", "close"), facts, ["vt_symbol"]).publish(path)
+    return files.published(spark, path)
+
+
+@query("""
+WITH refs AS (SELECT 'parts_' || (p_partkey // 100) || '.py' AS file, CASE WHEN p_partkey % 11 = 0 THEN 'Parts.gone_' ELSE 'Parts.part_' END || p_partkey AS symbol,
+  CAST(3 * row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 1 AS BIGINT) AS now, p_partkey FROM part)
+SELECT file, symbol, now + CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS line, CASE WHEN p_partkey % 11 <> 0 THEN now END AS now, CASE WHEN p_partkey % 11 = 0 THEN 'invalid' ELSE 'moved' END AS reason
+FROM refs WHERE p_partkey % 11 = 0 OR p_partkey % 5 = 0""")
+def reference_drift(spark, sf_dir):
+    """Parts as methods of source files of a hundred each, and references to them of which some are off by a line or have no symbol."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("parts_"), F.floor(F.col("p_partkey") / 100).cast("string"), F.lit(".py")).alias("file"), "p_size")
+    method = F.concat(F.lit("    def part_"), F.col("p_partkey").cast("string"), F.lit("(self):\n        return "), F.col("p_size").cast("string"), F.lit("\n\n"))
+    held = F.sort_array(F.collect_list(F.struct("p_partkey", method.alias("code"))))  # a hundred at most
+    sources = part.groupBy("file").agg(F.concat(F.lit("class Parts:\n"), F.array_join(F.transform(held, lambda m: m["code"]), "")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("p_partkey"))
+    symbol = F.concat(F.when(F.col("p_partkey") % 11 == 0, "Parts.gone_").otherwise("Parts.part_"), F.col("p_partkey").cast("string"))
+    pinned = part.select("file", symbol.alias("symbol"), (3 * place - 1 + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).cast("long").alias("line"))
+    return code.drifted_references(pinned, code.symbols(sources))

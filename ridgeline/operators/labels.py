@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import ratio
+from ridgeline.operators import checks
 
 
 def entry_and_exit(signals: DataFrame, bars: DataFrame) -> DataFrame:
@@ -38,14 +39,11 @@ def as_of(rows: DataFrame, on: str, facts: DataFrame, facts_on: str, by: str, ta
 
 
 def attached(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
-    """rows with the columns of facts, one fact for each row: ValueError if facts repeat a key, or a row finds none."""
-    repeated = facts.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
-        raise ValueError(f"facts repeat {on}: {repeated.first().asDict()}")
-    missing = rows.join(facts.select(*on), on, "left_anti")
-    if not missing.isEmpty():
-        raise ValueError(f"rows without a fact: {missing.select(*on).first().asDict()}")
-    return rows.join(facts, on)
+    """rows with the columns of facts, one fact for each row: ValueError if facts repeat a key, or a row finds none.
+
+    One job counts both; checks.attached(...).publish(path) counts them while the result is written.
+    """
+    return checks.attached(rows, facts, on).verify()
 
 
 def filled(side: str):

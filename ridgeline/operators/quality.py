@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import finite
+from ridgeline.operators import checks
 
 NUMBERS = ("open", "high", "low", "close", "volume", "turnover", "vwap")
 
@@ -54,21 +55,12 @@ def members_without_bars(members: DataFrame, bars: DataFrame) -> DataFrame:
 
 def checked_members(members: DataFrame, least: int, most: int) -> DataFrame:
     """members (day, vt_symbol), or ValueError: a repeated member, or a day with fewer or more of them than a snapshot can have."""
-    per_day = members.groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("vt_symbol").alias("different"))
-    found = per_day.agg(F.min("n").alias("fewest"), F.max("n").alias("most"), F.coalesce(F.sum(F.col("n") - F.col("different")), F.lit(0)).alias("repeated")).first()
-    if found["fewest"] is None or found["repeated"] or found["fewest"] < least or found["most"] > most:
-        raise ValueError(f"no whole snapshots: {found.asDict()}")
-    return members
+    return checks.members(members, least, most).verify()
 
 
 def checked_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """bars, or ValueError if they have a day that is no market day of the calendar, or miss one between their first and last."""
-    days = bars.select("day").distinct()
-    span = days.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    wanted = calendar.select("day").distinct().join(F.broadcast(span), F.col("day").between(F.col("first"), F.col("last"))).select("day")
-    odd = days.join(wanted, "day", "left_anti").count(), wanted.join(days, "day", "left_anti").count()  # days, not bars
-    if any(odd):
-        raise ValueError(f"{odd[0]} days are not in the calendar, {odd[1]} of it have no bar")
+    checks.calendar(bars, calendar).verify()
     return bars
 
 

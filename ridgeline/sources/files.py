@@ -152,15 +152,17 @@ def _versions(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def publish(frame: DataFrame, path: str, files: int | None = None) -> str:
+def publish(frame: DataFrame, path: str, files: int | None = None, before_naming=None) -> str:
     """Writes a new version of a Parquet data set and then names it; readers of `published` see the old one until then.
 
     A version is a folder of its own, and its name is one line added by one commit, so a job that dies in between
-    leaves the old version in place. The folder is returned.
+    leaves the old version in place, as does a before_naming() that raises. The folder is returned.
     """
     spark = frame.sparkSession
     folder = f"{path}/data-{uuid.uuid4().hex}"
     (frame.coalesce(files) if files else frame).write.option("compression", "zstd").parquet(folder)
+    if before_naming is not None:
+        before_naming()
     known = _versions(spark, path)
     last = known.agg(F.max("number").alias("n")).first()["n"] if known is not None else None
     line = spark.createDataFrame([((last or 0) + 1, folder)], "number long, folder string")
@@ -168,15 +170,26 @@ def publish(frame: DataFrame, path: str, files: int | None = None) -> str:
     return folder
 
 
-def published(spark: SparkSession, path: str) -> DataFrame:
-    """The version of the data set that was published last; FileNotFoundError if there is none."""
+def published(spark: SparkSession, path: str, as_of: int | None = None) -> DataFrame:
+    """The version of the data set that was published last, or last up to the number as_of; FileNotFoundError if there is none."""
     known = _versions(spark, path)
+    if known is not None and as_of is not None:
+        known = known.where(F.col("number") <= as_of)
     last = known.orderBy(F.desc("number"), "folder").first() if known is not None else None
     if last is None:
         raise FileNotFoundError(path)
     return spark.read.parquet(last["folder"])
 
 
+def known_by(spark: SparkSession, path: str, as_of: int, until: str | None = None, day: str = "day") -> DataFrame:
+    """What a study could have read when version as_of was the last one: its rows up to the day `until`.
+
+    Later versions, with their revisions of old days, do not show; the cut by day reaches the Parquet scan.
+    """
+    rows = published(spark, path, as_of)
+    return rows if until is None else rows.where(F.col(day) <= F.lit(until).cast("date"))
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     """One CSV file with a header, for a table that a person reads; the path must not exist."""
     frame.coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
