@@ -13,12 +13,16 @@ from functools import reduce
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Bounds of ranges that a plan spells out, and ranges that a corpus is cut into, at most.
+LITERALS, MOST_RANGES = 512, 1 << 16
+
 _SHIPPED: "weakref.WeakSet" = weakref.WeakSet()
 
 
@@ -145,7 +149,19 @@ def quantiles(frame: DataFrame, column: str, parts: int) -> list:
 
 
 def range_of(column: Column, bounds: list) -> Column:
-    """The number of bounds that are <= column, by a balanced tree of comparisons; nulls go to 0."""
+    """The number of bounds that are <= column; nulls go to 0.
+
+    Up to LITERALS bounds are a balanced tree of comparisons; more are searched in Arrow batches and go to the tasks as data, so that
+    no plan grows with the corpus.
+    """
+    if len(bounds) > LITERALS:
+        table = np.array(bounds, np.int64)
+
+        @F.pandas_udf("int")
+        def search(values: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(table, values.to_numpy(), side="right").astype(np.int32))
+
+        return F.when(column.isNull(), 0).otherwise(search(F.coalesce(column, F.lit(0)).cast("long")))
 
     def tree(low: int, high: int) -> Column:
         if low == high:
@@ -159,13 +175,14 @@ def range_of(column: Column, bounds: list) -> Column:
 def by_ranges(docs: DataFrame, name: str, tie: Column, most: int, least: int, text: str = "text") -> tuple[list, DataFrame]:
     """docs with the column `name`: the number of a row's range, ascending with (doc_id nulls first, tie), tie being a hash.
 
-    Ranges hold about `most` bytes of text, or down to `least` if the session has more partitions. Rows without an id are
+    Ranges hold about `most` bytes of text, or down to `least` if the session has more partitions; where that were over MOST_RANGES,
+    they hold more, as a task streams its range and keeps none of it. Rows without an id are
     dealt to as many ranges as the others, by their hash, so that they may be any share of the rows. The second
     result has at most twice as many ranges as the first result has bounds, and two.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // most), min(partitions(docs.sparkSession), -(-size // least)))
-    bounds = quantiles(docs, "doc_id", parts)
+    bounds = quantiles(docs, "doc_id", min(parts, MOST_RANGES))
     return bounds, docs.withColumn(name, range_number(bounds, tie))
 
 
