@@ -13,7 +13,7 @@ from ridgeline.operators import bars as B
 from ridgeline.operators import checks, labels, quality
 from ridgeline.plans import bootstrap, evaluate, factors, features, screens, studies
 from ridgeline.sources import arrow, code, files, provider
-from ridgeline.streaming import lifecycle, rules, ticks
+from ridgeline.streaming import lifecycle, routing, rules, ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -802,3 +802,50 @@ def reference_drift(spark, sf_dir):
     symbol = F.concat(F.when(F.col("p_partkey") % 11 == 0, "Parts.gone_").otherwise("Parts.part_"), F.col("p_partkey").cast("string"))
     pinned = part.select("file", symbol.alias("symbol"), (3 * place - 1 + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0)).cast("long").alias("line"))
     return code.drifted_references(pinned, code.symbols(sources))
+
+
+# Routing of events
+
+
+@query("""
+WITH intents AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'close' END AS role, o_orderkey % 50 AS instrument, o_orderkey AS order_ref, o_orderkey % 3 AS front, o_orderkey % 7 AS session,
+  CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 10 END AS sys_id FROM orders WHERE o_orderkey % 9 <> 0),
+reports AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 50 + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS instrument, l_orderkey AS order_ref,
+  CASE WHEN l_linenumber % 3 <> 0 THEN l_orderkey % 3 + CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END END AS front, l_orderkey % 7 AS session,
+  CASE WHEN l_linenumber % 4 <> 0 THEN l_orderkey * 10 + CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END END AS sys_id FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, role FROM reports r LEFT JOIN intents i ON r.instrument = i.instrument AND r.order_ref = i.order_ref
+  AND (r.front IS NULL OR (r.front IS NOT DISTINCT FROM i.front AND r.session IS NOT DISTINCT FROM i.session)) AND (i.sys_id IS NULL OR coalesce(r.sys_id = i.sys_id, false))""")
+def order_owners(spark, sf_dir):
+    """Sales lines as reports of orders, met with the orders as intents."""
+    o, n = F.col("o_orderkey"), F.col("l_linenumber")
+    intents = spark.read.parquet(f"{sf_dir}/orders.parquet").where(o % 9 != 0).select(
+        F.when(o % 2 == 0, "open").otherwise("close").alias("role"), (o % 50).alias("instrument"), o.alias("order_ref"), (o % 3).alias("front"), (o % 7).alias("session"), F.when(o % 5 != 0, o * 10).alias("sys_id")
+    )
+    k = F.col("l_orderkey")
+    reports = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_partkey", (k % 50 + F.when(n == 7, 1).otherwise(0)).alias("instrument"), k.alias("order_ref"), F.when(n % 3 != 0, k % 3 + F.when(n == 5, 1).otherwise(0)).alias("front"),
+        (k % 7).alias("session"), F.when(n % 4 != 0, k * 10 + F.when(n == 6, 1).otherwise(0)).alias("sys_id"),
+    )
+    return routing.owners(reports, intents).select("l_orderkey", "l_linenumber", "l_partkey", "role")
+
+
+@query("""
+SELECT 'tick' AS kind, CAST(user_id AS BIGINT) AS symbol, NULL::BIGINT AS request_id, count(*) AS events FROM events WHERE user_id % 3 = 0 GROUP BY ALL
+UNION ALL SELECT 'answer', NULL, CAST(l_orderkey AS BIGINT), count(*) FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY ALL""")
+def routed_events(spark, sf_dir):
+    """Ticks and messages as one stream of events, of which those of the symbols and requests that are waited for stay."""
+    market = ticks.ticks(spark, sf_dir).select("symbol", F.lit("tick").alias("kind"))
+    trading = ticks.responses(spark, sf_dir).select("request_id", F.lit("answer").alias("kind"))
+    events = routing.one_stream(market, trading)
+    symbols = market.where("symbol % 3 = 0").select("symbol")
+    requests = trading.where("request_id % 4 = 0").select("request_id")
+    return routing.wanted(events, symbols, requests).groupBy("kind", "symbol", "request_id").agg(F.count("*").alias("events"))
+
+
+@query(O.query([TICKS, STATS], """SELECT c.symbol, ticks, changes, coalesce(changes > 0, false) AS verified
+FROM (SELECT DISTINCT user_id AS symbol FROM events WHERE user_id % 5 = 0 UNION SELECT -1) c LEFT JOIN stats s ON s.symbol = c.symbol"""))
+def verified_symbols(spark, sf_dir):
+    """Every fifth symbol and one that nobody knows, with what came of them."""
+    rows = ticks.ticks(spark, sf_dir)
+    selected = rows.where("symbol % 5 = 0").select("symbol").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("symbol")))
+    return routing.verified(selected, ticks.running_stats(rows))

@@ -73,6 +73,17 @@ def average_rank(x: Column | str, *groups: str) -> Column:
     return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
 
+def ordered_ranks(rows: DataFrame, x: str, groups: list[str], unique: str, place: str, rank: str) -> DataFrame:
+    """rows with `place`, from 1 for the largest x, equal ones in order of `unique`, and `rank`, less than 0, which rises with x and is shared by equal ones.
+
+    The places are made first: their order begins with that of the ranks, which then need no sort of their own.
+    """
+    falling = Window.partitionBy(*groups).orderBy(F.col(x).desc())
+    ties = falling.rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*groups).orderBy(F.col(x).desc(), unique)))
+    return rows.withColumn(rank, -(F.rank().over(falling) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)))
+
+
 def melted(rows: DataFrame, keep: list[str], columns: dict[str, Column], name: str, value: str) -> DataFrame:
     """keep, name and value: a row for each of the named columns. Rows stay where they are, so a partitioning holds."""
     each = F.array(*[F.struct(F.lit(n).alias(name), c.alias(value)) for n, c in columns.items()])

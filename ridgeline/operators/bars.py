@@ -5,10 +5,11 @@ A bar is one row (vt_symbol, day, open, high, low, close, volume, turnover, vwap
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.sources import files
+
 REQUIRED = {"vt_symbol", "day", "open", "high", "low", "close", "volume"}
 MEMBER_FROM, MEMBER_UNTIL = "1995-01-02", "2001-12-31"
 
@@ -36,14 +37,14 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly bars as a table that a study reads many times: made once, dealt by symbol, kept on the executors.
+    """The weekly bars as a table that a study reads many times: made once, dealt by symbol, and checkpointed.
 
-    The panel, the market calendar and the entry, exit and mark sides of the labels all read it, each other columns; without
-    it every one of them would scan and aggregate the sales anew. It is far smaller than the sales, spills to disk, and a
-    lost executor's part is made again from them.
+    The panel, the market calendar and the entry, exit and mark sides of the labels all read it; without it every one of them
+    would scan and aggregate the sales anew. It is far smaller than the sales, keeps its partitioning by symbol, survives its executors, and belongs
+    to this call: another study makes its own, from the sales as they are then.
     """
-    bars = weekly_bars(spark, sf_dir).repartition("vt_symbol")
-    return bars if bars.storageLevel.useMemory else bars.persist(StorageLevel.MEMORY_AND_DISK)
+    files.shared_folder(spark)
+    return weekly_bars(spark, sf_dir).repartition("vt_symbol").checkpoint()
 
 
 def normalised(raw: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import average_rank, correlation, finite, mean_where, melted, place, rate
+from ridgeline.functions.columns import average_rank, correlation, finite, mean_where, melted, ordered_ranks, rate
 
 COST = 0.003
 #: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits.
@@ -67,14 +67,8 @@ def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
     Equal scores are taken in order of symbol. A day of constant scores has no rank correlation.
     """
     rows = rows.where(finite("score")).withColumns({"intent": F.round("intent_return", DIGITS), "worst": F.round("worst_case_return", DIGITS)})
-    best = place("factor", "era", "day", order=[F.col("score").desc(), "vt_symbol"])
-    rows = rows.withColumns(
-        {
-            "score_rank": average_rank("score", "factor", "era", "day"),
-            "target_rank": average_rank("intent", "factor", "era", "day"),
-            "selected": (F.col("score") > 0) & (best <= top),
-        }
-    )
+    rows = ordered_ranks(rows, "score", ["factor", "era", "day"], "vt_symbol", "place", "score_rank")
+    rows = rows.withColumns({"target_rank": average_rank("intent", "factor", "era", "day"), "selected": (F.col("score") > 0) & (F.col("place") <= top)})
     chosen = F.col("selected")
     daily = rows.groupBy("factor", "era", "day").agg(
         F.count("*").alias("stocks"), F.count_if(chosen).alias("signals"), F.avg("intent").alias("baseline_mean"), mean_where("intent", chosen).alias("signal_mean"),

@@ -133,14 +133,22 @@ def write_once(frame: DataFrame, path: str) -> None:
     frame.write.mode("errorifexists").json(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors see, spark.checkpoint.dir; where it is unset, a local session gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, spark.checkpoint.dir; where it is unset, a local session gets a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors see")
-        named = tempfile.mkdtemp(prefix="scratch")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = tempfile.mkdtemp(prefix="checkpoints")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
