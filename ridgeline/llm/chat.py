@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import keep, running
 
 CHUNK = 256
+SALTS = 16
 ROLES = ("system", "user", "assistant", "tool")
 #: Turns come in this order; a missing number is below all others.
 ORDER = ["turn", "role", "text"]
@@ -68,13 +69,10 @@ def collapse(conversations: DataFrame) -> DataFrame:
         F.max("pos").alias("n_turns"), F.max_by(F.struct("h1", "h2"), "pos").alias("whole")
     )
     distinct = length.groupBy("n_turns", "whole").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
-    lengths = length.select(F.col("conv_id").alias("of"), "n_turns")
-    prefixes = (
-        rolled.join(lengths, F.col("conv_id").eqNullSafe(F.col("of")))
-        .where("pos < n_turns")
-        .select(F.col("pos").alias("p"), F.struct("h1", "h2").alias("prefix"))
-        .distinct()
-    )
+    # The last turn of a conversation is met by conversation and place, of which no conversation is a single key.
+    ends = length.select(F.col("conv_id").alias("of"), "n_turns")
+    proper = rolled.join(ends, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("n_turns")), "left_anti")
+    prefixes = proper.select(F.col("pos").alias("p"), F.struct("h1", "h2").alias("prefix")).distinct()
     kept = distinct.join(
         prefixes, (F.col("n_turns") == F.col("p")) & (F.col("whole") == F.col("prefix")), "left_anti"
     )
@@ -88,10 +86,13 @@ def render(conversations: DataFrame, start: str = "<|im_start|>", end: str = "<|
     conversation, and no conversation is gathered into one row however long it is. Roles other than the
     known four are rendered as user.
     """
-    kept = collapse(conversations).select(F.col("conv_id").alias("of"), "n_turns", "n_copies")
+    # A conversation's turns meet it under as many keys as there are salts.
+    kept = collapse(conversations).select(F.col("conv_id").alias("of"), "n_turns", "n_copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).join(kept, F.col("conv_id").eqNullSafe(F.col("of")))
+    )
+    salt = F.pmod(F.xxhash64("turn", "role", F.length("text")), F.lit(SALTS)).cast("int")
+    turns = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("of")) & (salt == F.col("salt"))).drop("salt")
     turns = _placed(turns)
     role = F.lower(F.trim("role"))
     role = F.when(role.isin(*ROLES), role).otherwise(F.lit("user"))
