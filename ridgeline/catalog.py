@@ -13,7 +13,7 @@ from ridgeline.operators import bars as B
 from ridgeline.operators import checks, labels, quality
 from ridgeline.plans import bootstrap, evaluate, factors, features, screens, studies
 from ridgeline.sources import arrow, code, files, provider
-from ridgeline.streaming import lifecycle, routing, rules, ticks
+from ridgeline.streaming import journal, lifecycle, routing, rules, ticks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -726,7 +726,43 @@ def entry_checks(spark, sf_dir):
     return rows.select("c_custkey", F.round("estimated_margin", 6).alias("estimated_margin"), rules.entry_reason().alias("reason"))
 
 
-@query()
+#: The rules of the order life cycle as a recursion over each run's events: one level of queries for what an event does, one for the limits that have passed.
+LIFECYCLE = """
+WITH RECURSIVE """ + TICKS.strip() + """,
+log AS (SELECT CAST(symbol AS VARCHAR) AS run, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS n, floor(epoch(ts)) AS now, price, detail % 7 <> 0 AS ready,
+  CASE WHEN detail % 9 = 0 THEN 'order' WHEN detail % 9 = 1 THEN 'trade' WHEN detail = 50 THEN 'disconnect' WHEN detail % 31 = 0 THEN 'flat' ELSE 'quote' END AS kind,
+  CASE WHEN detail % 2 = 0 THEN 'open' ELSE 'close' END AS role, CASE WHEN detail % 4 = 0 THEN '5' ELSE '3' END AS reported FROM raw_ticks WHERE price IS NOT NULL),
+states AS (
+  SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, 'waiting' AS phase, '' AS frozen, CAST(NULL AS DOUBLE) AS threshold, 0 AS above, CAST(NULL AS DOUBLE) AS open_price, CAST(NULL AS DOUBLE) AS filled_at,
+    CAST(NULL AS DOUBLE) AS sent_at, '' AS status, CAST(NULL AS DOUBLE) AS cancel_at, '' AS signal, '' AS shown, 0 AS intents, CAST(NULL AS VARCHAR) AS close_reason FROM log
+  UNION ALL
+  SELECT run, n, phase_2, CASE WHEN frozen_2 <> '' THEN frozen_2 WHEN late THEN 'no acknowledgement' WHEN lost THEN 'cancel not acknowledged' ELSE '' END, threshold_2, above_2, open_price_2, filled_at_2, sent_2, status_2, cancel_3, signal_2,
+    CASE WHEN acted OR asked OR (frozen_2 = '' AND (late OR lost)) THEN phase_2 ELSE shown END, intents + CASE WHEN sends_open OR sends_close THEN 1 ELSE 0 END, CASE WHEN sends_close THEN signal_2 ELSE close_reason END
+  FROM (
+    SELECT *, pending AND cancel_3 IS NOT NULL AND now - cancel_3 > 5 AND status_2 NOT IN ('0', '2', '4', '5') AS lost FROM (
+      SELECT *, CASE WHEN asked THEN now ELSE cancel_2 END AS cancel_3 FROM (
+        SELECT *, pending AND status_2 = '' AND now - sent_2 > 3 AS late, coalesce(pending AND status_2 IN ('1', '3') AND now - sent_2 > 10 AND cancel_2 IS NULL, false) AS asked FROM (
+          SELECT *, alive AND phase_2 IN ('open_pending', 'close_pending') AS pending, frozen_2 <> frozen OR (can AND threshold IS NULL) OR sends_open OR sends_close OR (ended AND role = 'open') OR filled OR flat AS acted FROM (
+            SELECT *, CASE WHEN sends_open THEN 'open_pending' WHEN sends_close THEN 'close_pending' WHEN ended AND role = 'open' THEN 'canceled' WHEN filled AND role = 'open' THEN 'holding'
+                WHEN filled THEN 'verifying_flat' WHEN flat THEN 'closed' ELSE phase END AS phase_2,
+              CASE WHEN frozen <> '' THEN frozen WHEN alive AND kind = 'disconnect' THEN 'disconnected' WHEN ended AND role = 'close' THEN 'close order ended without a fill'
+                WHEN alive AND kind = 'trade' AND NOT filled THEN 'unexpected fill' ELSE '' END AS frozen_2,
+              CASE WHEN filled AND role = 'open' THEN price ELSE open_price END AS open_price_2, CASE WHEN filled AND role = 'open' THEN now ELSE filled_at END AS filled_at_2,
+              CASE WHEN sends_open OR sends_close THEN now ELSE sent_at END AS sent_2, CASE WHEN sends_open OR sends_close THEN '' WHEN told THEN reported ELSE status END AS status_2,
+              CASE WHEN NOT (sends_open OR sends_close) THEN cancel_at END AS cancel_2 FROM (
+              SELECT *, can AND above_2 >= 2 AS sends_open, holds AND signal_2 <> '' AND ready AS sends_close, told AND reported IN ('2', '4', '5') AS ended FROM (
+                SELECT *, CASE WHEN alive AND kind = 'disconnect' THEN 0 WHEN alive AND kind = 'quote' AND phase = 'waiting' THEN CASE WHEN can AND price > threshold_2 THEN above + 1 ELSE 0 END ELSE above END AS above_2,
+                  CASE WHEN NOT holds THEN signal WHEN price - 0.1::DOUBLE - open_price <= -5 THEN 'stop_loss' WHEN signal <> '' THEN signal WHEN now - filled_at >= 60 THEN 'time_limit' ELSE '' END AS signal_2 FROM (
+                  SELECT *, CASE WHEN can AND threshold IS NULL THEN round((round_even(price / 0.1::DOUBLE, 0) + 2) * 0.1::DOUBLE, 8) ELSE threshold END AS threshold_2 FROM (
+                    SELECT s.* EXCLUDE (n), e.* EXCLUDE (run), phase NOT IN ('closed', 'canceled') AS alive, kind = 'quote' AND phase = 'waiting' AND ready AND frozen = '' AS can,
+                      kind = 'quote' AND phase = 'holding' AND frozen = '' AS holds, kind = 'order' AND phase = role || '_pending' AS told, kind = 'trade' AND phase = role || '_pending' AS filled,
+                      kind = 'flat' AND phase = 'verifying_flat' AND frozen = '' AS flat
+                    FROM states s JOIN log e ON e.run = s.run AND e.n = s.n + 1))))))))))
+SELECT run, shown AS phase, CAST(intents AS BIGINT) AS intents, nullif(frozen, '') AS frozen, close_reason FROM (
+  SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1) WHERE shown <> ''"""
+
+
+@query(LIFECYCLE)
 def order_lifecycles(spark, sf_dir):
     """Every user's events as the log of one experiment, replayed through the state machine."""
     k = F.col("detail")
@@ -849,3 +885,15 @@ def verified_symbols(spark, sf_dir):
     rows = ticks.ticks(spark, sf_dir)
     selected = rows.where("symbol % 5 = 0").select("symbol").unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("symbol")))
     return routing.verified(selected, ticks.running_stats(rows))
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, (l_linenumber % 3, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS l_linenumber, arg_max(l_partkey, (l_linenumber % 3, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS l_partkey,
+  arg_max(l_linestatus, (l_linenumber % 3, l_linenumber, l_partkey, l_suppkey, l_quantity)) AS l_linestatus FROM lineitem GROUP BY 1""")
+def merged_journal(spark, sf_dir):
+    """Sales lines as three batches of order reports, each merged into a journal that has the last report of an order."""
+    path = files.scratch(spark, "journal")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus")
+    write = journal.merging(path, ["l_orderkey"], order=["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], buckets=8)
+    for number in range(3):
+        write(rows.where(F.col("l_linenumber") % 3 == number), number)
+    return journal.journal(spark, path, rows.schema).select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus")
