@@ -8,7 +8,7 @@ No conversation is gathered: rows are range-sorted by conversation, turn, role a
 of bounded rows and bytes. The least cost from each state at a piece's start to each state at its end is a 4 x 4 table; the
 tables of a conversation's pieces are folded from its end (a few numbers a piece, streamed in order), which gives each piece the costs
 behind it. With these a piece walks from each of the four states; the states that pieces are entered in follow by one more
-pass over the pieces. Equal rows of a turn are counted before sorting, so that one row repeated any number of times is one row. A row is a
+pass over the pieces. A conversation that begins and ends within a task's rows, as nearly all do, is repaired there at once. Equal rows of a turn are counted before sorting, so that one row repeated any number of times is one row. A row is a
 repetition unless its turn is the first of its conversation, role and text; that is a join by all four, of
 which a conversation of any size is no single key. Only the digest of a repaired conversation has to read its pieces one after the other, which
 it does one piece at a time.
@@ -36,6 +36,7 @@ SPACES = " \t\n\x0b\x0c\r"
 PIECE_ROWS, PIECE_CHARS = 1024, 1 << 20
 #: Grammar states: start, after the system turn, after a user's turn, after an assistant's turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
+LEGAL = ("su", "ua", "au")
 DELETE, INSERT, REROLE, TRUNCATED = 3, 2, 2, 1
 FAR = 1 << 60
 #: The costs of ending in each state: an assistant's turn or nothing may end; what is missing is inserted.
@@ -154,6 +155,11 @@ class Piece:
             state = NEXT[state]
 
 
+    def told(self, way: list[tuple[int, str]]) -> str | None:
+        """The turns of a walk as lines; None if there are none."""
+        return "\n".join(f"{role}:{self.rows[i][1] if i >= 0 else ''}" for i, role in way) if way else None
+
+
 def _fault(row: dict) -> str:
     """b, d, t, or nothing amiss: k."""
     text = row["text"].rstrip(SPACES)
@@ -163,8 +169,9 @@ def _fault(row: dict) -> str:
 
 
 ROW = "array<struct<role:string,text:string,initial:string,fault:string,copies:long>>"
+DONE = "gaps long, cost long, audit string, repaired_sha256 string"
 PIECE = (
-    f"conv_id long, part int, number long, rows {ROW}, costs array<array<long>>, n long, blank long, duplicate long, truncated long, illegal long, "
+    f"{DONE}, conv_id long, part int, number long, rows {ROW}, costs array<array<long>>, n long, blank long, duplicate long, truncated long, illegal long, "
     "first_role string, last_role string, first_turn long, last_turn long, turns long"
 )
 
@@ -178,27 +185,34 @@ def pieces(rows: DataFrame, most: int = PIECE_ROWS) -> DataFrame:
 
     types = to_arrow_schema(StructType.fromDDL(PIECE))
 
-    def made(key: tuple, held: list[dict], number: int) -> dict:
-        cut = [(r["role"], r["text"], r["role"][:1], _fault(r), r["copies"]) for r in held]
+    def made(key: tuple, held: list[dict], number: int, alone: bool) -> dict:
+        piece = Piece([(r["role"], r["text"], r["role"][:1], _fault(r), r["copies"]) for r in held])
         turns = [r["t"] for r in held if r["has_turn"]]
-        initials = [c[2] for c in cut]
-        blank = sum(n for *_, f, n in cut if f == "b")
-        return {
-            "conv_id": key[0], "part": key[1], "number": number, "rows": [dict(zip(("role", "text", "initial", "fault", "copies"), c)) for c in cut], "costs": Piece(cut).table(),
-            "n": sum(c[4] for c in cut), "blank": blank, "duplicate": sum(n if f == "d" else n - 1 for *_, f, n in cut if f != "b"), "truncated": sum(f == "t" for *_, f, _ in cut),
-            "illegal": sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])) + sum(c[4] - 1 for c in cut),
-            "first_role": initials[0], "last_role": initials[-1], "first_turn": turns[0] if turns else None, "last_turn": turns[-1] if turns else None,
-            "turns": len(set(turns)),
+        initials = [c[2] for c in piece.rows]
+        figures = {
+            "conv_id": key[0], "blank": sum(n for *_, f, n in piece.rows if f == "b"), "duplicate": sum(n if f == "d" else n - 1 for *_, f, n in piece.rows if f != "b"),
+            "truncated": sum(f == "t" for *_, f, _ in piece.rows), "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])) + sum(c[4] - 1 for c in piece.rows),
+        }
+        if alone:
+            audit, _, way = piece.walk(START, AT_END, True)
+            gaps = turns[-1] - turns[0] + 1 - len(set(turns)) if turns else 0
+            cost = piece.costs(AT_END)[0][START] + piece.fixed
+            return figures | {"gaps": gaps, "cost": cost, "audit": audit, "repaired_sha256": hashlib.sha256((piece.told(way) or "").encode()).hexdigest()}
+        return figures | {
+            "part": key[1], "number": number, "rows": [dict(zip(("role", "text", "initial", "fault", "copies"), c)) for c in piece.rows], "costs": piece.table(), "n": sum(c[4] for c in piece.rows),
+            "first_role": initials[0], "last_role": initials[-1], "first_turn": turns[0] if turns else None, "last_turn": turns[-1] if turns else None, "turns": len(set(turns)),
         }
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, number, out, weight = None, [], 0, 0, [], 0
+        key, held, size, number, first, out, weight = None, [], 0, 0, True, [], 0
         for part in (whole.slice(a, 256) for whole in parts for a in range(0, whole.num_rows, 256)):
             for r in part.to_pylist():
-                if held and (size >= PIECE_CHARS or len(held) >= most or (r["conv_id"], r["part"]) != key):
-                    out.append(made(key, held, number))
+                ends = held and (r["conv_id"], r["part"]) != key
+                if ends or (held and (size >= PIECE_CHARS or len(held) >= most)):
+                    # What begins and ends within a task's rows is all there is of its conversation.
+                    out.append(made(key, held, number, ends and number == 0 and not first))
                     weight += size
-                    number, held, size = number + 1, [], 0
+                    number, held, size, first = 0 if ends else number + 1, [], 0, first and not ends
                 key = (r["conv_id"], r["part"])
                 held.append(r)
                 size += len(r["text"])
@@ -206,7 +220,7 @@ def pieces(rows: DataFrame, most: int = PIECE_ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=types)
                 out, weight = [], 0
         if held:
-            out.append(made(key, held, number))
+            out.append(made(key, held, number, False))
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=types)
 
@@ -254,7 +268,8 @@ def repair(conversations: DataFrame, most: int = PIECE_ROWS, damage=damaged) ->
 
     damage(conversations) gives the rows (conv_id, turn, role, text, copies) that are repaired; texts and roles are not null.
     """
-    cut = keep(pieces(judged(damage(conversations)), most))
+    found = keep(pieces(judged(damage(conversations)), most))
+    done, cut = found.where("audit IS NOT NULL"), found.where("audit IS NULL")
     place = ["part", "number"]
     reverse = [F.col(p).desc() for p in place]
     ends = _folded(cut.select("conv_id", *place, "costs"), reverse, _ends, "conv_id long, part int, number long, behind array<long>, last boolean, least array<long>")
@@ -276,18 +291,18 @@ def repair(conversations: DataFrame, most: int = PIECE_ROWS, damage=damaged) ->
             audits, lines = [], []
             for ((audit, _, turns, piece),) in walks(part, None):
                 audits.append(audit)
-                lines.append("\n".join(f"{role}:{piece.rows[i][1] if i >= 0 else ''}" for i, role in turns) if turns else None)
+                lines.append(piece.told(turns))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("conv_id", *place)], pa.array(audits, pa.string()), pa.array(lines, pa.string())], ["conv_id", *place, "audit", "lines"])
 
     ways = met(cut.select("conv_id", *place, "rows"), ends.select("conv_id", *place, "behind", "last"))
     leaves = ways.mapInArrow(left, "conv_id long, part int, number long, leaves array<int>")
     entries = _folded(leaves, [F.col(p) for p in place], _entries, "conv_id long, part int, number long, entry int")
     chosen = met(ways, entries).mapInArrow(told, "conv_id long, part int, number long, audit string, lines string")
-    return conversations.select(F.col("conv_id").cast("long")).distinct().transform(_assembled, cut, ends, chosen)
+    return conversations.select(F.col("conv_id").cast("long")).distinct().transform(_assembled, done, cut, ends, chosen)
 
 
-def _assembled(known: DataFrame, cut: DataFrame, ends: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The figures of all pieces of a conversation, and the digest of its turns."""
+def _assembled(known: DataFrame, done: DataFrame, cut: DataFrame, ends: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The figures of every known conversation: of those that are done, and of the pieces of the others with the digest of their turns."""
 
     def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def closed():
@@ -316,7 +331,7 @@ def _assembled(known: DataFrame, cut: DataFrame, ends: DataFrame, chosen: DataFr
         new = dict(old)
         for c in ("blank", "duplicate", "truncated", "illegal"):
             new[c] += r[c]
-        if old["role"] is not None and old["role"] + r["first_role"] not in ("su", "ua", "au"):
+        if old["role"] is not None and old["role"] + r["first_role"] not in LEGAL:
             new["illegal"] += 1
         new["role"] = r["last_role"]
         if r["turns"]:
@@ -327,16 +342,19 @@ def _assembled(known: DataFrame, cut: DataFrame, ends: DataFrame, chosen: DataFr
         return new, {"conv_id": r["conv_id"], "part": r["part"], "number": r["number"], "gaps": gaps, **{c: new[c] for c in ("blank", "duplicate", "truncated", "illegal")}}
 
     place = [F.col("part"), F.col("number")]
-    sums = _folded(cut.drop("rows", "costs"), place, summed, "conv_id long, part int, number long, gaps long, blank long, duplicate long, truncated long, illegal long")
+    sums = _folded(cut.drop("rows", "costs", "gaps", "cost", "audit", "repaired_sha256"), place, summed, "conv_id long, part int, number long, gaps long, blank long, duplicate long, truncated long, illegal long")
     last = F.struct("part", "number")
     figures = ["gaps", "blank", "duplicate", "truncated", "illegal"]
     sums = sums.groupBy(F.col("conv_id").alias("of")).agg(F.max_by(F.struct(*figures), last).alias("s")).select("of", "s.*")
     costs = ends.groupBy(F.col("conv_id").alias("of")).agg(F.min_by(F.get("least", F.lit(START)), last).alias("cost"))
 
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    def met(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+        right = right.withColumnRenamed("of", "__of")
+        return left.join(right, F.col(key).eqNullSafe(F.col("__of")), how).drop("__of")
 
-    out = met(met(met(known, sums), costs), digests)
+    columns = ["of", *figures, "cost", "audit", "repaired_sha256"]
+    pieced = met(met(sums, costs, "of", "inner"), digests, "of", "inner").select(columns)
+    out = met(known, pieced.unionByName(done.withColumnRenamed("conv_id", "of").select(columns)), "conv_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     nothing = hashlib.sha256().hexdigest()
     return out.select("conv_id", *[zero(c) for c in (*figures, "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(nothing)).alias("repaired_sha256"))
