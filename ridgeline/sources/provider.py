@@ -1,4 +1,4 @@
-"""A Python data source of provider bars: one partition for each symbol, and the date filters as the range that is asked for.
+"""A Python data source of provider bars: a partition for each symbol (or for so many `together`), and the date filters as the range that is asked for.
 
     register(spark)
     spark.read.format("provider_bars").option("path", folder).option("begin", "1995-01-01").option("end", "2001-12-31").load()
@@ -28,10 +28,10 @@ SCHEMA = (
 WHOLE = {"tradestatus", "isST"}
 
 
-class Symbol(InputPartition):
-    def __init__(self, code: str) -> None:
-        super().__init__(code)
-        self.code = code
+class Symbols(InputPartition):
+    def __init__(self, codes: list[str]) -> None:
+        super().__init__(codes)
+        self.codes = codes
 
 
 def opened(path: str):
@@ -71,6 +71,7 @@ class BarReader(DataSourceReader):
         self.codes = json.loads(options["codes"]) if "codes" in options else None
         self.least, self.attempts = int(options.get("least", 60)), int(options.get("attempts", 3))
         self.complete = options.get("complete", "false").lower() == "true"
+        self.together = max(1, int(options.get("together", 1)))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -85,8 +86,9 @@ class BarReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Symbol]:
-        return [Symbol(c) for c in (self._listed() if self.codes is None else self.codes)]
+    def partitions(self) -> list[Symbols]:
+        codes = self._listed() if self.codes is None else self.codes
+        return [Symbols(codes[i : i + self.together]) for i in range(0, len(codes), self.together)]
 
     def _listed(self) -> list[str]:
         from pyarrow import fs
@@ -94,22 +96,24 @@ class BarReader(DataSourceReader):
         system, folder = opened(self.path)
         return sorted(i.base_name.removeprefix("code=") for i in system.get_file_info(fs.FileSelector(folder)) if i.base_name.startswith("code="))
 
-    def read(self, partition: Symbol) -> Iterator:
+    def read(self, partition: Symbols) -> Iterator:
         import pyarrow as pa
 
-        for attempt in range(1, self.attempts + 1):
-            try:
-                rows = self._checked(partition.code)
-                break
-            except OSError:
-                if attempt == self.attempts:
-                    raise
-                time.sleep(0.2 * attempt)
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         kinds = {"date": pa.date32(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
         schema = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, SCHEMA.split(", "))])
-        # One symbol's days: a few thousand rows.
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+        for code in partition.codes:
+            rows = self._attempted(code)
+            # One symbol's days: a few thousand rows.
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    def _attempted(self, code: str) -> list[tuple]:
+        for attempt in range(1, self.attempts):
+            try:
+                return self._checked(code)
+            except OSError:
+                time.sleep(0.2 * attempt)
+        return self._checked(code)
 
     def _checked(self, code: str) -> list[tuple]:
         found = (parsed(fields, code, self.complete) for fields in rows_of(self.path, code))

@@ -32,6 +32,8 @@ def test_provider_bars_come_back(spark, payloads):
     columns = ["vt_symbol", "day", "open", "high", "low", "close", "volume", "tradestatus", "is_st"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, wanted.select(columns).collect()))
     assert got.rdd.getNumPartitions() == wanted.select("vt_symbol").distinct().count()  # one for each symbol
+    few = read(spark, payloads, together="4")
+    assert few.rdd.getNumPartitions() == -(-got.rdd.getNumPartitions() // 4) and few.count() == got.count()
     assert got.where("amount IS NOT NULL").count() == 0  # missing at the provider
 
 
