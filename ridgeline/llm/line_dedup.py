@@ -1,18 +1,18 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are compared without surrounding blanks, across all documents. A line that is not blank and has at least
-`shortest` characters goes if an earlier line, by (doc_id, position), is equal to it; one of at least min_chars
-characters also if an earlier line of at least min_chars is within one edit (an inserted, deleted or replaced
-character). Lines are judged on the input, not on what is left.
+Lines are compared without surrounding blanks, across all documents. A line that is not blank goes if an earlier
+line, by (doc_id, position), is equal to it or within one edit (an inserted, deleted or replaced character), whatever
+its length. A caller who wants short lines compared for equality alone gives min_chars: edits then join only lines of
+at least so many characters. Lines are judged on the input, not on what is left.
 
 Equal lines are one class with its earliest place. Two classes are within one edit exactly if they share a
 variant that deletes the same place of both, or one is a variant of the other; so the earliest member of
 each (variant, place) and of each variant is all that has to be joined back, and no group of similar lines
 is expanded into pairs. Variants are emitted only for classes that share a half of their characters with
 another class of about their length, which any two lines within one edit do. What the hashed keys join is
-verified by edit distance.
+verified on the lines: without the deleted characters they have to be equal, which takes time linear in them.
 
-Cases: null texts and rows with a null doc_id are passed through and take no part; blank and shorter lines
+Cases: null texts and rows with a null doc_id are passed through and take no part; blank lines (white space alone)
 always stay; very long texts and lines are whole; rows that repeat a doc_id count as one document; empty tables give empty results; other columns are
 kept and added columns replace columns of the same name.
 """
@@ -23,21 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import keep
 from ridgeline.llm.hashing import BASES, mixed, powers, slices
 
-MIN_CHARS = 20
 #: Bytes of rows (places and hashes of lines, 64 each) up to which they are broadcast.
 BROADCAST_BYTES = 8_000_000
 HOT_LINES = 4096
 
 
-def _lines(documents: DataFrame, min_chars: int) -> DataFrame:
+def _lines(documents: DataFrame) -> DataFrame:
     split = documents.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.withColumn("line", F.trim("line")).where(F.length("line") >= min_chars)
+    return split.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"\S"))
 
 
 def _half_keys() -> list:
@@ -78,14 +77,20 @@ def _variants(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> DataFrame:
+def _without(line: str, place: Column) -> Column:
+    """The line without its character at the place from 1, all of it at 0."""
+    rest = F.concat(F.substr(line, F.lit(1), place - 1), F.substr(line, place + 1))
+    return F.when(place == 0, F.col(line)).otherwise(rest)
+
+
+def _near_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes (h1, h2) that have an earlier class within one edit."""
     keyed = classes.select("h1", "h2", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     likely = keyed.join(shared, "key").select("h1", "h2").distinct()
     likely = keep(likely.join(classes.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "first.*"))
     few = 64 * likely.count() <= BROADCAST_BYTES
-    lines = _lines(documents, min_chars)
+    lines = _lines(documents)
     side = F.broadcast(likely) if few else likely
     texts = lines.join(side, ["doc_id", "pos"]).where("xxhash64(line) = h1 AND xxhash64(1, line) = h2")
     texts = texts.select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"])
@@ -98,26 +103,26 @@ def _near_classes(documents: DataFrame, classes: DataFrame, min_chars: int) -> D
     # A variant has at most one row for each place of its line.
     by_variant = by_place.groupBy("v").agg(F.collect_list(F.struct("place", "best")).alias("bests"))
     fit = F.filter("bests", lambda b: (b["best"] < F.col("who")) & ((b["place"] == F.col("place")) | (b["place"] == 0) | (F.col("place") == 0)))
-    found = entries.join(by_variant, "v").select("who", F.explode(F.transform(fit, lambda b: b["best"])).alias("best")).distinct()
+    found = entries.join(by_variant, "v").select("who", "place", F.explode(fit).alias("b"))
+    # A run of one character makes a pair meet at each of its places, any of which proves the edit.
+    found = found.groupBy("who", F.col("b.best").alias("best")).agg(F.min(F.struct("place", F.col("b.place").alias("place_b"))).alias("at"))
     own = texts.select(F.col("who").alias("who_a"), "h1", "h2", F.col("line").alias("line_a"))
     other = texts.select(F.col("who").alias("who_b"), F.col("line").alias("line_b"))
     checked = found.join(own, F.col("who") == F.col("who_a")).join(other, F.col("best") == F.col("who_b"))
-    checked = checked.where(F.levenshtein("line_a", "line_b", 1).between(0, 1))
+    checked = checked.where(_without("line_a", F.col("at.place")) == _without("line_b", F.col("at.place_b")))
     return keep(checked.select("h1", "h2").distinct())
 
 
-def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
-    """One row (doc_id, gone) per document that loses lines: gone lists their positions from 0. shortest is min_chars if not given."""
-    least = min_chars if shortest is None else shortest
-    # White space other than blanks, as a carriage return, makes no line.
-    slim = _lines(documents, least).where((F.length("line") >= min_chars) | F.col("line").rlike(r"\S")).withColumn("size", F.length("line"))
+def removed_lines(documents: DataFrame, min_chars: int = 1) -> DataFrame:
+    """One row (doc_id, gone) per document that loses lines: gone lists their positions from 0."""
+    slim = _lines(documents).withColumn("size", F.length("line"))
     keys = F.when(F.col("size") >= min_chars, F.array(*_half_keys())).alias("keys")
     slim = keep(slim.select("doc_id", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), keys))
     classes = slim.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")
     )
     classes = keep(classes)
-    near = _near_classes(documents, classes, min_chars).withColumn("near", F.lit(True))
+    near = _near_classes(documents, classes).withColumn("near", F.lit(True))
     judged = classes.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
     # A line with so many places that one task would have them all meets its class by a broadcast; there are at most HOT_LINES of those.
     judged = keep(judged)
@@ -129,9 +134,9 @@ def removed_lines(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: in
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(documents: DataFrame, min_chars: int = MIN_CHARS, shortest: int | None = None) -> DataFrame:
+def dedup(documents: DataFrame, min_chars: int = 1) -> DataFrame:
     """documents with text without its removed lines, and n_lines, n_removed."""
-    gone = keep(removed_lines(documents, min_chars, shortest)).select(F.col("doc_id").alias("__doc_id"), F.col("gone").alias("__gone"))
+    gone = keep(removed_lines(documents, min_chars)).select(F.col("doc_id").alias("__doc_id"), F.col("gone").alias("__gone"))
     joined = documents.drop("n_lines", "n_removed").join(gone, F.col("doc_id") == F.col("__doc_id"), "left")
     lines, gone = F.split("text", "\n"), F.col("__gone")
     places = F.sequence(F.lit(0), F.size(lines) - 1)

@@ -54,7 +54,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return line_dedup.dedup(documents(spark, sf_dir), shortest=1).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ SELECT k.conv_id, CAST(floor((t.pos - 1) / 256) AS BIGINT) AS part, CAST(k.n_tur
        CAST(k.n_copies AS BIGINT) AS n_copies,
        string_agg('<|im_start|>' || CASE WHEN lower(trim(role)) IN ('system', 'user', 'assistant', 'tool') THEN lower(trim(role)) ELSE 'user' END
                   || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered
-FROM kept k JOIN turns t ON k.conv_id = t.conv_id GROUP BY ALL
+FROM kept k JOIN turns t ON k.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL
 """,
     "op10_source_mixing": r"""
 WITH d AS (

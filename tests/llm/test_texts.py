@@ -84,55 +84,61 @@ def one_edit(a, b):
     return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :]
 
 
-def test_line_dedup(spark):
+def brute_lines(rows, min_chars=1):
+    """Lines that stay, by (doc_id, text): repeats go, and lines of min_chars that are within one edit of an earlier one of them."""
+    out, seen, near = {}, set(), []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        left = []
+        for line in (text or "").split("\n"):
+            plain = line.strip(" ")
+            if plain.strip():
+                gone = plain in seen or (len(plain) >= min_chars and any(one_edit(plain, other) for other in near))
+                seen.add(plain)
+                if len(plain) >= min_chars:
+                    near.append(plain)
+                if gone:
+                    continue
+            left.append(line)
+        out[i] = "\n".join(left)
+    return out
+
+
+@pytest.mark.parametrize(("shortest", "longest", "letters", "min_chars"), [(18, 60, "abcdef ", 1), (18, 60, "abcdef ", 20), (1, 25, "abcdef ", 1), (1, 5, "aé漢😀", 1), (1, 25, "ab", 12)])
+def test_line_dedup(spark, shortest, longest, letters, min_chars):
     ship(spark)
     rng = random.Random(9)
-    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(18, 60))).strip() + "zz" for _ in range(25)]
+    base = ["".join(rng.choice(letters) for _ in range(rng.randrange(shortest, longest))).strip() or "z" for _ in range(25)]
     rows = []
     for i in range(120):
         lines = []
         for _ in range(rng.randrange(0, 5)):
             line = rng.choice(base)
             for _ in range(rng.choice([0, 0, 1, 2])):
-                k = rng.randrange(len(line))
+                k = rng.randrange(len(line) or 1)
                 line = rng.choice([line[:k] + line[k + 1 :], line[:k] + "é" + line[k:], line[:k] + "q" + line[k + 1 :]])
             lines.append(rng.choice(["", "  "]) + line)
         rows.append((i * 2, "\n".join(lines), "s"))
-    rows += [(999, None, "s"), (1001, "short\nshort\n\n", "s"), (None, base[0], "s"), (1003, "\n".join([base[1]] * 4), "s")]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(documents(spark, rows)).collect()}
-    seen = []
-    for i, text, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        if text is None:
-            assert got[i] == (0, 0, None)
-            continue
-        left, parts = [], text.split("\n")
-        for line in parts:
-            plain = line.strip(" ")
-            if len(plain) >= 20:
-                gone = any(one_edit(plain, other) for other in seen)
-                seen.append(plain)
-                if gone:
-                    continue
-            left.append(line)
-        assert got[i] == (len(parts), len(parts) - len(left), "\n".join(left)), i
-    assert got[None][1] == 0
-    assert line_dedup.dedup(documents(spark, [])).count() == 0
+    long = "long " * 50_000 + "end"
+    rows += [(999, None, "s"), (1001, "short\nshort\n\n", "s"), (None, base[0], "s"), (1003, "\n".join([base[1]] * 4), "s"), (1005, long, "s"), (1007, "x" + long + "\n" + long, "s")]
+    found = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(documents(spark, rows), min_chars).collect()}
+    expected = brute_lines([(i, t) for i, t, _ in rows if i is not None], min_chars)
+    for i, text, _ in rows:
+        if i is None or text is None:
+            assert found[i] == (0 if text is None else 1, 0, text)
+        else:
+            lines, left = text.split("\n"), expected[i]
+            assert found[i][2] == left and found[i][0] == len(lines), i
+            assert sum(map(len, lines)) - sum(map(len, left.split("\n"))) == 0 or found[i][1] > 0
+    assert found[1007][2] == ""
+    assert line_dedup.dedup(documents(spark, []), min_chars).count() == 0
 
 
-def test_line_queries_remove_short_repeats(spark, tmp_path):
+def test_line_queries_compare_lines_of_any_length(spark, tmp_path):
     rng = random.Random(12)
-    base = ["}", "a b", "ok", "  }", "\t", "\r", "", " ", "y" * 19, "é" * 20]
+    base = ["}", "a b", "ok", "  }", "\t", "\r", "", " ", "y" * 19, "é" * 20, "{", "one", "ones", "Page 1", "Page 2"]
     rows = [(i, "\n".join(rng.choice(base) for _ in range(rng.randrange(1, 9))), "s") for i in range(60)]
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    docs, seen, expected = spark.read.parquet(f"{tmp_path}/documents.parquet"), set(), {}
-    for i, text, _ in rows:
-        left = []
-        for line in text.split("\n"):
-            plain = line.strip(" ")
-            if not plain.strip() or plain not in seen:
-                left.append(line)
-            seen.add(plain)
-        expected[i] = "\n".join(left)
+    docs, expected = spark.read.parquet(f"{tmp_path}/documents.parquet"), brute_lines([(i, t) for i, t, _ in rows])
     assert {r.doc_id: r.text for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == expected
     assert {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, docs, "").collect()} == expected
 
@@ -204,23 +210,6 @@ def test_fingerprints_of_rows_without_or_with_one_id(spark):
     assert sum(r.near_next for r in got) <= 2
 
 
-def brute_lines(rows):
-    """Lines that stay, by (doc_id, text): exact repeats go, from 20 characters on those within one edit too."""
-    out, seen, long = {}, set(), []
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        left = []
-        for line in (text or "").split("\n"):
-            plain = line.strip(" ")
-            gone = bool(plain.strip()) and (plain in seen or (len(plain) >= 20 and any(one_edit(plain, other) for other in long)))
-            seen.add(plain)
-            if len(plain) >= 20:
-                long.append(plain)
-            if not gone:
-                left.append(line)
-        out[i] = "\n".join(left)
-    return out
-
-
 def brute_groups(texts):
     """Of each group that similarities of 0.8 connect, the smallest doc_id."""
     sets = {}
