@@ -28,12 +28,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document or place has, n_chars counted anew.
+    """Documents without lines that an earlier document or place has, up to one edit; n_chars counted anew.
 
     Every row stays, if need be with an empty text; null texts and rows without an id are as they were (see line_dedup).
     """
     ship(spark)
-    out = line_dedup.dedup(docs, shortest=1)
+    out = line_dedup.dedup(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
