@@ -24,21 +24,21 @@ def figures(rows: DataFrame) -> DataFrame:
 
     class Figures(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("figures", "ticks long, changes long, price double, detail int")
+            self.state = handle.getValueState("figures", "ticks long, changes long, price double, detail int, valid double")
 
         def handleInputRows(self, key, parts: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             known = self.state.get()
-            ticks, changes, *before = known if known is not None else (0, 0, None, None)
+            ticks, changes, *before, valid = known if known is not None else (0, 0, None, None, None)
             # A batch's rows of one symbol, narrow and in order of arrival; a batch is bounded by what its source takes in at once.
             part = pd.concat([p[["seq", "product", "price", "detail", "volume"]] for p in parts]).sort_values("seq")
             none = lambda c: part[c].astype(object).where(part[c].notna(), None)
             for sign in zip(none("price"), none("detail")):
                 changes += ticks > 0 and tuple(before) != sign
-                ticks, before = ticks + 1, sign
+                ticks, before, valid = ticks + 1, sign, valid if sign[0] is None else float(sign[0])
             last = part.iloc[-1]
             price, detail = before
-            self.state.update((ticks, changes, None if price is None else float(price), None if detail is None else int(detail)))
-            yield pd.DataFrame({"symbol": [key[0]], "product": [last["product"]], "ticks": [ticks], "changes": [changes], "volume": [last["volume"]], "last_price": [price]})
+            self.state.update((ticks, changes, None if price is None else float(price), None if detail is None else int(detail), valid))
+            yield pd.DataFrame({"symbol": [key[0]], "product": [last["product"]], "ticks": [ticks], "changes": [changes], "volume": [last["volume"]], "last_price": [valid]})
 
         def close(self) -> None:
             pass

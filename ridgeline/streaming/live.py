@@ -26,20 +26,21 @@ def running_stats(rows: DataFrame) -> DataFrame:
 
     class Stats(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("stats", "ticks long, changes long, first timestamp, price double, detail int")
+            self.state = handle.getValueState("stats", "ticks long, changes long, first timestamp, price double, detail int, valid double")
 
         def handleInputRows(self, key, parts: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             part = pd.concat(list(parts)).sort_values("seq")
             known = self.state.get()
             signs = list(zip(part["price"].astype(object).where(part["price"].notna(), None), part["detail"].astype(object).where(part["detail"].notna(), None)))
-            ticks, changes, first, *before = known if known is not None else (0, 0, part["ts"].iloc[0], *signs[0])
+            ticks, changes, first, *before, valid = known if known is not None else (0, 0, part["ts"].iloc[0], *signs[0], None)
             chain = [tuple(before), *signs]
             changes += sum(a != b for a, b in zip(chain, chain[1:]))
             ticks += len(part)
             price, detail = signs[-1]
-            self.state.update((ticks, changes, first, price, None if detail is None else int(detail)))
+            valid = next((p for p, _ in reversed(signs) if p is not None), valid)
+            self.state.update((ticks, changes, first, price, None if detail is None else int(detail), valid))
             last = part.iloc[-1]
-            yield pd.DataFrame({"symbol": [key[0]], "ticks": [ticks], "changes": [changes], "volume": [last["volume"]], "last_price": [price], "first_received": [first], "last_received": [last["ts"]]})
+            yield pd.DataFrame({"symbol": [key[0]], "ticks": [ticks], "changes": [changes], "volume": [last["volume"]], "last_price": [valid], "first_received": [first], "last_received": [last["ts"]]})
 
         def close(self) -> None:
             pass

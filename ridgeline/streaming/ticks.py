@@ -26,11 +26,15 @@ def _arrival():
 
 
 def running_stats(rows: DataFrame) -> DataFrame:
-    """One row per symbol: ticks, changes (a tick that differs from the one before; the first is none), latest values."""
+    """One row per symbol: ticks, changes (a tick that differs from the one before; the first is none), latest values.
+
+    The last price is that of the latest tick that has a valid one, as its SQL's arg_max passes missing values over.
+    """
     now = F.struct("price", "detail")
     changed = F.coalesce((F.lag(now).over(_arrival()) != now).cast("int"), F.lit(0))
+    priced = F.when(F.col("price").isNotNull(), F.col("seq"))  # max_by leaves out rows whose place is NULL
     return rows.withColumn("changed", changed).groupBy("symbol", "product").agg(
-        F.count("*").alias("ticks"), F.sum("changed").alias("changes"), F.max_by("volume", "seq").alias("volume"), F.max_by("price", "seq").alias("last_price"),
+        F.count("*").alias("ticks"), F.sum("changed").alias("changes"), F.max_by("volume", "seq").alias("volume"), F.max_by("price", priced).alias("last_price"),
         F.min_by("ts", "seq").alias("first_received"), F.max_by("ts", "seq").alias("last_received"),
     )
 
