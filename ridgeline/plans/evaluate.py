@@ -1,26 +1,32 @@
-"""Evaluation kernels over long rows (day, exit_day, vt_symbol, factor, score, ...): all factors and eras in one job."""
+"""Evaluation kernels over rows (day, exit_day, vt_symbol, era, labels, f_NAME for each factor): all factors and eras in one job.
+
+A cross-section is one era's day. Rows stay wide: Spark deals and groups them by day, and a column of scores at a time is ranked
+where they are, so nothing is sorted, spilled or shuffled once for each factor.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.columns import average_rank, correlation, finite, mean_where, melted, ordered_ranks, rate
+from ridgeline.functions.columns import rate
 
 COST = 0.003
 #: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits.
 DIGITS = 9
+PREFIX = "f_"
 
 
-def long_scores(frame: DataFrame, factors: dict[str, str], keep: list[str], digits: int = DIGITS) -> DataFrame:
-    """frame with one row per factor: keep, factor, score.
+def scored(frame: DataFrame, factors: dict[str, str], keep: list[str], digits: int = DIGITS) -> DataFrame:
+    """keep and a rounded score f_NAME for each factor.
 
-    Rows with an era are dealt by era and day, as all kernels group them, while a row has all scores: one row a factor then
-    comes about in place, and the long rows are not shuffled.
+    Rows that were put together by day for their context stay so, and eras named in place keep them there: the kernels deal none anew.
     """
-    scored = frame.select(*keep, *[F.round(F.expr(x).cast("double"), digits).alias(f"f_{name}") for name, x in factors.items()])
-    dealt = scored.repartition("era", "day") if "era" in keep else scored
-    return melted(dealt, keep, {name: F.col(f"f_{name}") for name in factors}, "factor", "score")
+    return frame.select(*keep, *[F.round(F.expr(x).cast("double"), digits).alias(f"{PREFIX}{name}") for name, x in factors.items()])
 
 
 def by_era(rows: DataFrame, eras: list[tuple[str, str, str]], clip_exit: bool = True) -> DataFrame:
@@ -38,15 +44,98 @@ def in_spans(rows: DataFrame, spans: list[tuple[str, str, str, bool]]) -> DataFr
     return rows.withColumn("era", F.explode(F.array_compact(F.array(*[named(*s) for s in spans]))))
 
 
+def _number(table: pa.Table, name: str) -> np.ndarray:
+    """A column as doubles, NULL as NaN."""
+    return table.column(name).cast(pa.float64()).to_numpy()
+
+
+def ranks(x: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Average ranks of x, moved so that they add up to 0, times two: whole numbers, exact as doubles. order, if given, sorts x."""
+    n = len(x)
+    order = np.argsort(x) if order is None else order
+    held = x[order]
+    first = np.concatenate([[True], held[1:] != held[:-1]])[:n]
+    start = np.flatnonzero(first)
+    out = np.empty(n)
+    out[order] = (start + np.append(start[1:], n) - n)[np.cumsum(first) - 1]
+    return out
+
+
+def gated_ranks(x: np.ndarray) -> np.ndarray:
+    """ranks(x) where most of x may be 0: only the rest is sorted."""
+    n, other = len(x), np.flatnonzero(x)
+    zeros = n - len(other)
+    if not zeros:
+        return ranks(x)
+    values = x[other]
+    below = int(np.count_nonzero(values < 0))
+    out = np.full(n, float(2 * below + zeros - n))
+    # ranks() has places among the rest: those above 0 come after the zeros, and the middle is that of all.
+    out[other] = ranks(values) + np.where(values > 0, zeros, -zeros)
+    return out
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    of = float(a @ a), float(b @ b)
+    return float(a @ b) / (of[0] ** 0.5 * of[1] ** 0.5) if of[0] and of[1] else None
+
+
+def _mean(x: np.ndarray) -> float | None:
+    x = x[~np.isnan(x)]
+    return float(x.mean()) if len(x) else None
+
+
+def _up(x: np.ndarray) -> float | None:
+    x = x[~np.isnan(x)]
+    return float((x > 0).mean()) if len(x) else None
+
+
+def each_cross_section(rows: DataFrame, target: str, figures: str, made: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
+    """One row (factor, era, day, stocks, rank_ic, figures) for each factor of a cross-section in which it has finite scores.
+
+    made(table, chosen, score, target) has the other figures, chosen being the places of the rows with a finite score.
+    """
+    keys = rows.select("era", "day").schema
+    schema = f"factor string, era {keys['era'].dataType.simpleString()}, day {keys['day'].dataType.simpleString()}, stocks long, rank_ic double, {figures}"
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = {"string": pa.string(), "date": pa.date32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}
+    arrow = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, schema.split(", "))])
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        goal = _number(table, target)
+        sorted_as = np.where(np.isnan(goal), np.inf, goal)  # a missing target comes last, as in SQL
+        order = np.argsort(sorted_as)
+        whole, out = None, []
+        for name in table.column_names:
+            if not name.startswith(PREFIX):
+                continue
+            score = _number(table, name)
+            known = np.isfinite(score)
+            at = np.flatnonzero(known)
+            if not len(at):
+                continue
+            if len(at) == len(score):
+                whole = ranks(sorted_as, order) if whole is None else whole
+                mine, of = score, whole
+            else:  # the rows that are left keep their order
+                place = np.cumsum(known) - 1
+                mine, of = score[at], ranks(sorted_as[at], place[order[known[order]]])
+            found = {"factor": name.removeprefix(PREFIX), "era": key[0].as_py(), "day": key[1].as_py(), "stocks": len(at), "rank_ic": _correlation(gated_ranks(mine), of)}
+            out.append(found | made(table, at, mine, goal[at]))
+        return pa.Table.from_pylist(out, arrow)
+
+    return rows.groupBy("era", "day").applyInArrow(run, schema)
+
+
 def positive_signal_days(rows: DataFrame, target: str = "forward_return", min_stocks: int = 50, min_signals: int = 20) -> DataFrame:
     """One row (factor, era, day): statistics of the cross-section, a signal being a positive score."""
-    rows = rows.where(finite("score")).withColumn("target", F.round(target, DIGITS))
-    rows = rows.withColumns({"score_rank": average_rank("score", "factor", "era", "day"), "target_rank": average_rank("target", "factor", "era", "day")})
-    signal = F.col("score") > 0
-    daily = rows.groupBy("factor", "era", "day").agg(
-        F.count("*").alias("stocks"), F.count_if(signal).alias("signals"), F.avg("target").alias("baseline_mean"), mean_where("target", signal).alias("signal_mean"),
-        rate(F.col("target") > 0, signal).alias("signal_up_rate"), rate(F.col("target") > 0).alias("baseline_up_rate"), correlation("score_rank", "target_rank").alias("rank_ic"),
-    )
+
+    def made(table: pa.Table, at: np.ndarray, score: np.ndarray, target: np.ndarray) -> dict:
+        signal = target[score > 0]
+        return {"signals": len(signal), "baseline_mean": _mean(target), "signal_mean": _mean(signal), "signal_up_rate": _up(signal), "baseline_up_rate": _up(target)}
+
+    rows = rows.withColumn("target", F.round(target, DIGITS)).drop(target, "exit_day", "vt_symbol")
+    daily = each_cross_section(rows, "target", "signals long, baseline_mean double, signal_mean double, signal_up_rate double, baseline_up_rate double", made)
     kept = daily.where((F.col("stocks") >= min_stocks) & (F.col("signals") >= min_signals) & F.col("rank_ic").isNotNull())
     return kept.withColumn("edge", F.round(F.col("signal_mean") - F.col("baseline_mean"), DIGITS))
 
@@ -61,23 +150,38 @@ def positive_signal_summary(daily: DataFrame, *groups: str) -> DataFrame:
     return out.withColumn("signal_return_after_cost", F.col("signal_mean") - COST)
 
 
+def best(score: np.ndarray, symbols: pa.ChunkedArray, at: np.ndarray, top: int) -> np.ndarray:
+    """The places of the `top` largest positive scores, equal ones in order of symbol; at are the rows of the scores."""
+    above = np.flatnonzero(score > 0)
+    if len(above) <= top:
+        return above
+    least = np.partition(score[above], len(above) - top)[len(above) - top]
+    more, even = above[score[above] > least], above[score[above] == least]
+    if len(more) + len(even) > top:
+        names = symbols.take(pa.array(at[even])).to_pylist()
+        even = even[sorted(range(len(even)), key=names.__getitem__)[: top - len(more)]]
+    return np.concatenate([more, even])
+
+
 def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
     """One row (factor, era, day): statistics of the cross-section, selected being the `top` best positive scores.
 
     Equal scores are taken in order of symbol. A day of constant scores has no rank correlation.
     """
-    rows = rows.where(finite("score")).withColumns({"intent": F.round("intent_return", DIGITS), "worst": F.round("worst_case_return", DIGITS)})
-    rows = ordered_ranks(rows, "score", ["factor", "era", "day"], "vt_symbol", "place", "score_rank")
-    rows = rows.withColumns({"target_rank": average_rank("intent", "factor", "era", "day"), "selected": (F.col("score") > 0) & (F.col("place") <= top)})
-    chosen = F.col("selected")
-    daily = rows.groupBy("factor", "era", "day").agg(
-        F.count("*").alias("stocks"), F.count_if(chosen).alias("signals"), F.avg("intent").alias("baseline_mean"), mean_where("intent", chosen).alias("signal_mean"),
-        F.median(F.when(chosen, F.col("intent"))).alias("signal_median"), mean_where("worst", chosen).alias("signal_worst_case_mean"),
-        rate(F.col("intent") > 0, chosen).alias("signal_up_rate"), rate(F.col("intent") > 0).alias("baseline_up_rate"),
-        F.count_if(chosen & ~F.col("entry_fill")).alias("entry_no_fills"), F.count_if(chosen & F.col("unclosed_at_horizon")).alias("unclosed"),
-        correlation("score_rank", "target_rank").alias("rank_ic"),
-    )
-    kept = daily.where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
+
+    def made(table: pa.Table, at: np.ndarray, score: np.ndarray, intent: np.ndarray) -> dict:
+        chosen = best(score, table.column("vt_symbol"), at, top)
+        mine, of = intent[chosen], table.select(["worst", "entry_fill", "unclosed_at_horizon"]).take(pa.array(at[chosen]))
+        known = mine[~np.isnan(mine)]
+        return {
+            "signals": len(chosen), "baseline_mean": _mean(intent), "signal_mean": _mean(mine), "signal_median": float(np.median(known)) if len(known) else None,
+            "signal_worst_case_mean": _mean(_number(of, "worst")), "signal_up_rate": _up(mine), "baseline_up_rate": _up(intent),
+            "entry_no_fills": of.column("entry_fill").to_pylist().count(False), "unclosed": of.column("unclosed_at_horizon").to_pylist().count(True),
+        }
+
+    rows = rows.withColumns({"intent": F.round("intent_return", DIGITS), "worst": F.round("worst_case_return", DIGITS)}).drop("intent_return", "worst_case_return", "exit_day")
+    figures = "signals long, baseline_mean double, signal_mean double, signal_median double, signal_worst_case_mean double, signal_up_rate double, baseline_up_rate double, entry_no_fills long, unclosed long"
+    kept = each_cross_section(rows, "intent", figures, made).where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
     return kept.withColumn("edge", F.round(F.col("signal_mean") - F.col("baseline_mean"), DIGITS))
 
 

@@ -48,10 +48,10 @@ def keep_all_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int
     """The keep-all study: members with context, eligible by what is known on the day, every signal labelled."""
     bars = B.bar_table(spark, sf_dir)
     members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
-    # A day's context needs that day alone, so days that are not scheduled fall out first.
-    rows = with_context(_scheduled(members, bars, step, offset))
-    rows = rows.where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
-    return labels.keep_all(rows, bars)
+    # A day's context needs that day alone, so days that are not scheduled fall out first. Labels are made where the symbol's rows are,
+    # those of members that are not eligible too, and so the wide rows are dealt once: by day.
+    rows = with_context(labels.keep_all(_scheduled(members, bars, step, offset), bars))
+    return rows.where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
 
 
 def unified_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0) -> DataFrame:
@@ -61,14 +61,15 @@ def unified_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int =
     snapshot = B.snapshot_members(B.membership(spark, sf_dir), days).join(F.broadcast(days), "day")
     rows = snapshot.join(features.panel(bars), ["vt_symbol", "day"], "left")
     rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    return labels.keep_all(with_context(rows), bars)
+    return with_context(labels.keep_all(rows, bars))
 
 
 def censored_frame(spark: SparkSession, sf_dir: str, use_status: bool = False, use_jumps: bool = False) -> DataFrame:
     """The first study and its follow-up: members with context, labels filtered by what happened later."""
     bars = B.bar_table(spark, sf_dir)
     members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
-    return labels.censored(with_context(_scheduled(members, bars, 6, 0)), bars, use_jumps=use_jumps, use_status=use_status)
+    rows = with_context(labels.entry_and_exit(_scheduled(members, bars, 6, 0), bars))
+    return labels.uncensored(rows, use_jumps=use_jumps, use_status=use_status)
 
 
 def scores(frame: DataFrame, study: str, digits: int = 6) -> DataFrame:
@@ -78,8 +79,8 @@ def scores(frame: DataFrame, study: str, digits: int = 6) -> DataFrame:
 
 
 def in_eras(frame: DataFrame, wanted: dict[str, str], eras: list, labelled: list[str], clip_exit: bool = True) -> DataFrame:
-    """The long rows of all eras, which are named before there is a row for each factor."""
-    return evaluate.long_scores(evaluate.by_era(frame, eras, clip_exit), wanted, [*KEYS, "era", *labelled])
+    """The scored rows of all eras, which are named where the rows are."""
+    return evaluate.by_era(evaluate.scored(frame, wanted, [*KEYS, *labelled]), eras, clip_exit)
 
 
 def top_daily(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50, clip_exit: bool = True) -> DataFrame:
@@ -124,10 +125,10 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_summary(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50) -> DataFrame:
     """The summary of each factor and era with and without signals whose exit lies past their era: a row per `variant`, free and clipped.
 
-    Both variants are spans of one evaluation, so the scores and the long rows are made once.
+    Both variants are spans of one evaluation, so the scores are made once.
     """
     spans = [(f"{n}/{variant}", a, b, variant == "clipped") for n, a, b in eras for variant in ("free", "clipped")]
-    rows = evaluate.long_scores(evaluate.in_spans(frame, spans), factors.STUDIES[study], [*KEYS, "era", *LABELS])
+    rows = evaluate.in_spans(evaluate.scored(frame, factors.STUDIES[study], [*KEYS, *LABELS]), spans)
     summary = evaluate.top_summary(evaluate.top_days(rows, min_stocks=min_stocks))
     named = F.split("era", "/")
     return summary.withColumns({"era": named[0], "variant": named[1]})
@@ -155,10 +156,10 @@ def offsets(spark: SparkSession, sf_dir: str, factor: str = "uptrend_pullback",
     calendar = calendars[0]
     for more in calendars[1:]:
         calendar = calendar.unionByName(more)
-    members = with_context(B.members_only(features.panel(bars), B.membership(spark, sf_dir)))
-    rows = members.where(ELIGIBLE).where(finite("long_gap") & finite("depth5")).join(F.broadcast(calendar), "day")
-    long = evaluate.long_scores(labels.keep_all(rows, bars), {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
-    return evaluate.top_summary(evaluate.top_days(long))
+    members = B.members_only(features.panel(bars), B.membership(spark, sf_dir)).join(F.broadcast(calendar), "day")
+    rows = with_context(labels.keep_all(members, bars), "era").where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
+    scored = evaluate.scored(rows, {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
+    return evaluate.top_summary(evaluate.top_days(scored))
 
 
 def dense_days(spark: SparkSession, sf_dir: str, factor: str = "market_down_day") -> DataFrame:
@@ -188,23 +189,22 @@ def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widen
     rows = _scheduled(rows, bars, 1, 0).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
     dates = B.schedule(B.market_days(bars), START, END).select("day")
     rows = labels.keep_all(rows, bars).join(F.broadcast(dates), "day", "left_semi")
-    long = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
-    daily = evaluate.top_days(long, min_stocks=min_stocks)
-    return evaluate.top_summary(daily)
+    scored = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
+    return evaluate.top_summary(evaluate.top_days(scored, min_stocks=min_stocks))
 
 
 # Audits of a locked rule
 
 
 def transfer_rows(spark: SparkSession, sf_dir: str, factor: str, step: int, periods: list) -> tuple[DataFrame, DataFrame]:
-    """The long rows of a rule on symbols that were never members, and its grid: each scheduled day of each period whose exit is in it."""
+    """The scored rows of a rule on symbols that were never members, and its grid: each scheduled day of each period whose exit is in it."""
     bars = B.bar_table(spark, sf_dir)
     cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
     calendar = B.schedule(B.market_days(bars), START, END, step)
     rows = features.panel(bars).join(cohort, "vt_symbol", "left_semi").join(F.broadcast(calendar), "day")  # one row per market day
     rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    long = in_eras(labels.keep_all(rows, bars), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
-    return long, evaluate.by_era(calendar, periods).select("era", "day")
+    scored = in_eras(labels.keep_all(rows, bars), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
+    return scored, evaluate.by_era(calendar, periods).select("era", "day")
 
 
 def net_intervals(daily: DataFrame, grid: DataFrame, block: int, seed: int, keys: tuple[str, ...] = ("era",)) -> DataFrame:
@@ -222,8 +222,8 @@ def net_intervals(daily: DataFrame, grid: DataFrame, block: int, seed: int, keys
 
 def transfer_audit(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widening", step: int = 1, min_stocks: int = 5, seed: int = 24) -> DataFrame:
     """The locked rule's summary by period with net_low, the lower end of its net mean over blocks of four scheduled days."""
-    long, grid = transfer_rows(spark, sf_dir, factor, step, TRANSFER_PERIODS)
-    daily = evaluate.top_days(long, min_stocks=min_stocks)
+    scored, grid = transfer_rows(spark, sf_dir, factor, step, TRANSFER_PERIODS)
+    daily = evaluate.top_days(scored, min_stocks=min_stocks)
     return evaluate.top_summary(daily).join(net_intervals(daily, grid, 4, seed), "era")
 
 
@@ -252,6 +252,6 @@ def sampling_cases(spark: SparkSession, sf_dir: str, factor: str = "old_market_d
     columns = ["anchor", "pool", "day", "entry_day", "exit_day", "vt_symbol"]
     cases = moving.withColumn("pool", F.lit("moving")).select(*columns).unionByName(fixed.withColumn("pool", F.lit("fixed")).select(*columns))
     rows = cases.join(features.panel(bars), ["vt_symbol", "day"]).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    rows = labels.keep_all(with_context(rows, "anchor", "pool"), bars).withColumn("era", F.concat_ws("/", "anchor", "pool"))
-    long = evaluate.long_scores(rows, {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
-    return evaluate.top_summary(evaluate.top_days(long, min_stocks=min_stocks))
+    rows = with_context(labels.keep_all(rows, bars), "anchor", "pool").withColumn("era", F.concat_ws("/", "anchor", "pool"))
+    scored = evaluate.scored(rows, {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
+    return evaluate.top_summary(evaluate.top_days(scored, min_stocks=min_stocks))
