@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ridgeline.sources import files
 
 REQUIRED = {"vt_symbol", "day", "open", "high", "low", "close", "volume"}
+#: A signal's entry is so many market days on, and its exit.
+ENTRY, EXIT = 1, 6
 MEMBER_FROM, MEMBER_UNTIL = "1995-01-02", "2001-12-31"
 
 
@@ -37,14 +39,14 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly bars as a table that a study reads many times: made once, dealt by symbol, and checkpointed.
+    """The weekly bars as a table that a study reads more than once: made once and checkpointed.
 
-    The panel, the market calendar and the entry, exit and mark sides of the labels all read it; without it every one of them
-    would scan and aggregate the sales anew. It is far smaller than the sales, keeps its partitioning by symbol, survives its executors, and belongs
-    to this call: another study makes its own, from the sales as they are then.
+    The panel and the market calendar read it; without it both would scan and aggregate the sales anew. It is far smaller than the sales,
+    survives its executors, and belongs to this call: another study makes its own, from the sales as they are then. A checkpoint keeps no
+    partitioning, so the panel deals it by symbol, once.
     """
     files.shared_folder(spark)
-    return weekly_bars(spark, sf_dir).repartition("vt_symbol").checkpoint()
+    return weekly_bars(spark, sf_dir).checkpoint()
 
 
 def normalised(raw: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def market_days(bars: DataFrame) -> DataFrame:
     days = bars.select("day").distinct()
     order = Window.orderBy("day")
     return days.select(
-        "day", (F.row_number().over(order) - 1).alias("ordinal"), F.lead("day", 1).over(order).alias("entry_day"), F.lead("day", 6).over(order).alias("exit_day")
+        "day", (F.row_number().over(order) - 1).alias("ordinal"), F.lead("day", ENTRY).over(order).alias("entry_day"), F.lead("day", EXIT).over(order).alias("exit_day")
     )
 
 

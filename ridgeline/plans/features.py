@@ -2,6 +2,9 @@
 
 A feature is ("roll", aggregate, column, n, ending), ("lag", column, n), ("ahead", column, n) or an SQL
 expression. `panel` turns the stages into window columns: one shuffle and one sort by symbol serve them all.
+
+Spark adds a sliding frame up anew at every row, so the work of a long frame is its length. Long sums are therefore made of shorter ones:
+that of 20 rows is those of 5 that end now, 5, 10 and 15 rows back. Each is NULL unless it has all its values, and so is what is made of them.
 """
 
 from __future__ import annotations

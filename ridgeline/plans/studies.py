@@ -39,37 +39,42 @@ def with_context(members: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _scheduled(panel: DataFrame, bars: DataFrame, step: int, offset: int) -> DataFrame:
+def labelled_panel(bars: DataFrame, step: int | None = 6, offset: int = 0) -> DataFrame:
+    """The features of every bar and what a signal of it meets, in one order by symbol; with a step, those of scheduled days alone."""
+    days = B.market_days(bars)
+    panel = features.panel(labels.along(bars, days))
+    if step is None:
+        return panel
     # One row per scheduled market day: a side that does not grow with the number of symbols.
-    return panel.join(F.broadcast(B.schedule(B.market_days(bars), START, END, step, offset)), "day")
+    return panel.join(F.broadcast(B.schedule(days, START, END, step, offset).select("day")), "day", "left_semi")
 
 
 def keep_all_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0) -> DataFrame:
     """The keep-all study: members with context, eligible by what is known on the day, every signal labelled."""
     bars = B.bar_table(spark, sf_dir)
-    members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
     # A day's context needs that day alone, so days that are not scheduled fall out first. Labels are made where the symbol's rows are,
     # those of members that are not eligible too, and so the wide rows are dealt once: by day.
-    rows = with_context(labels.keep_all(_scheduled(members, bars, step, offset), bars))
+    members = B.members_only(labelled_panel(bars, step, offset), B.membership(spark, sf_dir))
+    rows = with_context(labels.valued(members))
     return rows.where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
 
 
 def unified_frame(spark: SparkSession, sf_dir: str, step: int = 6, offset: int = 0) -> DataFrame:
-    """The unified study: snapshot members of scheduled days, those without a bar falling out, context after eligibility."""
+    """The unified study: members of scheduled days that have a bar, context after eligibility.
+
+    A snapshot's members without a bar have no price and are never eligible, so the bars are asked for their members.
+    """
     bars = B.bar_table(spark, sf_dir)
-    days = B.schedule(B.market_days(bars), START, END, step, offset)
-    snapshot = B.snapshot_members(B.membership(spark, sf_dir), days).join(F.broadcast(days), "day")
-    rows = snapshot.join(features.panel(bars), ["vt_symbol", "day"], "left")
+    rows = B.members_only(labelled_panel(bars, step, offset), B.membership(spark, sf_dir))
     rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    return with_context(labels.keep_all(rows, bars))
+    return with_context(labels.valued(rows))
 
 
 def censored_frame(spark: SparkSession, sf_dir: str, use_status: bool = False, use_jumps: bool = False) -> DataFrame:
     """The first study and its follow-up: members with context, labels filtered by what happened later."""
     bars = B.bar_table(spark, sf_dir)
-    members = B.members_only(features.panel(bars), B.membership(spark, sf_dir))
-    rows = with_context(labels.entry_and_exit(_scheduled(members, bars, 6, 0), bars))
-    return labels.uncensored(rows, use_jumps=use_jumps, use_status=use_status)
+    members = B.members_only(labelled_panel(bars), B.membership(spark, sf_dir))
+    return labels.uncensored(with_context(members), use_jumps=use_jumps, use_status=use_status)
 
 
 def scores(frame: DataFrame, study: str, digits: int = 6) -> DataFrame:
@@ -156,8 +161,8 @@ def offsets(spark: SparkSession, sf_dir: str, factor: str = "uptrend_pullback",
     calendar = calendars[0]
     for more in calendars[1:]:
         calendar = calendar.unionByName(more)
-    members = B.members_only(features.panel(bars), B.membership(spark, sf_dir)).join(F.broadcast(calendar), "day")
-    rows = with_context(labels.keep_all(members, bars), "era").where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
+    members = B.members_only(labelled_panel(bars, None), B.membership(spark, sf_dir)).join(F.broadcast(calendar.select("day", "era")), "day")
+    rows = with_context(labels.valued(members), "era").where(ELIGIBLE).where(finite("long_gap") & finite("depth5"))
     scored = evaluate.scored(rows, {factor: factors.STUDIES["unified"][factor]}, [*KEYS, "era", *LABELS])
     return evaluate.top_summary(evaluate.top_days(scored))
 
@@ -185,10 +190,9 @@ def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widen
     """A locked rule on another universe: symbols that were never members, daily features, then scheduled days only."""
     bars = B.bar_table(spark, sf_dir)
     cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
-    rows = features.panel(bars).join(cohort, "vt_symbol", "left_semi")
-    rows = _scheduled(rows, bars, 1, 0).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    dates = B.schedule(B.market_days(bars), START, END).select("day")
-    rows = labels.keep_all(rows, bars).join(F.broadcast(dates), "day", "left_semi")
+    # Every scheduled day is a day of the daily calendar too.
+    rows = labelled_panel(bars).join(cohort, "vt_symbol", "left_semi").where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
+    rows = labels.valued(rows)
     scored = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
     return evaluate.top_summary(evaluate.top_days(scored, min_stocks=min_stocks))
 
@@ -201,9 +205,9 @@ def transfer_rows(spark: SparkSession, sf_dir: str, factor: str, step: int, peri
     bars = B.bar_table(spark, sf_dir)
     cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
     calendar = B.schedule(B.market_days(bars), START, END, step)
-    rows = features.panel(bars).join(cohort, "vt_symbol", "left_semi").join(F.broadcast(calendar), "day")  # one row per market day
+    rows = labelled_panel(bars, step).join(cohort, "vt_symbol", "left_semi")
     rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
-    scored = in_eras(labels.keep_all(rows, bars), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
+    scored = in_eras(labels.valued(rows), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
     return scored, evaluate.by_era(calendar, periods).select("era", "day")
 
 

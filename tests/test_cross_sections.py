@@ -2,12 +2,14 @@
 
 import random
 from collections import defaultdict
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 
-from ridgeline.plans import evaluate, studies
+from ridgeline.operators import bars as B
+from ridgeline.operators import labels
+from ridgeline.plans import evaluate, features, studies
 
 ROW = "day date, exit_day date, vt_symbol string, era string, intent_return double, worst_case_return double, entry_fill boolean, unclosed_at_horizon boolean, f_a double, f_b double, f_c double"
 
@@ -84,4 +86,25 @@ def test_labels_come_before_a_day_is_put_together(spark):
     """Before, the wide rows went to their day for the context, back to their symbol for the labels, and to their day again."""
     frame = studies.keep_all_frame(spark, "/root/testdata/sf0.001", step=1)
     text = plan(evaluate.top_days(studies.in_eras(frame, {"a": "market_return"}, studies.ERAS, studies.LABELS)))
-    assert text.count("Exchange hashpartitioning(day") <= 3  # the rows, and twice the distinct days of the calendar
+    # The rows go to their symbol and to their day, the days of the calendar are made distinct three times.
+    assert text.count("Exchange hashpartitioning(vt_symbol") == 1 and text.count("Exchange hashpartitioning(day") == 4 and "Exchange hashpartitioning(era" not in text
+
+
+def test_labels_along_a_panel_are_those_of_the_joins(spark):
+    rng, first, data = random.Random(11), date(2024, 1, 1), []
+    for name in "ABCD":
+        for k in range(30):
+            if rng.random() < 0.6:  # gaps in which the next rows are too late for an entry or an exit
+                data.append((name, first + timedelta(days=2 * k), *[rng.choice([0.0, 1.0 + rng.random(), None])] * 4, float(rng.randrange(3)), rng.randrange(2)))
+    bars = spark.createDataFrame(data, "vt_symbol string, day date, open double, high double, low double, close double, volume double, tradestatus int")
+    days = B.market_days(bars)
+    columns = ["vt_symbol", "day", "entry_day", "exit_day", "entry_open", "exit_open", "mark_close", "entry_fill", "exit_fill", "intent_return", "worst_case_return", "unclosed_at_horizon"]
+    wanted = labels.keep_all(bars.join(days, "day").where("exit_day IS NOT NULL"), bars).select(*columns)
+    got = labels.valued(labels.along(bars, days)).where("exit_day IS NOT NULL").select(*columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and wanted.count() > 30
+
+
+def test_a_labelled_panel_is_dealt_once(spark):
+    """Before, the wide rows were dealt by (symbol, entry day), by (symbol, exit day) and by symbol for their labels."""
+    text = plan(labels.valued(studies.labelled_panel(B.bar_table(spark, "/root/testdata/sf0.001"))))
+    assert text.count("Exchange hashpartitioning(vt_symbol") == 1
