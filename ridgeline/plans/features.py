@@ -3,13 +3,16 @@
 A feature is ("roll", aggregate, column, n, ending), ("lag", column, n), ("ahead", column, n) or an SQL
 expression. `panel` turns the stages into window columns: one shuffle and one sort by symbol serve them all.
 
-Spark adds a sliding frame up anew at every row, so the work of a long frame is its length. Long sums are therefore made of shorter ones:
-that of 20 rows is those of 5 that end now, 5, 10 and 15 rows back. Each is NULL unless it has all its values, and so is what is made of them.
+Spark adds a sliding frame up anew at every row, so a long frame costs its length. Where a column has long frames, `panel` makes them of
+shorter ones that lie a whole number of lags back: each is NULL unless it has all its values, and so is what is made of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import ahead_max, lag, rolling
@@ -73,18 +76,53 @@ STAGES: list[dict] = [
 ]
 
 
+#: Sums of so many rows are made of sums of RUNG rows, those of sums of STEP rows, if a column has frames of LONG rows or more.
+STEP, RUNG, LONG = 5, 20, 40
+#: Deviations of whole multiples of so many rows are put together from those of so many, by their means.
+SPREAD = 10
+
+
+def _rungs(stage: dict) -> tuple[set[str], set[str]]:
+    """The columns of which a stage has long sums, and long deviations."""
+    rolls = [spec[1:4] for spec in stage.values() if not isinstance(spec, str) and spec[0] == "roll" and spec[4] == 0 and spec[3] >= LONG]
+    return {c for how, c, n in rolls if how in ("avg", "sum")}, {c for how, c, n in rolls if how == "stddev"}
+
+
+def _total(column: str, n: int) -> Column:
+    return reduce(add, [lag(f"__{column}_{RUNG}", k) if k else F.col(f"__{column}_{RUNG}") for k in range(0, n, RUNG)])
+
+
+def _deviation(column: str, n: int) -> Column:
+    """The deviation of n rows from those of blocks: squares within the blocks, and of the blocks' means about theirs."""
+    back = lambda name: [lag(f"__{column}_{name}", k) if k else F.col(f"__{column}_{name}") for k in range(0, n, SPREAD)]
+    means = back("mean")
+    middle = reduce(add, means) / len(means)
+    within, about = reduce(add, [x * x for x in back("deviation")]), reduce(add, [(m - middle) * (m - middle) for m in means])
+    return F.sqrt((within * (SPREAD - 1) + about * SPREAD) / (n - 1))
+
+
 def panel(bars: DataFrame, stages: list[dict] | None = None) -> DataFrame:
     """bars with the columns of all stages; bars need vt_symbol, day, open, high, low, close, volume, tradestatus."""
 
-    def made(spec):
+    def made(spec, sums: set[str], deviations: set[str]):
         if isinstance(spec, str):
             return F.expr(spec)
         kind, *rest = spec
         if kind == "roll":
             how, column, n, ending = rest
+            if column in sums and how in ("avg", "sum") and not ending and n % RUNG == 0:
+                return _total(column, n) / n if how == "avg" else _total(column, n)
+            if column in deviations and how == "stddev" and not ending and n % SPREAD == 0:
+                return _deviation(column, n) if n > SPREAD else F.col(f"__{column}_deviation")
             return rolling(AGGREGATES[how], column, n, ending)
         return lag(*rest) if kind == "lag" else ahead_max(*rest)
 
     for stage in STAGES if stages is None else stages:
-        bars = bars.withColumns({name: made(spec) for name, spec in stage.items()})
+        sums, deviations = _rungs(stage)
+        held = {f"__{c}_{STEP}": rolling(F.sum, c, STEP) for c in sums}
+        held |= {f"__{c}_{name}": rolling(how, c, SPREAD) for c in deviations for name, how in (("mean", F.avg), ("deviation", F.stddev_samp))}
+        bars = bars.withColumns(held) if held else bars
+        rungs = {f"__{c}_{RUNG}": reduce(add, [F.col(f"__{c}_{STEP}"), *[lag(f"__{c}_{STEP}", k) for k in range(STEP, RUNG, STEP)]]) for c in sums}
+        bars = bars.withColumns(rungs) if rungs else bars
+        bars = bars.withColumns({name: made(spec, sums, deviations) for name, spec in stage.items()}).drop(*held, *rungs)
     return bars
