@@ -782,13 +782,13 @@ def order_lifecycles(spark, sf_dir):
 
 @query(O.query([O.BARS], "SELECT vt_symbol, day, open, close, volume, tradestatus, is_st FROM bars WHERE day BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND l_suppkey % 2 = 0"))
 def provider_bars(spark, sf_dir):
-    """Bars of every second symbol and some years from payload files, a partition for each symbol, the dates pushed to the source."""
+    """Bars of every second symbol and some years from payload files, a partition for each TOGETHER symbols, the dates pushed to the source."""
     path = files.scratch(spark, "provider")
-    bars = B.weekly_bars(spark, sf_dir)
+    bars = B.bar_table(spark, sf_dir)
     provider.write_payloads(bars, path)
     provider.register(spark)
     codes = [f"S{k}" for k in sorted(r[0] for r in bars.where("l_suppkey % 2 = 0").select("l_suppkey").distinct().collect())]  # what a download is asked for
-    got = spark.read.format("provider_bars").option("path", path).option("codes", json.dumps(codes)).option("least", "1").load()
+    got = spark.read.format("provider_bars").option("path", path).option("codes", json.dumps(codes)).option("least", "1").option("together", provider.TOGETHER).load()
     got = got.where(F.col("day").between(F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")))
     return got.select("vt_symbol", "day", "open", "close", "volume", "tradestatus", "is_st")
 

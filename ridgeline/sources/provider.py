@@ -26,6 +26,8 @@ SCHEMA = (
     "tradestatus int, pctChg double, is_st int"
 )
 WHOLE = {"tradestatus", "isST"}
+#: Symbols of one partition where there may be many: a task costs far more than a symbol's file.
+TOGETHER = 64
 
 
 class Symbols(InputPartition):

@@ -116,3 +116,12 @@ def test_membership_lists(spark):
     wrong = frame.withColumn("spans", F.array(F.struct(F.lit("2020-02-01").cast("date").alias("start"), F.lit("2020-01-01").cast("date").alias("end"))))
     with pytest.raises(Exception, match="no interval of"):
         arrow.membership(wrong).collect()
+
+
+def test_many_symbols_share_a_task(spark):
+    """Before, each symbol had a task of its own, so the registered query had as many tasks as symbols."""
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["provider_bars"](spark, SF)
+    symbols = rows.select("vt_symbol").distinct().count()
+    assert 1 < symbols and rows.rdd.getNumPartitions() <= -(-symbols // provider.TOGETHER)
