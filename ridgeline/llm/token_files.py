@@ -14,7 +14,7 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -126,9 +126,21 @@ PIECES = "part int, ordinal long, doc_id long, place long, length long, closed b
 
 
 _PIECES = pa.schema([("part", pa.int32()), *[(c, _ID) for c in ("ordinal", "doc_id", "place", "length")], ("closed", pa.bool_()), ("ids", pa.binary())])
+_CRCS = pa.schema([*list(_PIECES)[:-1], ("crc", _ID)])
 
 
-def _decoded():
+def _blobs(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(4 * upto), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def _crcs(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
+    raw, at = memoryview(ids).cast("B"), (4 * upto).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])], _ID)
+
+
+def _decoded(schema: pa.Schema, last: Callable[[np.ndarray, np.ndarray], pa.Array]):
+    """last(ids, upto) makes the last column of pieces of the ids and of where the pieces begin and end."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for at in range(0, whole.num_rows, DECODED):
@@ -136,13 +148,12 @@ def _decoded():
                 found = range_coder.decode(part.column("coded").to_pylist())
                 count = part.column("lengths").value_lengths().to_numpy()
                 flat = {c: part.column(c).flatten() for c in ("ordinals", "doc_ids", "places", "lengths", "closed")}
-                upto = 4 * np.concatenate([[0], np.cumsum(flat["lengths"].to_numpy())])
+                upto = np.concatenate([[0], np.cumsum(flat["lengths"].to_numpy())]).astype(np.int64)
                 ids = np.concatenate([*found, np.zeros(0, np.uint32)]).astype("<u4", copy=False)
                 del found
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(ids)])
                 numbers = pa.array(np.repeat(part.column("part").to_numpy(), count))
-                columns = [numbers, *flat.values(), blobs.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
+                columns = [numbers, *flat.values(), last(ids, upto)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
@@ -152,7 +163,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     place is the number of the document's ids before the piece.
     """
-    return spark.read.parquet(path).mapInArrow(_decoded(), PIECES)
+    return spark.read.parquet(path).mapInArrow(_decoded(_PIECES, _blobs), PIECES)
+
+
+def read_crcs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of read with the crc32 of a piece's ids in their place: made where they are decoded, so no ids leave that Python worker."""
+    return spark.read.parquet(path).mapInArrow(_decoded(_CRCS, _crcs), PIECES.replace("ids binary", "crc long"))
 
 
 def _step_tables() -> np.ndarray:
@@ -186,16 +202,11 @@ def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) of the documents of a file set, from its blocks."""
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(zlib.crc32)
-
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, n_bytes: pd.Series) -> pd.Series:
         return pd.Series(crc_shifted(crc.to_numpy(), n_bytes.to_numpy()).astype(np.int64))
 
-    pieces = read(spark, path).select("part", "ordinal", "doc_id", "place", "length", "closed", crc("ids").alias("crc"))
-    found = keep(pieces.withColumn("alone", F.col("closed") & (F.col("place") == 0)))
+    found = keep(read_crcs(spark, path).withColumn("alone", F.col("closed") & (F.col("place") == 0)))
     whole = found.where("alone").select("part", "ordinal", "doc_id", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     split = found.where("NOT alone")
     sizes = split.where("closed").select("part", "ordinal", (F.col("place") + F.col("length")).alias("n_tokens"))

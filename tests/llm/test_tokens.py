@@ -98,6 +98,17 @@ def test_token_files(spark, monkeypatch):
     assert token_files.digests(spark, empty).count() == 0
 
 
+def test_a_task_that_reads_files_back_has_one_python_worker(spark, monkeypatch):
+    token_files.write(spark.createDataFrame([(1, "one two"), (2, None), (3, "a " * 5000)], "doc_id long, text string"), path := scratch(spark, "tokens"))
+    plans, keep = [], token_files.keep
+    monkeypatch.setattr(token_files, "keep", lambda frame: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or keep(frame))
+    got = {r.doc_id: r.ids_crc32 for r in token_files.digests(spark, path).collect()}
+    assert [(p.count("InArrow"), p.count("EvalPython")) for p in plans] == [(1, 0)]
+    pieces = token_files.read(spark, path).orderBy("ordinal", "place").collect()
+    ids = {i: b"".join(bytes(p.ids) for p in pieces if p.doc_id == i) for i in got}
+    assert got == {i: zlib.crc32(raw) for i, raw in ids.items()}
+
+
 def test_packing(spark):
     ship(spark)
     docs = rows(9000)
