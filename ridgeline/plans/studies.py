@@ -114,8 +114,10 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = full.withColumn("number", F.row_number().over(rows) - 1).where("number % 6 = 0").withColumn("number", F.col("number") / 6)
     size = F.count("*").over(Window.partitionBy("vt_symbol"))
     part = F.when(F.col("number") < F.floor(size * F.lit(0.6)), "train").when(F.col("number") < F.floor(size * F.lit(0.8)), "valid").otherwise("test")
-    long = melted(full.withColumn("part", part), ["vt_symbol", "day", "part", "target"], {n: F.col(n) for n in wanted}, "factor", "score")
-    long = long.withColumns({"a": average_rank("score", "vt_symbol", "part", "factor"), "b": average_rank("target", "vt_symbol", "part", "factor")})
+    # Rows are complete, so every factor meets the same targets: they are ranked once, before there is a row for each factor.
+    full = full.withColumn("part", part).withColumn("b", average_rank("target", "vt_symbol", "part"))
+    long = melted(full, ["vt_symbol", "part", "b"], {n: F.col(n) for n in wanted}, "factor", "score")
+    long = long.withColumn("a", average_rank("score", "vt_symbol", "part", "factor"))
     ic = long.groupBy("vt_symbol", "factor", "part").agg(F.count("*").alias("n"), F.round(correlation("a", "b"), evaluate.DIGITS).alias("ic"))
     parts = ("train", "valid", "test")
     out = ic.groupBy("vt_symbol", "factor").agg(

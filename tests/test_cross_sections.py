@@ -1,6 +1,7 @@
 """Kernels over cross-sections against plain Python, and what a study shuffles."""
 
 import random
+import re
 from collections import defaultdict
 from datetime import date, timedelta
 
@@ -108,3 +109,10 @@ def test_a_labelled_panel_is_dealt_once(spark):
     """Before, the wide rows were dealt by (symbol, entry day), by (symbol, exit day) and by symbol for their labels."""
     text = plan(labels.valued(studies.labelled_panel(B.bar_table(spark, "/root/testdata/sf0.001"))))
     assert text.count("Exchange hashpartitioning(vt_symbol") == 1
+
+
+def test_a_single_series_sorts_long_rows_once(spark):
+    """Before, the targets were sorted and ranked anew in the rows of each factor, which all have the same ones."""
+    text = plan(studies.single_series(spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"Sort \[vt_symbol#\d+ [^\]]*factor#\d+ ASC NULLS FIRST, score#", text)) == 1
+    assert not re.findall(r"Sort \[vt_symbol#\d+ [^\]]*factor#\d+ ASC NULLS FIRST, target#", text)
