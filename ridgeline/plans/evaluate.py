@@ -16,17 +16,18 @@ from pyspark.sql import functions as F
 from ridgeline.functions.columns import rate
 
 COST = 0.003
-#: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits.
+#: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits. The kernels do it, a column
+#: at a time: Spark's own round of a double goes by way of its decimal text, for each row and factor.
 DIGITS = 9
 PREFIX = "f_"
 
 
-def scored(frame: DataFrame, factors: dict[str, str], keep: list[str], digits: int = DIGITS) -> DataFrame:
-    """keep and a rounded score f_NAME for each factor.
+def scored(frame: DataFrame, factors: dict[str, str], keep: list[str]) -> DataFrame:
+    """keep and a score f_NAME for each factor, which the kernels round.
 
     Rows that were put together by day for their context stay so, and eras named in place keep them there: the kernels deal none anew.
     """
-    return frame.select(*keep, *[F.round(F.expr(x).cast("double"), digits).alias(f"{PREFIX}{name}") for name, x in factors.items()])
+    return frame.select(*keep, *[F.expr(x).cast("double").alias(f"{PREFIX}{name}") for name, x in factors.items()])
 
 
 def by_era(rows: DataFrame, eras: list[tuple[str, str, str]], clip_exit: bool = True) -> DataFrame:
@@ -35,13 +36,18 @@ def by_era(rows: DataFrame, eras: list[tuple[str, str, str]], clip_exit: bool =
 
 
 def in_spans(rows: DataFrame, spans: list[tuple[str, str, str, bool]]) -> DataFrame:
-    """rows once for each span (name, start, end, clip_exit) that they are in, with its name as era: a handful, which may overlap."""
+    """rows once for each span (name, start, end, clip_exit) that they are in, with its name as era: a handful, which may overlap.
+
+    The spans are listed beside the scores before they are exploded. Spark compiles a projection that has such a list by itself, in short
+    methods; without it, a study's scores are written into the method of the whole stage, which is then too long for the JVM to optimise.
+    """
 
     def named(name: str, start: str, end: str, clip: bool) -> Column:
         inside = F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
         return F.when(inside & (F.col("exit_day") <= F.lit(end).cast("date")) if clip else inside, F.lit(name))
 
-    return rows.withColumn("era", F.explode(F.array_compact(F.array(*[named(*s) for s in spans]))))
+    listed = rows.withColumn("era", F.array_compact(F.array(*[named(*s) for s in spans])))
+    return listed.withColumn("era", F.explode("era"))
 
 
 def _number(table: pa.Table, name: str) -> np.ndarray:
@@ -49,6 +55,16 @@ def _number(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).cast(pa.float64()).to_numpy()
 
 
+def half_up(x: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """x rounded as SQL rounds a double: x times a power of ten, halves away from 0, and back; x itself where that is no finite number."""
+    power = 10.0**digits
+    with np.errstate(over="ignore", invalid="ignore"):
+        large = x * power
+        whole = np.trunc(large)
+        out = (whole + np.where(np.abs(large - whole) >= 0.5, np.copysign(1.0, large), 0.0)) / power
+    return np.where(np.isfinite(out), out, x)
+
+
 def ranks(x: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """Average ranks of x, moved so that they add up to 0, times two: whole numbers, exact as doubles. order, if given, sorts x."""
     n = len(x)
@@ -93,7 +109,8 @@ def _up(x: np.ndarray) -> float | None:
 def each_cross_section(rows: DataFrame, target: str, figures: str, made: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
     """One row (factor, era, day, stocks, rank_ic, figures) for each factor of a cross-section in which it has finite scores.
 
-    made(table, chosen, score, target) has the other figures, chosen being the places of the rows with a finite score.
+    made(table, chosen, score, target) has the other figures, chosen being the places of the rows with a finite score. Scores and targets
+    are rounded first.
     """
     keys = rows.select("era", "day").schema
     schema = f"factor string, era {keys['era'].dataType.simpleString()}, day {keys['day'].dataType.simpleString()}, stocks long, rank_ic double, {figures}"
@@ -102,14 +119,14 @@ def each_cross_section(rows: DataFrame, target: str, figures: str, made: Callabl
     arrow = pa.schema([(n, kinds[part.split()[1]]) for n, part in zip(names, schema.split(", "))])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        goal = _number(table, target)
+        goal = half_up(_number(table, target))
         sorted_as = np.where(np.isnan(goal), np.inf, goal)  # a missing target comes last, as in SQL
         order = np.argsort(sorted_as)
         whole, out = None, []
         for name in table.column_names:
             if not name.startswith(PREFIX):
                 continue
-            score = _number(table, name)
+            score = half_up(_number(table, name))
             known = np.isfinite(score)
             at = np.flatnonzero(known)
             if not len(at):
@@ -134,8 +151,7 @@ def positive_signal_days(rows: DataFrame, target: str = "forward_return", min_st
         signal = target[score > 0]
         return {"signals": len(signal), "baseline_mean": _mean(target), "signal_mean": _mean(signal), "signal_up_rate": _up(signal), "baseline_up_rate": _up(target)}
 
-    rows = rows.withColumn("target", F.round(target, DIGITS)).drop(target, "exit_day", "vt_symbol")
-    daily = each_cross_section(rows, "target", "signals long, baseline_mean double, signal_mean double, signal_up_rate double, baseline_up_rate double", made)
+    daily = each_cross_section(rows.drop("exit_day", "vt_symbol"), target, "signals long, baseline_mean double, signal_mean double, signal_up_rate double, baseline_up_rate double", made)
     kept = daily.where((F.col("stocks") >= min_stocks) & (F.col("signals") >= min_signals) & F.col("rank_ic").isNotNull())
     return kept.withColumn("edge", F.round(F.col("signal_mean") - F.col("baseline_mean"), DIGITS))
 
@@ -171,17 +187,16 @@ def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
 
     def made(table: pa.Table, at: np.ndarray, score: np.ndarray, intent: np.ndarray) -> dict:
         chosen = best(score, table.column("vt_symbol"), at, top)
-        mine, of = intent[chosen], table.select(["worst", "entry_fill", "unclosed_at_horizon"]).take(pa.array(at[chosen]))
+        mine, of = intent[chosen], table.select(["worst_case_return", "entry_fill", "unclosed_at_horizon"]).take(pa.array(at[chosen]))
         known = mine[~np.isnan(mine)]
         return {
             "signals": len(chosen), "baseline_mean": _mean(intent), "signal_mean": _mean(mine), "signal_median": float(np.median(known)) if len(known) else None,
-            "signal_worst_case_mean": _mean(_number(of, "worst")), "signal_up_rate": _up(mine), "baseline_up_rate": _up(intent),
+            "signal_worst_case_mean": _mean(half_up(_number(of, "worst_case_return"))), "signal_up_rate": _up(mine), "baseline_up_rate": _up(intent),
             "entry_no_fills": of.column("entry_fill").to_pylist().count(False), "unclosed": of.column("unclosed_at_horizon").to_pylist().count(True),
         }
 
-    rows = rows.withColumns({"intent": F.round("intent_return", DIGITS), "worst": F.round("worst_case_return", DIGITS)}).drop("intent_return", "worst_case_return", "exit_day")
     figures = "signals long, baseline_mean double, signal_mean double, signal_median double, signal_worst_case_mean double, signal_up_rate double, baseline_up_rate double, entry_no_fills long, unclosed long"
-    kept = each_cross_section(rows, "intent", figures, made).where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
+    kept = each_cross_section(rows.drop("exit_day"), "intent_return", figures, made).where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
     return kept.withColumn("edge", F.round(F.col("signal_mean") - F.col("baseline_mean"), DIGITS))
 
 

@@ -116,3 +116,17 @@ def test_a_single_series_sorts_long_rows_once(spark):
     text = plan(studies.single_series(spark, "/root/testdata/sf0.001"))
     assert len(re.findall(r"Sort \[vt_symbol#\d+ [^\]]*factor#\d+ ASC NULLS FIRST, score#", text)) == 1
     assert not re.findall(r"Sort \[vt_symbol#\d+ [^\]]*factor#\d+ ASC NULLS FIRST, target#", text)
+
+
+def test_scores_are_rounded_in_the_kernels_and_made_beside_the_spans(spark):
+    """Before, each score went by its decimal text in Spark, and all of them were written into one method, too long for the JVM to optimise."""
+    frame = spark.createDataFrame(rows(), ROW).drop("era", "f_a", "f_b", "f_c")
+    scored = evaluate.scored(frame, {"a": "intent_return"}, [*studies.KEYS, *studies.LABELS])
+    text = plan(evaluate.top_days(evaluate.by_era(scored, [("x", "2024-01-01", "2024-01-03")])))
+    assert any("Project" in line and "f_a" in line and "filter(array(" in line for line in text.splitlines())
+    assert "round(" not in "".join(line for line in text.splitlines() if "f_a" in line)
+
+
+def test_kernels_round_as_sql_does():
+    got = evaluate.half_up(np.array([0.5e-9, -0.5e-9, 1.4e-9, 1e300, 2.0**60, np.inf, np.nan]))
+    assert got[:6].tolist() == [1e-9, -1e-9, 1e-9, 1e300, 2.0**60, np.inf] and np.isnan(got[6])
