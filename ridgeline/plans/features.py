@@ -4,13 +4,14 @@ A feature is ("roll", aggregate, column, n, ending), ("lag", column, n), ("ahead
 expression. `panel` turns the stages into window columns: one shuffle and one sort by symbol serve them all.
 
 Spark adds a sliding frame up anew at every row, so a long frame costs its length. Where a column has long frames, `panel` makes them of
-shorter ones that lie a whole number of lags back: each is NULL unless it has all its values, and so is what is made of them.
+shorter ones that lie a whole number of lags back: each is NULL unless it has all its values, and so is what is made of them. Largest and
+smallest values, which are exact in any order, are made so from ten rows on, and so are those that end rows before.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,7 @@ STAGES: list[dict] = [
 STEP, RUNG, LONG = 5, 20, 40
 #: Deviations of whole multiples of so many rows are put together from those of so many, by their means.
 SPREAD = 10
+EXTREME = {"max": F.greatest, "min": F.least}
 
 
 def _rungs(stage: dict) -> tuple[set[str], set[str]]:
@@ -88,6 +90,20 @@ def _rungs(stage: dict) -> tuple[set[str], set[str]]:
     return {c for how, c, n in rolls if how in ("avg", "sum")}, {c for how, c, n in rolls if how == "stddev"}
 
 
+def _extremes(stage: dict) -> dict[tuple[str, str], bool]:
+    """The (aggregate, column) of the stage's largest and smallest values of whole multiples of STEP rows, and whether any has LONG rows."""
+    rolls = [spec[1:4] for spec in stage.values() if not isinstance(spec, str) and spec[0] == "roll" and spec[1] in EXTREME and spec[3] % STEP == 0]
+    return {(how, c): any(n >= LONG for h, x, n in rolls if (h, x) == (how, c)) for how, c, n in rolls if any(m > STEP for h, x, m in rolls if (h, x) == (how, c))}
+
+
+def _extreme(how: str, column: str, n: int, ending: int, step: int = 0) -> Column:
+    """The largest or smallest of n rows from those of shorter frames, whose order does not matter; NULL unless each has all its values."""
+    step = step or (RUNG if n >= LONG and n % RUNG == 0 else STEP)
+    name = f"__{how}_{column}_{step}"
+    parts = [lag(name, k) if k else F.col(name) for k in range(ending, ending + n, step)]
+    return F.when(reduce(and_, [x.isNotNull() for x in parts]), EXTREME[how](*parts)) if len(parts) > 1 else parts[0]
+
+
 def _total(column: str, n: int) -> Column:
     return reduce(add, [lag(f"__{column}_{RUNG}", k) if k else F.col(f"__{column}_{RUNG}") for k in range(0, n, RUNG)])
 
@@ -104,7 +120,7 @@ def _deviation(column: str, n: int) -> Column:
 def panel(bars: DataFrame, stages: list[dict] | None = None) -> DataFrame:
     """bars with the columns of all stages; bars need vt_symbol, day, open, high, low, close, volume, tradestatus."""
 
-    def made(spec, sums: set[str], deviations: set[str]):
+    def made(spec, sums: set[str], deviations: set[str], extremes: dict):
         if isinstance(spec, str):
             return F.expr(spec)
         kind, *rest = spec
@@ -114,15 +130,19 @@ def panel(bars: DataFrame, stages: list[dict] | None = None) -> DataFrame:
                 return _total(column, n) / n if how == "avg" else _total(column, n)
             if column in deviations and how == "stddev" and not ending and n % SPREAD == 0:
                 return _deviation(column, n) if n > SPREAD else F.col(f"__{column}_deviation")
+            if (how, column) in extremes and n % STEP == 0:
+                return _extreme(how, column, n, ending)
             return rolling(AGGREGATES[how], column, n, ending)
         return lag(*rest) if kind == "lag" else ahead_max(*rest)
 
     for stage in STAGES if stages is None else stages:
-        sums, deviations = _rungs(stage)
+        (sums, deviations), extremes = _rungs(stage), _extremes(stage)
         held = {f"__{c}_{STEP}": rolling(F.sum, c, STEP) for c in sums}
         held |= {f"__{c}_{name}": rolling(how, c, SPREAD) for c in deviations for name, how in (("mean", F.avg), ("deviation", F.stddev_samp))}
+        held |= {f"__{how}_{c}_{STEP}": rolling(AGGREGATES[how], c, STEP) for how, c in extremes}
         bars = bars.withColumns(held) if held else bars
         rungs = {f"__{c}_{RUNG}": reduce(add, [F.col(f"__{c}_{STEP}"), *[lag(f"__{c}_{STEP}", k) for k in range(STEP, RUNG, STEP)]]) for c in sums}
+        rungs |= {f"__{how}_{c}_{RUNG}": _extreme(how, c, RUNG, 0, STEP) for (how, c), long in extremes.items() if long}
         bars = bars.withColumns(rungs) if rungs else bars
-        bars = bars.withColumns({name: made(spec, sums, deviations) for name, spec in stage.items()}).drop(*held, *rungs)
+        bars = bars.withColumns({name: made(spec, sums, deviations, extremes) for name, spec in stage.items()}).drop(*held, *rungs)
     return bars

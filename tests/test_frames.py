@@ -28,3 +28,16 @@ def test_long_frames_are_those_of_their_length(spark):
             got, want = r[name.removeprefix("plain_")], r[name]
             assert got == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-15)), (r.vt_symbol, r.day, name)
     assert {r.sd40 for r in rows if r.vt_symbol == "still"} == {None, 0.0} and sum(r.ma120 is not None for r in rows) > 80
+
+
+def test_extremes_are_made_of_shorter_frames(spark):
+    """Before, the largest of 60 rows looked at 60 rows for each row."""
+    rng = random.Random(8)
+    rows = [(f"S{k % 3}", k // 3, rng.choice([None, float("nan")]) if rng.random() < 0.01 else rng.gauss(0, 1)) for k in range(900)]
+    bars = spark.createDataFrame(rows, "vt_symbol string, day int, x double").repartition(4)
+    stage = {f"{how}{n}_{ending}": features.roll(how, "x", n, ending) for how in ("max", "min") for n in (5, 10, 14, 20, 60) for ending in (0, 1)}
+    got = features.panel(bars, [stage])
+    plain = bars.withColumns({name: features.rolling(features.AGGREGATES[how], "x", n, ending) for name, (_, how, _, n, ending) in stage.items()})
+    assert got.columns == plain.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert "-59" not in got._jdf.queryExecution().optimizedPlan().toString()
