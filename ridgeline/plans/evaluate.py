@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.columns import rate
+from ridgeline.sources import files
 
 COST = 0.003
 #: Scores and returns are rounded to so many digits before they are ranked: sums differ in their last bits. The kernels do it, a column
@@ -107,7 +108,8 @@ def _up(x: np.ndarray) -> float | None:
 
 
 def each_cross_section(rows: DataFrame, target: str, figures: str, made: Callable[[pa.Table, np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
-    """One row (factor, era, day, stocks, rank_ic, figures) for each factor of a cross-section in which it has finite scores.
+    """One row (factor, era, day, stocks, rank_ic, figures) for each factor of a cross-section in which it has finite scores, and one without
+    a factor, whose stocks are all rows of the cross-section.
 
     made(table, chosen, score, target) has the other figures, chosen being the places of the rows with a finite score. Scores and targets
     are rounded first.
@@ -122,7 +124,7 @@ def each_cross_section(rows: DataFrame, target: str, figures: str, made: Callabl
         goal = half_up(_number(table, target))
         sorted_as = np.where(np.isnan(goal), np.inf, goal)  # a missing target comes last, as in SQL
         order = np.argsort(sorted_as)
-        whole, out = None, []
+        whole, out = None, [{"era": key[0].as_py(), "day": key[1].as_py(), "stocks": len(table)}]
         for name in table.column_names:
             if not name.startswith(PREFIX):
                 continue
@@ -179,8 +181,9 @@ def best(score: np.ndarray, symbols: pa.ChunkedArray, at: np.ndarray, top: int)
     return np.concatenate([more, even])
 
 
-def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
-    """One row (factor, era, day): statistics of the cross-section, selected being the `top` best positive scores.
+def top_figures(rows: DataFrame, top: int = 20) -> DataFrame:
+    """One row (factor, era, day): statistics of the cross-section, selected being the `top` best positive scores, and one without a factor
+    for each cross-section.
 
     Equal scores are taken in order of symbol. A day of constant scores has no rank correlation.
     """
@@ -196,10 +199,33 @@ def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
         }
 
     figures = "signals long, baseline_mean double, signal_mean double, signal_median double, signal_worst_case_mean double, signal_up_rate double, baseline_up_rate double, entry_no_fills long, unclosed long"
-    kept = each_cross_section(rows.drop("exit_day"), "intent_return", figures, made).where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
+    return each_cross_section(rows.drop("exit_day"), "intent_return", figures, made)
+
+
+def kept_days(figures: DataFrame, min_stocks: int = 50) -> DataFrame:
+    """The days of factors that have stocks and a signal, with their edge."""
+    kept = figures.where((F.col("stocks") >= min_stocks) & (F.col("signals") >= 1))
     return kept.withColumn("edge", F.round(F.col("signal_mean") - F.col("baseline_mean"), DIGITS))
 
 
+def top_days(rows: DataFrame, top: int = 20, min_stocks: int = 50) -> DataFrame:
+    return kept_days(top_figures(rows, top), min_stocks)
+
+
+def held_figures(rows: DataFrame, top: int = 20) -> DataFrame:
+    """top_figures as a table for what reads them more than once: a row per factor and day, whatever the number of symbols.
+
+    The panel, its labels and scores are worked out once for all that is made of them.
+    """
+    files.shared_folder(rows.sparkSession)
+    return top_figures(rows, top).checkpoint()
+
+
+def cross_sections(figures: DataFrame) -> DataFrame:
+    """era, day and the rows of each cross-section."""
+    return figures.where("factor IS NULL").select("era", "day", F.col("stocks").alias("rows"))
+
+
 def top_summary(daily: DataFrame, *groups: str) -> DataFrame:
     out = daily.groupBy(*(groups or ("factor", "era"))).agg(
         F.count("*").alias("days"), F.sum("signals").alias("signals"), F.avg("stocks").alias("stocks_per_day"), F.avg("signal_mean").alias("signal_mean"),

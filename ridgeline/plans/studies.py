@@ -129,26 +129,35 @@ def single_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("is_selected", held & (best == 1))
 
 
-def boundary_summary(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50) -> DataFrame:
-    """The summary of each factor and era with and without signals whose exit lies past their era: a row per `variant`, free and clipped.
+def boundary_rows(frame: DataFrame, study: str, eras=ERAS) -> DataFrame:
+    """The scored rows of each era with and without signals whose exit lies past it: an era per variant, NAME/free and NAME/clipped.
 
     Both variants are spans of one evaluation, so the scores are made once.
     """
     spans = [(f"{n}/{variant}", a, b, variant == "clipped") for n, a, b in eras for variant in ("free", "clipped")]
-    rows = evaluate.in_spans(evaluate.scored(frame, factors.STUDIES[study], [*KEYS, *LABELS]), spans)
-    summary = evaluate.top_summary(evaluate.top_days(rows, min_stocks=min_stocks))
+    return evaluate.in_spans(evaluate.scored(frame, factors.STUDIES[study], [*KEYS, *LABELS]), spans)
+
+
+def by_variant(figures: DataFrame) -> DataFrame:
     named = F.split("era", "/")
-    return summary.withColumns({"era": named[0], "variant": named[1]})
+    return figures.withColumns({"era": named[0], "variant": named[1]})
+
+
+def boundary_summary(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 50) -> DataFrame:
+    """The summary of each factor and era by `variant`."""
+    return by_variant(evaluate.top_summary(evaluate.top_days(boundary_rows(frame, study, eras), min_stocks=min_stocks)))
 
 
 def boundary(frame: DataFrame, study: str) -> DataFrame:
-    """How clipping signals whose exit lies past their era changes each factor: rows crossing, edges with and without."""
-    eras = evaluate.by_era(frame, ERAS, clip_exit=False)
-    ends = F.create_map(*[F.lit(x) for name, _, end in ERAS for x in (name, end)])
-    counts = eras.groupBy("era").agg(F.count_if(F.col("exit_day") > F.element_at(ends, F.col("era")).cast("date")).alias("crossing_rows"))
-    counts = counts.withColumn("factor", F.explode(F.array(*[F.lit(n) for n in factors.STUDIES[study]])))
+    """How clipping signals whose exit lies past their era changes each factor: its rows crossing, edges with and without.
+
+    A factor's rows are those with a finite score, on scheduled days, whose exit is known; so the crossing ones are those that the clipped variant lacks.
+    """
+    figures = evaluate.held_figures(boundary_rows(frame, study))
+    of = lambda variant: F.coalesce(F.sum(F.when(F.col("variant") == variant, F.col("stocks"))), F.lit(0))
+    counts = by_variant(figures.where("factor IS NOT NULL")).groupBy("factor", "era").agg((of("free") - of("clipped")).alias("crossing_rows"))
     pick = lambda c, variant: F.max(F.when(F.col("variant") == variant, F.col(c))).alias(f"{c}_{variant}")
-    summary = boundary_summary(frame, study)
+    summary = by_variant(evaluate.top_summary(evaluate.kept_days(figures)))
     both = summary.groupBy("factor", "era").agg(*[pick(c, v) for v in ("free", "clipped") for c in ("edge", "days")])
     out = counts.join(both, ["factor", "era"], "left")
     same = F.col("edge_free").eqNullSafe(F.col("edge_clipped")) | (F.abs(F.col("edge_free") - F.col("edge_clipped")) <= 1e-9)
