@@ -19,6 +19,8 @@ ERAS = [("train", "1995-01-02", "1998-06-30"), ("valid", "1998-07-01", "2000-03-
 TRANSFER_PERIODS = [("first", "1995-01-02", "1998-06-30"), ("second", "1998-07-01", "2000-03-31"), ("third", "2000-04-01", "2001-11-05"), ("combined", START, END)]
 #: The sampling audit: the period that it looks at, and the day of the fixed pool.
 SAMPLED_FROM, POOL_DAY = "1997-02-10", "1997-01-06"
+#: The symbols of the transfer: they were never members.
+COHORT = "l_suppkey % 3 = 0"
 LABELS = ["intent_return", "worst_case_return", "entry_fill", "unclosed_at_horizon"]
 KEYS = ["day", "exit_day", "vt_symbol"]
 #: Weekly prices of unrelated sales move by far more than 25 %, so the censored studies run without the jump filter here;
@@ -39,10 +41,13 @@ def with_context(members: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def labelled_panel(bars: DataFrame, step: int | None = 6, offset: int = 0) -> DataFrame:
-    """The features of every bar and what a signal of it meets, in one order by symbol; with a step, those of scheduled days alone."""
+def labelled_panel(bars: DataFrame, step: int | None = 6, offset: int = 0, symbols: str = "true") -> DataFrame:
+    """The features of every bar and what a signal of it meets, in one order by symbol; with a step, those of scheduled days alone.
+
+    symbols is a condition that all bars of a symbol meet, or none; the market days are those of all symbols.
+    """
     days = B.market_days(bars)
-    panel = features.panel(labels.along(bars, days))
+    panel = features.panel(labels.along(bars.where(symbols), days))
     if step is None:
         return panel
     # One row per scheduled market day: a side that does not grow with the number of symbols.
@@ -200,9 +205,8 @@ def dense_summary(daily: DataFrame) -> DataFrame:
 def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widening", min_stocks: int = 5) -> DataFrame:
     """A locked rule on another universe: symbols that were never members, daily features, then scheduled days only."""
     bars = B.bar_table(spark, sf_dir)
-    cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
     # Every scheduled day is a day of the daily calendar too.
-    rows = labelled_panel(bars).join(cohort, "vt_symbol", "left_semi").where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
+    rows = labelled_panel(bars, symbols=COHORT).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
     rows = labels.valued(rows)
     scored = in_eras(rows, {factor: factors.STUDIES["price"][factor]}, [*ERAS, ("combined", START, END)], LABELS)
     return evaluate.top_summary(evaluate.top_days(scored, min_stocks=min_stocks))
@@ -214,10 +218,8 @@ def transfer(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint_widen
 def transfer_rows(spark: SparkSession, sf_dir: str, factor: str, step: int, periods: list) -> tuple[DataFrame, DataFrame]:
     """The scored rows of a rule on symbols that were never members, and its grid: each scheduled day of each period whose exit is in it."""
     bars = B.bar_table(spark, sf_dir)
-    cohort = bars.where("l_suppkey % 3 = 0").select("vt_symbol").distinct()
     calendar = B.schedule(B.market_days(bars), START, END, step)
-    rows = labelled_panel(bars, step).join(cohort, "vt_symbol", "left_semi")
-    rows = rows.where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
+    rows = labelled_panel(bars, step, symbols=COHORT).where(ELIGIBLE).where(finite("ma120") & finite("long_gap") & finite("depth5"))
     scored = in_eras(labels.valued(rows), {factor: factors.STUDIES["price"][factor]}, periods, LABELS)
     return scored, evaluate.by_era(calendar, periods).select("era", "day")
 

@@ -40,3 +40,15 @@ def test_crossing_rows_are_those_with_a_score(spark):
     got = {(r.factor, r.era): r.crossing_rows for r in studies.boundary(frame, "stock").collect()}
     assert got == {(n, r.era): r[n] for r in wanted for n in study if (n, r.era) in got} and len(got) > len(study)
     assert len({n for (_, era), n in got.items() if era == "train"}) > 1
+
+
+def test_the_transfer_asks_for_the_features_of_its_symbols_alone(spark):
+    bars = B.bar_table(spark, SF)
+    got = studies.labelled_panel(bars, symbols=studies.COHORT)
+    wanted = studies.labelled_panel(bars).where(studies.COHORT)
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.count() > 50
+    scored, _ = studies.transfer_rows(spark, SF, "ribbon_joint_widening", 1, studies.TRANSFER_PERIODS)
+    text = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [k for k, line in enumerate(text) if "% 3" in line]
+    # Before, features of all symbols were made and those of two thirds dropped above the windows.
+    assert depth and max(depth) > max(k for k, line in enumerate(text) if "Window [" in line and "vt_symbol" in line)
