@@ -187,9 +187,9 @@ def dense_days(spark: SparkSession, sf_dir: str, factor: str = "market_down_day"
     """One factor on every market day, by year: each day of the year's grid counts, days without signals as missing."""
     frame = keep_all_frame(spark, sf_dir, step=1)
     years = [(str(y), f"{y}-01-01", f"{y}-12-31") for y in range(1995, 2002)]
-    rows = in_eras(frame, {factor: factors.STUDIES["clean"][factor]}, years, LABELS)
-    grid = rows.select("era", "day").distinct()
-    daily = evaluate.top_days(rows, min_stocks=1).select("era", "day", "signals", "signal_mean", "edge", "signal_up_rate", "entry_no_fills", "unclosed")
+    figures = evaluate.held_figures(in_eras(frame, {factor: factors.STUDIES["clean"][factor]}, years, LABELS))
+    grid = evaluate.cross_sections(figures).select("era", "day")
+    daily = evaluate.kept_days(figures, min_stocks=1).select("era", "day", "signals", "signal_mean", "edge", "signal_up_rate", "entry_no_fills", "unclosed")
     return grid.join(daily, ["era", "day"], "left")
 
 
@@ -246,10 +246,10 @@ def transfer_audit(spark: SparkSession, sf_dir: str, factor: str = "ribbon_joint
 
 def round_intervals(frame: DataFrame, study: str, eras=ERAS, min_stocks: int = 20, seed: int = 24) -> DataFrame:
     """The net interval of every factor of a study in every era, over the days on which the study has rows."""
-    rows = in_eras(frame, factors.STUDIES[study], eras, LABELS)
-    grid = evaluate.by_era(frame, eras).select("era", "day").distinct()
+    figures = evaluate.held_figures(in_eras(frame, factors.STUDIES[study], eras, LABELS))
+    grid = evaluate.cross_sections(figures).select("era", "day")
     grid = grid.withColumn("factor", F.explode(F.array(*[F.lit(n) for n in factors.STUDIES[study]])))
-    return net_intervals(evaluate.top_days(rows, min_stocks=min_stocks), grid, 4, seed, ("factor", "era"))
+    return net_intervals(evaluate.kept_days(figures, min_stocks), grid, 4, seed, ("factor", "era"))
 
 
 def sampling_cases(spark: SparkSession, sf_dir: str, factor: str = "old_market_down_pullback", min_stocks: int = 20) -> DataFrame:
